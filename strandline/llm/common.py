@@ -20,7 +20,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Give the executors this package, once for each application."""
+    """Give the executors this package, once for each application, and keep Arrow batches of long texts small."""
     sc = spark.sparkContext
     if getattr(sc, "_strandline_shipped", False):
         return
@@ -30,6 +30,9 @@ def ship(spark: SparkSession) -> None:
             z.write(p, p.relative_to(PACKAGE.parent))
     sc.addPyFile(path)
     sc._strandline_shipped = True
+    for key, usual, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", ("10000",), "1000"), ("spark.sql.execution.arrow.maxBytesPerBatch", ("67108864b", "67108864", "64MB"), "8m")):
+        if spark.conf.get(key) in usual:  # not where a user has set it
+            spark.conf.set(key, value)
 
 
 def shared_dir(spark: SparkSession) -> str:

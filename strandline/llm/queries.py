@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, near_dedup, rules
-from .common import table
+from . import decontaminate, near_dedup, rules, warc
+from .common import shared_dir, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,8 +25,14 @@ def op9_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.apply_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write_archive(table(spark, sf_dir, "pages"), path)
+    return warc.archive_report(warc.read_archive(spark, path))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_near_dedup, op3_decontaminate, op9_rules)}
+    return {f.__name__: f for f in (op2_near_dedup, op3_decontaminate, op9_rules, op10_warc)}
 
 
 _OP2 = r"""
@@ -67,6 +74,14 @@ SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(hw.n, 0)::BIGINT AS n_hit
 FROM d LEFT JOIN hw USING (doc_id) LEFT JOIN it USING (doc_id)
 """
 
+_OP10 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+g AS (SELECT page_id, h, strlen(h) AS n, CASE WHEN strlen(h) >= 1000 THEN max(page_id) OVER (PARTITION BY h) END AS m FROM p)
+SELECT page_id, n::BIGINT AS payload_bytes, sha1(h) AS payload_digest,
+       CASE WHEN page_id <> m THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id <> m THEN m END AS refers_to
+FROM g
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_near_dedup": _OP2, "op3_decontaminate": _OP3}
+    return {"op2_near_dedup": _OP2, "op3_decontaminate": _OP3, "op10_warc": _OP10}

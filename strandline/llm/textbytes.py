@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Texts are worked on in runs of at most so many bytes; a longer text is a run of its own.
-RUN_BYTES = 1 << 21
+RUN_BYTES = 1 << 19
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x5851F42D4C957F2D
