@@ -5,9 +5,10 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chunks, decontaminate, language, near_dedup, quality, rules, toxicity, warc
+from . import chunks, decontaminate, language, near_dedup, pieces, quality, rules, toxicity, warc
 from .common import shared_dir, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +26,10 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leak_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encoding_report(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op5_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.repeat_report(table(spark, sf_dir, "documents"))
 
@@ -48,7 +53,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_toxicity, op2_near_dedup, op3_decontaminate, op5_chunk_dedup, op7_language, op8_quality, op9_rules, op10_warc)}
+    return {f.__name__: f for f in (op1_toxicity, op2_near_dedup, op3_decontaminate, op4_sentencepiece, op5_chunk_dedup, op7_language, op8_quality, op9_rules, op10_warc)}
 
 
 _OP2 = r"""
