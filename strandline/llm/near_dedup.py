@@ -9,9 +9,10 @@ Candidates are then compared on their full shingle sets, and accepted links are
 
 - Texts with equal sets are one node from the start, whatever their number.
 - A half key that only one node has can't be part of a shared table; it goes before tables are formed.
-- Tables that up to SMALL nodes share compare all of them. In larger ones, leaders are compared with every other
-  node and then leave; that repeats until the rest belong to one component or are few. A leader leaves only after it
-  has met all others, so no pair between different components is skipped.
+- Tables of up to SMALL nodes compare all of them. Larger tables that overlap form one group. A few leaders are
+  compared with all its nodes, which leaves most nodes in one component; then each node outside the largest component
+  is compared with all others, in blocks of about BLOCK by BLOCK nodes that any task can take. A pair of different
+  components has at least one node outside the largest, so none is skipped.
 """
 
 from __future__ import annotations
@@ -28,8 +29,10 @@ from .common import cut, ship
 from .components import connected_components
 from .textbytes import SPACED, Words, buffers, constants, mix, runs, shingles
 
-#: Tables of up to so many nodes compare all pairs; larger ones go by leaders.
-SMALL = 64
+#: Tables of up to so many nodes compare all pairs; larger ones go by leaders and blocks.
+SMALL, LEADERS, BLOCK = 16, 2, 512
+#: Columns of the incidence matrices that blocks multiply at once.
+COLUMNS = 4096
 
 
 def _signatures(batches: Iterator[pa.RecordBatch], width: int, halves: int, rows: int) -> Iterator[pa.RecordBatch]:
@@ -73,6 +76,32 @@ def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBa
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), lists], ["id", "shingles"])
 
 
+def _block(block: pa.Table, percent: int) -> pa.Table:
+    """Links between the outside nodes and the others of a block, one for each two components."""
+    block = block.combine_chunks()
+    outside, node, g = (block[c].to_numpy() for c in ("outside", "node", "g"))
+    lists = block["shingles"].chunk(0) if block["shingles"].num_chunks else pa.array([], pa.list_(pa.int64()))
+    n = lists.value_lengths().to_numpy()
+    row, (value, column) = np.repeat(np.arange(len(n)), n), np.unique(lists.flatten().to_numpy(), return_inverse=True)
+    met = np.bincount(column, outside[row], len(value)) * np.bincount(column, ~outside[row], len(value)) > 0
+    new = np.cumsum(met) - 1
+    keep = met[column]
+    row, column = row[keep], new[column[keep]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    both = np.zeros((int(outside.sum()), int((~outside).sum())), np.float32)
+    for first in range(0, int(met.sum()), COLUMNS):
+        a, b = np.searchsorted(column, [first, first + COLUMNS])
+        part = np.zeros((len(n), COLUMNS), np.float32)
+        part[row[a:b], column[a:b] - first] = 1
+        both += part[outside] @ part[~outside].T
+    similar = both * 100 >= percent * (n[outside][:, None] + n[~outside][None, :] - both)
+    x, y = np.nonzero(similar & (g[outside][:, None] != g[~outside][None, :]))
+    pairs = np.stack([g[outside][x], g[~outside][y]], 1)
+    _, at = np.unique(pairs, axis=0, return_index=True)
+    return pa.table({"a": node[outside][x[at]], "b": node[~outside][y[at]]})
+
+
 def _sizes_allow(a: Column, b: Column, percent: int) -> Column:
     """Sets of these sizes can reach the similarity."""
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
@@ -112,36 +141,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     sets = cut(texts.join(tables.select(F.col("node").alias("id")).distinct(), "id", "left_semi").mapInArrow(partial(_sets, width=width), "id long, shingles array<long>").dropDuplicates(["id"]))
 
-    def all_pairs(rows: DataFrame) -> DataFrame:
-        groups = rows.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("node", "n"))).alias("g")).select("g").distinct()
-        x = groups.select("g", F.posexplode("g").alias("i", "x"))
-        x = x.select("x", F.explode(F.slice("g", F.col("i") + 2, F.lit(SMALL))).alias("y"))
-        return x.where(_sizes_allow(F.col("x.n"), F.col("y.n"), percent)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-
     large = tables.where(F.col("c") > SMALL)
-    first = large.groupBy("key").agg(F.min(F.struct("node", "n")).alias("x"))
-    stars = large.join(first, "key").where((F.col("node") != F.col("x.node")) & _sizes_allow(F.col("n"), F.col("x.n"), percent)).select(F.col("x.node").alias("a"), F.col("node").alias("b"))
-    links = cut(_verified(all_pairs(tables.where(F.col("c") <= SMALL)).union(stars).distinct(), sets, percent))
-    groups = cut(connected_components(links, "a", "b"))
-    rest = large.join(first, "key").where(F.col("node") != F.col("x.node")).select("key", "node", "n")
-    step = 0
-    while True:
-        step += 1
-        placed = rest.join(groups.withColumnRenamed("component", "g"), rest["node"] == groups["node"], "left").select("key", rest["node"], "n", F.coalesce("g", rest["node"]).alias("g"))
-        open_keys = placed.groupBy("key").agg(F.count("*").alias("c"), F.min("g").alias("lo"), F.max("g").alias("hi"), F.min("node").alias("least")).where("lo <> hi")
-        placed = cut(placed.join(open_keys.select("key", "c", "least"), "key"))
-        if placed.isEmpty():
-            break
-        few = placed.where(F.col("c") <= SMALL)
-        more = placed.where(F.col("c") > SMALL)
-        leads = (F.col("node") == F.col("least")) | (F.pmod(F.xxhash64("node", F.lit(step)), F.ceil(F.col("c") / SMALL)) == 0)
-        leaders = more.where(leads).select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("g").alias("ga"))
-        met = more.join(leaders, "key").where((F.col("g") != F.col("ga")) & _sizes_allow(F.col("n"), F.col("na"), percent)).select("a", F.col("node").alias("b"))
-        found = cut(_verified(all_pairs(few).union(met).distinct(), sets, percent))
-        if not found.isEmpty():
-            links = cut(links.union(found))
-            groups = cut(connected_components(links, "a", "b"))
-        rest = more.where(~leads).select("key", "node", "n")
+    least = large.groupBy("key").agg(F.min("node").alias("lead"))
+    owners = connected_components(large.join(least, "key").select("node", "lead"), "node", "lead")
+    crowd = cut(owners.join(nodes.select("node", "n"), "node").select(F.col("component").alias("crowd"), "node", "n"))
+    few = tables.where(F.col("c") <= SMALL).join(crowd.select("node", "crowd"), "node", "left")
+    few = few.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("node", "n", "crowd"))).alias("g")).select("g").distinct()
+    few = few.select("g", F.posexplode("g").alias("i", "x")).select("x", F.explode(F.slice("g", F.col("i") + 2, F.lit(SMALL))).alias("y"))
+    apart = F.col("x.crowd").isNull() | ~F.col("x.crowd").eqNullSafe(F.col("y.crowd"))  # a crowd's own pairs come below
+    pairs = few.where(apart & _sizes_allow(F.col("x.n"), F.col("y.n"), percent)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    counts = crowd.groupBy("crowd").agg(F.count("*").alias("c"))
+    leads = (F.col("node") == F.col("crowd")) | (F.pmod(F.xxhash64("node"), F.ceil(F.col("c") / LEADERS)) == 0)
+    leaders = crowd.join(counts, "crowd").where(leads).select("crowd", F.col("node").alias("a"), F.col("n").alias("na"))
+    stars = crowd.join(leaders, "crowd").where((F.col("node") != F.col("a")) & _sizes_allow(F.col("n"), F.col("na"), percent)).select("a", F.col("node").alias("b"))
+    links = cut(_verified(pairs.union(stars).distinct(), sets, percent))
+    groups = connected_components(links, "a", "b")
+
+    placed = cut(crowd.join(groups, "node", "left").select("crowd", "node", F.coalesce("component", "node").alias("g")))
+    sizes = placed.groupBy("crowd", "g").agg(F.count("*").alias("c")).groupBy("crowd").agg(F.max_by("g", F.struct("c", "g")).alias("largest"), F.sum("c").alias("all"), F.max("c").alias("most"))
+    sizes = cut(sizes.where(F.col("all") > F.col("most")))
+    if not sizes.isEmpty():
+        x = placed.join(sizes, "crowd").join(sets.withColumnRenamed("id", "node"), "node")
+        rows, columns = (F.ceil(c / BLOCK).cast("int") for c in (F.col("all") - F.col("most"), F.col("all")))
+        place = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+        every = lambda n: F.sequence(F.lit(0), n - 1)
+        one = x.where(F.col("g") != F.col("largest")).select("crowd", place(rows).alias("i"), F.explode(every(columns)).alias("j"), F.lit(True).alias("outside"), "node", "g", "shingles")
+        two = x.select("crowd", F.explode(every(rows)).alias("i"), place(columns).alias("j"), F.lit(False).alias("outside"), "node", "g", "shingles")
+        found = one.union(two).groupBy("crowd", "i", "j").applyInArrow(lambda block: _block(block, percent), "a long, b long")
+        groups = connected_components(links.union(found), "a", "b")
 
     named = nodes.join(groups, "node", "left").select("s1", "s2", F.col("n").alias("size"), F.coalesce("component", "node").alias("g"))
     # Texts without words meet nothing; what the others meet has one row for each set, so a frequent set is safe.
