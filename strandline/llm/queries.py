@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chunks, decontaminate, language, near_dedup, pieces, quality, rules, toxicity, warc
+from . import chunks, decontaminate, html_text, language, near_dedup, pieces, quality, rules, toxicity, warc
 from .common import shared_dir, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +34,10 @@ def op5_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.repeat_report(table(spark, sf_dir, "documents"))
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
@@ -53,7 +57,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_toxicity, op2_near_dedup, op3_decontaminate, op4_sentencepiece, op5_chunk_dedup, op7_language, op8_quality, op9_rules, op10_warc)}
+    return {f.__name__: f for f in (op1_toxicity, op2_near_dedup, op3_decontaminate, op4_sentencepiece, op5_chunk_dedup, op6_html_text, op7_language, op8_quality, op9_rules, op10_warc)}
 
 
 _OP2 = r"""
