@@ -127,7 +127,8 @@ def _leaks(batches: Iterator[pa.RecordBatch], width: int, text: str, block: Broa
             d, it = doc[order], item[q] if len(item) else q
             new = np.ones(len(q), bool)
             new[1:] = (d[1:] != d[:-1]) | (it[1:] != it[:-1]) | (r[1:] - q[1:] != r[:-1] - q[:-1]) | (r[1:] != r[:-1] + 1)
-            begin, stop = np.flatnonzero(new), np.append(np.flatnonzero(new)[1:], len(q)) - 1
+            begin = np.flatnonzero(new)
+            stop = np.append(begin[1:], len(q))[: len(begin)] - 1
             count = np.bincount(d[begin], minlength=j - i) if len(q) else np.zeros(j - i, np.int64)
             here = pa.ListArray.from_arrays(
                 pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32)),
