@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import exact
-from ..operators import clock, frames, reconcile, timeseries, validate, windows
+from ..operators import clock, contracts, detections, frames, reconcile, timeseries, validate, windows
 from ..sources import store
 from ..streaming import streams
-from .frames_sensors import KEY, events, table
+from .frames_sensors import FRAME_SENSOR_INDEX, KEY, events, table
 
 
 def cosine_angular_range(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -334,6 +334,117 @@ WITH w AS (SELECT event_type, ts, unnest(range(epoch_us(ts) // 86400000000 - 3,
 SELECT event_type, count(DISTINCT k)::BIGINT AS n_windows, count(*)::BIGINT AS n_rows FROM w GROUP BY event_type
 """
 
+def display_matrix_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matrices written as 16.16 integers: right angles, and a skew for every fifth nation."""
+    a = F.col("n_nationkey") % 4
+    word = lambda c: F.unhex(F.when(c == 0, "00000000").when(c > 0, "00000100").otherwise("0000FFFF"))
+    cos, sin = F.when(a == 0, 1).when(a == 2, -1).otherwise(0), F.when(a == 1, 1).when(a == 3, -1).otherwise(0)
+    skew = F.when(F.col("n_nationkey") % 5 == 0, 1).otherwise(0)
+    zero = F.lit(0)
+    m = F.concat(*map(word, (cos, -sin, zero, sin + skew, cos, zero, zero, zero, F.lit(1))))
+    return table(spark, sf_dir, "nation").select("n_nationkey", detections.rotation_degrees(m).alias("degrees"))
+
+
+DISPLAY_MATRIX_ROTATION = "SELECT n_nationkey, CASE WHEN n_nationkey % 5 = 0 AND n_nationkey % 4 <> 1 THEN NULL ELSE n_nationkey % 4 * 90 END AS degrees FROM nation"
+
+
+def canonical_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes of an order's line items as normalised points (quantity / 50, discount * 10), valid if not returned."""
+    x = table(spark, sf_dir, "lineitem").withColumn("p", F.struct(F.col("l_quantity").alias("q"), F.struct((F.col("l_quantity") / 50).alias("x"), (F.col("l_discount") * 10).alias("y")).alias("p"), (F.col("l_returnflag") != "R").alias("v")))
+    g = x.groupBy("l_orderkey").agg(F.collect_list("p").alias("g"))
+    g = g.select("l_orderkey", F.transform("g", lambda e: e["p"]).alias("points"), F.transform("g", lambda e: e["v"]).alias("valid"), F.lit("NORMALIZED").alias("space"), F.lit(641).alias("width"), F.lit(481).alias("height"), F.lit(None).cast("array<double>").alias("matrix"), F.lit(None).cast("struct<x0:double,y0:double,x1:double,y1:double>").alias("box"))
+    b = detections.canonical(g)
+    ok = F.forall(F.arrays_zip("points", "display_points"), lambda z: detections.reconciles(z["points"]["x"], z["display_points"]["x"], F.lit(641)))
+    return b.select("l_orderkey", *(F.round(F.col(f"display_box.{k}").cast("double"), 3).alias(k) for k in ("x0", "y0", "x1", "y1")), ok.alias("reconciles"))
+
+
+CANONICAL_BOXES = """
+SELECT l_orderkey, round(min(CASE WHEN l_returnflag <> 'R' THEN (l_quantity / 50 * 640)::FLOAT END)::DOUBLE, 3) AS x0, round(min(CASE WHEN l_returnflag <> 'R' THEN (l_discount * 10 * 480)::FLOAT END)::DOUBLE, 3) AS y0,
+  round(max(CASE WHEN l_returnflag <> 'R' THEN (l_quantity / 50 * 640)::FLOAT END)::DOUBLE, 3) AS x1, round(max(CASE WHEN l_returnflag <> 'R' THEN (l_discount * 10 * 480)::FLOAT END)::DOUBLE, 3) AS y1, true AS reconciles
+FROM lineitem GROUP BY l_orderkey
+"""
+
+
+def frame_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as frames with results, line items as detections and derived selections, with seeded faults, counted by rule."""
+    key = ["frame_id"]
+    f = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("frame_id"))
+    d = timeseries.ordinals(table(spark, sf_dir, "lineitem"), ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"], "rank").select(F.col("l_orderkey").alias("frame_id"), "rank", F.concat_ws("-", "l_orderkey", "rank").alias("detection_id"))
+    n = d.groupBy(*key).agg(F.count("*").alias("n"))
+    r = f.join(n, key, "left").select("frame_id", F.coalesce("n", F.lit(0)).alias("detection_count"), F.lit("SUCCESS").alias("inference_status"))
+    s = frames.primary_selection(r, d, key, "detection_id", "inference_status").withColumnRenamed("selected", "selected_detection_id")
+    r = r.where("frame_id % 40 <> 1").withColumn("detection_count", F.col("detection_count") + F.when(F.col("frame_id") % 30 == 2, 1).otherwise(0))
+    d = d.where("frame_id % 100 <> 3 or rank <> 0")
+    return contracts.frame_contract(f, r, d, s, key).groupBy("rule").agg(F.count("*").alias("n"))
+
+
+FRAME_CONTRACT = """
+WITH n AS (SELECT o_orderkey AS k, (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey) AS n FROM orders), m AS (SELECT k, n, CASE WHEN k % 100 = 3 THEN greatest(n - 1, 0) ELSE n END AS left_, n + CASE WHEN k % 30 = 2 THEN 1 ELSE 0 END AS said FROM n),
+x AS (SELECT 'RESULT_NOT_ONE_TO_ONE' AS rule, count(*) AS n FROM m WHERE k % 40 = 1
+  UNION ALL SELECT 'DETECTION_COUNT', count(*) FROM m WHERE k % 40 <> 1 AND said <> left_ UNION ALL SELECT 'RANK_NOT_DENSE', count(*) FROM m WHERE left_ > 0 AND left_ < n
+  UNION ALL SELECT 'SELECTION_NOT_DERIVED', count(*) FROM m WHERE k % 40 = 1 OR (left_ <> n AND (left_ = 1 OR n = 1 OR left_ = 0)))
+SELECT rule, n::BIGINT AS n FROM x WHERE n > 0
+"""
+
+
+def interval_split_at(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's whole span cut at each signup."""
+    e = events(spark, sf_dir)
+    spans = e.groupBy("user_id").agg(F.min("time").alias("start"), F.max("time").alias("end"))
+    return contracts.split_at(spans, e.where("event_type = 'signup'").select("user_id", F.col("time").alias("at")), KEY)
+
+
+INTERVAL_SPLIT_AT = """
+WITH e AS (SELECT user_id, epoch_us(ts) * 1000 AS t, event_type FROM events), s AS (SELECT user_id, min(t) AS a, max(t) AS z FROM e GROUP BY user_id),
+p AS (SELECT user_id, a AS t FROM s WHERE a < z UNION SELECT e.user_id, t FROM e JOIN s ON s.user_id = e.user_id WHERE event_type = 'signup' AND t > a AND t < z)
+SELECT p.user_id, t AS "start", coalesce(lead(t) OVER (PARTITION BY p.user_id ORDER BY t), z) AS "end" FROM p JOIN s ON s.user_id = p.user_id
+"""
+
+
+def nearest_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .frames_sensors import frame_sensor_index
+
+    s = timeseries.ordinals(events(spark, sf_dir).where("event_type <> 'view'"), KEY, ["time", "event_id"], "ordinal").select("user_id", "ordinal", F.when(F.col("event_type") == "error", 8).when(F.col("event_type") == "signup", 64).otherwise(0).cast("long").alias("quality_bits"))
+    return contracts.nearest_quality(frame_sensor_index(spark, sf_dir), s, KEY, KEY)
+
+
+NEAREST_QUALITY = f"""
+WITH s AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS o, CASE event_type WHEN 'error' THEN 8 WHEN 'signup' THEN 64 ELSE 0 END AS b FROM events WHERE event_type <> 'view')
+SELECT f.user_id, coalesce(bit_or(b), 0)::BIGINT AS quality_bits FROM ({FRAME_SENSOR_INDEX}) f LEFT JOIN s ON s.user_id = f.user_id AND s.o = f.nearest_ordinal GROUP BY f.user_id
+"""
+
+
+def trim_defects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = table(spark, sf_dir, "part").select(exact.removed_rows(F.lit("raw"), F.col("p_size") % 14 + 1).alias("removed"))
+    return contracts.trim_defects(x, "removed")
+
+
+TRIM_DEFECTS = "SELECT (p_size % 14 + 1) * 25 // 3 AS removed, count(*)::BIGINT AS n, (p_size % 14 + 1) * 25 // 3 % 5 <> 0 AS mid_cycle FROM part GROUP BY 1, 3"
+
+
+def modality_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations that don't have exactly one turn of each of two roles."""
+    return reconcile.modality_partition(table(spark, sf_dir, "conversations"), ["conv_id"], "role", ["user", "assistant"])
+
+
+MODALITY_PARTITION = """
+SELECT conv_id, count(*) FILTER (role = 'user')::BIGINT AS n_user, count(*) FILTER (role = 'assistant')::BIGINT AS n_assistant, count(*) FILTER (role NOT IN ('user', 'assistant') OR role IS NULL)::BIGINT AS n_other
+FROM conversations GROUP BY conv_id HAVING n_user <> 1 OR n_assistant <> 1 OR n_other > 0
+"""
+
+
+def choice_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") % 5).alias("v"))
+    rows = o.where("o_orderkey % 9 <> 2").withColumn("v", F.when(F.col("o_orderkey") % 7 == 1, 9).otherwise(F.col("v")))
+    over = o.where("o_orderkey % 14 = 1").withColumn("v", F.lit(9).cast("long"))
+    return contracts.choice_conflicts(o.where("o_orderkey % 11 <> 3"), rows, over, ["o_orderkey"], "v").groupBy("outcome").agg(F.count("*").alias("n"))
+
+
+CHOICE_CONFLICTS = """
+SELECT CASE WHEN o_orderkey % 9 = 2 THEN 'PLOT_ONLY' WHEN o_orderkey % 11 = 3 THEN 'ROW_ONLY' WHEN o_orderkey % 7 <> 1 THEN 'AGREES' WHEN o_orderkey % 14 = 1 THEN 'OVERRIDDEN' ELSE 'CONFLICT' END AS outcome, count(*)::BIGINT AS n
+FROM orders WHERE NOT (o_orderkey % 9 = 2 AND o_orderkey % 11 = 3) GROUP BY 1
+"""
+
 FUNCTIONS = [
     cosine_angular_range,
     rational_clock_map,
@@ -358,4 +469,12 @@ FUNCTIONS = [
     table_semantic_hash,
     snapshot_store,
     sliding_stream,
+    display_matrix_rotation,
+    canonical_boxes,
+    frame_contract,
+    interval_split_at,
+    nearest_quality,
+    trim_defects,
+    modality_partition,
+    choice_conflicts,
 ]
