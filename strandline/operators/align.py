@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .timeseries import locate, median_period, nearest
-
-DAY = 86_400_000_000_000
+from .timeseries import DAY, locate, median_period, nearest, neighbours
 
 
 def frame_sensor_index(frames: DataFrame, samples: DataFrame, keys: list[str], bucket: int = DAY) -> DataFrame:
@@ -54,11 +52,10 @@ def aligned(frames: DataFrame, samples: DataFrame, intervals: DataFrame, keys: l
     span = intervals.select(*keys, F.col("start").alias("owner_start"), F.col("end").alias("owner_end"))
     cell = F.explode(F.sequence(F.floor(F.col("owner_start") / bucket), F.floor((F.col("owner_end") - 1) / bucket)))
     inside = samples.withColumn("__cell", F.floor(F.col("time") / bucket)).join(span.withColumn("__cell", cell), [*keys, "__cell"]).where("time >= owner_start and time < owner_end").select(*owner, "time", "ordinal")
-    period = median_period(inside, owner, "time")
+    period = median_period(inside, owner, "time", bucket)
     near = nearest(locate(owned.where("continuity = 'OWNED'").select(*owner, "frame", F.col("time").alias("at")), inside, owner, bucket=bucket)).select(*owner, "frame", "nearest_ordinal", "nearest_delta")
     # differences that reach into a frame's range from the sample before, and duplicates anywhere in the stream
-    w = Window.partitionBy(*owner).orderBy("time", "ordinal")
-    steps = inside.withColumn("d", F.col("time") - F.lag("time").over(w)).select(*owner, "time", "ordinal", "d")
+    steps = neighbours(inside, owner, ["time", "ordinal"], ["time"], bucket).withColumn("d", F.col("time") - F.col("prev_row.time")).select(*owner, "time", "ordinal", "d")
     twice = samples.groupBy(*keys, "time").agg(F.count("*").alias("same")).where("same > 1")
     ranges = owned.where("continuity = 'OWNED' and n_samples > 0").select(*owner, "frame", "start_ordinal", F.explode(F.sequence("start_ordinal", F.col("stop_ordinal") - 1)).alias("ordinal"))
     within = ranges.join(steps, [*owner, "ordinal"]).groupBy(*owner, "frame").agg(F.max(F.when(F.col("ordinal") > F.col("start_ordinal"), F.col("d"))).alias("most"), F.bool_or((F.col("ordinal") > F.col("start_ordinal")) & (F.col("d") == 0)).alias("repeated"))

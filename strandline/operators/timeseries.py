@@ -11,25 +11,94 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def ordinals(df: DataFrame, keys: list[str], order: list[str], name: str = "canonical_ordinal") -> DataFrame:
-    """Dense zero-based rank within keys."""
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long") - 1)
+DAY = 86_400_000_000_000
 
 
-def owned_intervals(df: DataFrame, keys: list[str], time: str, order: list[str], end: Column | None = None, name: str = "interval_end") -> DataFrame:
-    """Each row owns from its time to the next row's; the last one to `end` (null without)."""
-    following = F.lead(time).over(Window.partitionBy(*keys).orderBy(*order))
-    return df.withColumn(name, F.coalesce(following, end) if end is not None else following)
+def _in_bucket(df: DataFrame, order: list[str], bucket: int) -> DataFrame:
+    return df.withColumn("__b", F.floor(F.col(order[0]) / bucket))
+
+
+def _before(keys: list[str]) -> Window:
+    return Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+
+
+def neighbours(df: DataFrame, keys: list[str], order: list[str], columns: list[str], bucket: int | None) -> DataFrame:
+    """df with structs prev_row and next_row of the columns of the rows next to it in a key's order (null at its ends).
+
+    With a bucket, order[0] is a time; without, a key's rows are one task's work."""
+    row = F.struct(*columns)
+    if bucket is None:
+        w = Window.partitionBy(*keys).orderBy(*order)
+        return df.withColumn("prev_row", F.lag(row).over(w)).withColumn("next_row", F.lead(row).over(w))
+    x = _in_bucket(df, order, bucket)
+    w = Window.partitionBy(*keys, "__b").orderBy(*order)
+    place, over = F.struct(*order), Window.partitionBy(*keys).orderBy("__b")
+    ends = x.groupBy(*keys, "__b").agg(F.min_by(row, place).alias("__first"), F.max_by(row, place).alias("__last"))
+    ends = ends.select(*keys, "__b", F.lag("__last").over(over).alias("__earlier"), F.lead("__first").over(over).alias("__later"))
+    x = x.withColumn("__p", F.lag(row).over(w)).withColumn("__n", F.lead(row).over(w)).join(ends, [*keys, "__b"])
+    return x.select(*df.columns, F.coalesce("__p", "__earlier").alias("prev_row"), F.coalesce("__n", "__later").alias("next_row"))
 
 
-def median_period(df: DataFrame, keys: list[str], time: str) -> DataFrame:
+def running(df: DataFrame, keys: list[str], order: list[str], value: Column, name: str, bucket: int | None) -> DataFrame:
+    """df with the sum of value over a key's rows up to and with this one."""
+    if bucket is None:
+        return df.withColumn(name, F.sum(value).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)).cast("long"))
+    x = _in_bucket(df.withColumn("__v", value), order, bucket)
+    sums = x.groupBy(*keys, "__b").agg(F.sum("__v").alias("__s"))
+    sums = sums.select(*keys, "__b", F.coalesce(F.sum("__s").over(_before(keys)), F.lit(0)).alias("__base"))
+    here = F.sum("__v").over(Window.partitionBy(*keys, "__b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    x = x.withColumn("__h", here).join(sums, [*keys, "__b"])
+    return x.select(*df.columns, (F.col("__h") + F.col("__base")).cast("long").alias(name))
+
+
+def ordinals(df: DataFrame, keys: list[str], order: list[str], name: str = "canonical_ordinal", bucket: int | None = None) -> DataFrame:
+    """Dense zero-based rank within keys."""
+    x = running(df, keys, order, F.lit(1), name, bucket)
+    return x.withColumn(name, F.col(name) - 1)
+
+
+def owned_intervals(df: DataFrame, keys: list[str], time: str, order: list[str], end: Column | None = None, name: str = "interval_end", bucket: int | None = None) -> DataFrame:
+    """Each row owns from its time to the next row's; the last one to `end` (null without)."""
+    x = neighbours(df, keys, order, [time], bucket)
+    following = F.col("next_row")[time]
+    return x.withColumn(name, F.coalesce(following, end) if end is not None else following).drop("prev_row", "next_row")
+
+
+def medians(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+    """keys, exact median of the positive values (null without any), however many a key has.
+
+    Counts by a logarithmic bin tell which bin holds the middle; counts by one of 4096 equal parts of that bin tell
+    which part; only that part's distinct values are put in order."""
+    seen = df.select(*keys).distinct()
+    v = df.where(F.col(value) > 0).groupBy(*keys, F.col(value).alias("__v")).agg(F.count("*").alias("__c"))
+    v = v.withColumn("__bin", F.floor(F.log2("__v") * 16))
+
+    def holding(counts: DataFrame, by: list[str], cell: str) -> DataFrame:
+        """Cells that hold the places in `at`, with the count before them."""
+        upto = F.sum("__c").over(Window.partitionBy(*by).orderBy(cell).rowsBetween(Window.unboundedPreceding, 0))
+        x = counts.withColumn("__before", upto - F.col("__c"))
+        x = x.withColumn("__at", F.filter("__at", lambda a: (a >= F.col("__before")) & (a < F.col("__before") + F.col("__c"))))
+        return x.where(F.size("__at") > 0).withColumn("__at", F.transform("__at", lambda a: a - F.col("__before")))
+
+    bins = v.groupBy(*keys, "__bin").agg(F.sum("__c").alias("__c"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
+    n = F.sum("__c").over(Window.partitionBy(*keys))
+    bins = holding(bins.withColumn("__at", F.array(F.floor((n - 1) / 2), F.floor(n / 2))), keys, "__bin").select(*keys, "__bin", "__lo", "__hi", "__at")
+    x = v.join(bins, [*keys, "__bin"]).withColumn("__part", F.floor((F.col("__v") - F.col("__lo")) / F.greatest(F.lit(1), F.col("__hi") - F.col("__lo") + 1) * 4096))
+    by = [*keys, "__bin"]
+    parts = holding(x.groupBy(*by, "__part").agg(F.sum("__c").alias("__c"), F.first("__at").alias("__at")), by, "__part").select(*by, "__part", "__at")
+    y = holding(x.drop("__at").join(parts, [*by, "__part"]), [*by, "__part"], "__v")
+    found = y.groupBy(*keys).agg((F.sum(F.col("__v").cast("double") * F.size("__at")) / 2).alias(name))
+    return seen.join(found, keys, "left")
+
+
+def median_period(df: DataFrame, keys: list[str], time: str, bucket: int | None = None) -> DataFrame:
     """keys, period (exact median of positive differences, null if there is none), gap_limit (2.5 periods, ties to even, at least 1)."""
-    d = F.col(time) - F.lag(time).over(Window.partitionBy(*keys).orderBy(time))
-    out = df.select(*keys, d.alias("d")).groupBy(*keys).agg(F.median(F.when(F.col("d") > 0, F.col("d"))).alias("period"))
-    return out.withColumn("gap_limit", F.greatest(F.lit(1), F.rint(F.col("period") * 2.5).cast("long")))
+    x = neighbours(df.select(*keys, time), keys, [time], [time], bucket)
+    out = medians(x.withColumn("__d", F.col(time) - F.col("prev_row")[time]), keys, "__d", "period")
+    return out.withColumn("gap_limit", F.when(F.col("period").isNotNull(), F.greatest(F.lit(1), F.rint(F.col("period") * 2.5).cast("long"))))
 
 
-def locate(targets: DataFrame, samples: DataFrame, keys: list[str], at: str = "at", time: str = "time", ordinal: str = "ordinal", bucket: int = 86_400_000_000_000) -> DataFrame:
+def locate(targets: DataFrame, samples: DataFrame, keys: list[str], at: str = "at", time: str = "time", ordinal: str = "ordinal", bucket: int = DAY) -> DataFrame:
     """targets with n_before (samples earlier than `at`), and time and lowest ordinal of the samples next to it on
     either side (prev_time <= at, next_time >= at; null where there is none)."""
     s = samples.groupBy(*keys, F.col(time).alias("__t")).agg(F.count("*").alias("__n"), F.min(ordinal).alias("__o"))
@@ -57,11 +126,10 @@ def nearest(located: DataFrame, at: str = "at") -> DataFrame:
     return located.withColumn("nearest_ordinal", F.when(back.isNotNull() & earlier, F.col("prev_ordinal")).otherwise(F.col("next_ordinal"))).withColumn("nearest_delta", F.when(back.isNotNull() & earlier, -back).otherwise(forth))
 
 
-def islands(df: DataFrame, keys: list[str], time: str, order: list[str], gap: Column) -> DataFrame:
+def islands(df: DataFrame, keys: list[str], time: str, order: list[str], gap: Column, bucket: int | None = None) -> DataFrame:
     """df with island, which counts up where a row is more than `gap` after the one before."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    new = F.coalesce((F.col(time) - F.lag(time).over(w) > gap).cast("int"), F.lit(0))
-    return df.withColumn("__new", new).withColumn("island", F.sum("__new").over(w).cast("long")).drop("__new")
+    x = neighbours(df, keys, order, [time], bucket).withColumn("__new", F.coalesce((F.col(time) - F.col("prev_row")[time] > gap).cast("int"), F.lit(0)))
+    return running(x, keys, order, F.col("__new"), "island", bucket).select(*df.columns, "island")
 
 
 def clock_runs(clock: DataFrame, keys: list[str], usable: Column) -> DataFrame:
@@ -85,7 +153,7 @@ def _cells(df: DataFrame, start: str, end: str, bucket: int) -> DataFrame:
     return df.where(F.col(start) < F.col(end)).withColumn("__cell", F.explode(F.sequence(F.floor(F.col(start) / bucket), F.floor((F.col(end) - 1) / bucket))))
 
 
-def intersect_intervals(a: DataFrame, b: DataFrame, keys: list[str], bucket: int = 86_400_000_000_000) -> DataFrame:
+def intersect_intervals(a: DataFrame, b: DataFrame, keys: list[str], bucket: int = DAY) -> DataFrame:
     """Overlaps of intervals (start, end) of a and b with equal keys: keys, other columns of both, start, end.
 
     Intervals meet in the time cells they touch, an equi-join; each overlap is made in the cell where it begins.
@@ -120,10 +188,10 @@ def to_windows(rows: DataFrame, segments: DataFrame, keys: list[str], time: str,
     return x.drop("__s", "__e")
 
 
-def held_runs(df: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
+def held_runs(df: DataFrame, keys: list[str], order: list[str], value: str, bucket: int | None = None) -> DataFrame:
     """keys, n_rows, n_runs (1 + changes of value), n_held, first and last value, of rows in order; null equals null."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    x = df.withColumn("__new", F.when(F.row_number().over(w) == 1, 1).otherwise((~F.lag(value).over(w).eqNullSafe(F.col(value))).cast("int")))
+    x = neighbours(df, keys, order, [value], bucket)
+    x = x.withColumn("__new", F.when(F.col("prev_row").isNull(), 1).otherwise((~F.col("prev_row")[value].eqNullSafe(F.col(value))).cast("int")))
     place = F.struct(*order)
     out = x.groupBy(*keys).agg(F.count("*").alias("n_rows"), F.sum("__new").alias("n_runs"), F.min_by(value, place).alias("first_value"), F.max_by(value, place).alias("last_value"))
     return out.withColumn("n_held", F.col("n_rows") - F.col("n_runs"))

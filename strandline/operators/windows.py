@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import BITS, FATAL_BITS
-from .timeseries import hop_windows, to_windows
+from .timeseries import hop_windows, medians, neighbours, to_windows
 
 
 @dataclass(frozen=True)
@@ -36,15 +36,15 @@ class Policy:
     imu_channels: int = 1
 
 
-def slices(rows: DataFrame, segments: DataFrame, keys: list[str], owned: bool) -> DataFrame:
+def slices(rows: DataFrame, segments: DataFrame, keys: list[str], owned: bool, bucket: int | None = None) -> DataFrame:
     """rows of each segment, with prev, next (neighbours inside) and pred, succ (outside, at the segment's edges)."""
-    stream = Window.partitionBy(*keys).orderBy("time", "ordinal")
-    x = rows.withColumn("__p", F.lag("time").over(stream)).withColumn("__n", F.lead("time").over(stream))
-    x = x.join(segments.select(*keys, "segment", F.col("start").alias("__s"), F.col("end").alias("__e")), keys)
+    here = neighbours(rows, keys, ["time", "ordinal"], ["time"], bucket).withColumnRenamed("prev_row", "__p").withColumnRenamed("next_row", "__n")
+    x = here.join(segments.select(*keys, "segment", F.col("start").alias("__s"), F.col("end").alias("__e")), keys)
     x = x.where((F.col("time") >= F.col("__s")) & (F.col("time") < F.col("__e")) & (F.col("end") <= F.col("__e") if owned else F.lit(True)))
-    w = Window.partitionBy(*keys, "segment").orderBy("time", "ordinal")
-    x = x.withColumn("prev", F.lag("time").over(w)).withColumn("next", F.lead("time").over(w))
-    return x.withColumn("pred", F.when(F.col("prev").isNull(), F.col("__p"))).withColumn("succ", F.when(F.col("next").isNull(), F.col("__n"))).drop("__p", "__n", "__s", "__e")
+    x = neighbours(x, [*keys, "segment"], ["time", "ordinal"], ["time"], bucket)
+    prev, following = F.col("prev_row.time"), F.col("next_row.time")
+    x = x.withColumn("prev", prev).withColumn("next", following).withColumn("pred", F.when(prev.isNull(), F.col("__p.time"))).withColumn("succ", F.when(following.isNull(), F.col("__n.time")))
+    return x.drop("prev_row", "next_row", "__p", "__n", "__s", "__e")
 
 
 def range_metrics(rows: DataFrame, segments: DataFrame, keys: list[str], policy: Policy, owned: bool) -> DataFrame:
@@ -54,9 +54,9 @@ def range_metrics(rows: DataFrame, segments: DataFrame, keys: list[str], policy:
     window count). Samples are points. Where a window begins or ends, the neighbours tell whether a row that ought to
     be there is missing: the one inside the segment if there is one, else the one outside it.
     """
-    inside = slices(rows, segments, keys, owned)
+    inside = slices(rows, segments, keys, owned, policy.window)
     step = (F.col("end") - F.col("time")) if owned else (F.col("time") - F.col("prev"))
-    period = inside.groupBy(*keys, "segment").agg(F.median(F.when(step > 0, step)).alias("period"))
+    period = medians(inside.select(*keys, "segment", step.alias("step")), [*keys, "segment"], "step", "period")
     most = policy.video_max_gap if owned else policy.imu_max_gap
     limit = F.lit(most).cast("double") if most is not None else F.greatest(F.lit(1.0), F.rint(F.col("period") * 2.5))
     period = period.withColumn("limit", limit).withColumn("tol", F.greatest(F.lit(1.0), F.col("period") * 1e-6))

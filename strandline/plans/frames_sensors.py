@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.exact import nanoseconds
 from ..operators import align, reconcile, timeseries, windows
+from ..operators.timeseries import DAY
 from ..schemas import BITS
 
-DAY = 86_400_000_000_000
 KEY = ["user_id"]
 
 
@@ -24,12 +24,12 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _frames(e: DataFrame) -> DataFrame:
     """Views; the last one of a user owns one day."""
-    f = timeseries.owned_intervals(e.where("event_type = 'view'"), KEY, "time", ["time", "event_id"], F.col("time") + DAY, "end")
+    f = timeseries.owned_intervals(e.where("event_type = 'view'"), KEY, "time", ["time", "event_id"], F.col("time") + DAY, "end", DAY)
     return f.select("user_id", F.col("event_id").alias("frame"), "time", "end")
 
 
 def _samples(e: DataFrame) -> DataFrame:
-    return timeseries.ordinals(e.where("event_type <> 'view'"), KEY, ["time", "event_id"], "ordinal").select("user_id", "time", "ordinal")
+    return timeseries.ordinals(e.where("event_type <> 'view'"), KEY, ["time", "event_id"], "ordinal", DAY).select("user_id", "time", "ordinal")
 
 
 def frame_sensor_index(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,14 +68,14 @@ SELECT user_id, event_id, round(1e9 / coalesce(nullif(f, 0), nullif(b, 0)) * 1e6
 
 
 def canonical_ordinals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return timeseries.ordinals(events(spark, sf_dir), KEY, ["time", "event_id"]).select("user_id", "event_id", "canonical_ordinal")
+    return timeseries.ordinals(events(spark, sf_dir), KEY, ["time", "event_id"], bucket=DAY).select("user_id", "event_id", "canonical_ordinal")
 
 
 CANONICAL_ORDINALS = "SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS canonical_ordinal FROM events"
 
 
 def cadence_median_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return timeseries.median_period(events(spark, sf_dir), KEY, "time").select("user_id", "period", "gap_limit")
+    return timeseries.median_period(events(spark, sf_dir), KEY, "time", DAY).select("user_id", "period", "gap_limit")
 
 
 CADENCE_MEDIAN_GAP = """
@@ -87,7 +87,7 @@ SELECT user_id, period, greatest(1, round_even(period * 2.5, 0)::BIGINT) AS gap_
 
 def _islands(e: DataFrame, gap: int = DAY) -> DataFrame:
     """Runs of a user's events that are at most a day apart, as intervals up to just after the last one."""
-    return timeseries.islands(e, KEY, "time", ["time", "event_id"], F.lit(gap)).groupBy("user_id", "island").agg(F.min("time").alias("start"), (F.max("time") + 1000).alias("end"), F.count("*").alias("n"))
+    return timeseries.islands(e, KEY, "time", ["time", "event_id"], F.lit(gap), DAY).groupBy("user_id", "island").agg(F.min("time").alias("start"), (F.max("time") + 1000).alias("end"), F.count("*").alias("n"))
 
 
 def continuity_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,9 +139,9 @@ def _segments(e: DataFrame) -> DataFrame:
 
 def _paired(e: DataFrame) -> tuple[DataFrame, DataFrame]:
     bits = lambda kind, bit: F.when(F.col("event_type") == kind, bit).otherwise(0).cast("long").alias("quality_bits")
-    v = timeseries.ordinals(e.where("event_type = 'view'"), KEY, ["time", "event_id"], "ordinal")
-    v = timeseries.owned_intervals(v, KEY, "time", ["time", "event_id"], F.col("time") + 1000, "end")
-    s = timeseries.ordinals(e.where("event_type <> 'view'"), KEY, ["time", "event_id"], "ordinal")
+    v = timeseries.ordinals(e.where("event_type = 'view'"), KEY, ["time", "event_id"], "ordinal", DAY)
+    v = timeseries.owned_intervals(v, KEY, "time", ["time", "event_id"], F.col("time") + 1000, "end", DAY)
+    s = timeseries.ordinals(e.where("event_type <> 'view'"), KEY, ["time", "event_id"], "ordinal", DAY)
     return v.select("user_id", "time", "end", "ordinal", bits("none", 0)), s.select("user_id", "time", "ordinal", bits("error", BITS["FREQUENCY_UNSUPPORTED"]))
 
 
@@ -279,7 +279,7 @@ FROM w JOIN e ON e.user_id = w.user_id AND e.t >= ws AND e.t < ws + 345600000000
 
 
 def held_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return timeseries.held_runs(events(spark, sf_dir), KEY, ["time", "event_id"], "event_type")
+    return timeseries.held_runs(events(spark, sf_dir), KEY, ["time", "event_id"], "event_type", DAY)
 
 
 _HELD = """
@@ -303,7 +303,7 @@ SELECT pick, user_id, n_held, n_rows, printf('%.6f', n_held::DOUBLE / n_rows) AS
 def window_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..sources.store import replay
 
-    e = timeseries.ordinals(events(spark, sf_dir), KEY, ["time", "event_id"])
+    e = timeseries.ordinals(events(spark, sf_dir), KEY, ["time", "event_id"], bucket=DAY)
     w = e.groupBy("user_id").agg(F.max("canonical_ordinal").alias("m")).select(F.concat(F.lit("w"), "user_id").alias("window_id"), "user_id", F.floor(F.col("m") / 4).alias("a"), F.floor(F.col("m") / 2).alias("z"))
     return replay(w, e.select("user_id", "event_id", "canonical_ordinal"), KEY, "a", "z", bucket=16)
 

@@ -113,3 +113,41 @@ def test_held_runs_and_islands(spark):
     r = timeseries.held_runs(x, K, ["t"], "v").first()
     assert (r["n_rows"], r["n_runs"], r["n_held"], r["first_value"], r["last_value"]) == (5, 3, 2, "x", "x")
     assert [r["island"] for r in timeseries.islands(x, K, "t", ["t"], F.lit(2)).orderBy("t").collect()] == [0, 0, 1, 1, 2]
+
+
+@pytest.mark.parametrize("bucket", [None, 1, 5, 10**6])
+def test_hot_streams_may_be_cut_into_buckets(spark, bucket):
+    import random
+    from statistics import median
+
+    rnd = random.Random(9)
+    rows = [(s, rnd.randint(0, 60), i, rnd.choice("xy")) for i, s in enumerate("aaaaaaaaab" * 8)] + [("c", 3, 99, None)]
+    x = frame(spark, rows, "s string, t long, i long, v string")
+    of = {s: sorted((t, i, v) for k, t, i, v in rows if k == s) for s in "abc"}
+    got = {(r["s"], r["i"]): r["canonical_ordinal"] for r in timeseries.ordinals(x, K, ["t", "i"], bucket=bucket).collect()}
+    assert got == {(s, i): n for s in of for n, (_, i, _) in enumerate(of[s])}
+    got = {(r["s"], r["i"]): r["e"] for r in timeseries.owned_intervals(x, K, "t", ["t", "i"], F.lit(77), "e", bucket).collect()}
+    assert got == {(s, i): of[s][n + 1][0] if n + 1 < len(of[s]) else 77 for s in of for n, (_, i, _) in enumerate(of[s])}
+    got = {r["s"]: r["period"] for r in timeseries.median_period(x, K, "t", bucket).collect()}
+    steps = {s: [b[0] - a[0] for a, b in zip(of[s], of[s][1:], strict=False) if b[0] > a[0]] for s in of}
+    assert got == {s: median(d) if d else None for s, d in steps.items()}
+    got = {r["s"]: (r["n_rows"], r["n_runs"], r["first_value"], r["last_value"]) for r in timeseries.held_runs(x, K, ["t", "i"], "v", bucket).collect()}
+    assert got == {s: (len(o), 1 + sum(a[2] != b[2] for a, b in zip(o, o[1:], strict=False)), o[0][2], o[-1][2]) for s, o in of.items()}
+    got = {(r["s"], r["i"]): r["island"] for r in timeseries.islands(x, K, "t", ["t", "i"], F.lit(2), bucket).collect()}
+    for s, o in of.items():
+        n = 0
+        for k, (t, i, _) in enumerate(o):
+            n += k > 0 and t - o[k - 1][0] > 2
+            assert got[s, i] == n
+
+
+def test_medians_are_exact(spark):
+    import random
+    from statistics import median
+
+    rnd = random.Random(3)
+    rows = [(k, rnd.choice([rnd.randint(-5, 50), rnd.randint(10**9, 10**9 + 10**7), 33_333_333])) for k in range(6) for _ in range(rnd.randint(1, 400))] + [(9, -1), (10, None), (11, 2**40)]
+    got = {r["k"]: r["m"] for r in timeseries.medians(frame(spark, rows, "k int, v long"), ["k"], "v", "m").collect()}
+    for k in {k for k, _ in rows}:
+        v = [x for j, x in rows if j == k and x is not None and x > 0]
+        assert got[k] == (median(v) if v else None)
