@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Iterator
 from itertools import chain
+from operator import add
 
 import ahocorasick
 import pyarrow as pa
@@ -27,8 +28,8 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 from .common import ship
 
 MARK = "▁"
-#: Units and pairs that a Python worker remembers, at most twice as many units for a time.
-REMEMBERED = 100_000
+#: Units, parts and pairs that a Python worker remembers, at most twice as many for a time.
+REMEMBERED = 200_000
 _NORMAL, _UNKNOWN, _CONTROL, _BYTE = 1, 2, 3, 6
 
 
@@ -51,10 +52,11 @@ class Model:
         for p, i in self.ids.items():
             self.automaton.add_word(p, (i, len(p)))
         self.automaton.make_automaton()
-        self.units = _Remembered(self._unit)
-        self.texts = _Remembered(lambda u: self._text(self.units[u]))
-        self.listed = _Remembered(lambda u: "".join(f" {i}" for i in self.units[u]))
-        self.follows: dict[tuple[int, int], bool] = {}
+        self.inner = {x for p in self.ids for x in map(add, p, p[1:])}
+        self.parts = _Remembered(self._part)
+        self.listed = _Remembered(self._listed)
+        self.changed: dict[str, str] = {}  # units that decode to another text
+        self.follows: dict[int, bool] = {}
 
     def merged(self, text: str) -> list[str]:
         """What the merge rules make of a short text: again and again the best-scored pair, the first of equals."""
@@ -71,37 +73,48 @@ class Model:
         return parts
 
     def may_follow(self, left: int, right: int) -> bool:
-        known = self.follows.get((left, right))
-        if known is None:
-            if len(self.follows) > 4 * REMEMBERED:
-                self.follows.clear()
-            a, b = self.pieces[left] if left >= 0 else "", self.pieces[right]
-            known = self.follows[left, right] = self.merged(a + b) == ([a, b] if a else [b])
-        return known
-
-    def _known(self, text: str) -> list[int]:
-        """Ids of a text all of whose characters are pieces."""
-        last = [-1] * (len(text) + 1)  # last token of each prefix
-        size = [0] * (len(text) + 1)
-        for end, (token, n) in self.automaton.iter(text):
-            start, stop = end + 1 - n, end + 1
-            if not size[stop] and (not start or size[start]) and self.may_follow(last[start], token):
-                last[stop], size[stop] = token, n
-        out, at = [], len(text)
-        while at:
-            out.append(last[at])
-            at -= size[at]
+        """Whether a text's tokens may be these two, or with left -2 the right one alone."""
+        a, b = self.pieces[left] if left >= 0 else "", self.pieces[right]
+        return self.merged(a + b) == ([a, b] if a else [b])
+
+    def _part(self, text: str) -> list[int]:
+        """Ids of a part, by the last token of each of its prefixes."""
+        if text not in self.ids and len(text) == 1:
+            return [self.bytes[b] for b in text.encode()] if self.bytes else [self.unknown]
+        follows, n = self.follows, len(text)
+        if len(follows) > 4 * REMEMBERED:
+            follows.clear()
+        last, size = [-1] * (n + 1), [0] * (n + 1)
+        last[0] = -2
+        for end, (token, length) in self.automaton.iter(text):
+            left = last[end + 1 - length]
+            if left != -1 and last[end + 1] == -1:
+                known = follows.get(pair := (left + 2) << 24 | token)
+                if known is None:
+                    known = follows[pair] = self.may_follow(left, token)
+                if known:
+                    last[end + 1], size[end + 1] = token, length
+        out = []
+        while n:
+            out.append(last[n])
+            n -= size[n]
         return out[::-1]
 
-    def _unit(self, text: str) -> tuple[int, ...]:
-        out, begin = [], 0
-        for k, c in enumerate(text):
-            if c not in self.ids:
-                out += self._known(text[begin:k]) if k > begin else []
-                out += [self.bytes[b] for b in c.encode()] if self.bytes else [self.unknown]
-                begin = k + 1
-        out += self._known(text[begin:]) if begin < len(text) else []
-        return tuple(out)
+    def unit(self, text: str) -> list[int]:
+        out, begin, parts, inner = [], 0, self.parts, self.inner
+        for k, two in enumerate(map(add, text, text[1:]), 1):
+            if two not in inner:
+                out += parts[text[begin:k]]
+                begin = k
+        if begin < len(text):
+            out += parts[text[begin:]]
+        return out
+
+    def _listed(self, text: str) -> str:
+        ids = self.unit(text)
+        if (back := self._text(ids)) != text:
+            self.changed[text] = back
+        return "".join([f" {i}" for i in ids])
 
     def split(self, text: str) -> list[str]:
         """Units of a text; spaces become marks, and one mark goes before the text. A line end without a piece is a unit."""
@@ -113,14 +126,15 @@ class Model:
 
     def encode(self, text: str) -> list[int]:
         """Ids with an end id."""
-        return [*chain.from_iterable(map(self.units.__getitem__, self.split(text))), self.end]
+        return [*chain.from_iterable(map(self.unit, self.split(text))), self.end]
 
     def listing(self, text: str) -> tuple[str, str]:
         """The ids in decimal, one space apart, and the text they decode to."""
         units = self.split(text)
-        # a unit's bytes are whole characters, so units decode apart
-        back = "".join(map(self.texts.__getitem__, units))
-        return f"{''.join(map(self.listed.__getitem__, units))} {self.end}"[1:], (back[1:] if back[:1] == MARK else back).replace(MARK, " ")
+        listed = f"{''.join(map(self.listed.__getitem__, units))} {self.end}"[1:]
+        # a unit's bytes are whole characters, so units decode apart; each was decoded when it was first met
+        back = "".join([self.changed.get(u, u) for u in units] if self.changed else units)
+        return listed, (back[1:] if back[:1] == MARK else back).replace(MARK, " ")
 
     def _text(self, ids) -> str:
         """Pieces of ids joined: control ids go, and byte ids that follow each other are read as UTF-8."""
