@@ -1,9 +1,10 @@
 """Substring deduplication by content-defined chunking.
 
 A gear hash rolls over the bytes of a text's words, one space apart: h = (h << 1) + G[byte], kept to 16 bits, so it
-depends on the last 16 bytes. A text may be cut before a word where the hash of what precedes it has zeros in MASK;
-chunks have LEAST_WORDS to MOST_WORDS words. Cuts depend on nearby text only, so an insertion shifts a chunk or two, and equal passages fall into equal
-chunks but for their ends. Chunks are compared by a 128-bit digest of their words.
+depends on the last 16 bytes. A text is cut before a word where the hash of what precedes it is the least among the
+RADIUS words on either side; where that leaves more than MOST_WORDS, as in runs of one word, it is cut after so many.
+Cuts depend on nearby text only, so an insertion shifts a chunk or two, and equal passages fall into equal chunks but
+for their ends. Chunks are compared by a 128-bit digest of their words.
 
 Every occurrence of a chunk but the first (by document id, then place) is a repeat. Repeats that follow each other in
 a document make a run, and runs of at least `least_run` words are removed: a passage of over 50 words that occurred
@@ -25,9 +26,7 @@ from pyspark.sql.types import ArrayType, LongType, StringType, StructField, Stru
 from .common import cut, ship
 from .textbytes import SPACED, Words, buffers, constants, mix, runs
 
-LEAST_WORDS, MOST_WORDS, LEAST_RUN = 4, 24, 16
-#: A word in 4 may begin a chunk. The bits are the highest, which all of the last bytes have reached.
-MASK = np.uint16(0x03 << 14)
+RADIUS, MOST_WORDS, LEAST_RUN = 3, 24, 20
 _GEAR = np.random.default_rng(31337).integers(0, 1 << 16, 256, dtype=np.uint16)
 _GAP = 16
 
@@ -51,26 +50,32 @@ def gear(words: Words) -> np.ndarray:
 
 def chunk_starts(words: Words) -> tuple[np.ndarray, np.ndarray]:
     """First word of each chunk, and offsets of chunks by text."""
-    n = len(words.hashes)
-    may = np.zeros(n, bool)
-    if n:
-        may[1:] = (gear(words)[:-1] & MASK) == 0
+    n, never = len(words.hashes), np.int32(1 << 16)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(len(words.of), np.int64)
+    # RADIUS places that are never least go between texts
+    text = np.repeat(np.arange(len(words.of) - 1), np.diff(words.of))
+    place = np.arange(n) + RADIUS * (text + 1)
+    before = np.full(int(place[-1]) + 1 + RADIUS, never)
+    before[place[1:]] = gear(words)[:-1]
+    before[place[words.of[:-1][np.diff(words.of) > 0]]] = never
+    here = before[place]
+    least = here < never
+    for k in range(1, RADIUS + 1):
+        least &= (here < before[place - k]) & (here <= before[place + k])
     out, at = [], [0]
-    places = np.flatnonzero(may)
+    places = np.flatnonzero(least)
     for a, b in zip(words.of[:-1].tolist(), words.of[1:].tolist(), strict=True):
         if b > a:
             out.append(a)
             last = a
-            for p in places[np.searchsorted(places, a + 1) : np.searchsorted(places, b)].tolist():
+            for p in [*places[np.searchsorted(places, a) : np.searchsorted(places, b)].tolist(), b]:
                 while p - last > MOST_WORDS:
                     last += MOST_WORDS
                     out.append(last)
-                if p - last >= LEAST_WORDS:
+                if p < b:
                     out.append(p)
                     last = p
-            while b - last > MOST_WORDS:
-                last += MOST_WORDS
-                out.append(last)
         at.append(len(out))
     return np.array(out, np.int64), np.array(at, np.int64)
 
@@ -83,7 +88,7 @@ def _digests(words: Words, starts: np.ndarray, at: np.ndarray) -> tuple[np.ndarr
     ends[last] = text_end[last]
     n = ends - starts
     place = np.arange(len(words.hashes)) - np.repeat(starts, n)
-    out = [mix(np.add.reduceat(mix(words.hashes ^ salt[0]) * salt[1:][place], starts) ^ n.astype(np.uint64)) if len(starts) else np.zeros(0, np.uint64) for salt in (constants(41, MOST_WORDS + LEAST_WORDS + 1), constants(42, MOST_WORDS + LEAST_WORDS + 1))]
+    out = [mix(np.add.reduceat(mix(words.hashes ^ salt[0]) * salt[1:][place], starts) ^ n.astype(np.uint64)) if len(starts) else np.zeros(0, np.uint64) for salt in (constants(41, MOST_WORDS + 1), constants(42, MOST_WORDS + 1))]
     return out[0], out[1], n
 
 
@@ -95,7 +100,10 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             starts, at = chunk_starts(words)
             d1, d2, n = _digests(words, starts, at)
             text = np.repeat(np.arange(i, j), np.diff(at))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(text)), pa.array((np.arange(len(starts)) - np.repeat(at[:-1], np.diff(at))).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64))], ["id", "k", "n", "d1", "d2"])
+            again = np.ones(len(starts), bool)
+            for a, b in zip(at[:-1], at[1:], strict=True):
+                again[a + np.unique(d1[a:b], return_index=True)[1]] = False
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(text)), pa.array((np.arange(len(starts)) - np.repeat(at[:-1], np.diff(at))).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), pa.array(again)], ["id", "k", "n", "d1", "d2", "again"])
 
 
 def _cleaned(batches: Iterator[pa.RecordBatch], text_col: str, least_run: int) -> Iterator[pa.RecordBatch]:
@@ -146,9 +154,11 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     ship(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
-    chunks = texts.mapInArrow(_chunks, "id long, k int, n int, d1 long, d2 long")
-    first = chunks.groupBy("d1", "d2").agg(F.min(F.struct("id", "k")).alias("first"), F.count("*").alias("c")).where("c > 1")
-    repeats = chunks.join(first, ["d1", "d2"]).where((F.col("id") != F.col("first.id")) | (F.col("k") != F.col("first.k")))
+    chunks = texts.mapInArrow(_chunks, "id long, k int, n int, d1 long, d2 long, again boolean")
+    first = chunks.groupBy("d1", "d2").agg(F.min("id").alias("first"), F.count("*").alias("c")).where("c > 1")
+    # keys of another form on either side: Spark then shuffles both for the join and can split a frequent chunk's rows
+    first, key = first.select("first", F.bitwise_not("d1").alias("e1"), "d2"), F.bitwise_not("d1").alias("e1")
+    repeats = chunks.select("id", "k", "n", "again", key, "d2").join(first, ["e1", "d2"]).where("id <> first or again")
     # a group is what one document repeats, so it is no larger than its text
     marked = cut(repeats.groupBy("id").agg(F.collect_set("k").alias("repeats"), F.sum("n").alias("words")).where(F.col("words") >= least_run).select("id", "repeats"))
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")).withColumn("id", F.col("row")[id_col].cast("long"))
