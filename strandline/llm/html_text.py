@@ -2,8 +2,8 @@
 
 One pass reads tags into a tree. A paragraph that ends passes points to what it stands in: one, one for each comma and
 up to three for its length, whole to the parent, half to the next ancestor, a third and a quarter beyond. Points count
-by the share of an element's text that isn't links. The container with most is the article (or what article or main
-element it lies in); siblings that score well, or read like paragraphs of it, are kept too. Scripts, forms, menus,
+by the share of an element's text that isn't links. The container with most is the article (or the article or main element
+it lies in); else siblings that score well, or read like paragraphs of it, are kept too. Scripts, forms, menus,
 headers, footers, asides and elements whose class or id says advert, notice or comment have no points and no text.
 """
 
@@ -31,10 +31,12 @@ _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _START = {"article": 10, "main": 8, "section": 4, "div": 5, "blockquote": 3, "pre": 3, "td": 3, "ul": -3, "ol": -3, "dl": -3, "li": -3, "form": -3}
 _BAD_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search tablist toolbar".split())
 _BAD = frozenset(
-    "ad ads adsense advert adverts advertisement advertising announcement banner banners breadcrumb breadcrumbs byline callout comment comments commentlist consent cookie cookies copyright cta disclaimer disqus donate feedback footer form "
-    "gdpr header login masthead menu menus modal nav navbar navigation newsletter notice notices notification overlay pager pagination paywall popup promo promoted promotion recommended related replies reply respond responses share sharing "
-    "sidebar signup skip social sponsor sponsored subscribe subscription tags teaser toc toolbar tooltip trending widget widgets".split()
+    "ad ads adsense advert adverts advertisement advertising banner banners breadcrumb breadcrumbs callout comment comments commentlist consent cookie cookies copyright cta disclaimer disqus donate feedback footer "
+    "gdpr masthead menu menus nav navbar navigation newsletter notice notices pager pagination paywall popup promo promoted promotion recommended related replies reply respond share sharing "
+    "sidebar signup social sponsor sponsored subscribe subscription teaser toolbar tooltip trending widget widgets".split()
 )
+#: These count only where no word of _GOOD stands with them, as in article-header.
+_DOUBTFUL = frozenset("announcement byline form header login modal notification overlay responses search skip tags toc".split())
 _GOOD = frozenset("article body content entry main post story text".split())
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>")
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=[\s/]|$)", re.IGNORECASE)
@@ -66,9 +68,10 @@ def _named(attributes: str) -> tuple[bool, float]:
             return True, 0.0
         if name in ("class", "id"):
             words = set(_WORD.findall(value))
-            if words & _BAD:
+            good = words & _GOOD
+            if words & _BAD or words & _DOUBTFUL and not good:
                 return True, 0.0
-            points += 10 if words & _GOOD else 0
+            points += 10 if good else 0
     return False, points
 
 
@@ -228,8 +231,8 @@ def _chosen(reader: _Reader) -> list[_Node]:
         if a.tag == "article" or a.tag == "main" and not any(x.tag == "article" for x in reader.articles):
             best = a
             break
-    if best.tag in ("body", "html") or not best.parent:
-        return [best]
+    if best.tag in ("article", "main", "body", "html") or not best.parent:
+        return [best]  # an element that says it is the article is all of it
     bar = max(10.0, 0.2 * best.worth())
 
     def belongs(x: _Node) -> bool:
@@ -239,7 +242,7 @@ def _chosen(reader: _Reader) -> list[_Node]:
             return False
         if x.tag == "p":
             return x.length > 80 and x.density() < 0.25
-        return x.tag in _HEADINGS and best.tag != "article" or x.tag in _BLOCKS and x.tag not in ("ul", "ol", "table") and x.worth() >= bar
+        return x.tag in _HEADINGS or x.tag in _BLOCKS and x.tag not in ("ul", "ol", "table") and x.worth() >= bar
 
     return [x for x in best.parent.children if isinstance(x, _Node) and belongs(x)]
 

@@ -167,3 +167,13 @@ def test_stages_on_odd_documents(spark, odd, empty):
         for name, stage in corpus_pipeline.STAGES:
             out = stage(spark, docs, "/root/testdata/sf0.001")
             assert out.count() <= docs.count(), name
+
+
+def test_html_of_other_layouts():
+    long = "This sentence, which is long enough, belongs to the article and has commas, too."
+    page = f"""<div id=page><div class="site-header"><a href=/>Site, the best, of all, sites in this world</a></div><div class="post"><div class="post-header"><h1>Head &eacute;</h1></div><div class="entry-content">{long}<br>More of it.<blockquote>{long}</blockquote><table><tr><td>cell one</td><td>cell two</td></tr></table>
+    <div class="share-buttons"><a href=#>a</a></div><figure><figcaption>A caption</figcaption></figure><noscript>{long}</noscript><div style="display: none">{long}</div></div></div>
+    <ul class="related-posts"><li><a href=#>{long}</a></li></ul><div class=comment-list><div class="comment-body">{long} {long}</div></div><div role=contentinfo>{long}</div></div>"""
+    assert html_text.main_text(page) == f"Head é\n{long} More of it.\n{long}\ncell one\ncell two\nA caption"
+    page = f"<main><h1>Title</h1><p>{long}<p>{long}</main><p>{long * 3}</p>"
+    assert html_text.main_text(page) == f"Title\n{long}\n{long}"
