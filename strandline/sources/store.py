@@ -127,6 +127,34 @@ def publish(spark: SparkSession, root: str, tables: dict[str, DataFrame], proven
     return manifest
 
 
+def publish_bundle(spark: SparkSession, root: str, recording: str, tables: dict[str, DataFrame], sort_keys: dict[str, list[str]]) -> dict:
+    """A recording's tables under bundles/<recording>, ended by SUCCESS.json or, if writing or verifying fails, by
+    FAILURE.json; never both, and what is there is not replaced."""
+    files, place = Files(spark, root), f"bundles/{recording}"
+    if files.exists(place):
+        raise FileExistsError(f"{place} is there already")
+    claims: dict = {}
+    try:
+        for name, df in tables.items():
+            write_table(df, f"{root}/{place}/{name}", sort_keys.get(name) or df.columns[:1])
+            stored = spark.read.parquet(f"{root}/{place}/{name}")
+            claims[name] = {"rows": stored.count(), "semantic_sha256": semantic_hash(stored)}
+            if claims[name]["semantic_sha256"] != semantic_hash(df):
+                raise ValueError(f"{name} was not stored as it is")
+    except Exception as why:
+        files.fs.mkdirs(files.at(place))
+        files.write(f"{place}/FAILURE.json", canonical_json({"recording": recording, "reason": type(why).__name__}))
+        raise
+    files.write(f"{place}/SUCCESS.json", canonical_json({"recording": recording, "tables": claims}))
+    return claims
+
+
+def unfinished(spark: SparkSession, root: str, recordings: DataFrame) -> DataFrame:
+    """Recordings without a terminal marker: what a run that goes on has to do."""
+    done = spark.read.format("binaryFile").option("pathGlobFilter", "{SUCCESS,FAILURE}.json").option("recursiveFileLookup", "true").load(f"{root}/bundles").select(F.element_at(F.split("path", "/"), -2).alias("recording_id"))
+    return recordings.join(done, "recording_id", "left_anti")
+
+
 def verify(spark: SparkSession, path: str) -> dict:
     """The manifest of a snapshot folder; raises where rows, schema, digests or provenance are not as it says."""
     files = Files(spark, path)

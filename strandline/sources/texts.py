@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructType
 
 from ..schemas import BITS
 
@@ -116,6 +120,39 @@ def exclusions(files: DataFrame, reason: Column) -> DataFrame:
     return files.withColumn("reason", reason).where(F.col("reason").isNotNull()).select("path", "reason", "sha256").orderBy("path")
 
 
+def path_key(path: Column) -> Column:
+    """NFC and case folding: paths with one key can't lie side by side everywhere."""
+
+    def keys(paths: pd.Series) -> pd.Series:
+        return paths.map(lambda p: None if p is None else unicodedata.normalize("NFC", p).casefold())
+
+    return F.pandas_udf(keys, StringType())(path)
+
+
+def path_problems(files: DataFrame, path: str = "path") -> DataFrame:
+    """path, problem: ABSOLUTE, ESCAPES (a .. part), BACKSLASH, EMPTY_PART, COLLIDES (another path with its key)."""
+    x = files.select(F.col(path).alias("path")).withColumn("__k", path_key(F.col("path")))
+    n = x.groupBy("__k").agg(F.count_distinct("path").alias("__n"))
+    parts = F.split("path", "/")
+    rules = {
+        "ABSOLUTE": F.col("path").rlike(r"^(/|[A-Za-z]:)"), "ESCAPES": F.array_contains(parts, ".."), "BACKSLASH": F.col("path").contains("\\"),
+        "EMPTY_PART": F.exists(F.slice(parts, 2, 1 << 20), lambda p: p == "") | (F.col("path") == ""), "COLLIDES": F.col("__n") > 1,
+    }
+    found = F.filter(F.array(*(F.when(c, F.lit(r)) for r, c in rules.items())), lambda r: r.isNotNull())
+    return x.join(n, "__k").select("path", F.explode(found).alias("problem"))
+
+
+def catalog(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+    """A closed JSON catalogue (one document): a value of another type is an error, not a null."""
+    return spark.read.schema(schema).option("multiLine", "true").option("mode", "FAILFAST").json(path)
+
+
+def by_kind(rows: DataFrame, kinds: tuple[str, ...] = ("csv", "mot", "mp4", "raw")) -> DataFrame:
+    """Trim instructions with a recording a row: cut_frames of each kind, and whether all kinds that are there agree."""
+    x = rows.groupBy("subject", "activity", "trial").pivot("type", list(kinds)).agg(F.max("cut_frames"))
+    return x.withColumn("agree", F.size(F.array_distinct(F.filter(F.array(*kinds), lambda c: c.isNotNull()))) <= 1)
+
+
 def verify_members(listed: DataFrame, found: DataFrame) -> DataFrame:
     """listed (path, length, sha256) with status VERIFIED, MISMATCH or UNAVAILABLE against found; paths meet in lower case."""
     key = lambda df, n: df.withColumn("__k", F.lower(F.regexp_replace("path", "^\\./", ""))).withColumnRenamed("path", n)

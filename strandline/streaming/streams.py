@@ -27,24 +27,24 @@ def without_repeats(events: DataFrame, time: str, keys: list[str], late: str) ->
     return events.withWatermark(time, late).dropDuplicatesWithinWatermark(keys)
 
 
-def _epochs(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    epoch, last = state.get if state.exists else (0, None)
-    rows = pd.concat(list(batches)).sort_values("source_ordinal", kind="stable")
-    out = []
-    for t in rows["native_ns"]:
-        if last is not None and t < last:
-            epoch += 1
-        last = t
-        out.append(epoch)
-    state.update((int(epoch), int(last)))
-    yield pd.DataFrame({"stream_id": key[0], "source_ordinal": rows["source_ordinal"], "native_ns": rows["native_ns"], "epoch": out})
-
-
 def clock_epochs(samples: DataFrame) -> DataFrame:
     """stream_id, source_ordinal, native_ns, epoch: a native time that runs back in a stream opens a new epoch.
 
     The state of a stream is its epoch and last time; batches must bring a stream's rows in order."""
-    return samples.groupBy("stream_id").applyInPandasWithState(_epochs, "stream_id long, source_ordinal long, native_ns long, epoch long", "epoch long, last long", "append", GroupStateTimeout.NoTimeout)
+
+    def epochs(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        epoch, last = state.get if state.exists else (0, None)
+        rows = pd.concat(list(batches)).sort_values("source_ordinal", kind="stable")
+        out = []
+        for t in rows["native_ns"]:
+            if last is not None and t < last:
+                epoch += 1
+            last = t
+            out.append(epoch)
+        state.update((int(epoch), int(last)))
+        yield pd.DataFrame({"stream_id": key[0], "source_ordinal": rows["source_ordinal"], "native_ns": rows["native_ns"], "epoch": out})
+
+    return samples.groupBy("stream_id").applyInPandasWithState(epochs, "stream_id long, source_ordinal long, native_ns long, epoch long", "epoch long, last long", "append", GroupStateTimeout.NoTimeout)
 
 
 def run_once(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:

@@ -109,3 +109,31 @@ def test_streams_of_events(spark, tmp_path):
     got = streams.run_once(streams.gap_sessions(s, "at", ["k"], "10 minutes", "1 hour"), "sessions", str(tmp_path / "c1"), "complete").orderBy("start").collect()
     assert [r["n"] for r in got] == [3, 1]
     assert streams.run_once(streams.without_repeats(s, "at", ["id"], "1 hour"), "once", str(tmp_path / "c2")).count() == 3
+
+
+def test_paths_and_catalogues(spark, tmp_path):
+    paths = ["a/b", "A/b", "/x", "c/../d", "e\\f", "g//h", "ok.txt", "café", "café"]
+    got = sorted((r["path"], r["problem"]) for r in texts.path_problems(spark.createDataFrame([(p,) for p in paths], "path string")).collect())
+    assert got == sorted([("a/b", "COLLIDES"), ("A/b", "COLLIDES"), ("/x", "ABSOLUTE"), ("c/../d", "ESCAPES"), ("e\\f", "BACKSLASH"), ("g//h", "EMPTY_PART"), ("café", "COLLIDES"), ("café", "COLLIDES")])
+    (tmp_path / "c.json").write_text('{"id": "x", "parts": [{"n": 1}]}')
+    assert texts.catalog(spark, str(tmp_path / "c.json"), "id string, parts array<struct<n:int>>").first()["parts"][0]["n"] == 1
+    with pytest.raises(Exception, match="(?i)malformed|parse|cannot"):
+        texts.catalog(spark, str(tmp_path / "c.json"), "id int").collect()
+
+
+def test_instructions_by_kind(spark):
+    rows = [("s", "a", "1", k, c) for k, c in (("csv", 3), ("raw", 3), ("mot", 4))] + [("s", "a", "2", "csv", 5)]
+    got = {r["trial"]: r for r in texts.by_kind(spark.createDataFrame(rows, "subject string, activity string, trial string, type string, cut_frames int")).collect()}
+    assert (got["1"]["csv"], got["1"]["mot"], got["1"]["mp4"], got["1"]["agree"]) == (3, 4, None, False) and got["2"]["agree"]
+
+
+def test_bundles(spark, tmp_path):
+    root, a = str(tmp_path), spark.createDataFrame([(1, "x"), (2, None)], "k int, v string")
+    store.publish_bundle(spark, root, "r1", {"t": a}, {"t": ["k"]})
+    with pytest.raises(FileExistsError):
+        store.publish_bundle(spark, root, "r1", {"t": a}, {})
+    with pytest.raises(Exception, match="boom"):
+        store.publish_bundle(spark, root, "r2", {"t": a.withColumn("v", F.raise_error(F.lit("boom")).cast("string"))}, {"t": ["k"]})
+    assert (tmp_path / "bundles/r1/SUCCESS.json").exists() and (tmp_path / "bundles/r2/FAILURE.json").exists() and not (tmp_path / "bundles/r2/SUCCESS.json").exists()
+    left = store.unfinished(spark, root, spark.createDataFrame([("r1",), ("r2",), ("r3",)], "recording_id string"))
+    assert [r["recording_id"] for r in left.collect()] == ["r3"]
