@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from .common import cut
 
 
+#: Links that one task takes at least; small sets of links are few tasks' work.
+LINKS = 250_000
+
+
 def _with_least(edges: DataFrame) -> DataFrame:
     """Edges (u, v) with m, the least of u and its neighbours."""
     least = edges.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -30,11 +34,12 @@ def connected_components(links: DataFrame, a: str, b: str) -> DataFrame:
     Each step rewires links towards the least neighbour seen, so the count of steps grows with the logarithm of the
     longest path. Nothing but a count and a checksum comes to the driver.
     """
-    edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
-    edges, seen = cut(edges), None
+    edges = cut(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
+    seen = None
     while True:
         now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         if now == seen or not now["n"]:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select("v", "v")).distinct()
-        seen = now
-        edges = cut(_small(_large(edges).distinct()).distinct())
+        seen, tasks = now, 1 + now["n"] // LINKS
+        larger = _large(edges.coalesce(tasks)).coalesce(tasks).distinct().coalesce(tasks)
+        edges = cut(_small(larger).coalesce(tasks).distinct().coalesce(tasks))

@@ -130,12 +130,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     seen = cut(texts.mapInArrow(partial(_signatures, width=width, halves=halves, rows=rows), "id long, n long, s1 long, s2 long, halves array<long>"))
     nodes = cut(seen.where("n > 0 and id is not null").groupBy("s1", "s2", "n").agg(F.min("id").alias("node"), F.first("halves").alias("halves")))
 
-    half = nodes.select("node", F.explode("halves").alias("half"))
+    half = nodes.select("node", "n", F.explode("halves").alias("half"))
     shared = half.groupBy("half").agg(F.count("*").alias("c")).where("c > 1").select("half")
-    kept = half.join(shared, "half").groupBy("node").agg(F.collect_list("half").alias("halves"))
+    kept = half.join(shared, "half").groupBy("node", "n").agg(F.collect_list("half").alias("halves"))
     side = lambda k: F.filter("halves", lambda x: x.bitwiseAND(F.lit(1)) == k)
-    keyed = kept.select("node", F.explode(F.flatten(F.transform(side(0), lambda x: F.transform(side(1), lambda y: F.xxhash64(x, y))))).alias("key"))
-    keyed = keyed.join(nodes.select("node", "n"), "node")
+    keyed = kept.select("node", "n", F.explode(F.flatten(F.transform(side(0), lambda x: F.transform(side(1), lambda y: F.xxhash64(x, y))))).alias("key"))
     full = keyed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
     tables = cut(keyed.join(full, "key").select("key", "node", "n", "c"))
 
@@ -144,7 +143,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     large = tables.where(F.col("c") > SMALL)
     least = large.groupBy("key").agg(F.min("node").alias("lead"))
     owners = connected_components(large.join(least, "key").select("node", "lead"), "node", "lead")
-    crowd = cut(owners.join(nodes.select("node", "n"), "node").select(F.col("component").alias("crowd"), "node", "n"))
+    crowd = cut(owners.join(large.select("node", "n").distinct(), "node").select(F.col("component").alias("crowd"), "node", "n"))
     few = tables.where(F.col("c") <= SMALL).join(crowd.select("node", "crowd"), "node", "left")
     few = few.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("node", "n", "crowd"))).alias("g")).select("g").distinct()
     few = few.select("g", F.posexplode("g").alias("i", "x")).select("x", F.explode(F.slice("g", F.col("i") + 2, F.lit(SMALL))).alias("y"))
