@@ -153,12 +153,15 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """Automata of the languages that rows outside the held-out fold name.
 
     Of each language, whole texts of at most most_chars characters are taken in order of a hash of the id, from the
-    first most_texts, while they have at most most_symbols symbols together.
+    first most_texts or so, while they have at most most_symbols symbols together.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.where(F.col("id").isNotNull() & F.col("lang").isNotNull() & (fold("id", modulus) != held_out))
-    # Spark keeps most_texts rows of a language and task before it shuffles
-    ranked = rows.selectExpr("id", "lang", "row_number() OVER (PARTITION BY lang ORDER BY xxhash64(id), id) AS k").where(F.col("k") <= most_texts)
+    # a share of each language's hashes that holds about 4 * most_texts rows, so that what is ranked has a bound
+    counts = rows.groupBy("lang").agg(F.count("*").alias("c"))
+    near = rows.join(F.broadcast(counts), "lang")  # a row a language; their automata go to all tasks anyway
+    near = near.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) * F.col("c") < (4 * most_texts) << 20)
+    ranked = near.selectExpr("id", "lang", "row_number() OVER (PARTITION BY lang ORDER BY pmod(xxhash64(id), 1 << 20), xxhash64(id), id) AS k").where(F.col("k") <= most_texts)
     found = texts_of(docs, ranked.dropDuplicates(["id"]), id_col, text_col, most_chars).sort_by("k")
     texts: dict[str, list[str]] = {}
     for lang, text in zip(found["lang"].to_pylist(), found["text"].to_pylist(), strict=True):
