@@ -69,9 +69,9 @@ def medians(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
 
     Counts by a logarithmic bin tell which bin holds the middle; counts by one of 4096 equal parts of that bin tell
     which part; only that part's distinct values are put in order."""
-    seen = df.select(*keys).distinct()
-    v = df.where(F.col(value) > 0).groupBy(*keys, F.col(value).alias("__v")).agg(F.count("*").alias("__c"))
-    v = v.withColumn("__bin", F.floor(F.log2("__v") * 16))
+    # one shuffle of df, which all that follows shares: other values stay as a null that counts for nothing
+    v = df.groupBy(*keys, F.when(F.col(value) > 0, F.col(value)).alias("__v")).agg(F.count("*").alias("__n"))
+    v = v.withColumn("__c", F.when(F.col("__v").isNotNull(), F.col("__n")).otherwise(0)).withColumn("__bin", F.coalesce(F.floor(F.log2("__v") * 16), F.lit(-(1 << 20)))).drop("__n")
 
     def holding(counts: DataFrame, by: list[str], cell: str) -> DataFrame:
         """Cells that hold the places in `at`, with the count before them."""
@@ -81,6 +81,7 @@ def medians(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
         return x.where(F.size("__at") > 0).withColumn("__at", F.transform("__at", lambda a: a - F.col("__before")))
 
     bins = v.groupBy(*keys, "__bin").agg(F.sum("__c").alias("__c"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
+    seen = bins.select(*keys).distinct()
     n = F.sum("__c").over(Window.partitionBy(*keys))
     bins = holding(bins.withColumn("__at", F.array(F.floor((n - 1) / 2), F.floor(n / 2))), keys, "__bin").select(*keys, "__bin", "__lo", "__hi", "__at")
     x = v.join(bins, [*keys, "__bin"]).withColumn("__part", F.floor((F.col("__v") - F.col("__lo")) / F.greatest(F.lit(1), F.col("__hi") - F.col("__lo") + 1) * 4096))
