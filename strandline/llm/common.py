@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import zipfile
@@ -48,9 +49,26 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Compute df once and go on from the copy in the shared folder, which outlives executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Compute df once and go on from the copy in the shared folder, which outlives executors.
+
+    The driver then collects its garbage: Spark drops the shuffle files and checkpoints of finished steps only when the
+    objects that stand for them are gone, and a driver with memory to spare would let them pile up on disk."""
+    spark = df.sparkSession
+    shared_dir(spark)
+    out = df.checkpoint(eager=True)
+    del df
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return out
+
+
+def join_summary(rows: DataFrame, summary: DataFrame, key: str) -> DataFrame:
+    """rows joined to a summary of them that has one row for each value of a long key.
+
+    The summary lies where its aggregate left it, by key, and Spark splits skewed joins only if both sides are shuffled
+    for them. So the key takes another form on either side, and a frequent value's rows can go to many tasks."""
+    other = [c for c in summary.columns if c != key]
+    return rows.withColumn("__w", F.bitwise_not(key)).join(summary.select(F.bitwise_not(key).alias("__w"), *other), "__w").drop("__w")
 
 
 def fold(doc_id: str, modulus: int) -> Column:

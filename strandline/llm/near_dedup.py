@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, ship
+from .common import cut, join_summary, ship
 from .components import connected_components
 from .textbytes import SPACED, Words, buffers, constants, mix, runs, shingles
 
@@ -132,17 +132,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     half = nodes.select("node", "n", F.explode("halves").alias("half"))
     shared = half.groupBy("half").agg(F.count("*").alias("c")).where("c > 1").select("half")
-    kept = half.join(shared, "half").groupBy("node", "n").agg(F.collect_list("half").alias("halves"))
+    kept = join_summary(half, shared, "half").groupBy("node", "n").agg(F.collect_list("half").alias("halves"))
     side = lambda k: F.filter("halves", lambda x: x.bitwiseAND(F.lit(1)) == k)
     keyed = kept.select("node", "n", F.explode(F.flatten(F.transform(side(0), lambda x: F.transform(side(1), lambda y: F.xxhash64(x, y))))).alias("key"))
     full = keyed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
-    tables = cut(keyed.join(full, "key").select("key", "node", "n", "c"))
+    tables = cut(join_summary(keyed, full, "key").select("key", "node", "n", "c"))
 
     sets = cut(texts.join(tables.select(F.col("node").alias("id")).distinct(), "id", "left_semi").mapInArrow(partial(_sets, width=width), "id long, shingles array<long>").dropDuplicates(["id"]))
 
     large = tables.where(F.col("c") > SMALL)
     least = large.groupBy("key").agg(F.min("node").alias("lead"))
-    owners = connected_components(large.join(least, "key").select("node", "lead"), "node", "lead")
+    owners = connected_components(join_summary(large, least, "key").select("node", "lead"), "node", "lead")
     crowd = cut(owners.join(large.select("node", "n").distinct(), "node").select(F.col("component").alias("crowd"), "node", "n"))
     few = tables.where(F.col("c") <= SMALL).join(crowd.select("node", "crowd"), "node", "left")
     few = few.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("node", "n", "crowd"))).alias("g")).select("g").distinct()
@@ -151,7 +151,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = few.where(apart & _sizes_allow(F.col("x.n"), F.col("y.n"), percent)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
     counts = crowd.groupBy("crowd").agg(F.count("*").alias("c"))
     leads = (F.col("node") == F.col("crowd")) | (F.pmod(F.xxhash64("node"), F.ceil(F.col("c") / LEADERS)) == 0)
-    leaders = crowd.join(counts, "crowd").where(leads).select("crowd", F.col("node").alias("a"), F.col("n").alias("na"))
+    leaders = join_summary(crowd, counts, "crowd").where(leads).select("crowd", F.col("node").alias("a"), F.col("n").alias("na"))
     stars = crowd.join(leaders, "crowd").where((F.col("node") != F.col("a")) & _sizes_allow(F.col("n"), F.col("na"), percent)).select("a", F.col("node").alias("b"))
     links = cut(_verified(pairs.union(stars).distinct(), sets, percent))
     groups = connected_components(links, "a", "b")
