@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -131,6 +133,54 @@ def angular_range(rows: DataFrame, by: list[str], vector: str, ordinal: str) ->
     return pairs.groupBy(*by).agg(F.when(F.bool_or(F.isnan("__d")), 0.0).otherwise(2 * F.acos(F.min("__d"))).alias("angle"))
 
 
+def widest_angles(rows: DataFrame, by: list[str], vector: str, ordinal: str, block: int = 4096) -> DataFrame:
+    """by, angle: as angular_range, for groups of any size, which are cut into blocks of about `block` vectors; each pair
+    of blocks is one product of two matrices, so a large group is the work of many tasks.
+
+    Ordinals are whole numbers. Pairs are of different ordinals and of vectors of one length; groups with fewer than
+    two ordinals have no row.
+    """
+    x = rows.where(" AND ".join(f"`{c}` IS NOT NULL" for c in [*by, ordinal])).select(*by, F.col(ordinal).cast("long").alias("__o"), F.col(vector).cast("array<double>").alias("__v"))
+    groups = x.groupBy(*by).agg(F.min("__o").alias("__a"), F.max("__o").alias("__b")).where("__a < __b").select(*by)
+    # equal rows have one ordinal and so are no pair; without them a hash of the row deals out evenly
+    x = x.where(F.col("__v").isNotNull() & ~F.exists("__v", lambda v: v.isNull())).distinct().withColumn("__n", F.size("__v"))
+    of = [*by, "__n"]
+    large = x.groupBy(*of).agg(F.ceil(F.count("*") / block).cast("int").alias("__blocks")).where("__blocks > 1")
+    x = x.join(F.broadcast(large), of, "left")  # no more rows than there are blocks
+    x = x.withColumn("__blocks", F.coalesce("__blocks", F.lit(1))).withColumn("__i", F.pmod(F.xxhash64("__o", "__v"), F.col("__blocks")).cast("int"))
+    fields = {f.name: f.dataType.simpleString() for f in x.schema.fields}
+    named = lambda cs: ", ".join(f"`{c}` {fields[c]}" for c in cs)
+    packed, paired = [*of, "__blocks", "__i"], [*of, "__p", "__q"]
+
+    def pack(table: pa.Table) -> pa.Table:
+        n = table["__n"][0].as_py()
+        v = np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in table["__v"].chunks]).reshape(table.num_rows, n)
+        with np.errstate(all="ignore"):
+            v = v / np.sqrt((v * v).sum(1, keepdims=True))
+        o = table["__o"].to_numpy().astype(np.int64)
+        return table.select(packed).slice(0, 1).append_column("__os", pa.array([o.tobytes()], pa.binary())).append_column("__us", pa.array([v.tobytes()], pa.binary()))
+
+    def least(table: pa.Table) -> pa.Table:
+        os = [np.frombuffer(o, np.int64) for o in table["__os"].to_pylist()]
+        us = [np.frombuffer(u, np.float64).reshape(len(o), table["__n"][0].as_py()) for u, o in zip(table["__us"].to_pylist(), os, strict=True)]
+        found = np.inf
+        if len(os) == 2 or table["__p"][0].as_py() == table["__q"][0].as_py():
+            with np.errstate(all="ignore"):
+                shared = len(np.intersect1d(os[0], os[-1])) > 0
+                for k in range(0, len(os[0]), 512):
+                    d = np.abs(us[0][k : k + 512] @ us[-1].T)
+                    if shared:
+                        d[os[0][k : k + 512, None] == os[-1]] = np.inf
+                    found = np.minimum(found, d.min())  # nan stays
+        return table.select(by).slice(0, 1).append_column("__d", pa.array([found])).slice(0, 0 if found == np.inf else 1)
+
+    blocks = x.groupBy(*packed).applyInArrow(pack, f"{named(packed[:-2])}, __blocks int, __i int, __os binary, __us binary")
+    each = blocks.withColumn("__j", F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1))).select(*of, F.least("__i", "__j").alias("__p"), F.greatest("__i", "__j").alias("__q"), "__os", "__us")
+    pairs = each.groupBy(*paired).applyInArrow(least, f"{named(by)}, __d double")
+    angle = F.when(F.bool_or(F.isnan("__d")), 0.0).otherwise(2 * F.acos(F.least(F.lit(1.0), F.min("__d"))))
+    return groups.join(pairs.groupBy(*by).agg(angle.alias("angle")), by, "left")
+
+
 def window_id(domain: str, texts: list[Column], numbers: list[Column]) -> Column:
     """First 24 hex digits of the SHA-256 of a domain and tagged, length-prefixed values (S: UTF-8, I: decimal text)."""
     part = lambda tag, c: F.concat(F.lit(tag).cast("binary"), F.unhex(F.lpad(F.hex(F.octet_length(c)), 16, "0")), c.cast("binary"))

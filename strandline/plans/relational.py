@@ -27,6 +27,18 @@ SELECT a.label, a.block, round(2 * acos(least(1.0, min(abs(list_inner_product(a.
 FROM e a JOIN e b ON a.label = b.label AND a.block = b.block AND a.vec_id < b.vec_id GROUP BY a.label, a.block
 """
 
+
+def cosine_angular_range_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Widest angle over all pairs of vectors with one label."""
+    return windows.widest_angles(table(spark, sf_dir, "embeddings"), ["label"], "embedding", "vec_id").select("label", F.round("angle", 4).alias("angle"))
+
+
+COSINE_ANGULAR_RANGE_BY_LABEL = """
+WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings)
+SELECT a.label, round(2 * acos(least(1.0, min(abs(list_inner_product(a.v, b.v) / sqrt(list_inner_product(a.v, a.v)) / sqrt(list_inner_product(b.v, b.v)))))), 4) AS angle
+FROM e a JOIN e b ON a.label = b.label AND a.vec_id < b.vec_id GROUP BY a.label
+"""
+
 # Four epochs of a clock: the second follows the first, the third comes after a reset, the fourth isn't valid.
 _CLOCK = [(0, "e0", "c0", 0, 0, 3000, 1704067200000000000, 1704672000000000000, 1704067200000000000, 1000, 1001, 1000), (0, "e1", "c0", 1, 3000, 6000, 1704672000000000000, 1705276800000000000, 1704672000000000000, 605404800001000, 999, 1000), (0, "e2", "c1", 2, 6000, 9000, 1705276800000000000, 1705881600000000000, 1705276800000000000, 1209600000005000, 3, 7), (0, "e3", "c2", 3, 9000, 12000, 1705881600000000000, 1709251200000000000, 1705881600000000000, 1814400000005000, 1, 1)]
 _CLOCK_DDL = "stream_id long, clock_epoch_id string, continuity_component_id string, acquisition_ordinal int, source_start_ordinal long, source_stop_ordinal long, native_start_ns long, native_end_ns long, native_anchor_ns long, canonical_anchor_ns long, scale_numerator long, scale_denominator long"
@@ -447,6 +459,7 @@ FROM orders WHERE NOT (o_orderkey % 9 = 2 AND o_orderkey % 11 = 3) GROUP BY 1
 
 FUNCTIONS = [
     cosine_angular_range,
+    cosine_angular_range_by_label,
     rational_clock_map,
     clock_map_violations,
     frame_classify,

@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -75,6 +76,19 @@ def test_quaternion_signs_are_one_rotation(spark):
     assert got[0] == 0.0 and abs(got[1] - 3.141592653589793) < 1e-12
 
 
+def test_widest_angle_over_all_pairs(spark):
+    v = np.random.default_rng(5).normal(size=(300, 8))
+    rows = [(int(i >= 290), i % 280 if i < 290 else i, x.tolist()) for i, x in enumerate(v)]  # ten ordinals stand for two vectors
+    rows += [rows[0]] * 50 + [(2, 0, [1.0, 0.0]), (3, 0, [1.0, 0.0]), (3, 1, [-2.0, 0.0]), (4, 0, [1.0, 0.0]), (4, 1, [float("nan"), 1.0]), (5, 0, [1.0]), (5, 1, [0.0, 1.0]), (None, 0, [1.0]), (None, 1, [1.0])]
+    x = spark.createDataFrame(rows, "g int, i int, q array<double>")
+    u = v / np.linalg.norm(v, axis=1)[:, None]
+    want = {g: 2 * np.arccos(min(abs(u[a] @ u[b]) for a in range(300) for b in range(a) if rows[a][0] == rows[b][0] == g and rows[a][1] != rows[b][1])) for g in (0, 1)}
+    for block in (4096, 40):
+        got = {r["g"]: r["angle"] for r in windows.widest_angles(x, ["g"], "q", "i", block).collect()}
+        assert all(abs(got[g] - want[g]) < 1e-9 for g in want)
+        assert got.keys() == {0, 1, 3, 4, 5} and (got[3], got[4], got[5]) == (0.0, 0.0, None)
+
+
 def test_pts_statuses(spark):
     x = spark.createDataFrame([(0, i, p) for i, p in enumerate([0, 10, 10, 5, None, 5000])], "s int, decode_ordinal long, pts long")
     got = {r["decode_ordinal"]: r for r in frames.classify(x, ["s"], gap=1000).collect()}
