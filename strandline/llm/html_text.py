@@ -4,13 +4,20 @@ One pass reads tags into a tree. A paragraph that ends passes points to what it
 up to three for its length, whole to the parent, half to the next ancestor, a third and a quarter beyond. Points count
 by the share of an element's text that isn't links. The container with most is the article (or the article or main element
 it lies in); else siblings that score well, or read like paragraphs of it, are kept too. Scripts, forms, menus,
-headers, footers, asides and elements whose class or id says advert, notice or comment have no points and no text.
+headers, footers and asides have no points and no text.
+
+Nor have elements whose class or id says advert, notice or comment. This is decided when all are measured: an article
+or main element (but one in an article, as comments are) and what holds most of the page's paragraph text stay, the
+latter unless the only article or main elements with text stand beside it, as with a long advert and a short article.
+Of names such as comments or cookies, which also long texts beside an article have, what holds most stays only where
+no article, main or element named as content has paragraphs outside of it, and an article or main if it does either.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -38,6 +45,10 @@ _BAD = frozenset(
 #: These count only where no word of _GOOD stands with them, as in article-header.
 _DOUBTFUL = frozenset("announcement byline form header login modal notification overlay responses search skip tags toc".split())
 _GOOD = frozenset("article body content entry main post story text".split())
+#: Names of what stands beside an article and may be longer.
+_BESIDE = frozenset("comment comments commentlist consent cookie cookies copyright disclaimer disqus gdpr newsletter popup recommended related replies reply respond responses trending".split())
+#: What comes after these in a name is what an element has, or what it is about.
+_ABOUT = frozenset("category has no tag with".split())
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>")
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=[\s/]|$)", re.IGNORECASE)
 _WORD = re.compile(r"[a-z]+|\d+")
@@ -46,11 +57,25 @@ _SHORT = 25
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "children", "dropped", "score", "length", "links", "anchors", "commas", "own", "blocks")
-
-    def __init__(self, tag: str, parent: _Node | None, dropped: bool, score: float):
-        self.tag, self.parent, self.children, self.dropped, self.score = tag, parent, [], dropped, score
-        self.length = self.links = self.anchors = self.commas = self.own = self.blocks = 0
+    __slots__ = ("tag", "parent", "children", "dropped", "points", "named", "article", "within", "doubt", "declared", "text", "text_commas", "blocks", "score", "length", "links", "anchors", "commas", "own", "read", "beside")
+
+    def __init__(self, tag: str, parent: _Node | None, dropped: bool, points: float, named: str = ""):
+        self.tag, self.parent, self.children, self.dropped, self.points, self.named = tag, parent, [], dropped, points, named
+        # what this lies in: the nearest article, element named as beside one and element of a bad name; how many articles
+        self.article = parent and (parent if parent.tag == "article" else parent.article)
+        self.within = parent and (parent if parent.named == "beside" else parent.within)
+        self.doubt = parent and (parent if parent.named in ("bad", "beside") else parent.doubt)
+        self.declared = parent.declared + parent.declares() if parent else 0
+        self.text = self.text_commas = self.blocks = 0
+        self.reset()
+
+    def reset(self) -> None:
+        """read: characters of paragraphs without links; beside: those of them in elements named as beside an article."""
+        self.score, self.length, self.own, self.commas = self.points, self.text, self.text, self.text_commas
+        self.links = self.anchors = self.read = self.beside = 0
+
+    def declares(self) -> bool:
+        return self.tag in ("article", "main") and self.named != "beside"
 
     def density(self) -> float:
         return self.links / self.length if self.length else 0.0
@@ -59,27 +84,35 @@ class _Node:
         return self.score * (1 - self.density())
 
 
-def _named(attributes: str) -> tuple[bool, float]:
-    """Whether class, id, role or style rule an element out, and the points that its names give."""
-    points = 0.0
+def _named(attributes: str) -> tuple[bool, str, float]:
+    """Whether role or style rule an element out; what class and id say: good, bad, beside or nothing; the points they give."""
+    points, good, bad, beside = 0.0, False, False, False
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value) or name == "role" and value in _BAD_ROLES:
-            return True, 0.0
+            return True, "", 0.0
         if name in ("class", "id"):
-            words = set(_WORD.findall(value))
-            good = words & _GOOD
-            if words & _BAD or words & _DOUBTFUL and not good:
-                return True, 0.0
-            points += 10 if good else 0
-    return False, points
+            names = [_own_words(x) for x in value.split()]
+            words = set().union(*names)
+            some = bool(words & _GOOD)
+            if words & _BAD or words & _DOUBTFUL and not some:
+                bad, beside = True, beside or bool(words & _BESIDE)
+            good = good or any(x and x <= _GOOD for x in names)
+            points += 10 if some else 0
+    return False, "beside" if beside else "good" if good else "bad" if bad else "", points
+
+
+def _own_words(name: str) -> set[str]:
+    words = _WORD.findall(name)
+    return set(words[: next((i for i, w in enumerate(words) if w in _ABOUT), len(words))])
 
 
 class _Reader:
-    """Reads tags into a tree and scores elements as they end."""
+    """Reads tags into a tree, rules elements out and scores the others in the order in which they end."""
 
     def __init__(self):
         self.top = self.at = _Node("", None, False, 0.0)
+        self.doubted: list[_Node] = []
         self.scored: list[_Node] = []
         self.articles: list[_Node] = []
 
@@ -90,9 +123,8 @@ class _Reader:
         data = html.unescape(data) if "&" in data else data
         node.children.append(data)
         n = len(" ".join(data.split()))
-        node.length += n
-        node.own += n
-        node.commas += len(_COMMAS.findall(data)) if n else 0
+        node.text += n
+        node.text_commas += len(_COMMAS.findall(data)) if n else 0
 
     def start(self, tag: str, attributes: str) -> None:
         if tag in _BLOCKS:
@@ -103,21 +135,23 @@ class _Reader:
                 node = self.at
                 while node.parent and node.tag not in within:
                     if node.tag in same:
-                        self._close(node)
+                        self.at = node.parent
                         break
                     node = node.parent
         up = self.at
         inside = up.tag == "article" or any(a.tag == "article" for a in _ancestors(up, 4))
         dropped = up.dropped or tag in _DROPPED or tag == "header" and not inside
-        points = float(_START.get(tag, 0))
+        points, named = float(_START.get(tag, 0)), ""
         if attributes and not dropped and tag not in ("html", "body"):
-            ruled_out, more = _named(attributes)
-            dropped, points = ruled_out and not (tag == "header" and inside), points + more
-        node = _Node(tag, up, dropped, points)
+            dropped, named, more = _named(attributes)
+            points += more
+            if tag == "header" and inside:
+                dropped, named = False, ""
+        node = _Node(tag, up, dropped, points, named)
         up.children.append(node)
         up.blocks += tag in _BLOCKS
-        if tag in ("article", "main") and not dropped:
-            self.articles.append(node)
+        if named in ("bad", "beside"):
+            self.doubted.append(node)
         if tag not in _VOID:
             self.at = node
 
@@ -139,25 +173,67 @@ class _Reader:
                 return  # an inline element ends within its block
             node = node.parent
         if node.parent:
-            self._close(node)
-
-    def _close(self, last: _Node) -> None:
-        while True:
-            node, up = self.at, self.at.parent
-            self.at = up
-            if not node.dropped:
-                if node.tag == "a":
-                    node.links, node.anchors = node.length, node.anchors + 1
-                if node.tag in _PARAGRAPHS or node.tag in _BLOCKS and node.own >= _SHORT:
-                    self._pass_points(node)
-                up.length += node.length
-                up.links += node.links
-                up.anchors += node.anchors
-                up.commas += node.commas
-                if node.tag not in _BLOCKS:
-                    up.own += node.own
-            if node is last:
-                return
+            self.at = node.parent
+
+    def measure(self) -> None:
+        """Lengths and scores of what isn't ruled out."""
+        self.scored, self.articles, todo = [], [], [(self.top, False)]
+        while todo:
+            node, ends = todo.pop()
+            if ends:
+                self._end(node)
+                continue
+            node.reset()
+            if node.tag in ("article", "main"):
+                self.articles.append(node)
+            todo.append((node, True))
+            todo.extend((x, False) for x in reversed(node.children) if isinstance(x, _Node) and not x.dropped)
+
+    def _end(self, node: _Node) -> None:
+        up = node.parent
+        if not up:
+            return
+        if node.tag == "a":
+            node.links, node.anchors = node.length, node.anchors + 1
+        if node.tag in _PARAGRAPHS or node.tag in _BLOCKS and node.own >= _SHORT:
+            self._pass_points(node)
+        up.length += node.length
+        up.links += node.links
+        up.anchors += node.anchors
+        up.commas += node.commas
+        up.read += node.read
+        up.beside += node.read if node.named == "beside" else node.beside
+        if node.tag not in _BLOCKS:
+            up.own += node.own
+
+    def rule_out(self) -> bool:
+        """Whether any element is ruled out by its name."""
+        clean: set[_Node | None] = set()  # elements beside an article (None: the page) that hold content with paragraphs of its own
+        articles: dict[_Node | None, int] = defaultdict(int)  # elements of a bad name, and the articles with text right in them
+        todo = [self.top]
+        while todo:
+            x = todo.pop()
+            if (x.declares() or x.named == "good") and x.read > x.beside:
+                clean.add(x.within)
+            if x.declares() and x.length > x.links:
+                articles[x.doubt] += 1
+            todo.extend(c for c in x.children if isinstance(c, _Node) and not c.dropped)
+        holds = {x: articles[x] > 0 for x in self.doubted}
+        for x in reversed(self.doubted):  # inner ones first
+            if x.doubt and x.named == "bad":
+                holds[x.doubt] |= holds[x]
+        outside: dict[_Node | None, bool] = {None: False}
+        around = {None: 0}
+        for x in self.doubted:  # outer ones first
+            around[x] = around[x.doubt] + articles[x.doubt]
+            other = around[x] > x.declared  # an article that isn't around it
+            most, declared = 2 * x.read > self.top.read, x.tag in ("article", "main") and x.article is None
+            if x.named == "beside":
+                outside[x] = outside[x.within] or x.within in clean
+                x.dropped = not (most and declared or (most or declared) and not outside[x] and not other)
+            else:
+                x.dropped = not (declared or most and (holds[x] or not other))
+        return any(x.dropped for x in self.doubted)
 
     def _pass_points(self, node: _Node) -> None:
         if node.length < _SHORT or node.tag == "li" and node.density() > 0.5:
@@ -168,6 +244,8 @@ class _Reader:
             return  # what stands in it has passed points
         else:
             points, to, share = 1 + node.commas + min(node.length / 100, 3), node.parent, 1
+        if node.tag not in _HEADINGS:
+            node.read += (node.own if node.blocks else node.length) * (1 - node.density())
         while to.parent and share <= 4:
             if to.tag in _BLOCKS:
                 to.score += points / share
@@ -175,10 +253,6 @@ class _Reader:
                 share += 1
             to = to.parent
 
-    def close(self) -> None:
-        while self.at.parent:
-            self._close(self.at)
-
 
 def _ancestors(node: _Node, most: int) -> Iterator[_Node]:
     while most and (node := node.parent):
@@ -219,7 +293,9 @@ def parse(page: str) -> _Reader:
         else:
             reader.text("<")
             i = j + 1
-    reader.close()
+    reader.measure()
+    if reader.doubted and reader.rule_out():
+        reader.measure()
     return reader
 
 

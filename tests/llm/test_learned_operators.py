@@ -177,3 +177,34 @@ def test_html_of_other_layouts():
     assert html_text.main_text(page) == f"Head é\n{long} More of it.\n{long}\ncell one\ncell two\nA caption"
     page = f"<main><h1>Title</h1><p>{long}<p>{long}</main><p>{long * 3}</p>"
     assert html_text.main_text(page) == f"Title\n{long}\n{long}"
+
+
+LONG = "This sentence, which is long enough, belongs to the article and has commas, too."
+
+
+@pytest.mark.parametrize(
+    "tag",
+    [
+        "article class='post category-social'", "article class=teaser", "main class='content with-sidebar'", "main class=comments-open", "div class='layout has-sidebar'", "div id='main' class='no-comments'",
+        "div class='page-sidebar-left'", "div class='post social'", "div id=comments-enabled", "div class='widget'",
+    ],
+)
+def test_html_articles_with_bad_names(tag):
+    inner = f"<h1>Head</h1><p>{LONG}</p><p>{LONG} {LONG}</p>"
+    end = tag.split()[0]
+    side = f"<div class=sidebar><p>Links, of all kinds, to other pages of ours.</p></div><div class=footer><p>{LONG}</p></div>"
+    assert html_text.main_text(f"<body>{side}<{tag}>{inner}</{end}></body>") == f"Head\n{LONG}\n{LONG} {LONG}"
+    assert html_text.main_text(f"<body>{side}<{tag}><article>{inner}</article>{side}</{end}></body>") == f"Head\n{LONG}\n{LONG} {LONG}"
+    assert html_text.main_text(f"<body>{side}<{tag}><div class=entry-content>{inner}</div></{end}></body>") == f"Head\n{LONG}\n{LONG} {LONG}"
+
+
+@pytest.mark.parametrize("tag", ["article", "main", "div class=post-content"])
+def test_html_long_comments_stay_out(tag):
+    end, comment = tag.split()[0], f"<p>A comment, which is longer, by far, than the article. {LONG * 3}</p>" * 4
+    for beside in (f"<section id=comments>{comment}</section>", f"<div class=cookie-consent>{comment}</div>", f"<div id=comments><article class=comment><div class=content>{comment}</div></article></div>"):
+        assert html_text.main_text(f"<{tag}><p>{LONG}</p></{end}>{beside}") == LONG
+        assert html_text.main_text(f"<{tag}><p>{LONG}</p>{beside}</{end}>") == LONG
+    two = f"<article class=comment>{comment}</article>"
+    assert html_text.main_text(f"<{tag}><p>{LONG}</p>{two}{two}</{end}>") == LONG
+    for name in ("ad", "sidebar", "comments") if end != "div" else ():
+        assert html_text.main_text(f"<div class={name}>{comment}</div><{tag}>Short.</{end}>") == "Short."
