@@ -57,12 +57,13 @@ _SHORT = 25
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "children", "dropped", "points", "named", "article", "within", "doubt", "declared", "text", "text_commas", "blocks", "score", "length", "links", "anchors", "commas", "own", "read", "beside")
+    __slots__ = ("tag", "parent", "children", "dropped", "points", "named", "article", "main", "within", "doubt", "declared", "text", "text_commas", "blocks", "score", "length", "links", "anchors", "commas", "own", "read", "beside")
 
     def __init__(self, tag: str, parent: _Node | None, dropped: bool, points: float, named: str = ""):
         self.tag, self.parent, self.children, self.dropped, self.points, self.named = tag, parent, [], dropped, points, named
-        # what this lies in: the nearest article, element named as beside one and element of a bad name; how many articles
+        # what this lies in: the nearest article, main element, element named as beside one and element of a bad name; how many articles
         self.article = parent and (parent if parent.tag == "article" else parent.article)
+        self.main = parent and (parent if parent.tag == "main" else parent.main)
         self.within = parent and (parent if parent.named == "beside" else parent.within)
         self.doubt = parent and (parent if parent.named in ("bad", "beside") else parent.doubt)
         self.declared = parent.declared + parent.declares() if parent else 0
@@ -139,7 +140,7 @@ class _Reader:
                         break
                     node = node.parent
         up = self.at
-        inside = up.tag == "article" or any(a.tag == "article" for a in _ancestors(up, 4))
+        inside = up.tag == "article" or up.article is not None
         dropped = up.dropped or tag in _DROPPED or tag == "header" and not inside
         points, named = float(_START.get(tag, 0)), ""
         if attributes and not dropped and tag not in ("html", "body"):
@@ -254,12 +255,6 @@ class _Reader:
             to = to.parent
 
 
-def _ancestors(node: _Node, most: int) -> Iterator[_Node]:
-    while most and (node := node.parent):
-        yield node
-        most -= 1
-
-
 def parse(page: str) -> _Reader:
     reader, i, n = _Reader(), 0, len(page)
     while i < n:
@@ -303,10 +298,10 @@ def _chosen(reader: _Reader) -> list[_Node]:
     best = max((x for x in reader.scored if not x.dropped), key=_Node.worth, default=None)
     if best is None or best.worth() <= 0:
         return [max(reader.articles, key=lambda x: x.length)] if reader.articles else [reader.top]
-    for a in (best, *_ancestors(best, 99)):
-        if a.tag == "article" or a.tag == "main" and not any(x.tag == "article" for x in reader.articles):
-            best = a
-            break
+    if any(x.tag == "article" for x in reader.articles):
+        best = best if best.tag == "article" else best.article or best
+    else:
+        best = best if best.tag == "main" else best.main or best
     if best.tag in ("article", "main", "body", "html") or not best.parent:
         return [best]  # an element that says it is the article is all of it
     bar = max(10.0, 0.2 * best.worth())
@@ -334,6 +329,7 @@ def main_text(page: str) -> str:
 
     for root in _chosen(parse(page)):
         todo: list = [root]
+        declared = root.tag in ("article", "main")  # its lists of links are its own, as of references
         while todo:
             x = todo.pop()
             if x is None:
@@ -342,7 +338,7 @@ def main_text(page: str) -> str:
                 now.append(x)
             elif x.tag == "br":
                 now.append(" ")
-            elif not x.dropped and not (x.tag in ("ul", "ol", "div", "section", "table") and x is not root and x.anchors >= 3 and x.density() > 0.66):
+            elif not x.dropped and not (not declared and not x.article and x.tag in ("ul", "ol", "div", "section", "table") and x is not root and x.anchors >= 3 and x.density() > 0.66):
                 if x.tag in _BLOCKS:
                     flush()
                     todo.append(None)

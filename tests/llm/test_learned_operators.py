@@ -208,3 +208,18 @@ def test_html_long_comments_stay_out(tag):
     assert html_text.main_text(f"<{tag}><p>{LONG}</p>{two}{two}</{end}>") == LONG
     for name in ("ad", "sidebar", "comments") if end != "div" else ():
         assert html_text.main_text(f"<div class={name}>{comment}</div><{tag}>Short.</{end}>") == "Short."
+
+
+@pytest.mark.parametrize("tag", ["article", "main"])
+def test_html_of_deep_articles(tag):
+    links = "".join(f"<li><a href=#>Reference number {i}, with a title</a></li>" for i in range(4))
+    listed = "\n".join(f"Reference number {i}, with a title" for i in range(4))
+    table = "".join(f"<tr><td><a href=#>Cell {i}</a></td></tr>" for i in range(4))
+    page = f"<{tag}><p>{LONG}</p><ul>{links}</ul><ul class=menu>{links}</ul><ul role=navigation>{links}</ul><nav>{links}</nav><table>{table}</table></{tag}>"
+    assert html_text.main_text(page) == f"{LONG}\n{listed}\nCell 0\nCell 1\nCell 2\nCell 3"
+    assert html_text.main_text(f"<div class=content><p>{LONG}</p><p>{LONG}</p><ul>{links}</ul></div>") == f"{LONG}\n{LONG}"
+    for depth in (6, 150):
+        deep = "<div>" * depth + f"<p>{LONG}</p>" + "</div>" * depth
+        assert html_text.main_text(f"<{tag}><p>First of all.</p>{deep}</{tag}>") == f"First of all.\n{LONG}"
+        head = "<div>" * depth + "<header><h1>Head</h1></header>" + "</div>" * depth
+        assert html_text.main_text(f"<article>{head}<p>{LONG}</p></article>") == f"Head\n{LONG}"
