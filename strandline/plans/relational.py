@@ -186,6 +186,16 @@ def _fk(link: str, parent: str, pk: str, child: str, ck: str) -> str:
 FK_RECONCILIATION = _fk("lineitem", "orders", "o_orderkey", "lineitem", "l_orderkey") + " UNION ALL " + _fk("orders", "customer", "c_custkey", "(SELECT * FROM orders WHERE o_custkey % 11 <> 0)", "o_custkey")
 
 
+def fk_reconciliation_of_all_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As fk_reconciliation, with every order held against customers."""
+    o, l, c = (table(spark, sf_dir, t) for t in ("orders", "lineitem", "customer"))
+    a = reconcile.foreign_keys(o, l, "o_orderkey", "l_orderkey").withColumn("link", F.lit("lineitem"))
+    return a.unionByName(reconcile.foreign_keys(c, o, "c_custkey", "o_custkey").withColumn("link", F.lit("orders")))
+
+
+FK_RECONCILIATION_OF_ALL_ORDERS = _fk("lineitem", "orders", "o_orderkey", "lineitem", "l_orderkey") + " UNION ALL " + _fk("orders", "customer", "c_custkey", "orders", "o_custkey")
+
+
 def set_reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reconcile.key_sets(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "doc_id")
 
@@ -468,6 +478,7 @@ FUNCTIONS = [
     trim_overlay,
     sensor_group_classify,
     fk_reconciliation,
+    fk_reconciliation_of_all_orders,
     set_reconciliation,
     one_to_one,
     window_id_hash,

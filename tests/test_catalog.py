@@ -36,3 +36,11 @@ def test_query_equals_sql(spark, duck, name):
 def test_hash_does_not_depend_on_order(spark):
     out = catalog.queries()["table_semantic_hash"](spark, SF).collect()
     assert all(r["stable"] for r in out) and len({r["semantic_sha256"] for r in out}) == 2
+
+
+def test_all_orders_meet_customers(spark, tmp_path):
+    for name, rows, columns in (("customer", [(1,), (11,), (12,)], "c_custkey long"), ("orders", [(1, 11), (2, 22), (3, 1)], "o_orderkey long, o_custkey long"), ("lineitem", [(1,), (4,)], "l_orderkey long")):
+        spark.createDataFrame(rows, columns).write.parquet(f"{tmp_path}/{name}.parquet")
+    got = {r["link"]: r for r in catalog.queries()["fk_reconciliation_of_all_orders"](spark, str(tmp_path)).collect()}
+    assert [got["orders"][c] for c in ("parents", "children", "orphans", "childless", "repeated")] == [3, 3, 1, 1, 0]
+    assert [got["lineitem"][c] for c in ("parents", "children", "orphans", "childless", "repeated")] == [3, 2, 1, 2, 0]
