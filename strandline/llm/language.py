@@ -153,19 +153,29 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """Automata of the languages that rows outside the held-out fold name.
 
     Of each language, whole texts of at most most_chars characters are taken in order of a hash of the id, from the
-    first most_texts or so, while they have at most most_symbols symbols together.
+    first most_texts or so, one of each id, while they have at most most_symbols symbols together. Where a language has
+    only longer ones, its shortest are taken, as far as most_symbols goes.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"))
-    rows = rows.where(F.col("id").isNotNull() & F.col("lang").isNotNull() & (fold("id", modulus) != held_out))
-    # a share of each language's hashes that holds about 4 * most_texts rows, so that what is ranked has a bound
-    counts = rows.groupBy("lang").agg(F.count("*").alias("c"))
-    near = rows.join(F.broadcast(counts), "lang")  # a row a language; their automata go to all tasks anyway
-    near = near.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) * F.col("c") < (4 * most_texts) << 20)
+    spark = docs.sparkSession
+    rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.length(F.col(text_col).cast("string")).alias("chars"))
+    rows = rows.where(F.col("id").isNotNull() & F.col("lang").isNotNull() & (F.col("chars") > 0) & (fold("id", modulus) != held_out))
+    # a row a language; their automata go to all tasks anyway
+    counts = [(r["lang"], r["c"]) for r in rows.groupBy("lang").agg(F.approx_count_distinct(F.when(F.col("chars") <= most_chars, F.col("id"))).alias("c")).collect()]
+    counted = F.broadcast(spark.createDataFrame(counts, "lang string, c long"))
+    # a share of each language's hashes that holds about 4 * most_texts ids, so that what is ranked has a bound
+    near = rows.where(F.col("chars") <= most_chars).join(counted, "lang")
+    near = near.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) * F.col("c") < (4 * most_texts) << 20).groupBy("id").agg(F.min("lang").alias("lang"))
     ranked = near.selectExpr("id", "lang", "row_number() OVER (PARTITION BY lang ORDER BY pmod(xxhash64(id), 1 << 20), xxhash64(id), id) AS k").where(F.col("k") <= most_texts)
-    found = texts_of(docs, ranked.dropDuplicates(["id"]), id_col, text_col, most_chars).sort_by("k")
+    found = [texts_of(docs, ranked, id_col, text_col, most_chars).sort_by("k")]
+    if any(c == 0 for _, c in counts):
+        only_long = rows.join(counted.where("c = 0"), "lang").groupBy("id").agg(F.min(F.struct("chars", "lang")).alias("x")).select("id", "x.*")
+        ranked = only_long.selectExpr("id", "lang", "row_number() OVER (PARTITION BY lang ORDER BY chars, xxhash64(id), id) AS k").where(F.col("k") <= -(-most_symbols // most_chars))
+        begun = docs.withColumn(text_col, F.substring(F.col(text_col).cast("string"), 1, most_symbols))
+        found.append(texts_of(begun.where(F.col(lang_col).cast("string").isin([x for x, c in counts if c == 0])), ranked, id_col, text_col, most_symbols).sort_by("k"))
     texts: dict[str, list[str]] = {}
-    for lang, text in zip(found["lang"].to_pylist(), found["text"].to_pylist(), strict=True):
-        texts.setdefault(lang, []).append(text)
+    for part in found:
+        for lang, text in zip(part["lang"].to_pylist(), part["text"].to_pylist(), strict=True):
+            texts.setdefault(lang, []).append(text)
     return Languages(texts, most_symbols)
 
 

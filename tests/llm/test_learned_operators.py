@@ -223,3 +223,16 @@ def test_html_of_deep_articles(tag):
         assert html_text.main_text(f"<{tag}><p>First of all.</p>{deep}</{tag}>") == f"First of all.\n{LONG}"
         head = "<div>" * depth + "<header><h1>Head</h1></header>" + "</div>" * depth
         assert html_text.main_text(f"<article>{head}<p>{LONG}</p></article>") == f"Head\n{LONG}"
+
+
+def test_languages_of_long_texts_are_learned(spark, monkeypatch):
+    rows = [(i, "long", "lo ng " * (30 if i % 50 else 2)) for i in range(400)]  # few texts within the limit
+    rows += [(1000 + i, "longer", "wi de " * (30 + i)) for i in range(40)]  # none
+    rows += [(2000, "often", "of ten")] * 300 + [(2000 + i, "often", f"of ten {i}") for i in range(1, 30)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    pred = {r["lang_pred"] for r in language.identify(docs.where("lang <> 'often'"), most_texts=3, most_chars=50, most_symbols=400).collect()}
+    assert pred == {"long", "longer"}
+    monkeypatch.setattr(language, "Languages", lambda texts, most: texts)
+    got = language.fit(docs, most_texts=3, most_chars=50, most_symbols=400)
+    assert got["long"] == ["lo ng " * 2] * 3 and len(set(got["often"])) == 3
+    assert [len(x) for x in got["longer"]] == sorted(len(x) for x in got["longer"]) and 180 <= len(got["longer"][0]) < 240
