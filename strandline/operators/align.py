@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .timeseries import DAY, locate, median_period, nearest, neighbours
+from .timeseries import DAY, among, locate, medians, nearest
 
 
 def frame_sensor_index(frames: DataFrame, samples: DataFrame, keys: list[str], bucket: int = DAY) -> DataFrame:
@@ -41,39 +41,51 @@ def continuity_owner(frames: DataFrame, intervals: DataFrame, keys: list[str], b
 def aligned(frames: DataFrame, samples: DataFrame, intervals: DataFrame, keys: list[str], min_coverage: float = 0.8, max_gap_ns: int | None = None, bucket: int = DAY) -> DataFrame:
     """The full index: ranges over the whole stream; nearest sample, period and gaps over the owning interval.
 
-    frames: keys, frame, time, end; samples: keys, time, ordinal; intervals: keys, start, end (disjoint in a key).
-    alignment_status, first that holds: the continuity status, NO_IMU (interval without samples), CADENCE_UNKNOWN,
-    DUPLICATE_TIMESTAMP (in the range, or the nearest one's time), GAP (gap over the limit, or low coverage), OK.
-    Streams without any interval have empty ranges at 0.
+    frames: keys, frame, time, end, which don't overlap in a key; samples: keys, time, ordinal; intervals: keys, start,
+    end (disjoint in a key). alignment_status, first that holds: the continuity status, NO_IMU (the frame owns no
+    sample), CADENCE_UNKNOWN, DUPLICATE_TIMESTAMP (in the range, or the nearest one's time), GAP (low coverage, or a
+    spacing over the limit: between samples of the range, into its first and out of its last one, as far as the other
+    sample lies in the interval), OK. Streams without any interval have empty ranges at 0.
     """
-    whole = frame_sensor_index(frames.select(*keys, "frame", "time", "end"), samples, keys, bucket).select(*keys, "frame", "time", "end", "start_ordinal", "stop_ordinal", "n_samples")
-    owned = continuity_owner(whole, intervals, keys, bucket)
+    own = continuity_owner(frames.select(*keys, "frame", "time", "end"), intervals, keys, bucket)
+    x = among(own, samples, keys, ["time", "end", "frame", "owner_start", "owner_end", "continuity"], bucket)
+    t, prev, following = F.col("sample.t"), F.col("prev.t"), F.col("next.t")
+    cell = F.explode(F.sequence(F.floor(F.col("start") / bucket), F.floor((F.col("end") - 1) / bucket)))
+    span = intervals.select(*keys, "start", "end").withColumn("__cell", cell).select(*keys, "__cell", F.col("start").alias("owner_start"), F.col("end").alias("__e"))
+    steps = x.where("sample is not null and prev is not null").select(*keys, t.alias("t"), prev.alias("p")).withColumn("__cell", F.floor(F.col("t") / bucket))
+    steps = steps.join(span, [*keys, "__cell"]).where("p >= owner_start and t < __e")
     owner = [*keys, "owner_start"]
-    span = intervals.select(*keys, F.col("start").alias("owner_start"), F.col("end").alias("owner_end"))
-    cell = F.explode(F.sequence(F.floor(F.col("owner_start") / bucket), F.floor((F.col("owner_end") - 1) / bucket)))
-    inside = samples.withColumn("__cell", F.floor(F.col("time") / bucket)).join(span.withColumn("__cell", cell), [*keys, "__cell"]).where("time >= owner_start and time < owner_end").select(*owner, "time", "ordinal")
-    period = median_period(inside, owner, "time", bucket)
-    near = nearest(locate(owned.where("continuity = 'OWNED'").select(*owner, "frame", F.col("time").alias("at")), inside, owner, bucket=bucket)).select(*owner, "frame", "nearest_ordinal", "nearest_delta")
-    # differences that reach into a frame's range from the sample before, and duplicates anywhere in the stream
-    steps = neighbours(inside, owner, ["time", "ordinal"], ["time"], bucket).withColumn("d", F.col("time") - F.col("prev_row.time")).select(*owner, "time", "ordinal", "d")
-    twice = samples.groupBy(*keys, "time").agg(F.count("*").alias("same")).where("same > 1")
-    ranges = owned.where("continuity = 'OWNED' and n_samples > 0").select(*owner, "frame", "start_ordinal", F.explode(F.sequence("start_ordinal", F.col("stop_ordinal") - 1)).alias("ordinal"))
-    within = ranges.join(steps, [*owner, "ordinal"]).groupBy(*owner, "frame").agg(F.max(F.when(F.col("ordinal") > F.col("start_ordinal"), F.col("d"))).alias("most"), F.bool_or((F.col("ordinal") > F.col("start_ordinal")) & (F.col("d") == 0)).alias("repeated"))
-    nearest_time = F.col("time") + F.col("nearest_delta")
-    x = owned.join(period, owner, "left").join(near, [*owner, "frame"], "left").join(within, [*owner, "frame"], "left").withColumn("__near", nearest_time)
-    x = x.join(twice.select(*keys, F.col("time").alias("__near"), F.lit(True).alias("near_repeated")), [*keys, "__near"], "left")
+    period = medians(steps.select(*owner, (F.col("t") - F.col("p")).alias("d")), owner, "d", "period")
+    # a frame's own row tells what is around its beginning, rows of samples up to its end what it owns
+    begins, owns = F.col("sample").isNull(), F.col("sample").isNotNull() & (F.col("at") < F.col("mark.end"))
+    at_start = lambda c: F.max(F.when(begins, c))
+    f = x.where(F.col("mark").isNotNull() & (begins | owns)).groupBy(*keys, "mark").agg(
+        at_start(F.col("n_before")).alias("start_ordinal"), at_start(F.col("prev")).alias("prev"), at_start(F.col("next")).alias("next"), F.coalesce(F.sum("sample.n"), F.lit(0)).alias("n_samples"),
+        F.coalesce(F.max("sample.n") > 1, F.lit(False)).alias("repeated"), F.max(F.when(prev >= F.col("mark.time"), t - prev)).alias("inner"),
+        F.min(F.when(owns, F.struct("at", prev.alias("p")))).alias("first"), F.max(F.when(owns, F.struct("at", following.alias("n")))).alias("last"),
+    ).select(*keys, "mark.*", "start_ordinal", "prev", "next", "n_samples", "repeated", "inner", "first", "last")
+    owned = F.col("continuity") == "OWNED"
+    # the nearest sample and spacings count as far as both samples lie in the interval
+    back = F.when(owned & (F.col("prev.t") >= F.col("owner_start")), F.col("time") - F.col("prev.t"))
+    forth = F.when(owned & (F.col("next.t") < F.col("owner_end")), F.col("next.t") - F.col("time"))
+    earlier = back.isNotNull() & (forth.isNull() | (back <= forth))
+    pick = lambda a, b: F.when(earlier, a).when(forth.isNotNull(), b)
+    into = F.when(F.col("first.p") >= F.col("owner_start"), F.col("first.at") - F.col("first.p"))
+    out_of = F.when(F.col("last.n") < F.col("owner_end"), F.col("last.n") - F.col("last.at"))
+    f = f.withColumn("nearest_ordinal", pick(F.col("prev.o"), F.col("next.o"))).withColumn("nearest_delta", pick(-back, forth)).withColumn("near_repeated", F.coalesce(pick(F.col("prev.n"), F.col("next.n")) > 1, F.lit(False)))
+    f = f.withColumn("widest", F.greatest("inner", into, out_of)).join(period, owner, "left")
     expected = F.greatest(F.lit(1.0), F.floor((F.col("end") - F.col("time")) / F.col("period") + 1e-9))
-    x = x.withColumn("coverage", F.when(F.col("period").isNull() | (F.col("continuity") != "OWNED"), 0.0).otherwise(F.least(F.lit(1.0), F.col("n_samples") / expected)))
-    limit = F.lit(max_gap_ns).cast("long") if max_gap_ns is not None else F.col("gap_limit")
+    f = f.withColumn("coverage", F.when(F.col("period").isNull() | ~owned, 0.0).otherwise(F.least(F.lit(1.0), F.col("n_samples") / expected)))
+    limit = F.lit(max_gap_ns).cast("long") if max_gap_ns is not None else F.greatest(F.lit(1), F.rint(F.col("period") * 2.5).cast("long"))
     status = (
-        F.when(F.col("continuity") != "OWNED", F.col("continuity"))
-        .when(F.col("nearest_ordinal").isNull(), "NO_IMU")
+        F.when(~owned, F.col("continuity"))
+        .when(F.col("n_samples") == 0, "NO_IMU")
         .when(F.col("period").isNull(), "CADENCE_UNKNOWN")
-        .when(F.coalesce("repeated", F.lit(False)) | F.coalesce("near_repeated", F.lit(False)), "DUPLICATE_TIMESTAMP")
-        .when((F.coalesce("most", F.lit(0)) > limit) | (F.abs("nearest_delta") > limit) | (F.col("coverage") < min_coverage), "GAP")
+        .when(F.col("repeated") | F.col("near_repeated"), "DUPLICATE_TIMESTAMP")
+        .when(F.coalesce(F.col("widest") > limit, F.lit(False)) | (F.col("coverage") < min_coverage), "GAP")
         .otherwise("OK")
     )
     none = intervals.select(*keys).distinct().withColumn("__some", F.lit(True))
-    x = x.join(none, keys, "left")
+    f = f.withColumn("stop_ordinal", F.col("start_ordinal") + F.col("n_samples")).join(none, keys, "left")
     zero = lambda c: F.when(F.col("__some"), F.col(c)).otherwise(0).cast("long").alias(c)
-    return x.select(*keys, "frame", "time", "end", zero("start_ordinal"), zero("stop_ordinal"), zero("n_samples"), "nearest_ordinal", "nearest_delta", "coverage", status.alias("alignment_status"))
+    return f.select(*keys, "frame", "time", "end", zero("start_ordinal"), zero("stop_ordinal"), zero("n_samples"), "nearest_ordinal", "nearest_delta", "coverage", status.alias("alignment_status"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..schemas import BITS
+from ..schemas import BITS, INFERENCE_STATUSES
+from .timeseries import neighbours
 
 
 def classify(frames: DataFrame, keys: list[str], pts: str = "pts", decoded: str = "decode_ordinal", gap: int = 1_000_000_000) -> DataFrame:
@@ -29,18 +30,21 @@ def classify(frames: DataFrame, keys: list[str], pts: str = "pts", decoded: str
     return x.withColumn("quality_bits", bits.cast("long")).withColumn("pts_status", status).drop("__twice", "__back")
 
 
-def rates(frames: DataFrame, keys: list[str], time: str, order: list[str], epoch: str | None = None, end: Column | None = None) -> DataFrame:
-    """frames with effective_fps (from the next frame of the epoch, else the end, else the one before) and gap_before_ms."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    here = (lambda c: F.when(c.over(w) == F.col(epoch), F.lit(1))) if epoch else None
-    forth = F.lead(time).over(w) - F.col(time)
-    back = F.col(time) - F.lag(time).over(w)
-    if here:
-        forth, back = F.when(here(F.lead(epoch)).isNotNull(), forth), F.when(here(F.lag(epoch)).isNotNull(), back)
-    tail = F.when(F.lead(time).over(w).isNull(), end - F.col(time)) if end is not None else F.lit(None).cast("long")
-    positive = lambda c: F.when(c > 0, c)
-    fps = 1e9 / F.coalesce(positive(forth), positive(tail), positive(back))
-    return frames.withColumn("effective_fps", fps).withColumn("gap_before_ms", back / 1e6)
+def rates(frames: DataFrame, keys: list[str], time: str, order: list[str], epoch: str | None = None, end: Column | None = None, bucket: int | None = None) -> DataFrame:
+    """frames with effective_fps and gap_before_ms.
+
+    The rate comes from the first difference there is: to the next frame if that is of the same epoch; for the last
+    frame of a stream, to `end` if one is given; from the frame before if that is of the same epoch. It is null if that
+    difference isn't positive. The gap is that to the frame before, whatever its epoch."""
+    x = neighbours(frames, keys, order, [time, *([epoch] if epoch else [])], bucket)
+    near = lambda row: row.isNotNull() & (row[epoch].eqNullSafe(F.col(epoch)) if epoch else F.lit(True))
+    prev, following = F.col("prev_row"), F.col("next_row")
+    step = F.when(near(following), following[time] - F.col(time))
+    if end is not None:
+        step = step.when(following.isNull(), end - F.col(time))
+    step = step.when(near(prev), F.col(time) - prev[time])
+    x = x.withColumn("__step", step)
+    return x.withColumn("effective_fps", F.when(F.col("__step") > 0, 1e9 / F.col("__step"))).withColumn("gap_before_ms", (F.col(time) - prev[time]) / 1e6).drop("prev_row", "next_row", "__step")
 
 
 def detection_rank(detections: DataFrame, frame: list[str], score: str, digest: str) -> DataFrame:
@@ -51,16 +55,26 @@ def detection_rank(detections: DataFrame, frame: list[str], score: str, digest:
 
 
 def primary_selection(frames: DataFrame, detections: DataFrame, frame: list[str], detection: str, status: str | None = None) -> DataFrame:
-    """frame, selection_status, selection_reason, selected of every frame: SELECTED if it has one detection, else ABSTAINED."""
+    """frame, selection_status, selection_reason, selected of every frame: SELECTED if it has one detection, else
+    ABSTAINED. Where inference gave neither SUCCESS nor NO_DETECTION, its status is the reason."""
     n = detections.groupBy(*frame).agg(F.count("*").alias("n"), F.min(detection).alias("one"))
     x = frames.join(n, frame, "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    failed = (F.col(status) != "SUCCESS") if status else F.lit(False)
-    reason = F.when(failed, F.concat(F.lit("INFERENCE_STATUS_"), F.col(status)) if status else F.lit(None)).when(F.col("n") == 0, "NO_DETECTIONS").when(F.col("n") > 1, "MULTIPLE_DETECTIONS").otherwise("ONE_DETECTION")
+    failed = ~F.col(status).isin("SUCCESS", "NO_DETECTION") if status else F.lit(False)
+    reason = F.when(failed, F.concat(F.lit("INFERENCE_STATUS_"), F.col(status)) if status else F.lit(None)).when(F.col("n") == 0, "NO_DETECTIONS").when(F.col("n") > 1, "MULTIPLE_DETECTIONS").otherwise("SINGLE_DETECTION")
     x = x.withColumn("selection_reason", reason)
-    one = F.col("selection_reason") == "ONE_DETECTION"
+    one = F.col("selection_reason") == "SINGLE_DETECTION"
     return x.select(*frame, F.when(one, "SELECTED").otherwise("ABSTAINED").alias("selection_status"), "selection_reason", F.when(one, F.col("one")).alias("selected"))
 
 
+def selection_violations(results: DataFrame, detections: DataFrame, frame: list[str], status: str = "inference_status") -> DataFrame:
+    """rule, key: inference statuses that no selection may rest on. SUCCESS needs a detection, other statuses forbid them."""
+    n = detections.groupBy(*frame).agg(F.count("*").alias("n"))
+    x = results.join(n, frame, "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    known = F.coalesce(F.col(status).isin(*INFERENCE_STATUSES), F.lit(False))
+    rule = F.when(~known, "STATUS_UNKNOWN").when((F.col(status) == "SUCCESS") & (F.col("n") == 0), "SUCCESS_WITHOUT_DETECTION").when((F.col(status) != "SUCCESS") & (F.col("n") > 0), "DETECTIONS_OF_A_FAILURE")
+    return x.withColumn("rule", rule).where("rule is not null").select("rule", F.concat_ws("/", *frame).alias("key"))
+
+
 def display_transform(width: Column, height: Column, degrees: Column) -> Column:
     """Row-major 3x3 matrix from coded to displayed pixels for a counter-clockwise right angle; null for other angles."""
     w, h = (width - 1).cast("double"), (height - 1).cast("double")

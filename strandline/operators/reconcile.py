@@ -45,22 +45,34 @@ def differing(a: DataFrame, b: DataFrame) -> DataFrame:
 def ratio_summary(rows: DataFrame, num: str, den: str, label: list[str]) -> DataFrame:
     """pick (min, median_low, median_high, max), label, num, den, ratio (six decimals, exact) over rows with den > 0.
 
-    Ratios are ordered exactly (as 128-bit scaled quotient and rest), ties by label. Picks come from distributed
-    ranks: counts of coarse ratio bins tell where the middle lies, and only that bin is ordered."""
+    Ratios are ordered exactly (as a 128-bit scaled quotient), ties by label. Counts by the logarithm of the ratio
+    tell which cell a pick lies in, counts by ratio in that cell which ratio, and only rows of that ratio are ordered."""
     scaled = (F.col(num).cast("decimal(19,0)") * F.lit(10**18).cast("decimal(19,0)")).cast("decimal(38,0)")
     den_ = F.col(den).cast("decimal(38,0)")
-    x = rows.where(F.col(den) > 0).withColumn("__q", ((scaled - scaled % den_) / den_).cast("decimal(38,0)")).withColumn("__bin", F.floor(F.col(num) / F.col(den) * 1024).cast("long"))
-    bins = x.groupBy("__bin").agg(F.count("*").alias("__c"))
-    order = Window.orderBy("__bin")  # one row a bin
-    bins = bins.withColumn("__before", F.sum("__c").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("__c")).withColumn("__all", F.sum("__c").over(Window.partitionBy()))
-    picks = F.filter(
-        F.array(*(F.struct(F.lit(n).alias("pick"), at.alias("at")) for n, at in (("min", F.lit(0).cast("long")), ("median_low", F.floor((F.col("__all") - 1) / 2)), ("median_high", F.floor(F.col("__all") / 2)), ("max", F.col("__all") - 1)))),
-        lambda p: (p["at"] >= F.col("__before")) & (p["at"] < F.col("__before") + F.col("__c")),
-    )
-    wanted = bins.withColumn("__p", F.explode(picks)).select("__bin", "__before", "__p.pick", "__p.at")
-    ranked = x.join(wanted.select("__bin").distinct(), "__bin", "left_semi").withColumn("__r", F.row_number().over(Window.partitionBy("__bin").orderBy("__q", *label)) - 1)
-    out = ranked.join(wanted, "__bin").where(F.col("__r") + F.col("__before") == F.col("at"))
-    return out.select("pick", *label, num, den, decimal_6(F.col(num), F.col(den)).alias("ratio"))
+    ratio = F.col(num) / F.col(den)
+    # a cell is an order of size, so there are some thousands at most
+    size = F.floor(F.log2(F.abs(ratio)) * 64).cast("long") + 8192
+    x = rows.where(F.col(den) > 0).withColumn("__q", ((scaled - scaled % den_) / den_).cast("decimal(38,0)")).withColumn("__cell", F.when(ratio == 0, F.lit(0)).when(ratio > 0, size).otherwise(-size).cast("long"))
+    exact = x.groupBy("__cell", "__q").agg(F.count("*").alias("__c"))
+    wanted = _holding(_holding(_picked(exact.groupBy("__cell").agg(F.sum("__c").alias("__c"))), [], "__cell").select("__cell", "__at").join(exact, "__cell"), ["__cell"], "__q").select("__cell", "__q", "__at")
+    ties = x.join(wanted, ["__cell", "__q"]).withColumn("__r", F.row_number().over(Window.partitionBy("__cell", "__q").orderBy(*label)) - 1)
+    out = ties.withColumn("__p", F.explode(F.filter("__at", lambda p: p["at"] == F.col("__r"))))
+    return out.select(F.col("__p.pick").alias("pick"), *label, num, den, decimal_6(F.col(num), F.col(den)).alias("ratio"))
+
+
+def _picked(cells: DataFrame) -> DataFrame:
+    """Counts (__c) of a bounded number of cells, with the places of the picks among all rows."""
+    n = F.sum("__c").over(Window.partitionBy())
+    at = {"min": F.lit(0).cast("long"), "median_low": F.floor((n - 1) / 2), "median_high": F.floor(n / 2), "max": n - 1}
+    return cells.withColumn("__at", F.array(*(F.struct(F.lit(k).alias("pick"), v.alias("at")) for k, v in at.items())))
+
+
+def _holding(counts: DataFrame, by: list[str], cell: str) -> DataFrame:
+    """Cells that hold places in __at, which become places within the cell."""
+    upto = F.sum("__c").over(Window.partitionBy(*by).orderBy(cell).rowsBetween(Window.unboundedPreceding, 0))
+    x = counts.withColumn("__before", upto - F.col("__c"))
+    x = x.withColumn("__at", F.filter("__at", lambda p: (p["at"] >= F.col("__before")) & (p["at"] < F.col("__before") + F.col("__c"))))
+    return x.where(F.size("__at") > 0).withColumn("__at", F.transform("__at", lambda p: F.struct(p["pick"].alias("pick"), (p["at"] - F.col("__before")).alias("at"))))
 
 
 def status_counts(rows: DataFrame, **conditions: Column) -> DataFrame:
@@ -91,14 +103,14 @@ def replay_comparison(a: DataFrame, b: DataFrame, key: list[str], digest: str) -
 
 
 def sensor_groups(rows: DataFrame, group: list[str], order: str, label: str, layout: list[str]) -> DataFrame:
-    """group, labels (in order), status, first that holds: INCOMPLETE (fewer than the layout), MALFORMED (a null label
-    or too many), UNKNOWN_SENSOR, DUPLICATE_SENSOR, MALFORMED (another order), COMPLETE."""
-    x = rows.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.coalesce(F.col(label).cast("string"), F.lit("\0")).alias("l")))).alias("__g"))
+    """group, labels (in order), status, first that holds: INCOMPLETE (not as many as the layout), MALFORMED (a null or
+    empty label), UNKNOWN_SENSOR, DUPLICATE_SENSOR, MALFORMED (another order), COMPLETE."""
+    x = rows.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.coalesce(F.col(label).cast("string"), F.lit("")).alias("l")))).alias("__g"))
     x = x.select(*group, F.transform("__g", lambda e: e["l"]).alias("labels"))
     known = F.array(*map(F.lit, layout))
     status = (
-        F.when(F.size("labels") < len(layout), "INCOMPLETE")
-        .when(F.array_contains("labels", "\0") | (F.size("labels") > len(layout)), "MALFORMED")
+        F.when(F.size("labels") != len(layout), "INCOMPLETE")
+        .when(F.array_contains("labels", ""), "MALFORMED")
         .when(F.size(F.array_except("labels", known)) > 0, "UNKNOWN_SENSOR")
         .when(F.size(F.array_distinct("labels")) < F.size("labels"), "DUPLICATE_SENSOR")
         .when(F.col("labels") != known, "MALFORMED")

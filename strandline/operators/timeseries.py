@@ -25,18 +25,22 @@ def _before(keys: list[str]) -> Window:
 def neighbours(df: DataFrame, keys: list[str], order: list[str], columns: list[str], bucket: int | None) -> DataFrame:
     """df with structs prev_row and next_row of the columns of the rows next to it in a key's order (null at its ends).
 
-    With a bucket, order[0] is a time; without, a key's rows are one task's work."""
-    row = F.struct(*columns)
+    With a bucket, order[0] is a number, such as a time; without, a key's rows are one task's work."""
     if bucket is None:
-        w = Window.partitionBy(*keys).orderBy(*order)
+        row, w = F.struct(*columns), Window.partitionBy(*keys).orderBy(*order)
         return df.withColumn("prev_row", F.lag(row).over(w)).withColumn("next_row", F.lead(row).over(w))
-    x = _in_bucket(df, order, bucket)
+    return bucketed_neighbours(df, keys, order, columns, bucket).drop("__b")
+
+
+def bucketed_neighbours(df: DataFrame, keys: list[str], order: list[str], columns: list[str], bucket: int) -> DataFrame:
+    """As neighbours; keeps the bucket as __b, by which (with the keys) the rows lie."""
+    row, x = F.struct(*columns), _in_bucket(df, order, bucket)
     w = Window.partitionBy(*keys, "__b").orderBy(*order)
     place, over = F.struct(*order), Window.partitionBy(*keys).orderBy("__b")
     ends = x.groupBy(*keys, "__b").agg(F.min_by(row, place).alias("__first"), F.max_by(row, place).alias("__last"))
     ends = ends.select(*keys, "__b", F.lag("__last").over(over).alias("__earlier"), F.lead("__first").over(over).alias("__later"))
     x = x.withColumn("__p", F.lag(row).over(w)).withColumn("__n", F.lead(row).over(w)).join(ends, [*keys, "__b"])
-    return x.select(*df.columns, F.coalesce("__p", "__earlier").alias("prev_row"), F.coalesce("__n", "__later").alias("next_row"))
+    return x.select(*df.columns, "__b", F.coalesce("__p", "__earlier").alias("prev_row"), F.coalesce("__n", "__later").alias("next_row"))
 
 
 def running(df: DataFrame, keys: list[str], order: list[str], value: Column, name: str, bucket: int | None) -> DataFrame:
@@ -64,38 +68,32 @@ def owned_intervals(df: DataFrame, keys: list[str], time: str, order: list[str],
     return x.withColumn(name, F.coalesce(following, end) if end is not None else following).drop("prev_row", "next_row")
 
 
-def medians(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
-    """keys, exact median of the positive values (null without any), however many a key has.
+def medians(df: DataFrame, keys: list[str], value: str, name: str, every: bool = False) -> DataFrame:
+    """keys, exact median of the positive values of a key, however many it has; with `every`, also keys without any (null).
 
-    Counts by a logarithmic bin tell which bin holds the middle; counts by one of 4096 equal parts of that bin tell
-    which part; only that part's distinct values are put in order."""
-    # one shuffle of df, which all that follows shares: other values stay as a null that counts for nothing
-    v = df.groupBy(*keys, F.when(F.col(value) > 0, F.col(value)).alias("__v")).agg(F.count("*").alias("__n"))
-    v = v.withColumn("__c", F.when(F.col("__v").isNotNull(), F.col("__n")).otherwise(0)).withColumn("__bin", F.coalesce(F.floor(F.log2("__v") * 16), F.lit(-(1 << 20)))).drop("__n")
+    Equal values are counted first. Counts by the logarithm of the value, in steps of a 4096th of an octave, tell which
+    cells hold the middle, and only the distinct values of those are put in order."""
+    v = df.where(F.col(value) > 0).groupBy(*keys, F.col(value).alias("__v")).agg(F.count("*").alias("__c")).withColumn("__bin", F.floor(F.log2("__v") * 4096))
 
     def holding(counts: DataFrame, by: list[str], cell: str) -> DataFrame:
-        """Cells that hold the places in `at`, with the count before them."""
+        """Cells that hold the places in `at`, which become places in the cell."""
         upto = F.sum("__c").over(Window.partitionBy(*by).orderBy(cell).rowsBetween(Window.unboundedPreceding, 0))
         x = counts.withColumn("__before", upto - F.col("__c"))
         x = x.withColumn("__at", F.filter("__at", lambda a: (a >= F.col("__before")) & (a < F.col("__before") + F.col("__c"))))
         return x.where(F.size("__at") > 0).withColumn("__at", F.transform("__at", lambda a: a - F.col("__before")))
 
-    bins = v.groupBy(*keys, "__bin").agg(F.sum("__c").alias("__c"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
-    seen = bins.select(*keys).distinct()
     n = F.sum("__c").over(Window.partitionBy(*keys))
-    bins = holding(bins.withColumn("__at", F.array(F.floor((n - 1) / 2), F.floor(n / 2))), keys, "__bin").select(*keys, "__bin", "__lo", "__hi", "__at")
-    x = v.join(bins, [*keys, "__bin"]).withColumn("__part", F.floor((F.col("__v") - F.col("__lo")) / F.greatest(F.lit(1), F.col("__hi") - F.col("__lo") + 1) * 4096))
-    by = [*keys, "__bin"]
-    parts = holding(x.groupBy(*by, "__part").agg(F.sum("__c").alias("__c"), F.first("__at").alias("__at")), by, "__part").select(*by, "__part", "__at")
-    y = holding(x.drop("__at").join(parts, [*by, "__part"]), [*by, "__part"], "__v")
-    found = y.groupBy(*keys).agg((F.sum(F.col("__v").cast("double") * F.size("__at")) / 2).alias(name))
-    return seen.join(found, keys, "left")
+    bins = v.groupBy(*keys, "__bin").agg(F.sum("__c").alias("__c")).withColumn("__at", F.array(F.floor((n - 1) / 2), F.floor(n / 2)))
+    bins = holding(bins, keys, "__bin").select(*keys, "__bin", "__at")
+    middle = holding(v.join(bins, [*keys, "__bin"]), [*keys, "__bin"], "__v")
+    found = middle.groupBy(*keys).agg((F.sum(F.col("__v").cast("double") * F.size("__at")) / 2).alias(name))
+    return df.select(*keys).distinct().join(found, keys, "left") if every else found
 
 
 def median_period(df: DataFrame, keys: list[str], time: str, bucket: int | None = None) -> DataFrame:
     """keys, period (exact median of positive differences, null if there is none), gap_limit (2.5 periods, ties to even, at least 1)."""
     x = neighbours(df.select(*keys, time), keys, [time], [time], bucket)
-    out = medians(x.withColumn("__d", F.col(time) - F.col("prev_row")[time]), keys, "__d", "period")
+    out = medians(x.withColumn("__d", F.col(time) - F.col("prev_row")[time]), keys, "__d", "period", every=True)
     return out.withColumn("gap_limit", F.when(F.col("period").isNotNull(), F.greatest(F.lit(1), F.rint(F.col("period") * 2.5).cast("long"))))
 
 
@@ -127,6 +125,32 @@ def nearest(located: DataFrame, at: str = "at") -> DataFrame:
     return located.withColumn("nearest_ordinal", F.when(back.isNotNull() & earlier, F.col("prev_ordinal")).otherwise(F.col("next_ordinal"))).withColumn("nearest_delta", F.when(back.isNotNull() & earlier, -back).otherwise(forth))
 
 
+def among(marks: DataFrame, samples: DataFrame, keys: list[str], mark: list[str], bucket: int = DAY) -> DataFrame:
+    """Marks and distinct sample times of a stream in one order, each with what is next to it.
+
+    marks: keys, time and the columns of `mark`; samples: keys, time, ordinal. Rows: keys, at, sample (null for marks,
+    else a struct of t, o, n: time, lowest ordinal, samples of that time), mark (the last one at or before the row),
+    n_before (samples earlier than at), prev and next (samples strictly before and after in that order). Marks come
+    before samples of their time. Rows are ordered within (stream, bucket); a table of one row a bucket tells what
+    lies beyond its borders."""
+    s = samples.groupBy(*keys, F.col("time").alias("at")).agg(F.struct(F.first("time").alias("t"), F.min("ordinal").alias("o"), F.count("*").alias("n")).alias("sample"))
+    s = s.withColumn("sample", F.struct(F.col("at").alias("t"), F.col("sample.o").alias("o"), F.col("sample.n").alias("n")))
+    both = marks.select(*keys, F.col("time").alias("at"), F.struct(*mark).alias("mark"), F.lit(None).cast(s.schema["sample"].dataType).alias("sample"))
+    both = both.unionByName(s.select(*keys, "at", F.lit(None).cast(both.schema["mark"].dataType).alias("mark"), "sample")).withColumn("__b", F.floor(F.col("at") / bucket))
+    here = Window.partitionBy(*keys, "__b").orderBy("at", F.col("sample").isNotNull(), "mark")
+    earlier, later = here.rowsBetween(Window.unboundedPreceding, -1), here.rowsBetween(1, Window.unboundedFollowing)
+    n = F.coalesce(F.col("sample.n"), F.lit(0))
+    x = both.select(
+        *keys, "at", "__b", "sample", F.last("mark", True).over(here.rowsBetween(Window.unboundedPreceding, 0)).alias("__mark"), (F.sum(n).over(here.rowsBetween(Window.unboundedPreceding, 0)) - n).alias("__n"),
+        F.last("sample", True).over(earlier).alias("__prev"), F.first("sample", True).over(later).alias("__next"),
+    )
+    ends = both.groupBy(*keys, "__b").agg(F.sum(n).alias("n"), F.max("sample").alias("last"), F.min("sample").alias("first"), F.max_by("mark", F.when(F.col("mark").isNotNull(), F.struct("at", "mark"))).alias("mark"))
+    order = Window.partitionBy(*keys).orderBy("__b")
+    before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
+    ends = ends.select(*keys, "__b", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__base"), F.last("mark", True).over(before).alias("__open"), F.last("last", True).over(before).alias("__earlier"), F.first("first", True).over(after).alias("__later"))
+    return x.join(ends, [*keys, "__b"]).select(*keys, "at", "sample", F.coalesce("__mark", "__open").alias("mark"), (F.col("__n") + F.col("__base")).cast("long").alias("n_before"), F.coalesce("__prev", "__earlier").alias("prev"), F.coalesce("__next", "__later").alias("next"))
+
+
 def islands(df: DataFrame, keys: list[str], time: str, order: list[str], gap: Column, bucket: int | None = None) -> DataFrame:
     """df with island, which counts up where a row is more than `gap` after the one before."""
     x = neighbours(df, keys, order, [time], bucket).withColumn("__new", F.coalesce((F.col(time) - F.col("prev_row")[time] > gap).cast("int"), F.lit(0)))
@@ -134,20 +158,21 @@ def islands(df: DataFrame, keys: list[str], time: str, order: list[str], gap: Co
 
 
 def clock_runs(clock: DataFrame, keys: list[str], usable: Column) -> DataFrame:
-    """Continuity runs of a clock map's epochs (native_start_ns, native_end_ns, canonical_start_ns, canonical_end_ns).
+    """keys, run, run_id, start, end: continuity runs of a clock map's epochs (canonical_start_ns, canonical_end_ns).
 
-    A run breaks at an unusable epoch, where the component changes, and where an epoch does not begin where the one
-    before ended, in source ordinals, native or canonical time.
+    A run breaks at an unusable epoch, where the component changes, and where an epoch does not begin in canonical time
+    where the one before ended; source ordinals and native times may jump. Runs without length are left out.
     """
     w = Window.partitionBy(*keys).orderBy("acquisition_ordinal")
     lag = lambda c: F.lag(c).over(w)
-    same = (lag("__usable") & F.col("__usable") & (lag("continuity_component_id") == F.col("continuity_component_id")) & (lag("source_stop_ordinal") == F.col("source_start_ordinal")) & (lag("native_end_ns") == F.col("native_start_ns")) & (lag("canonical_end_ns") == F.col("canonical_start_ns")))
-    x = clock.withColumn("__usable", usable).withColumn("__new", F.when(F.coalesce(same, F.lit(False)), 0).otherwise(1))
+    same = lag("__usable") & F.col("__usable") & (lag("continuity_component_id") == F.col("continuity_component_id")) & (lag("canonical_end_ns") == F.col("canonical_start_ns"))
+    x = clock.withColumn("__usable", F.coalesce(usable, F.lit(False)))
+    x = x.withColumn("__new", F.when(F.coalesce(same, F.lit(False)), 0).otherwise(1))
     x = x.withColumn("run", F.sum("__new").over(w).cast("long")).where("__usable")
     return x.groupBy(*keys, "run").agg(
         F.concat_ws(":", F.min_by("continuity_component_id", "acquisition_ordinal"), F.min_by("clock_epoch_id", "acquisition_ordinal")).alias("run_id"),
         F.min("canonical_start_ns").alias("start"), F.max("canonical_end_ns").alias("end"),
-    )
+    ).where("start < end")
 
 
 def _cells(df: DataFrame, start: str, end: str, bucket: int) -> DataFrame:

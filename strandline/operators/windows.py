@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import BITS, FATAL_BITS
-from .timeseries import hop_windows, medians, neighbours, to_windows
+from .timeseries import bucketed_neighbours, hop_windows, medians
 
 
 @dataclass(frozen=True)
@@ -38,75 +38,75 @@ class Policy:
     imu_channels: int = 1
 
 
-def slices(rows: DataFrame, segments: DataFrame, keys: list[str], owned: bool, bucket: int | None = None) -> DataFrame:
-    """rows of each segment, with prev, next (neighbours inside) and pred, succ (outside, at the segment's edges)."""
-    here = neighbours(rows, keys, ["time", "ordinal"], ["time"], bucket).withColumnRenamed("prev_row", "__p").withColumnRenamed("next_row", "__n")
-    x = here.join(segments.select(*keys, "segment", F.col("start").alias("__s"), F.col("end").alias("__e")), keys)
-    x = x.where((F.col("time") >= F.col("__s")) & (F.col("time") < F.col("__e")) & (F.col("end") <= F.col("__e") if owned else F.lit(True)))
-    x = neighbours(x, [*keys, "segment"], ["time", "ordinal"], ["time"], bucket)
-    prev, following = F.col("prev_row.time"), F.col("next_row.time")
-    x = x.withColumn("prev", prev).withColumn("next", following).withColumn("pred", F.when(prev.isNull(), F.col("__p.time"))).withColumn("succ", F.when(following.isNull(), F.col("__n.time")))
-    return x.drop("prev_row", "next_row", "__p", "__n", "__s", "__e")
+def placed(rows: DataFrame, segments: DataFrame, keys: list[str], policy: Policy) -> DataFrame:
+    """rows (keys, kind, time, end, ordinal, ...) in the segments that hold them: with segment, seg_start, seg_end, and
+    prev and next (structs of time and end; of the whole stream) and whether those lie in the segment.
 
+    Rows with an end (frames) own [time, end) and are in a segment if that holds all of it. Segments meet rows by the
+    bucket of time in which rows were ordered, so a long stream stays the work of many tasks."""
+    stream = [*keys, "kind"]
+    x = bucketed_neighbours(rows, stream, ["time", "ordinal"], ["time", "end"], policy.window)
+    cell = F.explode(F.sequence(F.floor(F.col("start") / policy.window), F.floor((F.col("end") - 1) / policy.window)))
+    s = segments.where("start < end").select(*keys, F.explode(F.array(F.lit("v"), F.lit("i"))).alias("kind"), cell.alias("__b"), "segment", F.col("start").alias("seg_start"), F.col("end").alias("seg_end"))
+    within = lambda at, end: (F.col(at) >= F.col("seg_start")) & (F.col(at) < F.col("seg_end")) & (F.col(end).isNull() | (F.col(end) <= F.col("seg_end")))
+    x = x.join(s, [*stream, "__b"]).where(within("time", "end")).drop("__b")
+    near = lambda row: F.coalesce(within(f"{row}.time", f"{row}.end"), F.lit(False))
+    return x.withColumn("prev_in", near("prev_row")).withColumn("next_in", near("next_row")).withColumnRenamed("prev_row", "prev").withColumnRenamed("next_row", "next")
 
-def range_metrics(rows: DataFrame, segments: DataFrame, keys: list[str], policy: Policy, owned: bool) -> DataFrame:
-    """For each window that has a row: n, start_ordinal, stop_ordinal, coverage, duplicate, gap, regular, deviation, quality_bits, period.
 
-    rows: keys, time, ordinal, quality_bits, and end if owned (frames own [time, end); only those that end within the
-    window count). Samples are points. Where a window begins or ends, the neighbours tell whether a row that ought to
-    be there is missing: the one inside the segment if there is one, else the one outside it.
+def in_windows(rows: DataFrame, policy: Policy) -> DataFrame:
+    """placed rows with each window (k, ws, we) of their segment that holds them: all of what they own, if they do."""
+    off, reach = F.col("time") - F.col("seg_start"), F.coalesce("end", F.col("time") + 1) - F.col("seg_start")
+    first = F.greatest(F.lit(0).cast("long"), -F.floor((F.lit(policy.window) - reach) / policy.hop))
+    last = F.least(F.floor(off / policy.hop), F.floor((F.col("seg_end") - F.col("seg_start") - policy.window) / policy.hop))
+    x = rows.where(first <= last).withColumn("k", F.explode(F.sequence(first, last)))
+    return x.withColumn("ws", F.col("seg_start") + F.col("k") * policy.hop).withColumn("we", F.col("ws") + policy.window)
+
+
+def range_metrics(rows: DataFrame, segments: DataFrame, keys: list[str], policy: Policy, more: dict[str, Column] | None = None) -> DataFrame:
+    """A row for each window and kind that has rows: n, start_ordinal, stop_ordinal, coverage, duplicate, gap, regular,
+    deviation, quality_bits, and the aggregates of `more`.
+
+    rows: keys, kind (v: frames, which own [time, end); i: samples, whose end is null), time, end, ordinal,
+    quality_bits. The period of a segment is the median of what its frames own, or of its samples' steps. At a border
+    of a window, the neighbours tell whether a row that ought to be there is missing: the one inside the segment if
+    there is one, else the one outside it; a frame that straddles the end for longer than the gap limit excuses it.
     """
-    inside = slices(rows, segments, keys, owned, policy.window)
-    step = (F.col("end") - F.col("time")) if owned else (F.col("time") - F.col("prev"))
-    period = medians(inside.select(*keys, "segment", step.alias("step")), [*keys, "segment"], "step", "period")
-    most = policy.video_max_gap if owned else policy.imu_max_gap
-    limit = F.lit(most).cast("double") if most is not None else F.greatest(F.lit(1.0), F.rint(F.col("period") * 2.5))
-    period = period.withColumn("limit", limit).withColumn("tol", F.greatest(F.lit(1.0), F.col("period") * 1e-6))
-    placed = to_windows(inside, segments.select(*keys, "segment", "start", "end"), [*keys, "segment"], "time", policy.window, policy.hop)
-    grid = segments.select(*keys, "segment", F.col("start").alias("__from"))
-    x = placed.join(period, [*keys, "segment"]).join(grid, [*keys, "segment"]).withColumn("ws", F.col("__from") + F.col("k") * policy.hop)
-    x = x.withColumn("we", F.col("ws") + policy.window)
-    fits = (F.col("end") <= F.col("we")) if owned else F.lit(True)
-    inner = step if owned else F.when(F.col("prev") >= F.col("ws"), step)
-    place, by = F.struct("time", "ordinal"), [*keys, "segment", "k", "ws", "we", "period", "limit", "tol"]
-    kept = lambda c: F.when(fits, c)
-    edge = lambda f, c: f(F.struct(place.alias("at"), F.col(c).alias("v")) if not owned else F.when(fits, F.struct(place.alias("at"), F.col(c).alias("v"))))["v"]
-    a = x.groupBy(*by).agg(
-        F.count(kept(F.lit(1))).alias("n"), F.min(kept(F.col("ordinal"))).alias("start_ordinal"), (F.max(kept(F.col("ordinal"))) + 1).alias("stop_ordinal"),
-        F.min(kept(F.col("time"))).alias("lo"), F.max(kept(F.col("end") if owned else F.col("time"))).alias("last"),
-        edge(F.min, "prev").alias("prev"), edge(F.min, "pred").alias("pred"), edge(F.max, "next").alias("next"), edge(F.max, "succ").alias("succ"),
-        F.coalesce(F.bool_or(kept(F.coalesce(F.col("time") == F.col("prev"), F.lit(False)) & (F.col("prev") >= F.col("ws")))), F.lit(False)).alias("duplicate"),
-        F.max(kept(inner)).alias("most"), F.max(kept(F.abs(inner / F.col("period") - 1))).alias("off"),
-        F.coalesce(F.bit_or(kept(F.col("quality_bits"))), F.lit(0)).alias("quality_bits"),
-        F.coalesce(F.bool_or(~fits & (step > F.col("limit") + F.col("tol"))), F.lit(False)).alias("long_straddler"),
-    ).where("n > 0")
-    p, tol = F.col("period"), F.col("tol")
-    wide = lambda d: d > p + tol
-    if owned:
-        ref = F.coalesce("prev", "pred")
-        left = (F.col("lo") - F.col("ws") >= p - tol) & (ref.isNull() | wide(F.col("lo") - ref))
-        left_value = F.when(F.col("lo") - F.col("ws") >= p - tol, F.coalesce(F.col("lo") - ref, F.col("lo") - F.col("ws")))
-        right = (F.col("we") - F.col("last") >= p - tol) & ~F.col("long_straddler")
-        right_value = F.when(right, F.col("we") - F.col("last"))
-        left_step = right_step = F.lit(None).cast("long")
-    else:
-        left_in = F.col("prev").isNotNull() & (F.col("lo") - p >= F.col("ws") - tol)
-        left_out = F.col("prev").isNull() & (F.col("lo") - F.col("ws") >= p - tol)
-        right_in = F.col("next").isNotNull() & (F.col("last") + p < F.col("we") - tol)
-        right_out = F.col("next").isNull() & (F.col("we") - F.col("last") > p + tol)
-        left_step, right_step = F.when(left_in, F.col("lo") - F.col("prev")), F.when(right_in, F.col("next") - F.col("last"))
-        left_value = F.coalesce(left_step, F.when(left_out, F.coalesce(F.col("lo") - F.col("pred"), F.col("lo") - F.col("ws"))))
-        right_value = F.coalesce(right_step, F.when(right_out, F.coalesce(F.col("succ") - F.col("last"), F.col("we") - F.col("last"))))
-        left = (left_in & wide(left_step)) | (left_out & (F.col("pred").isNull() | wide(F.col("lo") - F.col("pred"))))
-        right = (right_in & wide(right_step)) | (right_out & (F.col("succ").isNull() | wide(F.col("succ") - F.col("last"))))
-    a = a.withColumn("edge_gap", F.coalesce(left, F.lit(False)) | F.coalesce(right, F.lit(False)))
-    off = F.greatest("off", F.abs(left_step / p - 1), F.abs(right_step / p - 1))
-    worst = F.coalesce(F.greatest("most", left_value, right_value), F.lit(0))
+    at, inside = [*keys, "segment", "kind"], placed(rows, segments, keys, policy)
+    frame = F.col("kind") == "v"
+    step = F.when(frame, F.col("end") - F.col("time")).when(F.col("prev_in"), F.col("time") - F.col("prev.time"))
+    period = medians(inside.select(*at, step.alias("step")), at, "step", "period")
+    x = in_windows(inside, policy)
+    since = F.when(F.col("prev_in") & (F.col("prev.time") >= F.col("ws")), F.col("time") - F.col("prev.time"))
+    span = F.when(frame, F.col("end") - F.col("time")).otherwise(since)
+    place = [F.col("time").alias("t"), F.col("ordinal").alias("o")]
+    a = x.groupBy(*at, "k", "ws", "we").agg(
+        F.count("*").alias("n"), F.min("ordinal").alias("start_ordinal"), (F.max("ordinal") + 1).alias("stop_ordinal"), F.min("time").alias("lo"), F.max(F.coalesce("end", "time")).alias("last"),
+        F.min(F.struct(*place, F.col("prev.time").alias("p"), F.col("prev_in").alias("inside"))).alias("a"), F.max(F.struct(*place, F.col("next.time").alias("n"), F.col("next.end").alias("e"), F.col("next_in").alias("inside"))).alias("z"),
+        F.coalesce(F.bool_or(since == 0), F.lit(False)).alias("duplicate"), F.max(span).alias("most"), F.max(F.when(span > 0, span)).alias("widest"), F.min(F.when(span > 0, span)).alias("least"),
+        F.coalesce(F.bit_or("quality_bits"), F.lit(0)).alias("quality_bits"), *(c.alias(n) for n, c in (more or {}).items()),
+    ).join(period, at, "left")
+    p, tol = F.col("period"), F.greatest(F.lit(1.0), F.col("period") * 1e-6)
+    given = F.when(frame, F.lit(policy.video_max_gap).cast("double")).otherwise(F.lit(policy.imu_max_gap).cast("double"))
+    limit = F.coalesce(given, F.greatest(F.lit(1.0), F.rint(p * 2.5)))
+    off = lambda d: F.abs(d - p) / p
+    early, late, before, after = F.col("lo") - F.col("ws"), F.col("we") - F.col("last"), F.col("lo") - F.col("a.p"), F.col("z.n") - F.col("last")
+    straddled = F.coalesce((F.col("z.n") < F.col("we")) & (F.col("z.e") > F.col("we")) & (F.col("z.e") - F.col("z.n") > limit + tol), F.lit(False))
+    # what each border adds: whether it was looked at, the difference to the neighbour, what stands for a missing one,
+    # and the deviation that goes with that
+    looked_l = F.when(frame | ~F.col("a.inside"), early >= p - tol).otherwise(F.col("lo") - p >= F.col("ws") - tol)
+    looked_r = F.when(frame, (late >= p - tol) & ~straddled).when(F.col("z.inside"), F.col("last") + p < F.col("we") - tol).otherwise(late > p + tol)
+    step_l, step_r = before, F.when(~frame, after)
+    over = lambda looked, d: looked & (d.isNull() | (d > p + tol))
+    edge = F.coalesce(over(looked_l, step_l), F.lit(False)) | F.coalesce(over(looked_r, step_r), F.lit(False))
+    off_l = F.when(looked_l, F.when(step_l > 0, off(step_l)).when(step_l.isNull(), early / p).when(~F.col("a.inside") | frame, off(step_l)))
+    off_r = F.when(looked_r, F.when(step_r > 0, off(step_r)).when(step_r.isNull(), F.when(frame, late / p).otherwise((late - p) / p)).when(~F.col("z.inside"), off(step_r)))
+    deviation = F.greatest(off(F.col("widest")), off(F.col("least")), off_l, off_r)
+    worst = F.greatest("most", F.when(looked_l, F.coalesce(step_l, early)), F.when(looked_r, F.coalesce(step_r, late)))
     return a.select(
-        *keys, "segment", "k", "ws", "we", "n", "start_ordinal", "stop_ordinal", "duplicate", "quality_bits", "period",
+        *at, "k", "n", "start_ordinal", "stop_ordinal", "duplicate", "quality_bits", *(more or {}),
         F.when(p.isNull(), 0.0).otherwise(F.least(F.lit(1.0), F.col("n") / (policy.window / p))).alias("coverage"),
-        (F.col("edge_gap") | F.coalesce(worst > F.col("limit"), F.lit(False))).alias("gap"), off.alias("deviation"),
-        (p.isNotNull() & off.isNotNull() & ~F.col("edge_gap") & (off <= policy.deviation)).alias("regular"),
+        (edge | F.coalesce(worst > limit, F.lit(False))).alias("gap"), deviation.alias("deviation"), F.coalesce(~edge & (deviation <= policy.deviation), F.lit(False)).alias("regular"),
     )
 
 
@@ -121,16 +121,31 @@ def signal_ranges(rows: DataFrame, by: list[str], channels: dict[str, Column], l
     return rows.groupBy(*by).agg(F.coalesce(sum((_varies(c, least) for c in channels.values()), F.lit(0)), F.lit(0)).alias("varying"))
 
 
-def angular_range(rows: DataFrame, by: list[str], vector: str, ordinal: str) -> DataFrame:
-    """by, angle: greatest 2 acos |u . v| over pairs of a group's unit vectors (of quaternions: the rotation between
-    them; q and -q are one); null if a group has fewer than two, 0 if one isn't finite. Groups are windows, so pairs
-    are bounded by a window's samples."""
-    norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double")))
-    x = rows.withColumn("__u", F.transform(vector, lambda v: v.cast("double") / norm)).select(*by, F.col(ordinal).alias("__o"), "__u")
-    one, two = x.select(*by, F.col("__o").alias("__i"), F.col("__u").alias("__a")), x.select(*by, F.col("__o").alias("__j"), F.col("__u").alias("__b"))
-    dot = F.aggregate(F.zip_with("__a", "__b", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-    pairs = one.join(two, by).where("__i < __j").withColumn("__d", F.least(F.lit(1.0), F.abs(dot)))
-    return pairs.groupBy(*by).agg(F.when(F.bool_or(F.isnan("__d")), 0.0).otherwise(2 * F.acos(F.min("__d"))).alias("angle"))
+def angular_range(rows: DataFrame, by: list[str], vector: str, ordinal: str, tolerance: float = 1e-3) -> DataFrame:
+    """by, angle: greatest rotation, 2 acos |u . v|, between a group's unit quaternions (q and -q are one); 0 if a group
+    has fewer than two or one that isn't finite. Others whose norm is off 1 by more than the tolerance are an error.
+
+    A group is one window's samples, which a sensor's rate bounds; for groups of any size there is widest_angles."""
+    x = rows.select(*by, F.col(ordinal).alias("__o"), F.transform(F.coalesce(F.col(vector), F.array()), lambda v: v.cast("double")).alias("__v"))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in x.select(*by).schema)
+
+    def widest(group: pa.Table) -> pa.Table:
+        angle, lists = 0.0, group["__v"].combine_chunks()
+        if group.num_rows > 1 and set(lists.value_lengths().to_pylist()) == {4}:
+            q = lists.flatten().to_numpy(zero_copy_only=False).reshape(-1, 4)
+            if np.isfinite(q).all():
+                norms = np.sqrt((q * q).sum(1, keepdims=True))
+                if (np.abs(norms - 1) > tolerance).any():
+                    raise ValueError("quaternions must have norm 1")
+                q, least = q / norms, 1.0
+                for k in range(0, len(q), 512):
+                    least = min(least, float(np.abs(q[k : k + 512] @ q[k:].T).min()))
+                    if least <= 0:
+                        break
+                angle = 2 * float(np.arccos(max(least, 0.0)))
+        return group.select(by).slice(0, 1).append_column("angle", pa.array([angle]))
+
+    return x.groupBy(*by).applyInArrow(widest, f"{kinds}, angle double")
 
 
 def widest_angles(rows: DataFrame, by: list[str], vector: str, ordinal: str, block: int = 4096) -> DataFrame:
@@ -188,79 +203,96 @@ def window_id(domain: str, texts: list[Column], numbers: list[Column]) -> Column
     return F.substring(F.sha2(F.concat(F.lit(domain).cast("binary"), F.unhex(F.lit("00")), *parts), 256), 1, 24)
 
 
+#: Channels of a sample, by what its payload kind is made of.
+_CHANNELS = {"ACCEL": ("ax", "ay", "az"), "GYRO": ("gx", "gy", "gz"), "QUATERNION": ("q",)}
+_METRICS = ("n", "start_ordinal", "stop_ordinal", "coverage", "duplicate", "gap", "regular", "deviation", "quality_bits")
+
+
 def candidates(frames: DataFrame, samples: DataFrame, segments: DataFrame, keys: list[str], policy: Policy, alignment: DataFrame | None = None, cv: DataFrame | None = None, imu: DataFrame | None = None) -> DataFrame:
     """Every candidate window with its metrics, gates, reasons (sorted, joined by |; empty if valid) and reason_bits.
 
-    segments: keys, segment, start, end, accepted. alignment: keys, ordinal, alignment_status. cv: keys, time,
-    tracking_quality, keypoint_fraction, motion (array). imu: keys, time, ax ... gz, q (array of 4) as far as the
-    policy has ranges for them.
+    frames: keys, time, end, ordinal, quality_bits; samples: keys, time, ordinal, quality_bits. segments: keys,
+    segment, start, end, accepted and, if they have some, quality_bits. alignment: keys, ordinal (of the frame),
+    alignment_status, nearest_ordinal; cv: keys, ordinal, tracking_quality, keypoint_fraction, motion (array); imu:
+    keys, ordinal, payload_kind, and of ax ... gz, q (array of 4) what that kind has. Of the policy's ranges just those
+    of channels that the kind has must be set; anything else is an error. Where a table isn't given, its gates pass.
+
+    reason_bits are those of the segment, of the window's frames and samples, of the samples nearest to its frames,
+    and what the reasons add. A fatal bit among them, also an added one, is a reason of its own.
     """
-    grid = hop_windows(segments, policy.window, policy.hop).select(*keys, "segment", "accepted", "k", "window_start", "window_end")
-    at = [*keys, "segment", "k"]
-    named = lambda m, p: m.select(*at, *(F.col(c).alias(f"{p}_{c}") for c in ("n", "start_ordinal", "stop_ordinal", "coverage", "duplicate", "gap", "regular", "deviation", "quality_bits")))
-    x = grid.join(named(range_metrics(frames, segments, keys, policy, True), "video"), at, "left").join(named(range_metrics(samples, segments, keys, policy, False), "imu"), at, "left")
-    spans = segments.select(*keys, "segment", "start", "end")
-    into = lambda rows: to_windows(rows.join(spans.select(*keys, "segment"), keys), spans, [*keys, "segment"], "time", policy.window, policy.hop)
+    at, false = [*keys, "segment", "k"], F.lit(False)
+    v, i, more = frames.select(*keys, "time", "end", "ordinal", "quality_bits"), samples.select(*keys, "time", "ordinal", "quality_bits"), {}
     if alignment is not None:
-        bad = into(frames.join(alignment.select(*keys, "ordinal", "alignment_status"), [*keys, "ordinal"]))
-        x = x.join(bad.groupBy(*at).agg(F.bool_or(F.col("alignment_status").isin("CONTINUITY_BOUNDARY", "OUTSIDE_CONTINUITY")).alias("misaligned")), at, "left")
-    else:
-        x = x.withColumn("misaligned", F.lit(False))
+        near = samples.select(*keys, F.col("ordinal").alias("nearest_ordinal"), F.col("quality_bits").alias("near_bits"))
+        states = alignment.select(*keys, "ordinal", "alignment_status", "nearest_ordinal").join(near, [*keys, "nearest_ordinal"], "left")
+        v = v.join(states.select(*keys, "ordinal", "alignment_status", "near_bits"), [*keys, "ordinal"], "left")
+        more |= {"near_bits": F.bit_or("near_bits"), "misaligned": F.bool_or(F.col("alignment_status").isin("CONTINUITY_BOUNDARY", "OUTSIDE_CONTINUITY"))}
     if cv is not None:
-        finite = lambda c: c.isNotNull() & ~F.isnan(c)
-        motion = F.lit(1) if policy.motion_range is None else (sum((_varies(F.get("motion", F.lit(i)).cast("double"), policy.motion_range) for i in range(3)), F.lit(0)) >= policy.motion_channels).cast("int")
-        gates = into(cv).groupBy(*at).agg(F.every(finite(F.col("tracking_quality")) & (F.col("tracking_quality") >= policy.tracking) & (F.col("keypoint_fraction") >= policy.keypoints)).alias("cv_tracking_valid"), (motion == 1).alias("cv_motion_range_gate_passed"))
-        x = x.join(gates, at, "left")
-    else:
-        x = x.withColumn("cv_tracking_valid", F.lit(True)).withColumn("cv_motion_range_gate_passed", F.lit(True))
+        motion = [F.get("motion", F.lit(c)).cast("double").alias(f"motion{c}") for c in range(3)]
+        v = v.join(cv.select(*keys, "ordinal", "tracking_quality", "keypoint_fraction", *motion), [*keys, "ordinal"], "left")
+        good = F.col("tracking_quality").isNotNull() & ~F.isnan("tracking_quality") & (F.col("tracking_quality") >= policy.tracking) & (F.col("keypoint_fraction") >= policy.keypoints)
+        more |= {"tracked": F.every(F.coalesce(good, false) | (F.col("kind") != "v")), "moving": sum((_varies(F.col(f"motion{c}"), policy.motion_range) for c in range(3)), F.lit(0)) if policy.motion_range is not None else F.lit(policy.motion_channels)}
+    ranges = {"ACCEL": policy.accel_range, "GYRO": policy.gyro_range, "QUATERNION": policy.quaternion_range}
     if imu is not None:
-        rows = into(imu)
-        groups = [(c, r) for c, r in ((["ax", "ay", "az"], policy.accel_range), (["gx", "gy", "gz"], policy.gyro_range)) if r is not None]
-        varying = sum((_varies(F.col(c), r) for cs, r in groups for c in cs), F.lit(0))
-        passed = rows.groupBy(*at).agg(F.coalesce(varying, F.lit(0)).alias("varying"))
-        if policy.quaternion_range is not None:
-            angle = angular_range(rows.where(F.col("q").isNotNull()), at, "q", "time")
-            passed = passed.join(angle, at, "left").withColumn("varying", F.col("varying") + F.when(F.coalesce("angle", F.lit(0.0)) >= policy.quaternion_range, 1).otherwise(0))
-        x = x.join(passed.select(*at, (F.col("varying") >= policy.imu_channels).alias("imu_signal_range_gate_passed")), at, "left")
-    else:
-        x = x.withColumn("imu_signal_range_gate_passed", F.lit(True))
-    fill = {f"{p}_{c}": v for p in ("video", "imu") for c, v in (("n", 0), ("start_ordinal", 0), ("stop_ordinal", 0), ("coverage", 0.0), ("quality_bits", 0))}
-    x = x.fillna(fill)
-    for c in ("video_duplicate", "video_gap", "video_regular", "imu_duplicate", "imu_gap", "imu_regular", "misaligned", "cv_tracking_valid", "cv_motion_range_gate_passed", "imu_signal_range_gate_passed"):
-        x = x.withColumn(c, F.coalesce(c, F.lit(False)))
+        channels = [c for k, cs in _CHANNELS.items() if k != "QUATERNION" and ranges[k] is not None for c in cs]
+        i = i.join(imu.select(*keys, "ordinal", "payload_kind", *channels), [*keys, "ordinal"], "left")
+        parts = F.split("payload_kind", "_")
+        wrong = [F.array_contains(parts, k) != F.lit(r is not None) for k, r in ranges.items()]
+        more |= {"varying": sum((_varies(F.col(c), ranges["ACCEL"] if c[0] == "a" else ranges["GYRO"]) for c in channels), F.lit(0)), "unfit": F.bool_or(F.coalesce(wrong[0] | wrong[1] | wrong[2], false))}
+    rows = v.withColumn("kind", F.lit("v")).unionByName(i.withColumn("kind", F.lit("i")).withColumn("end", F.lit(None).cast("long")), allowMissingColumns=True)
+    found = range_metrics(rows, segments, keys, policy, more)
+    if imu is not None and policy.quaternion_range is not None:
+        q = imu.where("q is not null").select(*keys, "ordinal", "q").join(samples.select(*keys, "ordinal", "time"), [*keys, "ordinal"])
+        q = in_windows(placed(q.withColumn("kind", F.lit("i")).withColumn("end", F.lit(None).cast("long")), segments, keys, policy), policy)
+        angle = angular_range(q, at, "q", "ordinal").withColumn("kind", F.lit("i"))
+        found = found.join(angle, [*at, "kind"], "left").withColumn("varying", F.col("varying") + F.coalesce(F.col("angle") >= policy.quaternion_range, false).cast("int")).drop("angle")
+
+    values = [*_METRICS, *more]
+    of = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("m"))).alias(kind)
+    bits = F.col("quality_bits") if "quality_bits" in segments.columns else F.lit(0)
+    grid = hop_windows(segments, policy.window, policy.hop).select(*at, F.struct("accepted", "window_start", "window_end", bits.cast("long").alias("bits")).alias("g"))
+    found = found.select(*at, "kind", F.struct(*values).alias("m"))
+    both = found.unionByName(grid, allowMissingColumns=True).groupBy(*at).agg(of("v"), of("i"), F.max("g").alias("g"))
+    fill = {"n": 0, "start_ordinal": 0, "stop_ordinal": 0, "coverage": 0.0, "duplicate": False, "gap": False, "regular": False, "quality_bits": 0}
+    named = [(F.coalesce(F.col(f"{k}.{m}"), F.lit(fill[m])) if m in fill else F.col(f"{k}.{m}")).alias(f"{p}_{m}") for k, p in (("v", "video"), ("i", "imu")) for m in _METRICS]
+    get = lambda k, c, other: F.coalesce(F.col(f"{k}.{c}"), F.lit(other)) if c in more else F.lit(other)
+    signal = F.when(get("i", "unfit", False), F.raise_error(F.lit("ranges are set for other channels than the samples have")).cast("boolean")).otherwise(get("i", "varying", 0) >= policy.imu_channels) if imu is not None else F.lit(True)
+    x = both.select(
+        *at, "g.accepted", "g.window_start", "g.window_end", *named, F.col("g.bits").alias("segment_bits"), get("v", "near_bits", 0).alias("near_bits"), get("v", "misaligned", False).alias("misaligned"),
+        (get("v", "tracked", False) if cv is not None else F.lit(True)).alias("cv_tracking_valid"), (get("v", "moving", 0) >= policy.motion_channels if cv is not None else F.lit(True)).alias("cv_motion_range_gate_passed"), signal.alias("imu_signal_range_gate_passed"),
+    )
     seconds = policy.window / 1e9
     x = x.withColumn("effective_video_fps", F.col("video_n") / seconds).withColumn("effective_imu_hz", F.col("imu_n") / seconds)
     half = lambda rate, regular: F.when(F.col(regular), 0.5 * F.col(rate))
     x = x.withColumn("video_rate_based_nyquist_hz", half("effective_video_fps", "video_regular")).withColumn("imu_rate_based_nyquist_hz", half("effective_imu_hz", "imu_regular"))
     x = x.withColumn("video_observable_max_hz", F.when(F.col("video_regular"), F.least(F.lit(policy.observable_cap), policy.observable_factor * F.col("effective_video_fps"))).otherwise(0.0))
-    x = x.withColumn("imu_observable_max_hz", F.when(F.col("imu_regular"), 0.5 * F.col("effective_imu_hz")).otherwise(0.0))
-    bits = F.col("video_quality_bits").bitwiseOR(F.col("imu_quality_bits"))
-    x = x.withColumn("bits", bits)
-    unsupported = F.col("bits").bitwiseAND(F.lit(BITS["FREQUENCY_UNSUPPORTED"])) != 0
-    band = F.col("video_regular") & F.col("imu_regular") & (F.lit(policy.high_hz) < F.col("video_observable_max_hz")) & (F.lit(policy.high_hz) < F.col("imu_observable_max_hz")) & F.lit(policy.low_hz * seconds >= policy.cycles) & ~unsupported
-    x = x.withColumn("tremor_band_supported", band)
-    x = x.withColumn("frequency_estimation_allowed", F.col("tremor_band_supported") & F.col("cv_tracking_valid") & F.col("cv_motion_range_gate_passed"))
-    x = x.withColumn("valid_for_frequency", F.col("frequency_estimation_allowed") & F.col("imu_signal_range_gate_passed"))
-    fatal = F.col("bits").bitwiseAND(F.lit(FATAL_BITS))
+    x = x.withColumn("imu_observable_max_hz", F.coalesce("imu_rate_based_nyquist_hz", F.lit(0.0)))
+
+    base = F.col("segment_bits").bitwiseOR(F.col("video_quality_bits")).bitwiseOR(F.col("imu_quality_bits")).bitwiseOR(F.col("near_bits"))
+    partial, has = BITS["PARTIAL_COVERAGE"], lambda c, bit: c.bitwiseAND(F.lit(bit)) != 0
     short = (F.col("video_coverage") < policy.video_coverage) | (F.col("imu_coverage") < policy.imu_coverage)
     reasons = {
         "REJECTED_CONTINUITY_SEGMENT": (~F.col("accepted"), 0),
-        "NO_VIDEO": (F.col("video_n") == 0, 0),
-        "NO_IMU": (F.col("imu_n") == 0, 0),
+        "NO_VIDEO": (F.col("video_n") == 0, partial),
+        "NO_IMU": (F.col("imu_n") == 0, partial),
         "DUPLICATE_TIMESTAMP": (F.col("video_duplicate") | F.col("imu_duplicate"), BITS["DUPLICATE"]),
-        "STREAM_GAP": (F.col("video_gap") | F.col("imu_gap"), BITS["STREAM_GAP"]),
-        "INSUFFICIENT_COVERAGE": (short, BITS["PARTIAL_COVERAGE"]),
-        "INVALID_ALIGNMENT": (F.col("misaligned"), 0),
-        "FATAL_QUALITY_BIT": (fatal != 0, None),
+        "STREAM_GAP": (F.col("video_gap") | F.col("imu_gap") | has(base, BITS["STREAM_GAP"]), BITS["STREAM_GAP"]),
+        "INSUFFICIENT_COVERAGE": (short, partial),
+        "INVALID_ALIGNMENT": (F.col("misaligned"), partial),
     }
+    total = base
+    for condition, bit in reasons.values():
+        total = total.bitwiseOR(F.when(condition, bit).otherwise(0))
+    x = x.withColumn("reason_bits", total.cast("long"))
+    reasons["FATAL_QUALITY_BIT"] = (has(F.col("reason_bits"), FATAL_BITS), 0)
     names = F.filter(F.array(*(F.when(c, F.lit(r)) for r, (c, _) in reasons.items())), lambda r: r.isNotNull())
     x = x.withColumn("reason_codes", F.array_join(F.array_sort(names), "|"))
-    added = fatal
-    for c, b in reasons.values():
-        if b:
-            added = added.bitwiseOR(F.when(c, b).otherwise(0))
-    quality = F.when(F.col("valid_for_frequency"), F.col("bits")).otherwise(F.col("bits").bitwiseOR(F.lit(BITS["FREQUENCY_UNSUPPORTED"])))
-    return x.withColumn("reason_bits", added.cast("long")).withColumn("quality_bits", quality.cast("long")).drop("bits")
+    band = F.col("video_regular") & F.col("imu_regular") & (F.lit(policy.high_hz) < F.col("video_observable_max_hz")) & (F.lit(policy.high_hz) < F.col("imu_observable_max_hz")) & F.lit(policy.low_hz * seconds >= policy.cycles) & ~has(F.col("reason_bits"), BITS["FREQUENCY_UNSUPPORTED"])
+    x = x.withColumn("tremor_band_supported", band)
+    x = x.withColumn("frequency_estimation_allowed", F.col("tremor_band_supported") & F.col("cv_tracking_valid") & F.col("cv_motion_range_gate_passed"))
+    x = x.withColumn("valid_for_frequency", F.col("frequency_estimation_allowed") & F.col("imu_signal_range_gate_passed"))
+    quality = F.when(F.col("valid_for_frequency"), F.col("reason_bits")).otherwise(F.col("reason_bits").bitwiseOR(F.lit(BITS["FREQUENCY_UNSUPPORTED"])))
+    return x.withColumn("quality_bits", quality.cast("long")).drop("segment_bits", "near_bits")
 
 
 def window_index(*inputs, **more) -> tuple[DataFrame, DataFrame]:

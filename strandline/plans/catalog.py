@@ -18,6 +18,7 @@ _FUNCTIONS = [
     frames_sensors.interval_split,
     frames_sensors.hop_window_index,
     frames_sensors.hop_window_rejections,
+    frames_sensors.hop_window_gates,
     frames_sensors.alignment_status,
     frames_sensors.window_quality_or,
     frames_sensors.window_range_gate,

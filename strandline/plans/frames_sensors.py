@@ -56,14 +56,14 @@ FROM f LEFT JOIN near n ON n.user_id = f.user_id AND n.frame = f.frame AND n.r =
 def owned_interval_fps(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.frames import rates
 
-    x = rates(events(spark, sf_dir), KEY, "time", ["time", "event_id"])
+    x = rates(events(spark, sf_dir), KEY, "time", ["time", "event_id"], bucket=DAY)
     return x.select("user_id", "event_id", F.round(F.col("effective_fps") * 1e6, 4).alias("micro_fps"), F.round("gap_before_ms", 3).alias("gap_before_ms"))
 
 
 OWNED_INTERVAL_FPS = """
 WITH e AS (SELECT user_id, event_id, epoch_us(ts) * 1000 AS t FROM events),
 d AS (SELECT *, lead(t) OVER w - t AS f, t - lag(t) OVER w AS b FROM e WINDOW w AS (PARTITION BY user_id ORDER BY t, event_id))
-SELECT user_id, event_id, round(1e9 / coalesce(nullif(f, 0), nullif(b, 0)) * 1e6, 4) AS micro_fps, round(b / 1e6, 3) AS gap_before_ms FROM d
+SELECT user_id, event_id, round(1e9 / nullif(coalesce(f, b), 0) * 1e6, 4) AS micro_fps, round(b / 1e6, 3) AS gap_before_ms FROM d
 """
 
 
@@ -145,107 +145,176 @@ def _paired(e: DataFrame) -> tuple[DataFrame, DataFrame]:
     return v.select("user_id", "time", "end", "ordinal", bits("none", 0)), s.select("user_id", "time", "ordinal", bits("error", BITS["FREQUENCY_UNSUPPORTED"]))
 
 
-def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+def hop_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All candidates of the two queries below."""
     e = events(spark, sf_dir)
     v, s = _paired(e)
     return windows.candidates(v, s, _segments(e), KEY, POLICY)
 
 
-_IDS = ["user_id", "k", "window_start", "window_end"]
+_IDS = ["user_id", "segment", "k", "window_start", "window_end"]
 
 
 def hop_window_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = _candidates(spark, sf_dir).where("reason_codes = ''")
-    return x.select(*_IDS, *(F.col(f"{p}_{c}").cast("long").alias(f"{p}_{c}") for p in ("video", "imu") for c in ("n", "start_ordinal", "stop_ordinal")), F.round("video_coverage", 6).alias("video_coverage"), F.round("imu_coverage", 6).alias("imu_coverage"), "video_regular", "imu_regular", "quality_bits")
+    x = hop_windows(spark, sf_dir).where("reason_codes = ''")
+    return x.select(*_IDS, *(F.col(f"{p}_{c}").cast("long").alias(f"{p}_{c}") for p in ("video", "imu") for c in ("n", "start_ordinal", "stop_ordinal")), F.round("video_coverage", 6).alias("video_coverage"), F.round("imu_coverage", 6).alias("imu_coverage"), F.round("video_deviation", 6).alias("video_deviation"), F.round("imu_deviation", 6).alias("imu_deviation"), "video_regular", "imu_regular", "quality_bits")
 
 
 def hop_window_rejections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _candidates(spark, sf_dir).where("reason_codes <> ''").select(*_IDS, "reason_bits", "reason_codes")
+    return hop_windows(spark, sf_dir).where("reason_codes <> ''").select(*_IDS, "reason_bits", "reason_codes")
 
 
-# Neighbours are found by correlated subqueries, window by window, so the two have no plan in common.
+#: Segments for the gates: two of a user, so that neighbours may lie outside; some with bits of their own.
+GATES = windows.Policy(WINDOW, HOP, video_coverage=0.2, imu_coverage=0.4, deviation=3.0, low_hz=1e-5, high_hz=1e-6, tracking=0.01, keypoints=0.05, motion_range=8.0, motion_channels=2, accel_range=20.0, gyro_range=4.0, quaternion_range=1.5, imu_channels=5)
+
+
+def _halves(e: DataFrame) -> DataFrame:
+    whole = e.groupBy("user_id").agg(F.min("time").alias("a"), (F.max("time") + 1000).alias("z")).withColumn("m", F.expr("(a + z) div 2"))
+    parts = F.array(F.struct(F.lit(0).alias("segment"), F.col("a").alias("start"), F.col("m").alias("end")), F.struct(F.lit(1).alias("segment"), F.col("m").alias("start"), F.col("z").alias("end")))
+    return whole.select("user_id", F.explode(parts).alias("p")).select("user_id", "p.*", (F.col("user_id") % 10 != 0).alias("accepted"), F.when(F.col("user_id") % 23 == 0, BITS["SYNC_RESIDUAL_EXCEEDED"]).otherwise(0).cast("long").alias("quality_bits"))
+
+
+def gated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All candidates with alignment, tracking and sensor signals."""
+    e = events(spark, sf_dir)
+    v, s = _paired(e)
+    numbered = lambda x: timeseries.ordinals(x, KEY, ["time", "event_id"], "ordinal", DAY)
+    views, others = numbered(e.where("event_type = 'view'")), numbered(e.where("event_type <> 'view'"))
+    status = aligned_events(spark, sf_dir).select("user_id", F.col("frame").alias("event_id"), "alignment_status", "nearest_ordinal")
+    alignment = views.select("user_id", "event_id", "ordinal").join(status, ["user_id", "event_id"]).drop("event_id")
+    value = F.coalesce("value", F.lit(0.0))
+    cv = views.select("user_id", "ordinal", (F.col("value") / 100).alias("tracking_quality"), (F.col("event_id") % 10 / 10.0).alias("keypoint_fraction"), F.array(value, -value, F.lit(None).cast("double")).alias("motion"))
+    turn = value / 40
+    imu = others.select("user_id", "ordinal", F.lit("ACCEL_GYRO_QUATERNION").alias("payload_kind"), value.alias("ax"), F.lit(0.0).alias("ay"), (2 * value).alias("az"), F.pmod(value, F.lit(7.0)).alias("gx"), (-value).alias("gy"), F.lit(None).cast("double").alias("gz"), F.array(F.cos(turn), F.sin(turn), F.lit(0.0), F.lit(0.0)).alias("q"))
+    return windows.candidates(v, s, _halves(e), KEY, GATES, alignment, cv, imu)
+
+
+def hop_window_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = gated(spark, sf_dir)
+    return x.select(*_IDS, F.round("video_deviation", 6).alias("video_deviation"), F.round("imu_deviation", 6).alias("imu_deviation"), "video_regular", "imu_regular", "cv_tracking_valid", "cv_motion_range_gate_passed", "imu_signal_range_gate_passed", "tremor_band_supported", "valid_for_frequency", "reason_bits", "reason_codes", "quality_bits")
+
+
+# Windows by correlated subqueries and self-joins by ordinal, so the two have no plan in common.
 _WINDOWS_SQL = """
-WITH e AS (SELECT user_id, event_id, event_type, epoch_us(ts) * 1000 AS t FROM events),
-seg AS (SELECT user_id, min(t) AS s, max(t) + 1000 AS e FROM e GROUP BY user_id),
-w AS (SELECT user_id, s, e, k, s + k * 86400000000000 AS ws, s + k * 86400000000000 + 345600000000000 AS we
+WITH e AS (SELECT user_id, event_id, event_type, coalesce(value, 0) AS value, value AS raw, epoch_us(ts) * 1000 AS t FROM events),
+seg AS ({segments}),
+w AS (SELECT user_id, segment, s, e, accepted, sb, k, s + k * 86400000000000 AS ws, s + k * 86400000000000 + 345600000000000 AS we
       FROM (SELECT *, unnest(range(0, (e - s - 345600000000000) // 86400000000000 + 1)) AS k FROM seg WHERE e - s >= 345600000000000)),
-v AS (SELECT user_id, t, row_number() OVER q - 1 AS o, coalesce(lead(t) OVER q, t + 1000) AS x, lag(t) OVER q AS p FROM e WHERE event_type = 'view' WINDOW q AS (PARTITION BY user_id ORDER BY t, event_id)),
-i AS (SELECT user_id, t, row_number() OVER q - 1 AS o, lag(t) OVER q AS p, lead(t) OVER q AS n, CASE WHEN event_type = 'error' THEN 512 ELSE 0 END AS b FROM e WHERE event_type <> 'view' WINDOW q AS (PARTITION BY user_id ORDER BY t, event_id)),
-vp AS (SELECT user_id, median(CASE WHEN x > t THEN x - t END) AS p FROM v GROUP BY user_id),
-ip AS (SELECT user_id, median(CASE WHEN t > p THEN t - p END) AS p FROM i GROUP BY user_id),
+v AS (SELECT user_id, event_id, t, value, raw, row_number() OVER q - 1 AS o, coalesce(lead(t) OVER q, t + 1000) AS x FROM e WHERE event_type = 'view' WINDOW q AS (PARTITION BY user_id ORDER BY t, event_id)),
+i AS (SELECT user_id, event_id, t, value, row_number() OVER q - 1 AS o, lag(t) OVER q AS p, CASE WHEN event_type = 'error' THEN 512 ELSE 0 END AS b FROM e WHERE event_type <> 'view' WINDOW q AS (PARTITION BY user_id ORDER BY t, event_id)),
+vp AS (SELECT v.user_id, segment, median(CASE WHEN x > t THEN x - t END) AS p FROM v JOIN seg ON seg.user_id = v.user_id AND t >= s AND t < e AND x <= e GROUP BY ALL),
+ip AS (SELECT i.user_id, segment, median(CASE WHEN t > i.p AND i.p >= s THEN t - i.p END) AS p FROM i JOIN seg ON seg.user_id = i.user_id AND t >= s AND t < e GROUP BY ALL),
 va AS (
-  SELECT w.user_id, w.k, any_value(ws) AS ws, any_value(we) AS we, any_value(vp.p) AS p, count(*) FILTER (v.x <= we) AS n, min(o) FILTER (v.x <= we) AS a, max(o) FILTER (v.x <= we) + 1 AS z,
-    min(t) FILTER (v.x <= we) AS lo, max(v.x) FILTER (v.x <= we) AS last, max(v.x - t) FILTER (v.x <= we) AS most, max(abs((v.x - t) / vp.p - 1)) FILTER (v.x <= we) AS off,
-    coalesce(bool_or(v.x > we AND v.x - t > 259200000000000 + greatest(1, vp.p * 1e-6)), false) AS straddles,
-    coalesce(bool_or(t = v.p AND v.p >= ws) FILTER (v.x <= we), false) AS dup
-  FROM w JOIN v ON v.user_id = w.user_id AND v.t >= ws AND v.t < we JOIN vp ON vp.user_id = w.user_id GROUP BY w.user_id, w.k),
+  SELECT w.user_id, w.segment, w.k, any_value(ws) AS ws, any_value(we) AS we, any_value(vp.p) AS p, count(*) AS n, min(o) AS a, max(o) + 1 AS z, min(t) AS lo, max(x) AS last, max(x - t) AS most,
+    max(CASE WHEN x > t THEN abs(x - t - vp.p) / vp.p END) AS off, count(*) > count(DISTINCT t) AS dup
+  FROM w JOIN v ON v.user_id = w.user_id AND t >= ws AND t < we AND x <= we JOIN vp ON vp.user_id = w.user_id AND vp.segment = w.segment GROUP BY w.user_id, w.segment, w.k),
 vm AS (
-  SELECT *, (SELECT max(t) FROM v WHERE v.user_id = va.user_id AND v.t < va.lo) AS ref, greatest(1, p * 1e-6) AS tol FROM va WHERE n > 0),
-vr AS (
-  SELECT *, lo - ws >= p - tol AND (ref IS NULL OR lo - ref > p + tol) AS gl, we - last >= p - tol AND NOT straddles AS gr,
-    greatest(coalesce(most, 0), CASE WHEN lo - ws >= p - tol THEN coalesce(lo - ref, lo - ws) ELSE 0 END, CASE WHEN we - last >= p - tol AND NOT straddles THEN we - last ELSE 0 END) AS worst FROM vm),
+  SELECT va.*, b.t AS pt, f.t AS nt, f.x AS nx, greatest(1, p * 1e-6) AS tol, coalesce({video_gap}, greatest(1, round_even(p * 2.5, 0))) AS lim
+  FROM va LEFT JOIN v b ON b.user_id = va.user_id AND b.o = a - 1 LEFT JOIN v f ON f.user_id = va.user_id AND f.o = z),
+vr AS (SELECT *, coalesce(lo - ws >= p - tol, false) AS l, coalesce(we - last >= p - tol AND NOT coalesce(nt < we AND nx > we AND nx - nt > lim + tol, false), false) AS r FROM vm),
+vg AS (
+  SELECT *, (l AND (pt IS NULL OR lo - pt > p + tol)) OR r AS edge, greatest(most, CASE WHEN l THEN coalesce(lo - pt, lo - ws) END, CASE WHEN r THEN we - last END) AS worst,
+    greatest(off, CASE WHEN l THEN CASE WHEN pt IS NULL THEN (lo - ws) / p ELSE abs(lo - pt - p) / p END END, CASE WHEN r THEN (we - last) / p END) AS dev FROM vr),
 ia AS (
-  SELECT w.user_id, w.k, any_value(ws) AS ws, any_value(we) AS we, any_value(ip.p) AS p, count(*) AS n, min(o) AS a, max(o) + 1 AS z, min(t) AS lo, max(t) AS last,
-    max(CASE WHEN i.p >= ws THEN t - i.p END) AS most, max(CASE WHEN i.p >= ws THEN abs((t - i.p) / ip.p - 1) END) AS off, bit_or(b) AS b, coalesce(bool_or(t = i.p AND i.p >= ws), false) AS dup
-  FROM w JOIN i ON i.user_id = w.user_id AND i.t >= ws AND i.t < we JOIN ip ON ip.user_id = w.user_id GROUP BY w.user_id, w.k),
+  SELECT w.user_id, w.segment, w.k, any_value(s) AS s, any_value(e) AS e, any_value(ws) AS ws, any_value(we) AS we, any_value(ip.p) AS p, count(*) AS n, min(o) AS a, max(o) + 1 AS z, min(t) AS lo, max(t) AS last,
+    max(CASE WHEN i.p >= ws THEN t - i.p END) AS most, max(CASE WHEN i.p >= ws AND t > i.p THEN abs(t - i.p - ip.p) / ip.p END) AS off, bit_or(b) AS b, count(*) > count(DISTINCT t) AS dup
+  FROM w JOIN i ON i.user_id = w.user_id AND t >= ws AND t < we JOIN ip ON ip.user_id = w.user_id AND ip.segment = w.segment GROUP BY w.user_id, w.segment, w.k),
 im AS (
-  SELECT *, greatest(1, p * 1e-6) AS tol, (SELECT max(t) FROM i WHERE i.user_id = ia.user_id AND i.t < ia.lo) AS pv, (SELECT min(t) FROM i WHERE i.user_id = ia.user_id AND i.t > ia.last) AS nx FROM ia),
+  SELECT ia.*, y.t AS pt, f.t AS nt, coalesce(y.t >= s, false) AS pin, coalesce(f.t < e, false) AS nin, greatest(1, ia.p * 1e-6) AS tol, coalesce({imu_gap}, greatest(1, round_even(ia.p * 2.5, 0))) AS lim
+  FROM ia LEFT JOIN i y ON y.user_id = ia.user_id AND y.o = a - 1 LEFT JOIN i f ON f.user_id = ia.user_id AND f.o = z),
 ir AS (
-  SELECT *, CASE WHEN pv IS NOT NULL THEN CASE WHEN lo - p >= ws - tol THEN lo - pv END WHEN lo - ws >= p - tol THEN lo - ws END AS dl, pv IS NULL AND lo - ws >= p - tol AS ol,
-    CASE WHEN nx IS NOT NULL THEN CASE WHEN last + p < we - tol THEN nx - last END WHEN we - last > p + tol THEN we - last END AS dr, nx IS NULL AND we - last > p + tol AS orr FROM im),
+  SELECT *, coalesce(CASE WHEN pin THEN lo - p >= ws - tol ELSE lo - ws >= p - tol END, false) AS l, coalesce(CASE WHEN nin THEN last + p < we - tol ELSE we - last > p + tol END, false) AS r FROM im),
 ig AS (
-  SELECT *, coalesce(ol OR (pv IS NOT NULL AND dl > p + tol), false) OR coalesce(orr OR (nx IS NOT NULL AND dr > p + tol), false) AS edge, greatest(coalesce(most, 0), coalesce(dl, 0), coalesce(dr, 0)) AS worst,
-    greatest(off, CASE WHEN pv IS NOT NULL THEN abs(dl / p - 1) END, CASE WHEN nx IS NOT NULL THEN abs(dr / p - 1) END) AS dev FROM ir),
+  SELECT *, coalesce(l AND (pt IS NULL OR lo - pt > p + tol), false) OR coalesce(r AND (nt IS NULL OR nt - last > p + tol), false) AS edge,
+    greatest(most, CASE WHEN l THEN coalesce(lo - pt, lo - ws) END, CASE WHEN r THEN coalesce(nt - last, we - last) END) AS worst,
+    greatest(off, CASE WHEN l THEN CASE WHEN pt IS NULL THEN (lo - ws) / p WHEN lo > pt OR NOT pin THEN abs(lo - pt - p) / p END END, CASE WHEN r THEN CASE WHEN nt IS NULL THEN (we - last - p) / p WHEN nt > last OR NOT nin THEN abs(nt - last - p) / p END END) AS dev FROM ir),
 c AS (
-  SELECT w.user_id, w.k, w.ws AS window_start, w.we AS window_end, w.user_id % 10 <> 0 AS accepted,
-    coalesce(vr.n, 0) AS video_n, coalesce(vr.a, 0) AS video_start_ordinal, coalesce(vr.z, 0) AS video_stop_ordinal, coalesce(ig.n, 0) AS imu_n, coalesce(ig.a, 0) AS imu_start_ordinal, coalesce(ig.z, 0) AS imu_stop_ordinal,
-    CASE WHEN vr.p > 0 THEN least(1.0, vr.n / (345600000000000 / vr.p)) ELSE 0 END AS video_coverage, CASE WHEN ig.p > 0 THEN least(1.0, ig.n / (345600000000000 / ig.p)) ELSE 0 END AS imu_coverage,
-    coalesce(vr.gl OR vr.gr OR vr.worst > 259200000000000, false) AS vgap, coalesce(ig.edge OR ig.worst > 172800000000000, false) AS igap, coalesce(vr.dup, false) OR coalesce(ig.dup, false) AS dup,
-    coalesce(NOT (coalesce(vr.gl, false) OR coalesce(vr.gr, false)) AND vr.off <= 50, false) AS video_regular, coalesce(NOT ig.edge AND ig.dev <= 50, false) AS imu_regular, coalesce(ig.b, 0) AS b
-  FROM w LEFT JOIN vr ON vr.user_id = w.user_id AND vr.k = w.k LEFT JOIN ig ON ig.user_id = w.user_id AND ig.k = w.k),
+  SELECT w.user_id, w.segment, w.k, w.ws AS window_start, w.we AS window_end, w.accepted,
+    coalesce(vg.n, 0) AS video_n, coalesce(vg.a, 0) AS video_start_ordinal, coalesce(vg.z, 0) AS video_stop_ordinal, coalesce(ig.n, 0) AS imu_n, coalesce(ig.a, 0) AS imu_start_ordinal, coalesce(ig.z, 0) AS imu_stop_ordinal,
+    CASE WHEN vg.p > 0 THEN least(1.0, vg.n / (345600000000000 / vg.p)) ELSE 0 END AS video_coverage, CASE WHEN ig.p > 0 THEN least(1.0, ig.n / (345600000000000 / ig.p)) ELSE 0 END AS imu_coverage,
+    coalesce(vg.edge OR vg.worst > vg.lim, false) OR coalesce(ig.edge OR ig.worst > ig.lim, false) AS gap, coalesce(vg.dup, false) OR coalesce(ig.dup, false) AS dup, vg.dev AS video_deviation, ig.dev AS imu_deviation,
+    coalesce(NOT vg.edge AND vg.dev <= {deviation}, false) AS video_regular, coalesce(NOT ig.edge AND ig.dev <= {deviation}, false) AS imu_regular, coalesce(ig.b, 0) | w.sb | {near} AS b, {misaligned} AS misaligned
+  FROM w LEFT JOIN vg ON vg.user_id = w.user_id AND vg.segment = w.segment AND vg.k = w.k LEFT JOIN ig ON ig.user_id = w.user_id AND ig.segment = w.segment AND ig.k = w.k {joins}),
+f AS (
+  SELECT *, video_coverage < {video_coverage} OR imu_coverage < {imu_coverage} AS short, b | CASE WHEN video_n = 0 OR imu_n = 0 OR video_coverage < {video_coverage} OR imu_coverage < {imu_coverage} OR misaligned THEN 256 ELSE 0 END | CASE WHEN dup THEN 4 ELSE 0 END | CASE WHEN gap OR b & 8 <> 0 THEN 8 ELSE 0 END AS bits FROM c),
 g AS (
-  SELECT *, list_filter([CASE WHEN dup THEN 'DUPLICATE_TIMESTAMP' END, CASE WHEN video_coverage < 0.5 OR imu_coverage < 0.5 THEN 'INSUFFICIENT_COVERAGE' END, CASE WHEN imu_n = 0 THEN 'NO_IMU' END, CASE WHEN video_n = 0 THEN 'NO_VIDEO' END,
-      CASE WHEN NOT accepted THEN 'REJECTED_CONTINUITY_SEGMENT' END, CASE WHEN vgap OR igap THEN 'STREAM_GAP' END], lambda r: r IS NOT NULL) AS reasons,
-    video_regular AND imu_regular AND 1e-7 < least(12.0, 0.4 * video_n / 345600.0) AND 1e-7 < 0.5 * imu_n / 345600.0 AND 1e-5 * 345600.0 >= 3 AND b & 512 = 0 AS allowed FROM c)
+  SELECT *, list_filter([CASE WHEN dup THEN 'DUPLICATE_TIMESTAMP' END, CASE WHEN bits & 3583 <> 0 THEN 'FATAL_QUALITY_BIT' END, CASE WHEN short THEN 'INSUFFICIENT_COVERAGE' END, CASE WHEN misaligned THEN 'INVALID_ALIGNMENT' END, CASE WHEN imu_n = 0 THEN 'NO_IMU' END, CASE WHEN video_n = 0 THEN 'NO_VIDEO' END,
+      CASE WHEN NOT accepted THEN 'REJECTED_CONTINUITY_SEGMENT' END, CASE WHEN bits & 8 <> 0 THEN 'STREAM_GAP' END], lambda r: r IS NOT NULL) AS reasons,
+    video_regular AND imu_regular AND {high} < least(12.0, 0.4 * video_n / 345600.0) AND {high} < 0.5 * imu_n / 345600.0 AND 1e-5 * 345600.0 >= 3 AND bits & 512 = 0 AS allowed FROM f)
 """
-HOP_WINDOW_INDEX = _WINDOWS_SQL + """
-SELECT user_id, k, window_start, window_end, video_n, video_start_ordinal, video_stop_ordinal, imu_n, imu_start_ordinal, imu_stop_ordinal, round(video_coverage, 6) AS video_coverage, round(imu_coverage, 6) AS imu_coverage, video_regular, imu_regular,
-  (CASE WHEN allowed THEN b ELSE b | 512 END)::BIGINT AS quality_bits
+_WHOLE = "SELECT user_id, 0 AS segment, min(t) AS s, max(t) + 1000 AS e, user_id % 10 <> 0 AS accepted, 0 AS sb FROM e GROUP BY user_id"
+_PLAIN = dict(segments=_WHOLE, video_gap="259200000000000", imu_gap="172800000000000", deviation="50", near="0", misaligned="false", joins="", video_coverage="0.5", imu_coverage="0.5", high="1e-7")
+HOP_WINDOW_INDEX = _WINDOWS_SQL.format(**_PLAIN) + """
+SELECT user_id, segment, k, window_start, window_end, video_n, video_start_ordinal, video_stop_ordinal, imu_n, imu_start_ordinal, imu_stop_ordinal, round(video_coverage, 6) AS video_coverage, round(imu_coverage, 6) AS imu_coverage,
+  round(video_deviation, 6) AS video_deviation, round(imu_deviation, 6) AS imu_deviation, video_regular, imu_regular, (CASE WHEN allowed THEN bits ELSE bits | 512 END)::BIGINT AS quality_bits
 FROM g WHERE len(reasons) = 0
 """
-HOP_WINDOW_REJECTIONS = _WINDOWS_SQL + """
-SELECT user_id, k, window_start, window_end, ((CASE WHEN dup THEN 4 ELSE 0 END) | (CASE WHEN vgap OR igap THEN 8 ELSE 0 END) | (CASE WHEN video_coverage < 0.5 OR imu_coverage < 0.5 THEN 256 ELSE 0 END))::BIGINT AS reason_bits, array_to_string(reasons, '|') AS reason_codes
-FROM g WHERE len(reasons) > 0
+HOP_WINDOW_REJECTIONS = _WINDOWS_SQL.format(**_PLAIN) + """
+SELECT user_id, segment, k, window_start, window_end, bits::BIGINT AS reason_bits, array_to_string(reasons, '|') AS reason_codes FROM g WHERE len(reasons) > 0
 """
 
 
-def alignment_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+def aligned_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Views against the other events; a user's time falls into two intervals, and every seventh user has none."""
     e = events(spark, sf_dir)
-    views = e.where("event_type = 'view'")
     whole = e.groupBy("user_id").agg(F.min("time").alias("a"), F.max("time").alias("z"))
-    middle = ((F.col("a") + F.col("z")) / 2).cast("long")
+    middle = F.expr("(a + z) div 2")
     intervals = whole.select("user_id", F.col("a").alias("start"), middle.alias("end")).union(whole.select("user_id", middle, F.col("z") + DAY + 1))
-    return align.aligned(_frames(views), _samples(e), intervals.where("user_id % 7 <> 0"), KEY, 0.5).groupBy("alignment_status").agg(F.count("*").alias("n"), F.sum("n_samples").alias("n_samples"))
+    return align.aligned(_frames(e.where("event_type = 'view'")), _samples(e), intervals.where("user_id % 7 <> 0"), KEY, 0.5)
+
+
+def alignment_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aligned_events(spark, sf_dir).select("user_id", "frame", "start_ordinal", "stop_ordinal", "nearest_ordinal", "nearest_delta", F.round("coverage", 6).alias("coverage"), "alignment_status")
 
 
 ALIGNMENT_STATUS = """
 WITH e AS (SELECT user_id, epoch_us(ts) * 1000 AS t, event_id, event_type FROM events),
 f AS (SELECT user_id, event_id AS frame, t, coalesce(lead(t) OVER (PARTITION BY user_id ORDER BY t, event_id), t + 86400000000000) AS x FROM e WHERE event_type = 'view'),
-s AS (SELECT user_id, t FROM e WHERE event_type <> 'view'),
+s AS (SELECT user_id, t, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) - 1 AS o FROM e WHERE event_type <> 'view'),
 b AS (SELECT user_id, min(t) AS a, max(t) AS z, (min(t) + max(t)) // 2 AS m FROM e GROUP BY user_id),
 iv AS (SELECT user_id, a AS l, m AS h FROM b WHERE user_id % 7 <> 0 UNION ALL SELECT user_id, m, z + 86400000000001 FROM b WHERE user_id % 7 <> 0),
 own AS (SELECT f.*, (SELECT l FROM iv WHERE iv.user_id = f.user_id AND iv.l <= f.t AND f.x <= iv.h) AS l, (SELECT h FROM iv WHERE iv.user_id = f.user_id AND iv.l <= f.t AND f.x <= iv.h) AS h,
-  EXISTS (SELECT 1 FROM iv WHERE iv.user_id = f.user_id AND iv.l < f.x AND f.t < iv.h) AS hit, (SELECT count(*) FROM s WHERE s.user_id = f.user_id AND s.t >= f.t AND s.t < f.x) AS n FROM f),
-d AS (SELECT iv.user_id, iv.l, s.t, s.t - lag(s.t) OVER (PARTITION BY iv.user_id, iv.l ORDER BY s.t) AS d FROM iv JOIN s ON s.user_id = iv.user_id AND s.t >= iv.l AND s.t < iv.h),
+  EXISTS (SELECT 1 FROM iv WHERE iv.user_id = f.user_id AND iv.l < f.x AND f.t < iv.h) AS hit, (SELECT count(*) FROM s WHERE s.user_id = f.user_id AND s.t >= f.t AND s.t < f.x) AS n,
+  (SELECT count(DISTINCT t) FROM s WHERE s.user_id = f.user_id AND s.t >= f.t AND s.t < f.x) AS u, (SELECT count(*) FROM s WHERE s.user_id = f.user_id AND s.t < f.t) AS lo FROM f),
+d AS (SELECT iv.user_id, iv.l, s.t, s.t - lag(s.t) OVER (PARTITION BY iv.user_id, iv.l ORDER BY s.t, s.o) AS d FROM iv JOIN s ON s.user_id = iv.user_id AND s.t >= iv.l AND s.t < iv.h),
 p AS (SELECT user_id, l, median(CASE WHEN d > 0 THEN d END) AS p FROM d GROUP BY user_id, l),
+near AS (SELECT own.user_id, own.frame, s.o, s.t, s.t - own.t AS nd, row_number() OVER (PARTITION BY own.user_id, own.frame ORDER BY abs(s.t - own.t), s.t, s.o) AS r FROM own JOIN s ON s.user_id = own.user_id AND s.t >= own.l AND s.t < own.h),
 m AS (
-  SELECT own.*, p.p, greatest(1, round_even(p.p * 2.5, 0)::BIGINT) AS lim, (SELECT min(abs(s.t - own.t)) FROM s WHERE s.user_id = own.user_id AND s.t >= own.l AND s.t < own.h) AS nd,
-    (SELECT max(d.d) FROM d WHERE d.user_id = own.user_id AND d.l = own.l AND d.t < own.x AND d.t - d.d >= own.t) AS most
-  FROM own LEFT JOIN p ON p.user_id = own.user_id AND p.l = own.l)
-SELECT CASE WHEN l IS NULL AND hit THEN 'CONTINUITY_BOUNDARY' WHEN l IS NULL THEN 'OUTSIDE_CONTINUITY' WHEN nd IS NULL THEN 'NO_IMU' WHEN p IS NULL THEN 'CADENCE_UNKNOWN'
-    WHEN coalesce(most, 0) > lim OR nd > lim OR least(1.0, n / greatest(1.0, floor((x - t) / p + 1e-9))) < 0.5 THEN 'GAP' ELSE 'OK' END AS alignment_status,
-  count(*)::BIGINT AS n, sum(CASE WHEN user_id % 7 <> 0 THEN n ELSE 0 END)::BIGINT AS n_samples
-FROM m GROUP BY 1
+  SELECT own.*, p.p, greatest(1, round_even(p.p * 2.5, 0)::BIGINT) AS lim, near.o AS near_o, near.nd,
+    u < n OR (SELECT count(*) FROM s WHERE s.user_id = own.user_id AND s.t = near.t) > 1 AS dup,
+    greatest((SELECT max(d.d) FROM d WHERE d.user_id = own.user_id AND d.l = own.l AND d.t >= own.t AND d.t < own.x), (SELECT max_by(d.d, -d.t) FROM d WHERE d.user_id = own.user_id AND d.l = own.l AND d.t >= own.x AND d.d > 0)) AS most
+  FROM own LEFT JOIN p ON p.user_id = own.user_id AND p.l = own.l LEFT JOIN near ON near.user_id = own.user_id AND near.frame = own.frame AND near.r = 1),
+q AS (SELECT *, CASE WHEN p > 0 THEN least(1.0, n / greatest(1.0, floor((x - t) / p + 1e-9))) ELSE 0.0 END AS coverage FROM m),
+al AS (
+  SELECT user_id, frame, CASE WHEN user_id % 7 <> 0 THEN lo ELSE 0 END::BIGINT AS start_ordinal, CASE WHEN user_id % 7 <> 0 THEN lo + n ELSE 0 END::BIGINT AS stop_ordinal, near_o::BIGINT AS nearest_ordinal, nd::BIGINT AS nearest_delta, round(coverage, 6) AS coverage,
+    CASE WHEN l IS NULL AND hit THEN 'CONTINUITY_BOUNDARY' WHEN l IS NULL THEN 'OUTSIDE_CONTINUITY' WHEN n = 0 THEN 'NO_IMU' WHEN p IS NULL THEN 'CADENCE_UNKNOWN' WHEN dup THEN 'DUPLICATE_TIMESTAMP'
+      WHEN coalesce(most > lim, false) OR coverage < 0.5 THEN 'GAP' ELSE 'OK' END AS alignment_status
+  FROM q)
+SELECT * FROM al
+"""
+_GATED = dict(
+    segments="SELECT user_id, unnest([0, 1]) AS segment, unnest([min(t), (min(t) + max(t) + 1000) // 2]) AS s, unnest([(min(t) + max(t) + 1000) // 2, max(t) + 1000]) AS e, user_id % 10 <> 0 AS accepted, CASE WHEN user_id % 23 = 0 THEN 1024 ELSE 0 END AS sb FROM e GROUP BY user_id",
+    video_gap="NULL", imu_gap="NULL", deviation="3", near="coalesce(nb, 0)", misaligned="coalesce(mis, false)", joins="LEFT JOIN va2 ON va2.user_id = w.user_id AND va2.segment = w.segment AND va2.k = w.k", video_coverage="0.2", imu_coverage="0.4", high="1e-6",
+)
+_GATES_SQL = _WINDOWS_SQL.format(**_GATED).replace(
+    "c AS (\n",
+    f"""al AS ({ALIGNMENT_STATUS}),
+va2 AS (
+  SELECT w.user_id, w.segment, w.k, bit_or(i.b) AS nb, bool_or(alignment_status IN ('CONTINUITY_BOUNDARY', 'OUTSIDE_CONTINUITY')) AS mis, bool_and(coalesce(v.raw / 100 >= 0.01, false) AND v.event_id % 10 / 10.0 >= 0.05) AS track,
+    CASE WHEN count(*) >= 2 AND max(v.value) - min(v.value) >= 8 THEN 2 ELSE 0 END AS moving
+  FROM w JOIN v ON v.user_id = w.user_id AND v.t >= ws AND v.t < we AND v.x <= we JOIN al ON al.user_id = v.user_id AND al.frame = v.event_id LEFT JOIN i ON i.user_id = v.user_id AND i.o = al.nearest_ordinal GROUP BY ALL),
+wi AS (SELECT w.user_id, w.segment, w.k, i.o, i.value FROM w JOIN i ON i.user_id = w.user_id AND i.t >= ws AND i.t < we),
+sig AS (
+  SELECT wi.user_id, wi.segment, wi.k, CASE WHEN count(*) >= 2 THEN (max(value) - min(value) >= 20)::INT + (2 * max(value) - 2 * min(value) >= 20)::INT + (max(value % 7) - min(value % 7) >= 4)::INT + (max(value) - min(value) >= 4)::INT ELSE 0 END AS varying FROM wi GROUP BY ALL),
+ang AS (SELECT a.user_id, a.segment, a.k, 2 * acos(least(1.0, min(abs(cos(a.value / 40) * cos(b.value / 40) + sin(a.value / 40) * sin(b.value / 40))))) AS angle FROM wi a JOIN wi b ON a.user_id = b.user_id AND a.segment = b.segment AND a.k = b.k AND a.o < b.o GROUP BY ALL),
+c AS (\n""",
+)
+HOP_WINDOW_GATES = _GATES_SQL + """
+SELECT g.user_id, g.segment, g.k, window_start, window_end, round(video_deviation, 6) AS video_deviation, round(imu_deviation, 6) AS imu_deviation, video_regular, imu_regular, coalesce(track, false) AS cv_tracking_valid, coalesce(moving, 0) >= 2 AS cv_motion_range_gate_passed,
+  coalesce(varying, 0) + CASE WHEN coalesce(angle, 0) >= 1.5 THEN 1 ELSE 0 END >= 5 AS imu_signal_range_gate_passed, allowed AS tremor_band_supported,
+  allowed AND coalesce(track, false) AND coalesce(moving, 0) >= 2 AND coalesce(varying, 0) + CASE WHEN coalesce(angle, 0) >= 1.5 THEN 1 ELSE 0 END >= 5 AS valid_for_frequency, bits::BIGINT AS reason_bits, array_to_string(reasons, '|') AS reason_codes,
+  (CASE WHEN allowed AND coalesce(track, false) AND coalesce(moving, 0) >= 2 AND coalesce(varying, 0) + CASE WHEN coalesce(angle, 0) >= 1.5 THEN 1 ELSE 0 END >= 5 THEN bits ELSE bits | 512 END)::BIGINT AS quality_bits
+FROM g LEFT JOIN va2 USING (user_id, segment, k) LEFT JOIN sig USING (user_id, segment, k) LEFT JOIN ang USING (user_id, segment, k)
 """
 
 
@@ -319,7 +388,7 @@ def nearest_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each user's middle half of frames, nearest samples outside the samples that those frames own."""
     from ..sources import store
 
-    x = timeseries.ordinals(frame_sensor_index(spark, sf_dir), KEY, ["time", "frame"], "frame_canonical_ordinal").withColumnRenamed("nearest_ordinal", "imu_nearest_ordinal")
+    x = timeseries.ordinals(frame_sensor_index(spark, sf_dir), KEY, ["time", "frame"], "frame_canonical_ordinal", DAY).withColumnRenamed("nearest_ordinal", "imu_nearest_ordinal")
     w = x.groupBy("user_id").agg(F.floor(F.count("*") / 4).alias("frame_start_ordinal"), F.floor(3 * F.count("*") / 4).alias("frame_stop_ordinal"))
     own = x.join(w, KEY).where("frame_canonical_ordinal >= frame_start_ordinal and frame_canonical_ordinal < frame_stop_ordinal")
     own = own.groupBy("user_id", "frame_start_ordinal", "frame_stop_ordinal").agg(F.min("start_ordinal").alias("imu_start_ordinal"), F.max("stop_ordinal").alias("imu_stop_ordinal"))

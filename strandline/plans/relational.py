@@ -18,7 +18,7 @@ from .frames_sensors import FRAME_SENSOR_INDEX, KEY, events, table
 def cosine_angular_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Widest angle within groups of vectors with one label and id // 50."""
     x = table(spark, sf_dir, "embeddings").withColumn("block", F.floor(F.col("vec_id") / 50))
-    return windows.angular_range(x, ["label", "block"], "embedding", "vec_id").select("label", "block", F.round("angle", 4).alias("angle"))
+    return windows.widest_angles(x, ["label", "block"], "embedding", "vec_id").select("label", "block", F.round("angle", 4).alias("angle"))
 
 
 COSINE_ANGULAR_RANGE = """
@@ -120,15 +120,15 @@ FROM y
 
 
 def primary_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.when(F.col("o_orderstatus") == "P", "TIMEOUT").otherwise("SUCCESS").alias("status"))
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.when(F.col("o_orderstatus") == "P", "REJECTED_INPUT").when(F.col("o_orderstatus") == "O", "NO_DETECTION").otherwise("SUCCESS").alias("status"))
     d = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("k"), "l_linenumber")
     return frames.primary_selection(o, d, ["k"], "l_linenumber", "status")
 
 
 PRIMARY_SELECTION = """
 WITH d AS (SELECT l_orderkey AS k, count(*) AS n, min(l_linenumber) AS one FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1),
-r AS (SELECT o_orderkey AS k, one, CASE WHEN o_orderstatus = 'P' THEN 'INFERENCE_STATUS_TIMEOUT' WHEN coalesce(n, 0) = 0 THEN 'NO_DETECTIONS' WHEN n > 1 THEN 'MULTIPLE_DETECTIONS' ELSE 'ONE_DETECTION' END AS selection_reason FROM orders LEFT JOIN d ON o_orderkey = k)
-SELECT k, CASE WHEN selection_reason = 'ONE_DETECTION' THEN 'SELECTED' ELSE 'ABSTAINED' END AS selection_status, selection_reason, CASE WHEN selection_reason = 'ONE_DETECTION' THEN one END AS selected FROM r
+r AS (SELECT o_orderkey AS k, one, CASE WHEN o_orderstatus = 'P' THEN 'INFERENCE_STATUS_REJECTED_INPUT' WHEN coalesce(n, 0) = 0 THEN 'NO_DETECTIONS' WHEN n > 1 THEN 'MULTIPLE_DETECTIONS' ELSE 'SINGLE_DETECTION' END AS selection_reason FROM orders LEFT JOIN d ON o_orderkey = k)
+SELECT k, CASE WHEN selection_reason = 'SINGLE_DETECTION' THEN 'SELECTED' ELSE 'ABSTAINED' END AS selection_status, selection_reason, CASE WHEN selection_reason = 'SINGLE_DETECTION' THEN one END AS selected FROM r
 """
 
 
@@ -160,16 +160,17 @@ _LAYOUT = ["1", "2", "3", "4", "5"]
 
 
 def sensor_group_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items of an order in groups of five by part, labelled by line number (null for every thirteenth supplier)."""
-    x = timeseries.ordinals(_lines(spark, sf_dir), ["l_orderkey"], ["l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice"], "o").withColumn("g", F.floor(F.col("o") / 5))
-    label = F.when(F.col("l_suppkey") % 13 != 0, F.least("l_linenumber", F.lit(6)).cast("string"))
-    return reconcile.sensor_groups(x.withColumn("label", label), ["l_orderkey", "g"], "o", "label", _LAYOUT).groupBy("status").agg(F.count("*").alias("n"))
+    """Line items of an order in groups of five (in every fourth order, six) by part, labelled by line number; for some suppliers the label is null or empty."""
+    x = timeseries.ordinals(_lines(spark, sf_dir), ["l_orderkey"], ["l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice"], "o")
+    label = F.when(F.col("l_suppkey") % 13 == 1, F.lit("")).when(F.col("l_suppkey") % 13 != 0, F.least("l_linenumber", F.lit(6)).cast("string"))
+    group = F.when(F.col("l_orderkey") % 4 == 0, F.floor(F.col("o") / 6)).otherwise(F.floor(F.col("o") / 5))
+    return reconcile.sensor_groups(x.withColumn("label", label).withColumn("g", group), ["l_orderkey", "g"], "o", "label", _LAYOUT).groupBy("status").agg(F.count("*").alias("n"))
 
 
 SENSOR_GROUP_CLASSIFY = """
-WITH x AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_linenumber, l_extendedprice) - 1 AS o, CASE WHEN l_suppkey % 13 <> 0 THEN least(l_linenumber, 6) END AS label FROM lineitem),
-g AS (SELECT l_orderkey, o // 5 AS g, list(label ORDER BY o) AS l, count(*) AS n, bool_or(label IS NULL) AS holes, bool_or(label = 6) AS odd, count(DISTINCT label) AS u FROM x GROUP BY 1, 2)
-SELECT CASE WHEN n < 5 THEN 'INCOMPLETE' WHEN holes THEN 'MALFORMED' WHEN odd THEN 'UNKNOWN_SENSOR' WHEN u < n THEN 'DUPLICATE_SENSOR' WHEN l <> [1, 2, 3, 4, 5] THEN 'MALFORMED' ELSE 'COMPLETE' END AS status, count(*)::BIGINT AS n FROM g GROUP BY 1
+WITH x AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_linenumber, l_extendedprice) - 1 AS o, CASE l_suppkey % 13 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE least(l_linenumber, 6)::VARCHAR END AS label FROM lineitem),
+g AS (SELECT l_orderkey, o // (CASE WHEN l_orderkey % 4 = 0 THEN 6 ELSE 5 END) AS g, list(label ORDER BY o) AS l, count(*) AS n, bool_or(label IS NULL OR label = '') AS holes, bool_or(label = '6') AS odd, count(DISTINCT label) AS u FROM x GROUP BY 1, 2)
+SELECT CASE WHEN n <> 5 THEN 'INCOMPLETE' WHEN holes THEN 'MALFORMED' WHEN odd THEN 'UNKNOWN_SENSOR' WHEN u < n THEN 'DUPLICATE_SENSOR' WHEN l <> ['1', '2', '3', '4', '5'] THEN 'MALFORMED' ELSE 'COMPLETE' END AS status, count(*)::BIGINT AS n FROM g GROUP BY 1
 """
 
 
@@ -265,7 +266,7 @@ SELECT p_partkey, CASE t WHEN 0 THEN x WHEN 1 THEN y WHEN 2 THEN 639 - x ELSE 47
 
 def quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Broken stream rules over events with seeded faults, counted by rule."""
-    e = timeseries.ordinals(events(spark, sf_dir), KEY, ["time", "event_id"]).withColumn("canonical_time_ns", F.col("time"))
+    e = timeseries.ordinals(events(spark, sf_dir), KEY, ["time", "event_id"], bucket=timeseries.DAY).withColumn("canonical_time_ns", F.col("time"))
     twin = F.col("event_id") % 1000 < 2
     e = e.withColumn("source_ordinal", F.col("event_id")).withColumn("index", F.when(twin, F.floor(F.col("event_id") / 2) + 10**9).otherwise(F.col("event_id")))
     e = e.withColumn("canonical_ordinal", F.col("canonical_ordinal") + F.when(F.col("event_id") % 500 == 7, 1).otherwise(0)).withColumn("quality_bits", F.when(F.col("event_id") % 400 == 3, 4).when(F.col("event_id") % 700 == 5, 8192).otherwise(0).cast("long")).withColumn("clock_epoch_id", F.lit("e"))
@@ -426,7 +427,7 @@ SELECT p.user_id, t AS "start", coalesce(lead(t) OVER (PARTITION BY p.user_id OR
 def nearest_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .frames_sensors import frame_sensor_index
 
-    s = timeseries.ordinals(events(spark, sf_dir).where("event_type <> 'view'"), KEY, ["time", "event_id"], "ordinal").select("user_id", "ordinal", F.when(F.col("event_type") == "error", 8).when(F.col("event_type") == "signup", 64).otherwise(0).cast("long").alias("quality_bits"))
+    s = timeseries.ordinals(events(spark, sf_dir).where("event_type <> 'view'"), KEY, ["time", "event_id"], "ordinal", timeseries.DAY).select("user_id", "ordinal", F.when(F.col("event_type") == "error", 8).when(F.col("event_type") == "signup", 64).otherwise(0).cast("long").alias("quality_bits"))
     return contracts.nearest_quality(frame_sensor_index(spark, sf_dir), s, KEY, KEY)
 
 

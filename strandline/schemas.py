@@ -24,6 +24,9 @@ BITS = {
 }
 KNOWN_BITS = sum(BITS.values())
 FATAL_BITS = KNOWN_BITS & ~BITS["FREQUENCY_UNSUPPORTED"]
+# Statuses of decoded frames and of inference on a frame.
+DECODE_STATUSES = ("OK", "DECODE_FAILURE", "MISSING_TIMESTAMP")
+INFERENCE_STATUSES = ("SUCCESS", "NO_DETECTION", "DECODE_FAILURE", "PREPROCESS_FAILURE", "INFERENCE_FAILURE", "REJECTED_INPUT")
 ELIGIBLE_TIERS = ("RAW_SHARED", "RAW_MAPPED", "SOURCE_DERIVED")
 
 # Columns of the stored tables, `!` where null is not allowed.

@@ -40,8 +40,8 @@ def test_trims_and_groups(spark):
     assert [r["raw"] for r in cuts] == [8, 16, 25, 33, 41, 50, 58, 66, 75, 83, 91, 100, 108, 116] and [r["csv"] for r in cuts] == list(range(1, 15))
     x = spark.createDataFrame([("f", i) for i in range(5)], "f string, n int")
     assert [r["n"] for r in reconcile.trim(x, ["f"], ["n"], F.lit(2), 1).orderBy("n").collect()] == [0, 3, 4]
-    cases = {"ab": "INCOMPLETE", "abcdd": "DUPLICATE_SENSOR", "abcdx": "UNKNOWN_SENSOR", "abced": "MALFORMED", "abcde": "COMPLETE", "abcd?": "MALFORMED", "abcdee": "MALFORMED"}
-    rows = [(g, i, None if c == "?" else c) for g in cases for i, c in enumerate(g)]
+    cases = {"ab": "INCOMPLETE", "abcdd": "DUPLICATE_SENSOR", "abcdx": "UNKNOWN_SENSOR", "abced": "MALFORMED", "abcde": "COMPLETE", "abcd?": "MALFORMED", "abcd_": "MALFORMED", "abcdee": "INCOMPLETE"}
+    rows = [(g, i, {"?": None, "_": ""}.get(c, c)) for g in cases for i, c in enumerate(g)]
     got = reconcile.sensor_groups(spark.createDataFrame(rows, "g string, o int, l string"), ["g"], "o", "l", list("abcde")).collect()
     assert {r["g"]: r["status"] for r in got} == cases
 

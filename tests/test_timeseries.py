@@ -147,7 +147,7 @@ def test_medians_are_exact(spark):
 
     rnd = random.Random(3)
     rows = [(k, rnd.choice([rnd.randint(-5, 50), rnd.randint(10**9, 10**9 + 10**7), 33_333_333])) for k in range(6) for _ in range(rnd.randint(1, 400))] + [(9, -1), (10, None), (11, 2**40)]
-    got = {r["k"]: r["m"] for r in timeseries.medians(frame(spark, rows, "k int, v long"), ["k"], "v", "m").collect()}
+    got = {r["k"]: r["m"] for r in timeseries.medians(frame(spark, rows, "k int, v long"), ["k"], "v", "m", every=True).collect()}
     for k in {k for k, _ in rows}:
         v = [x for j, x in rows if j == k and x is not None and x > 0]
         assert got[k] == (median(v) if v else None)
