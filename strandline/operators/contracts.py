@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..schemas import ELIGIBLE_TIERS
+from ..schemas import BITS, ELIGIBLE_TIERS
+from . import align, validate, windows
 from .frames import primary_selection
 from .reconcile import differing, one_to_one
 
@@ -75,6 +78,95 @@ def split_at(intervals: DataFrame, points: DataFrame, keys: list[str], bucket: i
     return y.select(*(F.col(f"__id.{c}") for c in intervals.columns if c not in ("start", "end")), "__p.start", "__p.end")
 
 
+def alignment_differences(stored: DataFrame, frames: DataFrame, samples: DataFrame, intervals: DataFrame, keys: list[str], **settings) -> DataFrame:
+    """Rows of a stored alignment that the streams don't give, and rows that they give and it lacks; see align.aligned.
+
+    side is `a` for stored rows, `b` for regenerated ones. Coverage is compared to nine decimals."""
+    plain = lambda df: df.withColumn("coverage", F.round("coverage", 9))
+    fresh = plain(align.aligned(frames, samples, intervals, keys, **settings))
+    return differing(plain(stored).select(*fresh.columns), fresh)
+
+
+def window_differences(valid: DataFrame, ledger: DataFrame, columns: list[str], *inputs, **more) -> DataFrame:
+    """Rows of a stored window index and its ledger that the streams don't give, and the other way; see windows.candidates.
+
+    columns: those that tell a window and what is compared of valid ones; of rejected ones the reasons are compared too.
+    table says which of the two differs."""
+    why = ("reason_bits", "reason_codes")
+    listed = lambda df, name: df.select(*columns, *(F.col(c) if name == "ledger" else F.lit(None).cast(kinds[c]).alias(c) for c in why), F.lit(name).alias("table"))
+    fresh = windows.candidates(*inputs, **more)
+    kinds, good = {c: fresh.schema[c].dataType for c in why}, F.col("reason_codes") == ""
+    fresh = fresh.select(*columns, *(F.when(~good, F.col(c)).alias(c) for c in why), F.when(good, "index").otherwise("ledger").alias("table"))
+    return differing(listed(valid, "index").unionByName(listed(ledger, "ledger")), fresh)
+
+
+def segment_violations(segments: DataFrame, domain: DataFrame, intervals: DataFrame, runs: DataFrame, keys: list[str]) -> DataFrame:
+    """rule, key, detail of a pair's continuity segments (keys, segment, start, end, accepted, quality_bits).
+
+    They must cover the pair's domain (keys, from, to) without gap or overlap; an accepted one must lie inside one
+    clock run (keys, stream, start, end) of each of the pair's streams; and those of a pair without any interval of common
+    continuity (intervals: keys, start, end) must all be rejected, with a bit that says what is wrong with the clock."""
+    out = validate.partition_of(segments.select(*keys, "start", "end"), keys, domain)
+    s = segments.where("accepted").select(*keys, "segment", F.col("start").alias("time"), "end")
+    streams = runs.select(*keys, "stream").distinct()
+    owned = align.continuity_owner(s.join(streams, keys), runs, [*keys, "stream"])
+    name = F.concat_ws("/", *keys, "segment")
+    out = out.union(validate.broken(owned, name, {"OUTSIDE_A_CLOCK_RUN": F.col("continuity") != "OWNED"}, F.col("stream")))
+    lost = segments.join(intervals.select(*keys).distinct(), keys, "left_anti")
+    clock = F.col("quality_bits").bitwiseAND(F.lit(BITS["UNRESOLVED_CLOCK_MAP"] | BITS["SYNC_RESIDUAL_EXCEEDED"] | BITS["CLOCK_RESET"])) != 0
+    return out.union(validate.broken(lost, name, {"NO_CLOCK_BUT_NOT_REJECTED": F.col("accepted") | ~clock}))
+
+
+def run_counters(frames: DataFrame, results: DataFrame, detections: DataFrame, selections: DataFrame) -> DataFrame:
+    """One row: what a run counts of its frames, results, detections and selections, and the references that lead nowhere.
+
+    frames: frame_id, pts, pts_status, quality_bits; results: frame_id, detection_count, inference_status; detections:
+    frame_id, detection_id; selections: frame_id, selection_status, selected_detection_id. Each id is counted on all
+    sides before the sides meet, so a frequent one is one row."""
+    bit = lambda n: F.count_if(F.col("quality_bits").bitwiseAND(F.lit(BITS[n])) != 0)
+    status = lambda s: F.count_if(F.col("inference_status") == s)
+    n = lambda c: F.count_if(c)
+    one = [
+        frames.agg(
+            F.count("*").alias("decoded_frames"), F.count("pts").alias("frames_with_source_pts"), n(F.col("pts_status") == "VALID").alias("valid_pts_frames"), bit("MISSING_TIMESTAMP").alias("missing_pts_frames"),
+            bit("DUPLICATE").alias("duplicate_pts_frames"), bit("NON_MONOTONIC").alias("nonmonotonic_pts_frames"), bit("STREAM_GAP").alias("discontinuity_pts_frames"), bit("DECODE_FAILURE").alias("decoded_corrupt_frames"),
+        ),
+        results.agg(
+            F.count("*").alias("cv_frame_results"), n(F.col("detection_count") == 0).alias("zero_detection_frames"), n(F.col("detection_count") == 1).alias("one_detection_frames"), n(F.col("detection_count") > 1).alias("multiple_detection_frames"),
+            status("DECODE_FAILURE").alias("decode_failures"), status("PREPROCESS_FAILURE").alias("preprocessing_failures"), status("INFERENCE_FAILURE").alias("inference_failures"), status("REJECTED_INPUT").alias("rejected_input_failures"),
+            n(~F.col("inference_status").isin("SUCCESS", "NO_DETECTION")).alias("cv_failures"),
+        ),
+        selections.agg(F.count("*").alias("selection_rows"), n(F.col("selection_status") == "SELECTED").alias("selected_frames"), n(F.col("selection_status") == "ABSTAINED").alias("abstained_frames")),
+    ]
+    sides = {"f": frames.select(F.col("frame_id").alias("id")), "r": results.select(F.col("frame_id").alias("id")), "d": detections.select(F.col("frame_id").alias("id")), "s": selections.select(F.col("frame_id").alias("id"))}
+    counted = lambda parts: reduce(DataFrame.unionByName, (df.groupBy("id").agg(F.count("*").alias("c")).withColumn("side", F.lit(k)) for k, df in parts.items())).groupBy("id").agg(*(F.coalesce(F.sum(F.when(F.col("side") == k, F.col("c"))), F.lit(0)).alias(k) for k in parts))
+    total = lambda e: F.coalesce(F.sum(e), F.lit(0)).cast("long")
+    missing = F.when(F.col("f") == 0, F.col("d")).otherwise(0)
+    unplaced = F.when(F.col("f") == 0, F.col("s")).otherwise(0)
+    one.append(counted(sides).agg(
+        total(((F.col("f") > 0) & (F.col("r") == 0)).cast("int")).alias("missing_frame_results"), total(F.greatest(F.col("r") - 1, F.lit(0))).alias("duplicate_frame_results"), total(F.greatest(F.col("f") - 1, F.lit(0))).alias("duplicate_frame_ids"),
+        total(missing).alias("orphan_detections"), total(unplaced).alias("selections_without_frame"),
+    ))
+    picked = {"d": detections.select(F.col("detection_id").alias("id")), "p": selections.where("selected_detection_id is not null").select(F.col("selected_detection_id").alias("id"))}
+    one.append(counted(picked).agg(total("d").alias("total_detections"), total(F.greatest(F.col("d") - 1, F.lit(0))).alias("duplicate_detection_ids"), total(F.when(F.col("d") == 0, F.col("p")).otherwise(0)).alias("invalid_selected_detection_ids")))
+    # one row each
+    x = reduce(lambda a, b: a.join(b, "one"), (df.withColumn("one", F.lit(1)) for df in one)).drop("one")
+    x = x.withColumn("invalid_selection_references", F.col("selections_without_frame") + F.col("invalid_selected_detection_ids"))
+    return x.withColumn("foreign_key_violations", F.col("orphan_detections") + F.col("invalid_selection_references")).drop("selections_without_frame")
+
+
+def poll_groups(rows: DataFrame, recording: str, kind: str, cycle: int = 5) -> DataFrame:
+    """recording, raw_groups, ticks, status of rows of kinds RAW, STO and MOT: dynamic poll groups (what is left of RAW
+    rows without the first cycle, in whole cycles) against dynamic rows at the nominal rate (STO without the first row).
+
+    status: NOTHING_DYNAMIC, STO_AND_MOT_DIFFER, EQUAL, or NOT_ONE_TO_ONE, as a poll group is no tick of a clock."""
+    n = lambda k: F.count_if(F.col(kind) == k)
+    x = rows.groupBy(recording).agg(n("RAW").alias("raw"), n("STO").alias("sto"), n("MOT").alias("mot"))
+    x = x.withColumn("raw_groups", F.greatest(F.lit(0), F.expr(f"(raw - {cycle}) div {cycle}"))).withColumn("ticks", F.greatest(F.lit(0), F.col("sto") - 1))
+    status = F.when(F.col("sto") != F.col("mot"), "STO_AND_MOT_DIFFER").when((F.col("ticks") < 1) | (F.col("raw") < cycle), "NOTHING_DYNAMIC").when(F.col("raw_groups") == F.col("ticks"), "EQUAL").otherwise("NOT_ONE_TO_ONE")
+    return x.select(recording, "raw_groups", "ticks", status.alias("status"))
+
+
 def check_document(value, shape, at: str = "$") -> list[str]:
     """What is wrong with a provenance document: a shape is a type, a set of allowed values, [shape of items], or
     {key: shape}, whose keys are all there are; a key that ends in ? may be missing."""

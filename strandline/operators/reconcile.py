@@ -38,8 +38,11 @@ def key_sets(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
 
 
 def differing(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Rows of either table that the other lacks, as often as it lacks them; side tells where they are. Empty if the tables are equal."""
-    return a.exceptAll(b).withColumn("side", F.lit("a")).unionByName(b.exceptAll(a).withColumn("side", F.lit("b")))
+    """Rows of either table that the other lacks, as often as it lacks them; side tells where they are. Empty if the tables
+    are equal. Both are read once and counted by row in one aggregate, before anything meets."""
+    name = [f"`{c}`" for c in a.columns]
+    x = a.withColumn("__n", F.lit(1)).unionByName(b.withColumn("__n", F.lit(-1))).groupBy(*name).agg(F.sum("__n").alias("__n")).where("__n <> 0")
+    return x.withColumn("__k", F.explode(F.sequence(F.lit(1).cast("long"), F.abs("__n")))).select(*name, F.when(F.col("__n") > 0, "a").otherwise("b").alias("side"))
 
 
 def ratio_summary(rows: DataFrame, num: str, den: str, label: list[str]) -> DataFrame:

@@ -61,6 +61,17 @@ def ordinals(df: DataFrame, keys: list[str], order: list[str], name: str = "cano
     return x.withColumn(name, F.col(name) - 1)
 
 
+def owned_ordinals(df: DataFrame, keys: list[str], time: str, order: list[str], end: Column, name: str = "interval_end", ordinal: str = "ordinal", bucket: int = DAY) -> DataFrame:
+    """df with ordinals and owned intervals (see there), whose order is found once for both."""
+    x = _in_bucket(df, order, bucket)
+    w = Window.partitionBy(*keys, "__b").orderBy(*order)
+    ends = x.groupBy(*keys, "__b").agg(F.count("*").alias("__n"), F.min(time).alias("__first"))
+    over = Window.partitionBy(*keys).orderBy("__b")
+    ends = ends.select(*keys, "__b", F.coalesce(F.sum("__n").over(_before(keys)), F.lit(0)).alias("__base"), F.lead("__first").over(over).alias("__later"))
+    x = x.withColumn("__k", F.row_number().over(w)).withColumn("__next", F.lead(time).over(w)).join(ends, [*keys, "__b"])
+    return x.select(*df.columns, (F.col("__base") + F.col("__k") - 1).cast("long").alias(ordinal), F.coalesce("__next", "__later", end).alias(name))
+
+
 def owned_intervals(df: DataFrame, keys: list[str], time: str, order: list[str], end: Column | None = None, name: str = "interval_end", bucket: int | None = None) -> DataFrame:
     """Each row owns from its time to the next row's; the last one to `end` (null without)."""
     x = neighbours(df, keys, order, [time], bucket)

@@ -139,8 +139,7 @@ def _segments(e: DataFrame) -> DataFrame:
 
 def _paired(e: DataFrame) -> tuple[DataFrame, DataFrame]:
     bits = lambda kind, bit: F.when(F.col("event_type") == kind, bit).otherwise(0).cast("long").alias("quality_bits")
-    v = timeseries.ordinals(e.where("event_type = 'view'"), KEY, ["time", "event_id"], "ordinal", DAY)
-    v = timeseries.owned_intervals(v, KEY, "time", ["time", "event_id"], F.col("time") + 1000, "end", DAY)
+    v = timeseries.owned_ordinals(e.where("event_type = 'view'"), KEY, "time", ["time", "event_id"], F.col("time") + 1000, "end")
     s = timeseries.ordinals(e.where("event_type <> 'view'"), KEY, ["time", "event_id"], "ordinal", DAY)
     return v.select("user_id", "time", "end", "ordinal", bits("none", 0)), s.select("user_id", "time", "ordinal", bits("error", BITS["FREQUENCY_UNSUPPORTED"]))
 

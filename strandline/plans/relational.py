@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -332,8 +331,7 @@ def table_semantic_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def snapshot_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tables published as a snapshot and read back by its pointer, counted."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="strandline-")
-    root = f"{root}/store-{uuid.uuid4().hex}"
+    root = f"{store.shared_folder(spark)}/store-{uuid.uuid4().hex}"
     store.publish(spark, root, {t: table(spark, sf_dir, t) for t in ("nation", "region")}, {"source": "test tables"}, "first", {"nation": ["n_nationkey"], "region": ["r_regionkey"]})
     snapshot = store.Snapshot(spark, root)
     return snapshot.table("nation").join(snapshot.table("region"), F.col("n_regionkey") == F.col("r_regionkey")).groupBy("r_name").agg(F.count("*").alias("n"))
@@ -347,9 +345,7 @@ def sliding_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = table(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     counts = streams.hop_counts(stream.withColumn("at", F.col("ts").cast("timestamp")), "at", ["event_type"], "4 days", "1 day", "1 hour")
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="strandline-")
-    name = f"hops_{uuid.uuid4().hex}"
-    return streams.run_once(counts, name, f"{folder}/{name}", "complete").groupBy("event_type").agg(F.count("*").alias("n_windows"), F.sum("n").alias("n_rows"))
+    return streams.totals_once(counts, f"{store.shared_folder(spark)}/hops-{uuid.uuid4().hex}").groupBy("event_type").agg(F.count("*").alias("n_windows"), F.sum("n").alias("n_rows"))
 
 
 SLIDING_STREAM = """

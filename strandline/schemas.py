@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import json
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
 # Quality flags.
@@ -65,6 +67,16 @@ def schema(table: str) -> StructType:
     return _schema(_COLUMNS[table])
 
 
+def closed(df: DataFrame, table: str) -> DataFrame:
+    """df with just the table's columns, in order and of its types; a column that is missing or can't be cast is an error,
+    as is a null where none is allowed."""
+    want = schema(table)
+    if unknown := sorted(set(df.columns) - set(want.names)):
+        raise ValueError(f"{table} has no columns {unknown}")
+    out = df.select(*(F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in want))
+    return out.select(*((F.col(f.name) if f.nullable else F.coalesce(f.name, F.raise_error(F.lit(f"{table}.{f.name} is null")).cast(f.dataType))).alias(f.name) for f in want))
+
+
 def tables() -> list[str]:
     return list(_COLUMNS)
 

@@ -1,68 +1,63 @@
 """Immutable snapshots: sorted Parquet tables, a manifest with digests, a pointer to the current one, and replay.
 
-A snapshot is a folder under snapshots/; it is staged, verified, renamed into place and then named by CURRENT.json.
-Files are reached by Spark's file systems, so the store may lie wherever Spark can write.
+Everything is written and read by Spark, so a store may lie wherever Spark can write. A snapshot is a folder under
+snapshots/. It counts as published once a row of the log names it: Spark puts a log file in place whole or not at all,
+so a crash leaves the snapshot before as the current one, and a folder that nothing names, which the next try replaces.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import tempfile
+import time
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType, StructType
 
 from ..schemas import SORT_KEYS, fingerprint
 
+_LOG = "name string, at long, note string"
+
 
 def canonical_json(value) -> str:
     """Sorted keys, two spaces, no NaN, a line end."""
     return json.dumps(value, sort_keys=True, indent=2, allow_nan=False, ensure_ascii=False) + "\n"
 
 
-class Files:
-    """A few file operations of the file system that a path is on."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as spark.checkpoint.dir names it; in local mode a temporary one will do."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return tempfile.mkdtemp(prefix="strandline-")
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.jvm = spark.sparkContext._jvm
-        self.path = self.jvm.org.apache.hadoop.fs.Path(root)
-        self.fs = self.path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def at(self, name: str):
-        return self.jvm.org.apache.hadoop.fs.Path(self.path, name)
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small text as a folder of one file."""
+    spark.createDataFrame([(text.removesuffix("\n"),)], "value string").coalesce(1).write.text(path)
 
-    def write(self, name: str, text: str) -> None:
-        out = self.fs.create(self.at(name), True)
-        try:
-            out.write(bytearray(text.encode()))
-        finally:
-            out.close()
 
-    def read(self, name: str) -> str:
-        stream = self.fs.open(self.at(name))
-        try:
-            return bytes(self.jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
-        finally:
-            stream.close()
+def read_text(spark: SparkSession, path: str) -> str:
+    return spark.read.text(path, wholetext=True).first()["value"]
 
-    def exists(self, name: str) -> bool:
-        return self.fs.exists(self.at(name))
 
-    def move(self, a: str, b: str) -> None:
-        if self.exists(b):
-            raise FileExistsError(f"{b} is there already")
-        if not self.fs.rename(self.at(a), self.at(b)):
-            raise OSError(f"{a} could not be moved to {b}")
+def _append(spark: SparkSession, path: str, name: str, note: str) -> None:
+    spark.createDataFrame([(name, time.time_ns(), note)], _LOG).coalesce(1).write.mode("append").json(path)
 
-    def replace(self, name: str, text: str) -> None:
-        """Write beside, then move over."""
-        self.write(f"{name}.next", text)
-        self.fs.delete(self.at(name), False)
-        self.move(f"{name}.next", name)
 
-    def delete(self, name: str) -> None:
-        self.fs.delete(self.at(name), True)
+def _log(spark: SparkSession, path: str) -> DataFrame:
+    """Rows (name, at, note) of a log, oldest first; none if it doesn't exist yet."""
+    try:
+        return spark.read.schema(_LOG).json(path).orderBy("at", "name")
+    except AnalysisException as why:
+        if why.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], _LOG)
 
 
 def _exact(c: Column, kind) -> Column:
@@ -81,17 +76,14 @@ def row_digest(df: DataFrame) -> Column:
     return F.sha2(F.concat(*parts), 256)
 
 
-def semantic_hash(df: DataFrame, blocks: int = 4096) -> str:
+def semantic_hash(df: DataFrame) -> str:
     """Digest of a table's schema and rows (as a multiset) that no order or partitioning changes.
 
-    Row digests are sorted within `blocks` blocks by their first hex digits and hashed there; the driver hashes the
-    blocks' digests. blocks should grow with the table (rows / blocks is what one task sorts at once)."""
-    x = df.select(row_digest(df).alias("h")).withColumn("b", F.pmod(F.conv(F.substring("h", 1, 8), 16, 10).cast("long"), F.lit(blocks)))
-    # equal rows meet in one count, so a row that is repeated very often is one entry
-    counted = x.groupBy("b", "h").agg(F.count("*").alias("n"))
-    parts = counted.groupBy("b").agg(F.sha2(F.concat_ws(",", F.array_sort(F.collect_list(F.concat_ws("*", "h", F.col("n").cast("string"))))), 256).alias("d"))
-    body = "".join(f"{r['b']}:{r['d']}\n" for r in parts.orderBy("b").collect())  # at most `blocks` rows
-    return hashlib.sha256(f"multiset-1\n{fingerprint(_plain(df.schema))}\n{body}".encode()).hexdigest()
+    The four quarters of the rows' digests are added up, exactly, in one aggregate with partial sums, and the sums and
+    the count are hashed: one row comes to the driver, whatever the size (up to 10**18 rows)."""
+    quarter = lambda k: F.conv(F.substring("h", 16 * k + 1, 16), 16, 10).cast("decimal(20,0)")
+    sums = df.select(row_digest(df).alias("h")).agg(F.count("*").alias("n"), *(F.sum(quarter(k)).cast("string").alias(f"s{k}") for k in range(4))).first()
+    return hashlib.sha256(f"multiset-2\n{fingerprint(_plain(df.schema))}\n{':'.join(str(x) for x in sums)}\n".encode()).hexdigest()
 
 
 def _plain(schema: StructType) -> StructType:
@@ -103,67 +95,67 @@ def write_table(df: DataFrame, path: str, sort_keys: list[str], partition_by: li
     """Parquet in canonical order: range-partitioned and sorted by the keys, zstd, no dictionary, bounded row groups."""
     x = df.repartitionByRange(*(F.col(k).asc_nulls_last() for k in sort_keys)).sortWithinPartitions(*(F.col(k).asc_nulls_last() for k in [*(partition_by or []), *sort_keys]))
     w = x.write.option("compression", "zstd").option("parquet.enable.dictionary", "false").option("parquet.writer.version", "PARQUET_2_0").option("parquet.block.row.count.limit", rows_per_group)
-    (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
+    (w.partitionBy(*partition_by) if partition_by else w).mode("overwrite").parquet(path)
 
 
 def publish(spark: SparkSession, root: str, tables: dict[str, DataFrame], provenance: dict, snapshot_id: str, sort_keys: dict[str, list[str]] = SORT_KEYS) -> dict:
-    """Stage, verify, move into place and point to it; returns the manifest. An id that exists is refused."""
-    files, stage, final = Files(spark, root), f"_staging/{snapshot_id}", f"snapshots/{snapshot_id}"
-    if files.exists(final):
+    """Write, measure what was written, then name it in the log; returns the manifest. An id that was published is refused."""
+    if not _log(spark, f"{root}/published").where(F.col("name") == snapshot_id).isEmpty():
         raise FileExistsError(f"snapshot {snapshot_id} is there already")
-    files.delete(stage)
-    manifest: dict = {"snapshot_id": snapshot_id, "tables": {}}
+    place = f"{root}/snapshots/{snapshot_id}"
+    manifest: dict = {"snapshot_id": snapshot_id, "tables": {}, "provenance_sha256": hashlib.sha256(canonical_json(provenance).encode()).hexdigest()}
     for name, df in tables.items():
-        write_table(df, f"{root}/{stage}/{name}", sort_keys.get(name) or df.columns[:1])
-        stored = spark.read.parquet(f"{root}/{stage}/{name}")
-        manifest["tables"][name] = {"rows": stored.count(), "schema": fingerprint(_plain(stored.schema)), "semantic_sha256": semantic_hash(stored)}
-    files.write(f"{stage}/provenance.json", canonical_json(provenance))
-    manifest["provenance_sha256"] = hashlib.sha256(canonical_json(provenance).encode()).hexdigest()
-    files.write(f"{stage}/manifest.json", canonical_json(manifest))
-    verify(spark, f"{root}/{stage}")
-    files.fs.mkdirs(files.at("snapshots"))
-    files.move(stage, final)
-    files.replace("CURRENT.json", canonical_json({"snapshot_id": snapshot_id}))
+        write_table(df, f"{place}/{name}", sort_keys.get(name) or df.columns[:1])
+        manifest["tables"][name] = _claims(spark.read.parquet(f"{place}/{name}"))
+    for name, document in (("provenance", provenance), ("manifest", manifest)):
+        spark.createDataFrame([(canonical_json(document).removesuffix("\n"),)], "value string").coalesce(1).write.mode("overwrite").text(f"{place}/{name}.json")
+    _append(spark, f"{root}/published", snapshot_id, "")
     return manifest
 
 
+def _claims(df: DataFrame) -> dict:
+    return {"rows": df.count(), "schema": fingerprint(_plain(df.schema)), "semantic_sha256": semantic_hash(df)}
+
+
 def publish_bundle(spark: SparkSession, root: str, recording: str, tables: dict[str, DataFrame], sort_keys: dict[str, list[str]]) -> dict:
-    """A recording's tables under bundles/<recording>, ended by SUCCESS.json or, if writing or verifying fails, by
-    FAILURE.json; never both, and what is there is not replaced."""
-    files, place = Files(spark, root), f"bundles/{recording}"
-    if files.exists(place):
-        raise FileExistsError(f"{place} is there already")
-    claims: dict = {}
+    """A recording's tables under bundles/<recording>, ended by one row of the log, SUCCESS with the tables' digests or,
+    if writing or comparing with the source fails, FAILURE with the reason. A recording that has one is refused."""
+    log, claims = f"{root}/bundles_ended", {}
+    if not _log(spark, log).where(F.col("name") == recording).isEmpty():
+        raise FileExistsError(f"{recording} has ended already")
     try:
         for name, df in tables.items():
-            write_table(df, f"{root}/{place}/{name}", sort_keys.get(name) or df.columns[:1])
-            stored = spark.read.parquet(f"{root}/{place}/{name}")
+            path = f"{root}/bundles/{recording}/{name}"
+            write_table(df, path, sort_keys.get(name) or df.columns[:1])
+            stored = spark.read.parquet(path)
             claims[name] = {"rows": stored.count(), "semantic_sha256": semantic_hash(stored)}
             if claims[name]["semantic_sha256"] != semantic_hash(df):
                 raise ValueError(f"{name} was not stored as it is")
     except Exception as why:
-        files.fs.mkdirs(files.at(place))
-        files.write(f"{place}/FAILURE.json", canonical_json({"recording": recording, "reason": type(why).__name__}))
+        _append(spark, log, recording, json.dumps({"state": "FAILURE", "reason": type(why).__name__}))
         raise
-    files.write(f"{place}/SUCCESS.json", canonical_json({"recording": recording, "tables": claims}))
+    _append(spark, log, recording, json.dumps({"state": "SUCCESS", "tables": claims}, sort_keys=True))
     return claims
 
 
+def ended(spark: SparkSession, root: str) -> DataFrame:
+    """recording_id, state, reason of every bundle that has ended."""
+    note = F.from_json("note", "state string, reason string")
+    return _log(spark, f"{root}/bundles_ended").select(F.col("name").alias("recording_id"), note.alias("x")).select("recording_id", "x.state", "x.reason")
+
+
 def unfinished(spark: SparkSession, root: str, recordings: DataFrame) -> DataFrame:
-    """Recordings without a terminal marker: what a run that goes on has to do."""
-    done = spark.read.format("binaryFile").option("pathGlobFilter", "{SUCCESS,FAILURE}.json").option("recursiveFileLookup", "true").load(f"{root}/bundles").select(F.element_at(F.split("path", "/"), -2).alias("recording_id"))
-    return recordings.join(done, "recording_id", "left_anti")
+    """Recordings that haven't ended: what a run that goes on has to do."""
+    return recordings.join(ended(spark, root), "recording_id", "left_anti")
 
 
 def verify(spark: SparkSession, path: str) -> dict:
     """The manifest of a snapshot folder; raises where rows, schema, digests or provenance are not as it says."""
-    files = Files(spark, path)
-    manifest = json.loads(files.read("manifest.json"))
-    if hashlib.sha256(files.read("provenance.json").encode()).hexdigest() != manifest["provenance_sha256"]:
+    manifest = json.loads(read_text(spark, f"{path}/manifest.json"))
+    if hashlib.sha256(read_text(spark, f"{path}/provenance.json").encode()).hexdigest() != manifest["provenance_sha256"]:
         raise ValueError("provenance is not what the manifest says")
     for name, claim in manifest["tables"].items():
-        df = spark.read.parquet(f"{path}/{name}")
-        found = {"rows": df.count(), "schema": fingerprint(_plain(df.schema)), "semantic_sha256": semantic_hash(df)}
+        found = _claims(spark.read.parquet(f"{path}/{name}"))
         if found != claim:
             raise ValueError(f"{name} is not what the manifest says: {[k for k in claim if found[k] != claim[k]]}")
     return manifest
@@ -173,9 +165,13 @@ class Snapshot:
     """The current snapshot of a store, or a named one."""
 
     def __init__(self, spark: SparkSession, root: str, snapshot_id: str | None = None, check: bool = True):
-        self.spark, self.id = spark, snapshot_id or json.loads(Files(spark, root).read("CURRENT.json"))["snapshot_id"]
+        last = _log(spark, f"{root}/published").orderBy(F.desc("at"), F.desc("name"))
+        row = (last.where(F.col("name") == snapshot_id) if snapshot_id else last).first()
+        if row is None:
+            raise FileNotFoundError(f"no snapshot {snapshot_id or ''} in {root}")
+        self.spark, self.id = spark, row["name"]
         self.path = f"{root}/snapshots/{self.id}"
-        self.manifest = verify(spark, self.path) if check else json.loads(Files(spark, self.path).read("manifest.json"))
+        self.manifest = verify(spark, self.path) if check else json.loads(read_text(spark, f"{self.path}/manifest.json"))
 
     def table(self, name: str) -> DataFrame:
         """A lazy scan; filters and columns reach the Parquet reader."""

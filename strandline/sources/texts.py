@@ -72,32 +72,82 @@ def sensor_log_violations(rows: DataFrame) -> DataFrame:
 
 
 def pose_table(rows: DataFrame) -> DataFrame:
-    """path, source_row_ordinal, positions_mm (102), zero_triplet_mask (34) from lines of pose tables, without the header."""
-    x = rows.where("line_number > 0").withColumn("positions_mm", F.transform(F.split("line", ","), lambda v: F.btrim(v).cast("double")))
+    """path, source_row_ordinal, positions_mm (102), zero_triplet_mask (34) from lines of pose tables, without the header.
+
+    A value that is no number is null here; pose_violations tells which rows aren't as they should be."""
+    x = rows.where("line_number > 0").withColumn("positions_mm", F.transform(F.split("line", ","), lambda v: v.try_cast("double")))
     zero = F.transform(F.sequence(F.lit(0), F.lit(JOINTS - 1)), lambda i: F.forall(F.slice("positions_mm", 3 * i + 1, 3), lambda v: v == 0))
     return x.select("path", (F.col("line_number") - 1).cast("long").alias("source_row_ordinal"), "positions_mm", zero.alias("zero_triplet_mask"))
 
 
+def pose_violations(rows: DataFrame, header: str | None = None) -> DataFrame:
+    """rule, path, line_number: another header than the given one, not 102 values, white space or nothing where a value
+    should be, no number, no finite number."""
+    f = rows.withColumn("f", F.split("line", ",")).withColumn("v", F.transform("f", lambda t: t.try_cast("double")))
+    blank = F.exists("f", lambda t: t.rlike(r"^\s|\s$|^$"))
+    rules = {
+        "VALUES": F.size("f") != 3 * JOINTS, "WHITE_SPACE": blank, "NO_NUMBER": ~blank & F.exists("v", lambda v: v.isNull()),
+        "NOT_FINITE": F.exists("v", lambda v: F.coalesce(F.isnan(v) | (F.abs(v) == float("inf")), F.lit(False))),
+    }
+    found = F.filter(F.array(*(F.when(c, F.lit(r)) for r, c in rules.items())), lambda r: r.isNotNull())
+    out = f.where("line_number > 0").select(F.explode(found).alias("rule"), "path", "line_number")
+    if header is not None:
+        out = out.union(rows.where((F.col("line_number") == 0) & (F.col("line") != header)).select(F.lit("HEADER"), "path", "line_number"))
+    return out
+
+
+#: How a recording is written: subject, activity 01-13, trial.
+RECORDING = r"S\d{2}_A(?:0[1-9]|1[0-3])_T\d{2}"
+
+
 def instructions(rows: DataFrame) -> DataFrame:
-    """Trim instructions from lines (path, line_number, line): subject, activity, trial, file, type, cut_frames, rmse values, row_sha256 (of the line with \\r\\n), valid."""
+    """Trim instructions from lines (path, line_number, line): recording_id, subject, activity, trial, file, type, cut_frames, rmse values, row_sha256 (of the line with \\r\\n), problem (null if there is none).
+
+    Fields count as they are, with no white space taken off. problem is the first of: WIDTH (not eight fields),
+    IDENTITY (no recording, or an unknown type), FILE (another name than the recording's of that type), NUMBERS,
+    RANGE (a cut of other than 1 to 14 frames), REPEATED (a recording's type twice)."""
     f = F.split("line", ",")
-    at = lambda i: F.btrim(F.get(f, F.lit(i)))
+    at = lambda i: F.get(f, F.lit(i))
     x = rows.where("line_number > 0").select(
-        "path", "line_number", at(0).alias("subject"), at(1).alias("activity"), at(2).alias("trial"), at(3).alias("file"), at(4).alias("type"), at(5).try_cast("int").alias("cut_frames"),
-        at(6).try_cast("double").alias("original_rmse"), at(7).try_cast("double").alias("theoretical_rmse"), F.sha2(F.concat("line", F.lit("\r\n")), 256).alias("row_sha256"), (F.size(f) == 8).alias("__full"),
+        "path", "line_number", F.concat_ws("_", at(0), at(1), at(2)).alias("recording_id"), at(0).alias("subject"), at(1).alias("activity"), at(2).alias("trial"), at(3).alias("file"), at(4).alias("type"),
+        F.when(at(5).rlike(r"^[+-]?\d{1,9}$"), at(5).try_cast("int")).alias("cut_frames"), at(6).try_cast("double").alias("original_rmse"), at(7).try_cast("double").alias("theoretical_rmse"),
+        F.sha2(F.concat("line", F.lit("\r\n")), 256).alias("row_sha256"), (F.size(f) != 8).alias("__width"),
     )
-    n = F.count("*").over(Window.partitionBy("path", "subject", "activity", "trial", "type"))
-    valid = F.col("__full") & F.col("type").isin("csv", "mot", "mp4", "raw") & F.col("cut_frames").between(1, 14) & (n == 1)
-    return x.withColumn("valid", F.coalesce(valid, F.lit(False))).drop("__full")
-
-
-def choices(texts: DataFrame, text: str = "text") -> DataFrame:
-    """texts with each `<kind> ... <cut> ... <rmse>` choice of a plot's labels: kind, cut, rmse; direction IMU, VIDEO or ZERO by the cut's sign."""
-    found = F.regexp_extract_all(text, F.lit(r"(cut\s*=\s*-?\d+\D+?\d+\.\d+)"), F.lit(1))
-    x = texts.withColumn("__c", F.explode(found))
-    cut = F.regexp_extract("__c", r"=\s*(-?\d+)", 1).cast("int")
-    x = x.withColumn("cut", cut).withColumn("rmse", F.regexp_extract("__c", r"(\d+\.\d+)$", 1).cast("double")).drop("__c")
-    return x.withColumn("direction", F.when(F.col("cut") > 0, "IMU").when(F.col("cut") < 0, "VIDEO").otherwise("ZERO"))
+    n = F.count("*").over(Window.partitionBy("path", "recording_id", "type"))
+    name = F.element_at(F.split("file", r"[\\/]"), -1)
+    should = F.concat(F.when(F.col("type") == "mot", "ik_").otherwise(""), "recording_id", F.lit("."), "type")
+    problem = (
+        F.when(F.col("__width"), "WIDTH")
+        .when(~F.col("recording_id").rlike(f"^{RECORDING}$") | ~F.col("type").isin("csv", "mot", "mp4", "raw"), "IDENTITY")
+        .when(name != should, "FILE")
+        .when(F.col("cut_frames").isNull() | F.col("original_rmse").isNull() | F.col("theoretical_rmse").isNull(), "NUMBERS")
+        .when(~F.col("cut_frames").between(1, 14), "RANGE")
+        .when(n > 1, "REPEATED")
+    )
+    return x.withColumn("problem", problem).drop("__width")
+
+
+def choices(texts: DataFrame, activity: str | None = None, text: str = "text") -> DataFrame:
+    """texts with each choice that a plot states: recording, rmse (two decimals), imu_cut, video_cut, direction, problem.
+
+    A choice is a comment that names a recording's angle file, and the next comment SHIFTED with the error and both
+    cuts. direction is IMU or VIDEO by the cut that isn't zero, else ZERO. problem: BOTH_CUT, RANGE (over 14),
+    ACTIVITY (another one than the column `activity` says), REPEATED (a recording chosen twice), else null."""
+    whole = rf"(?s)(<!-- {RECORDING}\.mot \(Angle: [^)]*\) -->.*?<!-- SHIFTED, RMSE: [0-9]+\.[0-9]{{2}}  \(cut imu:[0-9]+, cut vid:[0-9]+\) -->)"
+    x = texts.withColumn("__c", F.explode(F.regexp_extract_all(text, F.lit(whole), F.lit(1))))
+    shifted = lambda part: F.regexp_extract("__c", rf"(?s)^.*<!-- SHIFTED, RMSE: ([0-9]+\.[0-9]{{2}})  \(cut imu:([0-9]+), cut vid:([0-9]+)\) -->$", part)
+    x = x.withColumn("recording", F.regexp_extract("__c", f"^<!-- ({RECORDING})", 1)).withColumn("rmse", shifted(1)).withColumn("imu_cut", shifted(2).cast("int")).withColumn("video_cut", shifted(3).cast("int")).drop("__c")
+    x = x.withColumn("direction", F.when(F.col("imu_cut") > 0, "IMU").when(F.col("video_cut") > 0, "VIDEO").otherwise("ZERO"))
+    problem = F.when((F.col("imu_cut") > 0) & (F.col("video_cut") > 0), "BOTH_CUT").when(F.greatest("imu_cut", "video_cut") > 14, "RANGE")
+    if activity is not None:
+        problem = problem.when(F.get(F.split("recording", "_"), F.lit(1)) != F.col(activity), "ACTIVITY")
+    return x.withColumn("problem", problem.when(F.count("*").over(Window.partitionBy("recording")) > 1, "REPEATED"))
+
+
+def utc_time(text: Column) -> Column:
+    """The instant of an RFC 3339 time that ends in Z, which must exist in the calendar; null for any other text."""
+    form = text.rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?Z$") & ~text.rlike(r"T\d{2}:\d{2}:60") & ~text.rlike(r"T24")
+    return F.when(form, F.try_to_timestamp(F.concat(F.substring(text, 1, 19), F.lit("Z")), F.lit("yyyy-MM-dd'T'HH:mm:ssX")))
 
 
 def inventory(spark: SparkSession, root: str) -> DataFrame:
@@ -107,6 +157,37 @@ def inventory(spark: SparkSession, root: str) -> DataFrame:
     return files.select("path", "length", F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1)).alias("extension"), F.nullif(F.regexp_extract(name, r"(S\d+_A\d+_T\d+)", 1), F.lit("")).alias("recording"), F.sha2("content", 256).alias("sha256"))
 
 
+def file_classes(files: DataFrame, known: dict[str, tuple[str, str]] | None = None) -> DataFrame:
+    """files (path below the data folder) with recording, class, reason.
+
+    class: POSE, RAW, VIDEO (the slots of a recording, in its subject's folder), KNOWN (a path of `known`, which gives
+    its recording and reason), COMPANION (files that go with a recording but aren't read: calibration poses, inverse
+    kinematics, orientation errors, merged storage), MISPLACED (a slot outside its subject's folder), UNEXPECTED."""
+    # What stands around a recording's name in slots and companions.
+    slots = {".csv": "POSE", ".raw": "RAW", "_pose.mp4": "VIDEO"}
+    companions = {"_Npose.csv": "NPOSE_CALIBRATION", "_Npose_pose.mp4": "NPOSE_CALIBRATION", "ik_.mot": "INVERSE_KINEMATICS", "ik__orientationErrors.sto": "ORIENTATION_ERRORS", ".sto": "MERGED_STORAGE"}
+    table = lambda d: F.create_map(*(F.lit(v) for item in d.items() for v in item))
+    parts = F.split("path", "/")
+    part = lambda k: F.regexp_extract(F.element_at(parts, -1), rf"^(ik_)?({RECORDING})([_.].*)$", k)
+    x = files.withColumn("__p", F.struct(part(2).alias("recording"), F.concat(part(1), part(3)).alias("form"), F.size(parts).alias("depth"), F.get(parts, F.lit(0)).alias("folder")))
+    pinned = F.try_element_at(table({p: f"{r}\n{why}" for p, (r, why) in known.items()}), F.col("path")) if known else F.lit(None).cast("string")
+    x = x.withColumn("__f", F.struct(pinned.alias("pinned"), F.try_element_at(table(slots), F.col("__p.form")).alias("slot"), F.try_element_at(table(companions), F.col("__p.form")).alias("why")))
+    named = F.col("__f.slot").isNotNull() | F.col("__f.why").isNotNull()
+    placed = (F.col("__p.depth") == 2) & (F.col("__p.folder") == F.substring("__p.recording", 1, 3))
+    kind = F.when(F.col("__f.pinned").isNotNull(), "KNOWN").when(~named, "UNEXPECTED").when(~placed, "MISPLACED").otherwise(F.coalesce("__f.slot", F.lit("COMPANION")))
+    half = lambda k: F.get(F.split("__f.pinned", "\n"), F.lit(k))
+    return x.withColumn("recording", F.coalesce(half(0), F.when(named, F.col("__p.recording")))).withColumn("class", kind).withColumn("reason", F.coalesce(half(1), F.col("__f.why"))).drop("__p", "__f")
+
+
+def recordings(classified: DataFrame) -> DataFrame:
+    """recording, video_path, pose_path, raw_path, complete, ambiguous (two files of a slot) of classified files."""
+    slot = {"VIDEO": "video_path", "POSE": "pose_path", "RAW": "raw_path"}
+    x = classified.where(F.col("class").isin(*slot)).groupBy("recording").agg(*(F.min(F.when(F.col("class") == c, F.col("path"))).alias(n) for c, n in slot.items()), *(F.count_if(F.col("class") == c).alias(f"__{c}") for c in slot))
+    every = lambda f: F.array(*(f(c) for c in slot))
+    x = x.withColumn("complete", F.forall(every(lambda c: F.col(f"__{c}")), lambda n: n > 0)).withColumn("ambiguous", F.exists(every(lambda c: F.col(f"__{c}")), lambda n: n > 1))
+    return x.drop(*(f"__{c}" for c in slot))
+
+
 def pair_modalities(files: DataFrame, kinds: dict[str, str]) -> DataFrame:
     """recording, a path for each kind (extension to column), inventory_complete, n_extra (files beyond one a kind, or of no kind)."""
     named = files.where(F.col("recording").isNotNull())
@@ -154,8 +235,8 @@ def by_kind(rows: DataFrame, kinds: tuple[str, ...] = ("csv", "mot", "mp4", "raw
 
 
 def verify_members(listed: DataFrame, found: DataFrame) -> DataFrame:
-    """listed (path, length, sha256) with status VERIFIED, MISMATCH or UNAVAILABLE against found; paths meet in lower case."""
-    key = lambda df, n: df.withColumn("__k", F.lower(F.regexp_replace("path", "^\\./", ""))).withColumnRenamed("path", n)
+    """listed (path, length, sha256) with status VERIFIED, MISMATCH or UNAVAILABLE against found; paths meet by path_key."""
+    key = lambda df, n: df.withColumn("__k", path_key(F.regexp_replace("path", "^\\./", ""))).withColumnRenamed("path", n)
     y = key(found, "__p").select("__k", F.col("length").alias("__l"), F.col("sha256").alias("__h"))
     status = F.when(F.col("__h").isNull(), "UNAVAILABLE").when((F.col("__h") == F.col("sha256")) & (F.col("__l") == F.col("length")), "VERIFIED").otherwise("MISMATCH")
     return key(listed, "path").join(y, "__k", "left").withColumn("status", status).drop("__k", "__l", "__h")

@@ -47,8 +47,45 @@ def clock_epochs(samples: DataFrame) -> DataFrame:
     return samples.groupBy("stream_id").applyInPandasWithState(epochs, "stream_id long, source_ordinal long, native_ns long, epoch long", "epoch long, last long", "append", GroupStateTimeout.NoTimeout)
 
 
-def run_once(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """All that the source holds now, through the stream, as a table in memory; for small results."""
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def late_rows(events: DataFrame, time: str, keys: list[str], delay: int) -> DataFrame:
+    """The rows that come too late, for a ledger: keys, time, newest. A row (time: a long) is late if it lies more than
+    delay before the newest time that batches up to the one before brought for its stream.
+
+    The state of a stream is that newest time, one number."""
+    kinds = {f.name: f.dataType.simpleString() for f in events.schema}
+
+    def late(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        newest = state.get[0] if state.exists else None
+        most = newest
+        for rows in batches:
+            t = rows[time]
+            most = int(t.max()) if most is None else max(most, int(t.max()))
+            if newest is not None:
+                yield rows.loc[t < newest - delay, [*keys, time]].assign(newest=newest)
+        if most is not None:
+            state.update((most,))
+
+    named = ", ".join(f"`{c}` {kinds[c]}" for c in [*keys, time])
+    return events.groupBy(*keys).applyInPandasWithState(late, f"{named}, newest long", "newest long", "append", GroupStateTimeout.NoTimeout)
+
+
+def run_once(stream: DataFrame, folder: str) -> DataFrame:
+    """All that the source holds now, through the stream, as a Parquet table in `folder`, which driver and executors share.
+
+    For streams in append mode: with several batches a window or session that is still open is not in it."""
+    q = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{folder}/checkpoint").option("path", f"{folder}/table").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/table")
+
+
+def totals_once(stream: DataFrame, folder: str) -> DataFrame:
+    """As run_once, for an aggregate in complete mode: each batch writes all groups, open ones too, and replaces the one
+    before; a batch that is run again writes the same folder."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/table/batch_{number}/rows")
+
+    q = stream.writeStream.outputMode("complete").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).foreachBatch(write).start()
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    last = stream.sparkSession.read.option("recursiveFileLookup", "true").parquet(f"{folder}/table").agg(F.max("batch")).first()[0]  # one number
+    return stream.sparkSession.read.parquet(f"{folder}/table/batch_{last}/rows").drop("batch")

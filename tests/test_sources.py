@@ -47,9 +47,10 @@ def test_trims_and_groups(spark):
 
 
 def test_instructions_and_inventory(spark, tmp_path):
-    (tmp_path / "i.csv").write_bytes(b"Subject,Activity,Trial,File,Type,CutFrames,OrigRmse,TheoRmse\r\nS1,A1,T1,f,csv,3,1.5,1.0\r\nS1,A1,T1,f,raw,15,1,1\r\nS1,A1,T2,f,mot,2,1,1\r\nS1,A1,T2,f,mot,4,1,1\r\n")
+    lines = ["S01,A01,T01,D:\\x\\S01_A01_T01.csv,csv,3,1.5,1.0", "S01,A01,T01,S01_A01_T01.raw,raw,15,1,1", "S01,A01,T02,ik_S01_A01_T02.mot,mot,2,1,1", "S01,A01,T02,ik_S01_A01_T02.mot,mot,4,1,1", "S01,A14,T02,S01_A14_T02.csv,csv,4,1,1", "S01,A01,T03,S01_A01_T03.csv, csv,4,1,1", "S01,A01,T03,S01_A01_T03.csv,csv,4,1", "S01,A01,T04,x.csv,csv,4,1,1", "S01,A01,T05,S01_A01_T05.csv,csv,x,1,1"]
+    (tmp_path / "i.csv").write_bytes("\r\n".join(["Subject,Activity,Trial,File,Type,CutFrames,OrigRmse,TheoRmse", *lines, ""]).encode())
     got = texts.instructions(texts.lines(spark, str(tmp_path / "i.csv"))).orderBy("line_number").collect()
-    assert [r["valid"] for r in got] == [True, False, False, False] and got[0]["cut_frames"] == 3
+    assert [r["problem"] for r in got] == [None, "RANGE", "REPEATED", "REPEATED", "IDENTITY", "IDENTITY", "WIDTH", "FILE", "NUMBERS"] and got[0]["cut_frames"] == 3
     for n in ("S1_A1_T1.mp4", "S1_A1_T1.csv", "S2_A1_T1.csv", "x.txt"):
         (tmp_path / n).write_text(n)
     files = texts.inventory(spark, str(tmp_path))
@@ -59,6 +60,12 @@ def test_instructions_and_inventory(spark, tmp_path):
     assert {r["status"] for r in texts.verify_members(listed, files.where("extension <> 'txt'")).collect()} == {"VERIFIED", "MISMATCH", "UNAVAILABLE"}
 
 
+def test_utc_times(spark):
+    cases = {"2024-02-29T23:59:59Z": 1709251199, "2024-02-29T23:59:59.5Z": 1709251199, "2023-02-29T00:00:00Z": None, "2024-02-29T23:59:60Z": None, "2024-02-29T24:00:00Z": None, "2024-02-29t00:00:00Z": None, "2024-02-29T00:00:00+00:00": None, "2024-02-29T00:00:00": None, " 2024-02-29T00:00:00Z": None, "2024-02-29T00:00:00Z\n": None}
+    got = spark.createDataFrame([(k,) for k in cases], "t string").select("t", F.unix_seconds(texts.utc_time(F.col("t"))).alias("s")).collect()
+    assert {r["t"]: r["s"] for r in got} == cases
+
+
 def test_snapshots(spark, tmp_path):
     root, a = str(tmp_path), spark.createDataFrame([(2, -0.0), (1, 0.0), (3, None)], "k int, v double")
     store.publish(spark, root, {"t": a}, {"by": "test"}, "one", {"t": ["k"]})
@@ -98,7 +105,7 @@ def test_clock_epochs_as_a_stream(spark, tmp_path):
     src = str(tmp_path / "in")
     spark.createDataFrame([(1, i, t) for i, t in enumerate([5, 9, 2, 4, 1])] + [(2, 0, 7)], "stream_id long, source_ordinal long, native_ns long").coalesce(1).write.parquet(src)
     s = spark.readStream.schema("stream_id long, source_ordinal long, native_ns long").parquet(src)
-    got = streams.run_once(streams.clock_epochs(s), "epochs", str(tmp_path / "cp")).orderBy("stream_id", "source_ordinal").collect()
+    got = streams.run_once(streams.clock_epochs(s), str(tmp_path / "cp")).orderBy("stream_id", "source_ordinal").collect()
     assert [r["epoch"] for r in got] == [0, 0, 1, 1, 2, 0]
 
 
@@ -106,9 +113,18 @@ def test_streams_of_events(spark, tmp_path):
     src = str(tmp_path / "in")
     spark.sql("select timestamp'2024-01-01 00:00:00' + make_interval(0,0,0,0,0,m) as at, 'a' as k, m as id from values (0),(1),(1),(30) v(m)").coalesce(1).write.parquet(src)
     s = spark.readStream.schema("at timestamp, k string, id int").parquet(src)
-    got = streams.run_once(streams.gap_sessions(s, "at", ["k"], "10 minutes", "1 hour"), "sessions", str(tmp_path / "c1"), "complete").orderBy("start").collect()
+    got = streams.totals_once(streams.gap_sessions(s, "at", ["k"], "10 minutes", "1 hour"), str(tmp_path / "c1")).orderBy("start").collect()
     assert [r["n"] for r in got] == [3, 1]
-    assert streams.run_once(streams.without_repeats(s, "at", ["id"], "1 hour"), "once", str(tmp_path / "c2")).count() == 3
+    assert streams.run_once(streams.without_repeats(s, "at", ["id"], "1 hour"), str(tmp_path / "c2")).count() == 3
+
+
+def test_rows_that_come_late(spark, tmp_path):
+    src, ddl = str(tmp_path / "in"), "s long, t long"
+    for n, rows in enumerate([[(1, 100), (2, 5)], [(1, 95), (1, 89), (2, 300), (2, 1)], [(1, 500), (2, 291), (2, 289)]]):
+        spark.createDataFrame(rows, ddl).coalesce(1).write.mode("append").parquet(f"{src}/{n}")
+    s = spark.readStream.schema(ddl).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(src)
+    got = sorted(tuple(r) for r in streams.run_once(streams.late_rows(s, "t", ["s"], 10), str(tmp_path / "c")).collect())
+    assert got == [(1, 89, 100), (2, 289, 300)]
 
 
 def test_paths_and_catalogues(spark, tmp_path):
@@ -134,6 +150,8 @@ def test_bundles(spark, tmp_path):
         store.publish_bundle(spark, root, "r1", {"t": a}, {})
     with pytest.raises(Exception, match="boom"):
         store.publish_bundle(spark, root, "r2", {"t": a.withColumn("v", F.raise_error(F.lit("boom")).cast("string"))}, {"t": ["k"]})
-    assert (tmp_path / "bundles/r1/SUCCESS.json").exists() and (tmp_path / "bundles/r2/FAILURE.json").exists() and not (tmp_path / "bundles/r2/SUCCESS.json").exists()
+    with pytest.raises(FileExistsError):
+        store.publish_bundle(spark, root, "r2", {"t": a}, {})
+    assert sorted((r["recording_id"], r["state"]) for r in store.ended(spark, root).collect()) == [("r1", "SUCCESS"), ("r2", "FAILURE")]
     left = store.unfinished(spark, root, spark.createDataFrame([("r1",), ("r2",), ("r3",)], "recording_id string"))
     assert [r["recording_id"] for r in left.collect()] == ["r3"]
