@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-import gc
 import os
 import tempfile
+import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -37,38 +39,72 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the cluster names none, as in tests."""
+    """The folder that driver and executors share, as the cluster names it. In local mode a temporary one will do; on a
+    cluster that names none this is an error."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not named:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="strandline-")
         sc.setCheckpointDir(named)
-    elif not sc.getCheckpointDir():
-        sc.setCheckpointDir(named)
     return named
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, which goes when the application ends if free hasn't taken it before."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    files, at = _files(spark, path)
+    files.deleteOnExit(at)
+    return path
+
+
+def _files(spark: SparkSession, path: str) -> tuple:
+    """Spark's file system for a path: what PySpark's own interface can't do is to delete."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def free(*tables: DataFrame | str, spark: SparkSession | None = None) -> None:
+    """Delete what cut wrote for these tables, or these paths; nothing may read them any more."""
+    for t in tables:
+        path = t if isinstance(t, str) else getattr(t, "_strandline_path", None)
+        if path:
+            files, at = _files(spark or t.sparkSession, path)
+            files.delete(at, True)
+
+
+@contextmanager
+def shuffles_go(spark: SparkSession) -> Iterator[None]:
+    """Within, Spark deletes the shuffle files of a query when it ends: what is cut isn't run again, and would else lie on
+    the executors' disks until the driver's next collection of garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Compute df once and go on from the copy in the shared folder, which outlives executors.
-
-    The driver then collects its garbage: Spark drops the shuffle files and checkpoints of finished steps only when the
-    objects that stand for them are gone, and a driver with memory to spare would let them pile up on disk."""
-    spark = df.sparkSession
-    shared_dir(spark)
-    out = df.checkpoint(eager=True)
-    del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Compute df once, write it to the shared folder, which outlives executors, and go on from there."""
+    path = scratch(df.sparkSession, "cut")
+    with shuffles_go(df.sparkSession):
+        df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._strandline_path = path
     return out
 
 
-def join_summary(rows: DataFrame, summary: DataFrame, key: str) -> DataFrame:
-    """rows joined to a summary of them that has one row for each value of a long key.
+def join_summary(rows: DataFrame, summary: DataFrame, *keys: str, how: str = "inner") -> DataFrame:
+    """rows joined to a summary of them that has one row for each value of the keys.
 
     The summary lies where its aggregate left it, by key, and Spark splits skewed joins only if both sides are shuffled
-    for them. So the key takes another form on either side, and a frequent value's rows can go to many tasks."""
-    other = [c for c in summary.columns if c != key]
-    return rows.withColumn("__w", F.bitwise_not(key)).join(summary.select(F.bitwise_not(key).alias("__w"), *other), "__w").drop("__w")
+    for them. So the keys take another form on either side, and a frequent value's rows can go to many tasks."""
+    other = [c for c in summary.columns if c not in keys]
+    form = F.struct(*keys)
+    return rows.withColumn("__w", form).join(summary.select(form.alias("__w"), *other), "__w", how).drop("__w")
 
 
 def fold(doc_id: str, modulus: int) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, join_summary
+from .common import cut, free, join_summary
 
 
 #: Links that one task takes at least; small sets of links are few tasks' work.
@@ -39,8 +39,9 @@ def _shape(edges: DataFrame) -> tuple[int, bool]:
 def connected_components(links: DataFrame, a: str, b: str) -> DataFrame:
     """node, component (least reachable node) of every node that has a link to another; self-links and repeats are ignored.
 
-    Each step rewires links towards the least neighbour seen, until all are stars around the least node; the count of
-    steps grows with the logarithm of the longest path. Only the count of links comes to the driver.
+    Nodes may be of any type that has an order. Each step rewires links towards the least neighbour seen, until all are
+    stars around the least node; the count of steps grows with the logarithm of the longest path. Only the count of
+    links comes to the driver, and a step's table goes when the next one is there.
     """
     edges = cut(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
     while True:
@@ -49,4 +50,5 @@ def connected_components(links: DataFrame, a: str, b: str) -> DataFrame:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select("v", "v")).distinct()
         tasks = 1 + n // LINKS
         larger = _large(edges.coalesce(tasks), tasks > 1).coalesce(tasks).distinct().coalesce(tasks)
-        edges = cut(_small(larger, tasks > 1).coalesce(tasks).distinct().coalesce(tasks))
+        before, edges = edges, cut(_small(larger, tasks > 1).coalesce(tasks).distinct().coalesce(tasks))
+        free(before)

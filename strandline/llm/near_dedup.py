@@ -1,18 +1,22 @@
 """Near-duplicate documents by MinHash with tensored banding.
 
-Two small collections of half keys are computed for a text, each key from a few MinHash values. A table key joins one
-half key of either collection, so halves * halves tables cost only 2 * halves * rows MinHash values: at 10 and 2, 100
-tables of 4 rows from 40 values instead of 400. Two sets of similarity s share no table with a chance of at most
-2 * (1 - s**rows)**halves: 0.00007 at s = 0.8, falling fast above.
+Two collections of half keys are computed for a text, each key from a few MinHash values. A table key joins one half
+key of either collection, so halves * halves tables cost only 2 * halves * rows MinHash values: at 14 and 4, 196 tables
+of 8 rows from 112 values instead of 1568. Two sets of similarity s share no table with a chance of at most
+2 * (1 - s**rows)**halves: 0.001 at s = 0.8, falling fast above; sets that have little in common hardly ever share one.
 
-Candidates are then compared on their full shingle sets, and accepted links are closed into components.
+Pairs that share a table are candidates. They are compared on their full shingle sets, and accepted links are closed
+into components.
 
-- Texts with equal sets are one node from the start, whatever their number.
+- Texts with equal sets are one node from the start, whatever their number; a node is known by its set's digest.
 - A half key that only one node has can't be part of a shared table; it goes before tables are formed.
-- Tables of up to SMALL nodes compare all of them. Larger tables that overlap form one group. A few leaders are
-  compared with all its nodes, which leaves most nodes in one component; then each node outside the largest component
-  is compared with all others, in blocks of about BLOCK by BLOCK nodes that any task can take. A pair of different
-  components has at least one node outside the largest, so none is skipped.
+- A table of up to SMALL nodes lists its pairs. In larger ones, candidates are found by a condition that every similar
+  pair meets: with shingles in order, those that fewest nodes have first, the smaller set has one of its first few
+  (index) that is among the first few of the larger one (probe). Texts with the same boilerplate differ in rare
+  shingles, fill these places with them and never meet, so a table of texts that aren't similar costs no pairs. Each
+  pair found has to share a table, too, so both ways give the same candidates but for those that can't be similar.
+- Where many nodes do meet, they are first compared with the least of them, which leaves most in one component; then
+  only nodes of different components are compared.
 """
 
 from __future__ import annotations
@@ -25,81 +29,56 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, join_summary, ship
+from .common import cut, free, join_summary, ship
 from .components import connected_components
 from .textbytes import SPACED, Words, buffers, constants, mix, runs, shingles
 
-#: Tables of up to so many nodes compare all pairs; larger ones go by leaders and blocks.
-SMALL, LEADERS, BLOCK = 16, 2, 512
-#: Columns of the incidence matrices that blocks multiply at once.
-COLUMNS = 4096
+#: Tables of up to so many nodes list their pairs; pairs of larger ones are found by rare shingles.
+SMALL = 16
+
+
+def _digests(u: np.ndarray, at: np.ndarray) -> pa.Array:
+    """16 bytes for each set, null for an empty one."""
+    some = np.flatnonzero(np.diff(at))
+    s = np.zeros((len(at) - 1, 2), np.uint64)
+    if len(some):
+        salt, begin = constants(21, 1)[0], at[:-1][some]
+        s[some, 0], s[some, 1] = np.add.reduceat(mix(u), begin), np.add.reduceat(mix(u ^ salt), begin)
+    fixed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(s), [None, pa.py_buffer(s.astype(">u8").tobytes())])
+    return pa.array([x if n else None for x, n in zip(fixed.to_pylist(), np.diff(at).tolist(), strict=True)], pa.binary())
 
 
 def _signatures(batches: Iterator[pa.RecordBatch], width: int, halves: int, rows: int) -> Iterator[pa.RecordBatch]:
     values = 2 * halves * rows
-    add, times, join = constants(21, values), constants(22, values), constants(23, rows)
+    add, times, join = constants(25, values), constants(22, values), constants(23, rows)
     tag = constants(24, 2 * halves)
     for batch in batches:
         data, off = buffers(batch.column(1))
-        n, sums, keys = [], [], []
         for i, j in runs(off):
             u, at = shingles(Words(data[off[i] : off[j]], off[i : j + 1] - off[i], SPACED), width)
-            size = np.diff(at)
-            n.append(size)
-            some = np.flatnonzero(size)
-            s, k = np.zeros((2, j - i), np.uint64), np.zeros((j - i, 2 * halves), np.uint64)
+            some = np.flatnonzero(np.diff(at))
+            k = np.zeros((j - i, 2 * halves), np.uint64)
             if len(some):
-                begin = at[:-1][some]
-                s[0, some], s[1, some] = np.add.reduceat(mix(u), begin), np.add.reduceat(mix(u ^ add[0]), begin)
+                begin, v = at[:-1][some], np.empty_like(u)
                 for half in range(2 * halves):
                     key = np.full(len(some), tag[half])
                     for r in range(rows):
-                        v = half * rows + r
-                        key += np.minimum.reduceat((u ^ add[v]) * times[v], begin) * join[r]
+                        x = half * rows + r
+                        np.bitwise_xor(u, add[x], out=v)
+                        np.multiply(v, times[x], out=v)
+                        key += np.minimum.reduceat(v, begin) * join[r]
                     # the lowest bit names the collection
                     k[some, half] = mix(key) << np.uint64(1) | np.uint64(half >= halves)
-            sums.append(s)
-            keys.append(k)
-        if not n:
-            continue
-        s, k = np.concatenate(sums, 1).view(np.int64), np.concatenate(keys).view(np.int64)
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, k.size + 1, 2 * halves, dtype=np.int32)), pa.array(k.reshape(-1)))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(n)), pa.array(s[0]), pa.array(s[1]), lists], ["id", "n", "s1", "s2", "halves"])
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, k.size + 1, 2 * halves, dtype=np.int32)), pa.array(k.view(np.int64).reshape(-1)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(at)), _digests(u, at), lists], ["id", "n", "node", "halves"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        data, off = buffers(batch.column(1))
+        data, off = buffers(batch.column(0))
         for i, j in runs(off):
             u, at = shingles(Words(data[off[i] : off[j]], off[i : j + 1] - off[i], SPACED), width)
-            lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(u.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), lists], ["id", "shingles"])
-
-
-def _block(block: pa.Table, percent: int) -> pa.Table:
-    """Links between the outside nodes and the others of a block, one for each two components."""
-    block = block.combine_chunks()
-    outside, node, g = (block[c].to_numpy() for c in ("outside", "node", "g"))
-    lists = block["shingles"].chunk(0) if block["shingles"].num_chunks else pa.array([], pa.list_(pa.int64()))
-    n = lists.value_lengths().to_numpy()
-    row, (value, column) = np.repeat(np.arange(len(n)), n), np.unique(lists.flatten().to_numpy(), return_inverse=True)
-    met = np.bincount(column, outside[row], len(value)) * np.bincount(column, ~outside[row], len(value)) > 0
-    new = np.cumsum(met) - 1
-    keep = met[column]
-    row, column = row[keep], new[column[keep]]
-    order = np.argsort(column, kind="stable")
-    row, column = row[order], column[order]
-    both = np.zeros((int(outside.sum()), int((~outside).sum())), np.float32)
-    for first in range(0, int(met.sum()), COLUMNS):
-        a, b = np.searchsorted(column, [first, first + COLUMNS])
-        part = np.zeros((len(n), COLUMNS), np.float32)
-        part[row[a:b], column[a:b] - first] = 1
-        both += part[outside] @ part[~outside].T
-    similar = both * 100 >= percent * (n[outside][:, None] + n[~outside][None, :] - both)
-    x, y = np.nonzero(similar & (g[outside][:, None] != g[~outside][None, :]))
-    pairs = np.stack([g[outside][x], g[~outside][y]], 1)
-    _, at = np.unique(pairs, axis=0, return_index=True)
-    return pa.table({"a": node[outside][x[at]], "b": node[~outside][y[at]]})
+            yield pa.RecordBatch.from_arrays([_digests(u, at), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(u.view(np.int64)))], ["node", "shingles"])
 
 
 def _sizes_allow(a: Column, b: Column, percent: int) -> Column:
@@ -107,14 +86,55 @@ def _sizes_allow(a: Column, b: Column, percent: int) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar enough."""
-    one, two = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
-    both = F.size(F.array_intersect("x", "y")).cast("long")
-    return pairs.join(one, "a").join(two, "b").where(both * 100 >= (F.size("x") + F.size("y") - both) * percent).select("a", "b")
+def _side(halves: Column, k: int) -> Column:
+    return F.filter(halves, lambda x: x.bitwiseAND(F.lit(1)) == k)
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that share a table and whose whole sets are similar enough. sets: node, halves, shingles."""
+    one, two = (sets.select(F.col("node").alias(p), F.col("halves").alias(f"h{p}"), F.col("shingles").alias(f"s{p}")) for p in "ab")
+    both = F.size(F.array_intersect("sa", "sb")).cast("long")
+    table = F.arrays_overlap(_side(F.col("ha"), 0), _side(F.col("hb"), 0)) & F.arrays_overlap(_side(F.col("ha"), 1), _side(F.col("hb"), 1))
+    return pairs.join(one, "a").join(two, "b").where(table & (both * 100 >= (F.size("sa") + F.size("sb") - both) * percent)).select("a", "b")
+
+
+def _places(sets: DataFrame, percent: int) -> DataFrame:
+    """crowd, shingle, node, n, index of the shingles by which nodes of a crowd can find each other.
+
+    sets: crowd, node, shingles. Shingles go by how many nodes of the crowd have them, then by their hash. Of two sets
+    as similar as percent, of sizes a <= b, the first shingle they share is among the first a - ceil(2t / (1 + t) a) + 1
+    of the smaller (index) and the first b - ceil(t b) + 1 of the larger; those that one node has alone take up
+    places and make no rows."""
+    each = sets.select("crowd", "node", F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("shingle"))
+    shared = each.groupBy("crowd", "shingle").agg(F.count("*").alias("c")).where("c > 1")
+    mine = join_summary(each, shared, "crowd", "shingle").groupBy("crowd", "node", "n").agg(F.sort_array(F.collect_list(F.struct("c", "shingle"))).alias("s"))
+    up = lambda num, den: F.ceil(F.col("n") * num / den - F.lit(1e-9)).cast("long")
+    mine = mine.withColumn("alone", F.col("n") - F.size("s")).withColumn("probe", F.col("n") - up(percent, 100) + 1).withColumn("index", F.col("n") - up(2 * percent, 100 + percent) + 1)
+    taken = F.slice("s", F.lit(1), F.greatest(F.lit(0), F.col("probe") - F.col("alone")).cast("int"))
+    return mine.select("crowd", "node", "n", (F.col("index") - F.col("alone")).alias("k"), F.posexplode(taken).alias("i", "x")).select("crowd", "node", "n", F.col("x.shingle").alias("shingle"), (F.col("i") < F.col("k")).alias("index"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, halves: int = 10, rows: int = 2) -> DataFrame:
+def _crowded(large: DataFrame, sets: DataFrame, links: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between nodes of the large tables; see the module's text."""
+    least = large.groupBy("key").agg(F.min("node").alias("lead"))
+    owners = connected_components(join_summary(large, least, "key").select("node", "lead"), "node", "lead")
+    places = cut(_places(sets.join(owners, "node").select(F.col("component").alias("crowd"), "node", "shingles"), percent))
+    at = ["crowd", "shingle"]
+    leads = places.groupBy(*at).agg(F.min(F.struct("node", "n", "index")).alias("l"), F.count("*").alias("c")).where("c > 1").drop("c")
+    met = (F.col("node") != F.col("l.node")) & (F.col("index") | F.col("l.index")) & _sizes_allow(F.col("n"), F.col("l.n"), percent)
+    stars = join_summary(places, leads, *at).where(met).select(F.col("l.node").alias("a"), F.col("node").alias("b"))
+    starred = cut(links.union(_similar(stars.distinct(), sets, percent)))
+    labelled = places.join(connected_components(starred, "a", "b"), "node", "left").withColumn("g", F.coalesce("component", "node")).drop("component")
+    mixed = labelled.groupBy(*at).agg((F.min("g") != F.max("g")).alias("mixed")).where("mixed").drop("mixed")
+    left = cut(join_summary(labelled, mixed, *at))
+    free(places)
+    side = lambda p: left.select(*at, *(F.col(c).alias(f"{c}{p}") for c in ("node", "n", "index", "g")))
+    smaller = F.col("indexa") & ((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("nodea") < F.col("nodeb"))))
+    pairs = side("a").where("indexa").join(side("b"), at).where(smaller & (F.col("ga") != F.col("gb")) & _sizes_allow(F.col("na"), F.col("nb"), percent))
+    return starred.union(_similar(pairs.select(F.col("nodea").alias("a"), F.col("nodeb").alias("b")).distinct(), sets, percent))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, halves: int = 14, rows: int = 4) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of docs.
 
     Words are runs of non-space characters, with A-Z lower-cased; a document's set holds its distinct shingles of
@@ -123,64 +143,53 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Null and empty texts, and texts without words, have no shingles and are linked with nothing. Rows with a null id
     are returned with a null component and kept. Repeated rows are copies of each other: all carry the same component,
-    and those with the least id are kept. Other columns are ignored. No rows in, no rows out.
+    and those with the least id are kept. An id that occurs with several texts has a row for each, which links on its
+    own account, and a text that is linked to any of them gets an id no larger than that one. A very long text is one
+    row's work, with memory in proportion to it. Ties of ids don't arise; other columns are ignored. No rows in, no
+    rows out.
     """
     ship(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    seen = cut(texts.mapInArrow(partial(_signatures, width=width, halves=halves, rows=rows), "id long, n long, s1 long, s2 long, halves array<long>"))
-    nodes = cut(seen.where("n > 0 and id is not null").groupBy("s1", "s2", "n").agg(F.min("id").alias("node"), F.first("halves").alias("halves")))
+    seen = cut(texts.mapInArrow(partial(_signatures, width=width, halves=halves, rows=rows), "id long, n long, node binary, halves array<long>"))
+    nodes = cut(seen.where("node is not null and id is not null").groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("halves").alias("halves")))
 
     half = nodes.select("node", "n", F.explode("halves").alias("half"))
     shared = half.groupBy("half").agg(F.count("*").alias("c")).where("c > 1").select("half")
     kept = join_summary(half, shared, "half").groupBy("node", "n").agg(F.collect_list("half").alias("halves"))
-    side = lambda k: F.filter("halves", lambda x: x.bitwiseAND(F.lit(1)) == k)
-    keyed = kept.select("node", "n", F.explode(F.flatten(F.transform(side(0), lambda x: F.transform(side(1), lambda y: F.xxhash64(x, y))))).alias("key"))
+    keyed = kept.select("node", "n", F.explode(F.flatten(F.transform(_side(F.col("halves"), 0), lambda x: F.transform(_side(F.col("halves"), 1), lambda y: F.xxhash64(x, y))))).alias("key"))
     full = keyed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
     tables = cut(join_summary(keyed, full, "key").select("key", "node", "n", "c"))
 
-    sets = cut(texts.join(tables.select(F.col("node").alias("id")).distinct(), "id", "left_semi").mapInArrow(partial(_sets, width=width), "id long, shingles array<long>").dropDuplicates(["id"]))
+    # the sets of nodes that share a table; an id may have other texts, too
+    wanted = nodes.join(tables.select("node").distinct(), "node", "left_semi")
+    found = texts.join(wanted.select("id"), "id", "left_semi").select("text").mapInArrow(partial(_sets, width=width), "node binary, shingles array<long>").dropDuplicates(["node"])
+    sets = cut(found.join(wanted.select("node", "halves"), "node"))
 
-    large = tables.where(F.col("c") > SMALL)
-    least = large.groupBy("key").agg(F.min("node").alias("lead"))
-    owners = connected_components(join_summary(large, least, "key").select("node", "lead"), "node", "lead")
-    crowd = cut(owners.join(large.select("node", "n").distinct(), "node").select(F.col("component").alias("crowd"), "node", "n"))
-    few = tables.where(F.col("c") <= SMALL).join(crowd.select("node", "crowd"), "node", "left")
-    few = few.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("node", "n", "crowd"))).alias("g")).select("g").distinct()
+    few = tables.where(F.col("c") <= SMALL).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("node", "n"))).alias("g")).select("g").distinct()
     few = few.select("g", F.posexplode("g").alias("i", "x")).select("x", F.explode(F.slice("g", F.col("i") + 2, F.lit(SMALL))).alias("y"))
-    apart = F.col("x.crowd").isNull() | ~F.col("x.crowd").eqNullSafe(F.col("y.crowd"))  # a crowd's own pairs come below
-    pairs = few.where(apart & _sizes_allow(F.col("x.n"), F.col("y.n"), percent)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-    counts = crowd.groupBy("crowd").agg(F.count("*").alias("c"))
-    leads = (F.col("node") == F.col("crowd")) | (F.pmod(F.xxhash64("node"), F.ceil(F.col("c") / LEADERS)) == 0)
-    leaders = join_summary(crowd, counts, "crowd").where(leads).select("crowd", F.col("node").alias("a"), F.col("n").alias("na"))
-    stars = crowd.join(leaders, "crowd").where((F.col("node") != F.col("a")) & _sizes_allow(F.col("n"), F.col("na"), percent)).select("a", F.col("node").alias("b"))
-    links = cut(_verified(pairs.union(stars).distinct(), sets, percent))
+    pairs = few.where(_sizes_allow(F.col("x.n"), F.col("y.n"), percent)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    links = cut(_similar(pairs.distinct(), sets, percent))
+    large = tables.where(F.col("c") > SMALL)
+    if not large.isEmpty():
+        links = _crowded(large, sets, links, percent)
     groups = connected_components(links, "a", "b")
-
-    placed = cut(crowd.join(groups, "node", "left").select("crowd", "node", F.coalesce("component", "node").alias("g")))
-    sizes = placed.groupBy("crowd", "g").agg(F.count("*").alias("c")).groupBy("crowd").agg(F.max_by("g", F.struct("c", "g")).alias("largest"), F.sum("c").alias("all"), F.max("c").alias("most"))
-    sizes = cut(sizes.where(F.col("all") > F.col("most")))
-    if not sizes.isEmpty():
-        x = placed.join(sizes, "crowd").join(sets.withColumnRenamed("id", "node"), "node")
-        rows, columns = (F.ceil(c / BLOCK).cast("int") for c in (F.col("all") - F.col("most"), F.col("all")))
-        place = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
-        every = lambda n: F.sequence(F.lit(0), n - 1)
-        one = x.where(F.col("g") != F.col("largest")).select("crowd", place(rows).alias("i"), F.explode(every(columns)).alias("j"), F.lit(True).alias("outside"), "node", "g", "shingles")
-        two = x.select("crowd", F.explode(every(rows)).alias("i"), place(columns).alias("j"), F.lit(False).alias("outside"), "node", "g", "shingles")
-        found = one.union(two).groupBy("crowd", "i", "j").applyInArrow(lambda block: _block(block, percent), "a long, b long")
-        groups = connected_components(links.union(found), "a", "b")
-
-    named = nodes.join(groups, "node", "left").select("s1", "s2", F.col("n").alias("size"), F.coalesce("component", "node").alias("g"))
-    # Texts without words meet nothing; what the others meet has one row for each set, so a frequent set is safe.
-    out = seen.join(named, (seen["s1"] == named["s1"]) & (seen["s2"] == named["s2"]) & (seen["n"] == named["size"]) & (seen["n"] > 0), "left")
-    component = F.when(F.col("n") > 0, F.least("g", "id")).otherwise(F.col("id"))
-    out = out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), component).alias("component_id"))
+    free(tables, sets)
+
+    grouped = nodes.join(groups, "node", "left").select("node", "id", F.coalesce("component", "node").alias("g"))
+    least = grouped.groupBy("g").agg(F.min("id").alias("least"))
+    named = cut(join_summary(grouped, least, "g").select("node", "least"))
+    free(nodes)
+    # what texts meet here has one row for each set, so a frequent set is safe
+    out = join_summary(seen.where("node is not null").select("id", "n", "node"), named, "node", how="left").select("id", "n", "least").unionByName(seen.where("node is null").select("id", "n", F.col("id").alias("least")))
+    out = out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.least("least", "id")).alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def first_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
     """docs without near-duplicates: of each component the document with the least id stays; all columns are kept.
 
-    Rows with a null id stay; so do repeated rows of the document that stays.
+    Rows with a null id stay; so do repeated rows of the document that stays. Of an id with several texts all rows stay
+    or go together: they go if any of them belongs to a group with a smaller id.
     """
     gone = near_duplicates(docs, id_col, text_col, **settings).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
     kept = docs.join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")

@@ -88,10 +88,10 @@ def test_near_duplicates(odd, empty, table):
     assert kept.columns == odd.columns and {8, 9}.isdisjoint(r["doc_id"] for r in kept.collect())
 
 
-def test_large_groups_of_near_duplicates(spark, monkeypatch):
-    """Chains and blocks: limits so small that every group is a large one."""
-    for name, value in (("SMALL", 3), ("LEADERS", 1), ("BLOCK", 4)):
-        monkeypatch.setattr(near_dedup, name, value)
+@pytest.mark.parametrize("small", [1, 3, 16])
+def test_large_groups_of_near_duplicates(spark, monkeypatch, small):
+    """Chains, and texts that share boilerplate only, whichever way a table's pairs are found."""
+    monkeypatch.setattr(near_dedup, "SMALL", small)
     rnd = random.Random(3)
     base = [[f"w{rnd.randint(0, 10**6)}" for _ in range(120)] for _ in range(2)]
     rows = []
@@ -103,10 +103,46 @@ def test_large_groups_of_near_duplicates(spark, monkeypatch):
     for i in range(30):  # each follows from the one before by a few words
         base[0] = [*base[0][3:], *(f"u{i}{k}" for k in range(3))]
         rows.append((100 + i, " ".join(base[0])))
+    for i in range(40):
+        rows.append((200 + i, " ".join([*base[1][:80], *(f"x{i}{k}" for k in range(30 - i // 2))])))
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert found(near_dedup.near_duplicates(df)) == groups(rows, 5)
 
 
+def test_an_id_with_several_texts(spark):
+    rnd = random.Random(8)
+    a, b = ([f"{c}{rnd.randint(0, 10**6)}" for _ in range(100)] for c in "ab")
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, " ".join([*a, "z"])), (3, " ".join([*b, "z"])), (4, " ".join([*a, "z"])), (5, "one two")]
+    for order in (rows, rows[::-1], [rows[k] for k in (1, 3, 0, 5, 2, 4)]):
+        for parts in (1, 3):
+            got = near_dedup.near_duplicates(spark.createDataFrame(order, "doc_id long, text string").repartition(parts))
+            assert found(got) == groups(rows, 5) and {r["doc_id"]: r["component_id"] for r in got.collect()} == {1: 1, 2: 1, 3: 1, 4: 1, 5: 5}
+
+
+def test_places_where_similar_sets_meet(spark):
+    """Whatever their sizes, two sets as similar as asked share an index place of the smaller and a probe place of the larger."""
+    rnd = random.Random(12)
+    sets = []
+    for k in range(150):
+        s = set(rnd.sample(range(60), rnd.randint(3, 40))) if k % 5 == 0 or not sets else set(sets[-1])
+        for x in list(s)[: rnd.randint(0, 2)]:
+            s.discard(x)
+        sets.append(s | {rnd.randint(0, 200)})
+    sets = [s for s in {frozenset(s) for s in sets}]
+    df = spark.createDataFrame([(b"c", bytes([k]), sorted(s)) for k, s in enumerate(sets)], "crowd binary, node binary, shingles array<long>")
+    met = defaultdict(list)
+    for r in near_dedup._places(df, 80).collect():
+        met[r["shingle"]].append((bytes(r["node"])[0], r["index"]))
+    pairs = {tuple(sorted((a, b), key=lambda k: (len(sets[k]), k))) for x in met.values() for a, i in x for b, _ in x if a != b and i and (len(sets[a]), a) < (len(sets[b]), b)}
+    similar = 0
+    for a, b in combinations(range(len(sets)), 2):
+        a, b = sorted((a, b), key=lambda k: (len(sets[k]), k))
+        if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+            similar += 1
+            assert (a, b) in pairs
+    assert similar > 30
+
+
 def test_components(spark):
     rnd = random.Random(1)
     links = [(rnd.randint(0, 300), rnd.randint(0, 300)) for _ in range(200)] + [(i, i + 1) for i in range(400, 480)] + [(500, k) for k in range(501, 560)] + [(7, 7)]
