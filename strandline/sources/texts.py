@@ -146,7 +146,7 @@ def choices(texts: DataFrame, activity: str | None = None, text: str = "text") -
 
 def utc_time(text: Column) -> Column:
     """The instant of an RFC 3339 time that ends in Z, which must exist in the calendar; null for any other text."""
-    form = text.rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?Z$") & ~text.rlike(r"T\d{2}:\d{2}:60") & ~text.rlike(r"T24")
+    form = text.rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?Z\z") & ~text.rlike(r"T\d{2}:\d{2}:60") & ~text.rlike(r"T24")
     return F.when(form, F.try_to_timestamp(F.concat(F.substring(text, 1, 19), F.lit("Z")), F.lit("yyyy-MM-dd'T'HH:mm:ssX")))
 
 
