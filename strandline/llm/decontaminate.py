@@ -1,12 +1,16 @@
 """Benchmark decontamination with suffix arrays over the training text.
 
-Each run of documents is a shard. Its suffix array is sorted by prefix doubling (1, 2, 4, ... words), which also keeps,
-for each doubling, the sorted keys of all prefixes of that many words. Every suffix of the benchmark is looked up in
-them by binary search; two overlapping prefixes give windows whose width is no power of two. Windows that follow each
-other in item and document are joined into the longest verbatim matches, with their places.
+Each run of documents is a shard. Its suffix array is sorted by prefix doubling until all suffixes that differ are
+apart. Every suffix of the benchmark is looked up: two binary searches give the suffixes of the shard that begin with
+the same two words, a third one among those gives its place and so the longest verbatim match, and from windows on two
+more give the range of suffixes that share the whole window. Lengths of common prefixes come from hashes of word
+sequences, again by binary search.
 
-Documents meet the benchmark where they lie: nothing of the corpus is shuffled. The benchmark is sent to the executors
-in blocks of at most BLOCK_BYTES of text, one pass after the other.
+A range stands for all places of a window at once, so repeated words cost no pairs: hits are counted over ranges, and
+the longest matches are listed from their left ends, which only those have that no longer match holds.
+
+Documents meet the benchmark where they lie: nothing of the corpus is shuffled. A benchmark of more than BLOCK_BYTES
+is taken in blocks; what one block finds is written before the next one is broadcast.
 """
 
 from __future__ import annotations
@@ -22,8 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from .common import ship
-from .textbytes import ALNUM, Words, buffers, runs
+from .common import cut, ship
+from .textbytes import ALNUM, Words, buffers, mix, powers, runs
 
 #: Text of the benchmark that is broadcast at once.
 BLOCK_BYTES = 32 << 20
@@ -31,108 +35,158 @@ _MATCH = pa.struct([("item_id", pa.string()), ("item_start", pa.int64()), ("star
 _MATCHES = ArrayType(StructType([StructField("item_id", StringType()), StructField("item_start", LongType()), StructField("start", LongType()), StructField("length", LongType())]))
 
 
+class Sequence:
+    """Words of some texts, with hashes of all their subsequences."""
+
+    def __init__(self, hashes: np.ndarray, of: np.ndarray):
+        self.hashes, self.of = hashes, of
+        self.text = np.repeat(np.arange(len(of) - 1), np.diff(of))
+        self.left = of[1:][self.text] - np.arange(len(hashes)) if len(hashes) else np.zeros(0, np.int64)
+        up, self.down = powers(len(hashes) + 1)
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(hashes) * up[: len(hashes)], dtype=np.uint64)])
+
+    def hash(self, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+        return (self.sums[at + n] - self.sums[at]) * self.down[at]
+
+
+def common(a: Sequence, i: np.ndarray, b: Sequence, j: np.ndarray) -> np.ndarray:
+    """Words that the suffixes at i and j have in common at their beginnings."""
+    low, high = np.zeros(len(i), np.int64), np.minimum(a.left[i], b.left[j])
+    while (open_ := low < high).any():
+        k = np.flatnonzero(open_)
+        n = (low[k] + high[k] + 1) >> 1
+        same = a.hash(i[k], n) == b.hash(j[k], n)
+        low[k[same]], high[k[~same]] = n[same], n[~same] - 1
+    return low
+
+
 class SuffixArray:
-    """Suffixes of a shard's words, in order of their first 2**k words at each level k; suffixes end with their text."""
-
-    def __init__(self, words: Words, levels: int):
-        n = len(words.hashes)
-        ends = np.repeat(words.of[1:], np.diff(words.of))
-        self.keys, self.ranks, self.order = [], [], []
-        key = words.hashes
-        for k in range(levels + 1):
-            if k:
-                half, last = 1 << (k - 1), self.ranks[-1]
-                then = np.zeros(n, np.int64)
-                then[: max(n - half, 0)] = last[half:]
-                then[np.arange(n) + half >= ends] = 0
-                key = last * (len(self.keys[-1]) + 1) + then
-            order = np.argsort(key)
-            ordered = key[order]
-            new = np.ones(n, bool)
-            new[1:] = ordered[1:] != ordered[:-1]
-            rank = np.empty(n, np.int64)
-            rank[order] = np.cumsum(new)
-            self.keys.append(ordered[new])
-            self.ranks.append(rank)
-            self.order.append((order, np.append(np.flatnonzero(new), n)))
-
-    def find(self, hashes: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
-        """For each level, the ranks of the prefixes of the suffixes of other texts; 0 where the shard lacks them."""
-        out = []
-        for k, keys in enumerate(self.keys):
-            if k:
-                half, last = 1 << (k - 1), out[-1]
-                then = np.zeros(len(last), np.int64)
-                then[: max(len(last) - half, 0)] = last[half:]
-                then[np.arange(len(last)) + 2 * half > ends] = 0
-                whole, sought = (last > 0) & (then > 0), last * (len(self.keys[k - 1]) + 1) + then
-            else:
-                whole, sought = np.ones(len(hashes), bool), hashes
-            at = np.minimum(np.searchsorted(keys, sought), max(len(keys) - 1, 0))
-            out.append(np.where(whole & (keys[at] == sought), at + 1, 0) if len(keys) else np.zeros(len(sought), np.int64))
-        return out
-
-    def places(self, level: int, rank: int) -> np.ndarray:
-        order, begin = self.order[level]
-        return order[begin[rank - 1] : begin[rank]]
-
-
-def _windows(array: SuffixArray, found: list[np.ndarray], at: np.ndarray, width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places in the benchmark (of at) and in the shard of each distinct window of that width that both have."""
-    level = width.bit_length() - 1
-    shift, rank = width - (1 << level), found[level]
-    at = at[(rank[at] > 0) & (rank[at + shift] > 0)]
-    if not len(at):
-        return
-    pair = np.stack([rank[at], rank[at + shift]])
-    order = np.lexsort(pair)
-    cuts = np.flatnonzero((np.diff(pair[:, order], axis=1) != 0).any(0)) + 1
-    for same in np.split(at[order], cuts):
-        i = array.places(level, int(rank[same[0]]))
-        i = i[i + shift < len(array.ranks[level])]
-        i = i[array.ranks[level][i + shift] == rank[same[0] + shift]]
-        if len(i):
-            yield same, i
+    """Places of a shard's suffixes in order; a suffix ends with its text, and equal ones go by their place."""
+
+    def __init__(self, words: Sequence):
+        self.words, h = words, words.hashes
+        self.first, rank = np.unique(h, return_inverse=True)
+        last = words.left == 1
+        then = np.zeros(len(h), np.int64)
+        then[:-1] = rank[1:] + 1
+        then[last] = 0
+        key = rank * (len(self.first) + 1) + then
+        order = np.argsort(key, kind="stable")
+        self.two = key[order]  # keys of the first two words, in order
+        rank = np.empty(len(h), np.int64)  # where the suffixes begin that agree so far
+        step, new = 2, np.append(True, self.two[1:] != self.two[:-1])
+        rank[order] = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
+        tied = np.flatnonzero(~(new & np.append(new[1:], True)))
+        while len(tied) and step <= len(h):
+            i = order[tied]
+            then = np.where(words.left[i] > step, rank[np.minimum(i + step, len(h) - 1)] + 1, 0)
+            by = np.lexsort([then, rank[i]])
+            i, then, group = i[by], then[by], rank[i[by]]
+            order[tied] = i
+            new = np.append(True, (group[1:] != group[:-1]) | (then[1:] != then[:-1]))
+            parted = np.append(True, group[1:] != group[:-1])
+            if (new == parted).all():
+                break  # what is left are equal suffixes
+            rank[i] = np.maximum.accumulate(np.where(new, tied, 0))
+            tied = tied[~(new & np.append(new[1:], True))]
+            step *= 2
+        self.order = order
+
+    def begin(self, words: Sequence) -> tuple[np.ndarray, np.ndarray]:
+        """For suffixes of other texts, the range of those that share the first two words (or the only one)."""
+        if not len(self.first):
+            none = np.zeros(len(words.hashes), np.int64)
+            return none, none
+        at = np.minimum(np.searchsorted(self.first, words.hashes), len(self.first) - 1)
+        known, base = self.first[at] == words.hashes, len(self.first) + 1
+        following = np.append(at[1:], 0) + 1
+        one = words.left == 1
+        possible = known & (one | np.append(known[1:], False))
+        low = np.searchsorted(self.two, np.where(one, at * base, at * base + following), side="left")
+        high = np.searchsorted(self.two, np.where(one, (at + 1) * base - 1, at * base + following), side="right")
+        return np.where(possible, low, 0), np.where(possible, high, 0)
+
+    def bound(self, words: Sequence, p: np.ndarray, low: np.ndarray, high: np.ndarray, least: np.ndarray | None = None, after: bool = False) -> np.ndarray:
+        """Where in the range a suffix belongs; with least, where those that share so many words begin (or end: after)."""
+        low, high = low.copy(), high.copy()
+        while (open_ := low < high).any():
+            k = np.flatnonzero(open_)
+            middle = (low[k] + high[k]) >> 1
+            i, q = self.order[middle], p[k]
+            n = common(self.words, i, words, q)
+            mine, theirs = n < self.words.left[i], n < words.left[q]
+            less = theirs & (~mine | (self.words.hashes[np.minimum(i + n, len(self.words.hashes) - 1)] < words.hashes[np.minimum(q + n, len(words.hashes) - 1)]))
+            if least is not None:
+                enough = n >= least[k]
+                less = np.where(enough, after, less)
+            low[k[less]], high[k[~less]] = middle[less] + 1, middle[~less]
+        return low
+
+    def ranges(self, words: Sequence, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Suffixes of other texts whose longest match has `least` words or more, and the range that shares so many."""
+        low, high = self.begin(words)
+        p = np.flatnonzero((low < high) & (least <= words.left))
+        low, high = low[p], high[p]
+        at = self.bound(words, p, low, high)
+        longest = np.zeros(len(p), np.int64)
+        for side in (at - 1, at):
+            k = np.flatnonzero((side >= low) & (side < high))
+            longest[k] = np.maximum(longest[k], common(self.words, self.order[side[k]], words, p[k]))
+        k = longest >= least[p]
+        p, low, high, at = p[k], low[k], high[k], at[k]
+        return p, self.bound(words, p, low, at, least[p]), self.bound(words, p, at, high, least[p], True)
+
+
+def _left_ends(words: Sequence, i: np.ndarray, other: Sequence, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of all pairs of places that share a window, those that no match to the left reaches: what comes before differs."""
+    before = lambda w, at: np.where(w.left[np.maximum(at - 1, 0)] == w.left[at] + 1, w.hashes[np.maximum(at - 1, 0)], np.uint64(0)) if len(at) else np.zeros(0, np.uint64)
+    start = lambda w, at: (at == 0) | (w.text[np.maximum(at - 1, 0)] != w.text[at])
+    a, b, first_a, first_b = before(words, i), before(other, p), start(words, i), start(other, p)
+    kinds, of = np.unique(np.concatenate([a, b]), return_inverse=True)
+    of_a, of_b = np.where(first_a, -1, of[: len(a)]), np.where(first_b, -2, of[len(a) :])
+    out_i, out_p = [], []
+    for kind in np.unique(of_b):
+        mine = np.flatnonzero(of_b == kind)
+        others = np.flatnonzero(of_a != kind)
+        out_i.append(np.tile(i[others], len(mine)))
+        out_p.append(np.repeat(p[mine], len(others)))
+    return np.concatenate(out_i or [i[:0]]), np.concatenate(out_p or [p[:0]])
 
 
 def _leaks(batches: Iterator[pa.RecordBatch], width: int, text: str, block: Broadcast) -> Iterator[pa.RecordBatch]:
-    items = block.value
-    hashes, of, ids = items["hashes"], items["of"], items["ids"]
-    sizes = np.diff(of)
-    item = np.repeat(np.arange(len(sizes)), sizes)
-    ends = of[1:][item] if len(item) else item
-    place = np.arange(len(hashes))
-    widths = [(w, place[(np.minimum(sizes, width)[item] == w) & (place + w <= ends)]) for w in np.unique(np.minimum(sizes, width)) if w]
-    levels = width.bit_length() - 1
+    ids = block.value["ids"]
+    bench = Sequence(block.value["hashes"], block.value["of"])
+    least = np.minimum(np.diff(bench.of), width)[bench.text] if len(bench.hashes) else np.zeros(0, np.int64)
     for batch in batches:
-        row = batch.column(0)
+        row, earlier = batch.column(0), batch.column(1)
         data, off = buffers(pc.struct_field(row, text))
-        earlier = batch.column(1)
         for i, j in runs(off):
-            words = Words(data[off[i] : off[j]], off[i : j + 1] - off[i], ALNUM)
-            marks = np.zeros(len(words.hashes) + 1, np.int64)
-            pairs = [np.zeros((3, 0), np.int64)]
-            if len(words.hashes) and len(hashes):
-                array = SuffixArray(words, levels)
-                found = array.find(hashes, ends)
-                for w, at in widths:
-                    for same, places in _windows(array, found, at, int(w)):
-                        np.add.at(marks, places, 1)
-                        np.add.at(marks, places + w, -1)
-                        pairs.append(np.stack([np.repeat(same, len(places)), np.tile(places, len(same)), np.full(len(same) * len(places), w)]))
-            doc = np.searchsorted(words.of, (p := np.concatenate(pairs, 1))[1], side="right") - 1
-            # the longest matches: windows on one diagonal of one item and document
-            order = np.lexsort([p[1], p[1] - p[0], item[p[0]] if len(item) else p[0], doc])
-            q, r, w = p[:, order]
-            d, it = doc[order], item[q] if len(item) else q
-            new = np.ones(len(q), bool)
-            new[1:] = (d[1:] != d[:-1]) | (it[1:] != it[:-1]) | (r[1:] - q[1:] != r[:-1] - q[:-1]) | (r[1:] != r[:-1] + 1)
-            begin = np.flatnonzero(new)
-            stop = np.append(begin[1:], len(q))[: len(begin)] - 1
-            count = np.bincount(d[begin], minlength=j - i) if len(q) else np.zeros(j - i, np.int64)
+            raw = Words(data[off[i] : off[j]], off[i : j + 1] - off[i], ALNUM)
+            words = Sequence(raw.hashes, raw.of)
+            marks, found = np.zeros(len(words.hashes) + 1, np.int64), [np.zeros((2, 0), np.int64)]
+            if len(words.hashes) and len(bench.hashes):
+                array = SuffixArray(words)
+                p, low, high = array.ranges(bench, least)
+                # equal windows have one range; within a width, ranges of different windows don't overlap
+                _, window = np.unique(np.stack([low, high, least[p]]), axis=1, return_inverse=True)
+                by = np.argsort(window.reshape(-1), kind="stable")
+                for same in np.split(by, np.flatnonzero(np.diff(window.reshape(-1)[by])) + 1) if len(by) else []:
+                    places = np.sort(array.order[low[same[0]] : high[same[0]]])
+                    n = least[p[same[0]]]
+                    np.add.at(marks, places, 1)
+                    np.add.at(marks, places + n, -1)
+                    found.append(np.stack(_left_ends(words, places, bench, p[same])))
+            at, q = np.concatenate(found, 1)
+            # an item shorter than the width is a window of its own size: it may lie in a longer match of its diagonal
+            length = common(words, at, bench, q)
+            doc = words.text[at]
+            by = np.lexsort([q, at, doc])
+            at, q, length, doc = at[by], q[by], length[by], doc[by]
+            count = np.bincount(doc, minlength=j - i)
+            item = bench.text[q]
             here = pa.ListArray.from_arrays(
                 pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32)),
-                pa.StructArray.from_arrays([pa.array([ids[k] for k in it[begin]], pa.string()), pa.array(q[begin] - of[it[begin]]), pa.array(r[begin] - words.of[d[begin]]), pa.array(r[stop] + w[stop] - r[begin])], fields=list(_MATCH)),
+                pa.StructArray.from_arrays([pa.array([ids[k] for k in item.tolist()], pa.string()), pa.array(q - bench.of[item]), pa.array(at - words.of[doc]), pa.array(length)], fields=list(_MATCH)),
             )
             before = earlier.slice(i, j - i)
             if (n := pc.list_value_length(before).to_numpy(zero_copy_only=False)).any():
@@ -146,12 +200,13 @@ def _leaks(batches: Iterator[pa.RecordBatch], width: int, text: str, block: Broa
 
 
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> Iterator[Broadcast]:
+    """Blocks of about so many bytes; repeated items are one. A single item may be larger than a block."""
     spark = benchmark.sparkSession
-    items = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(text_col).cast("string").alias("t")).where("t is not null")
+    items = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(text_col).cast("string").alias("t")).where("t is not null").distinct()
     size = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     n = -(-size // block_bytes) or 1
     for k in range(n):
-        rows = items.where(F.pmod(F.xxhash64("t"), F.lit(n)) == k).collect()
+        rows = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k).collect()
         words = Words(*buffers(pa.array([r["t"] for r in rows], pa.string())), ALNUM)
         yield spark.sparkContext.broadcast({"hashes": words.hashes, "of": words.of, "ids": [r["i"] for r in rows]})
 
@@ -160,18 +215,26 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
     """row (struct of the columns of docs), matches, n_words, n_hit for every row of docs.
 
     Words are runs of digits, letters a-z (A-Z lower-cased) and characters beyond ASCII. A window is `width`
-    consecutive words of an item, or all of a shorter item. matches are the longest verbatim matches that windows make
-    up (item_id, item_start, start, length in words); n_hit counts the document's words inside any of them.
+    consecutive words of an item, or all of a shorter item. matches are the verbatim matches of a window or more that
+    can't be made longer at either end (item_id, item_start, start, length in words); n_hit counts the document's words
+    inside any of them.
 
     Null and empty texts have no words; so do null items, which never match. An item with a null id marks words, and
-    its matches have a null item_id. Repeated rows and items are handled alike, one by one; ties don't arise. Other
-    columns, whatever their names, stay inside row.
+    its matches have a null item_id. Repeated rows are handled one by one, repeated items (id and text) are one. A very
+    long text is a shard of its own, with memory in proportion to its words, however they repeat. Ties don't arise.
+    Without items nothing matches; without documents there are no rows. Other columns, whatever their names, stay
+    inside row.
     """
     ship(docs.sparkSession)
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.array().cast(_MATCHES).alias("matches"))
     schema = StructType([rows.schema["row"], StructField("matches", _MATCHES), StructField("n_words", LongType()), StructField("n_hit", LongType())])
+    last = None
     for block in _blocks(benchmark, item_col, item_text, block_bytes):
+        if last:
+            rows = cut(rows)  # so that no task holds two blocks
+            last.unpersist()
         rows = rows.select("row", "matches").mapInArrow(partial(_leaks, width=width, text=text_col, block=block), schema)
+        last = block
     return rows
 
 

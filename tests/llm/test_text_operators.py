@@ -196,6 +196,71 @@ def test_longest_matches(spark):
     assert sorted((m["item_id"], m["item_start"], m["start"], m["length"]) for m in got) == [("q", 0, 34, 12), ("q", 5, 1, 32)]
 
 
+def runs_of_words(doc, item, width):
+    """(item_start, start, length) of matches that can't be made longer, pair of places by pair."""
+    least, out = min(width, len(item)), set()
+    for i in range(len(doc)):
+        for q in range(len(item)):
+            if (i and q and doc[i - 1] == item[q - 1]) or doc[i] != item[q]:
+                continue
+            n = 0
+            while i + n < len(doc) and q + n < len(item) and doc[i + n] == item[q + n]:
+                n += 1
+            if n >= least:
+                out.add((q, i, n))
+    return out
+
+
+@pytest.mark.parametrize("block", [1 << 20, 40])
+def test_matches_of_repeated_words(spark, block):
+    """Few different words, so that suffixes agree for long and windows repeat within items and documents."""
+    rnd = random.Random(block)
+    text = lambda n: [rnd.choice("ab" if rnd.random() < 0.9 else "abcd") for _ in range(n)]
+    docs = [text(rnd.randint(0, 60)) for _ in range(25)] + [["a"] * 50, ["a", "b"] * 20, [], ["a"] * 9]
+    items = [text(rnd.randint(1, 30)) for _ in range(12)] + [["a"] * 30, ["b", "a"] * 9, ["a"], ["c", "d"]]
+    d = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(docs)], "doc_id long, text string")
+    b = spark.createDataFrame([(str(k), " ".join(x)) for k, x in enumerate(items)], "item_id string, text string")
+    got = decontaminate.find_leaks(d, b, width=6, block_bytes=block).collect()
+    assert len(got) == len(docs)
+    for r in got:
+        doc = docs[r["row"]["doc_id"]]
+        want = sorted((str(k), *m) for k, item in enumerate(items) for m in runs_of_words(doc, item, 6))
+        assert sorted(tuple(m) for m in r["matches"]) == want
+        assert r["n_hit"] == len({i + n for _, _, i, k in want for n in range(k)})
+
+
+def test_suffixes_are_in_order():
+    rnd = random.Random(3)
+    for _ in range(30):
+        texts = [[rnd.choice("abc"[: rnd.randint(1, 3)]) for _ in range(rnd.randint(0, 40))] for _ in range(rnd.randint(1, 5))]
+        w = Words(*buffers(pa.array([" ".join(t) for t in texts])), ALNUM)
+        s = decontaminate.Sequence(w.hashes, w.of)
+        h = [w.hashes[a:b].tolist() for a, b in zip(w.of, w.of[1:])]
+        suffixes = [(t[k:], at) for at, t, k in ((int(w.of[n]) + k, t, k) for n, t in enumerate(h) for k in range(len(t)))]
+        order = decontaminate.SuffixArray(s).order.tolist()
+        inside = dict((at, x) for x, at in suffixes)
+        assert sorted(order) == sorted(inside) and [inside[k] for k in order] == sorted(x for x, _ in suffixes)
+
+
+def test_many_equal_words_need_little_memory():
+    import tracemalloc
+
+    class Block:
+        value = None
+
+    w = Words(*buffers(pa.array([" ".join(["x"] * 10_000)])), ALNUM)
+    Block.value = {"hashes": w.hashes, "of": w.of, "ids": ["i"]}
+    doc = pa.array([{"text": " ".join(["x"] * 20_000)}])
+    batch = pa.RecordBatch.from_arrays([doc, pa.array([[]], pa.list_(decontaminate._MATCH))], ["row", "matches"])
+    tracemalloc.start()
+    (out,) = decontaminate._leaks(iter([batch]), 10, "text", Block)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    matches = out.column(1).to_pylist()[0]
+    # one for each diagonal that has a window on it
+    assert out.column(3).to_pylist() == [20_000] and len(matches) == 30_000 - 1 - 2 * 9 and most < 100 << 20
+
+
 def test_statistics(odd, empty, table):
     for docs in (odd, table("documents")):
         got = sorted((str(r["doc_id"]), *r[1:6]) for r in rules.text_statistics(docs).collect())
