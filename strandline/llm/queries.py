@@ -2,56 +2,69 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import chunks, decontaminate, html_text, language, near_dedup, pieces, quality, rules, toxicity, warc
-from .common import shared_dir, table
+from .common import scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+# Each query takes whole tables, with nulls, empty and very long texts, repeated rows and ids, ties, empty tables and columns
+# of any name handled as the docstring of the operator that it calls says; its rows are that operator's.
+
+
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row a document: score of every text, from toxicity.score_toxicity."""
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row a document: its group of near-duplicates by shingles of four words, from near_dedup.near_duplicates."""
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=4)
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row a document: words inside windows of benchmark items, from decontaminate.find_leaks."""
     return decontaminate.leak_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row a document: digests of ids and decoded text, from pieces.encoding_report."""
     return pieces.encoding_report(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
 def op5_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row a document: spans that repeat earlier passages and the text without them, from chunks.find_repeats."""
     return chunks.repeat_report(table(spark, sf_dir, "documents"))
 
 
 def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row a page: its main text, from html_text.extract."""
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row a document: its language, from language.identify."""
     return language.identify(table(spark, sf_dir, "documents"))
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row a document: score of every text, from quality.score_quality."""
     return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op9_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row a document: statistics and the verdict of learned rules, from rules.apply_rules."""
     return rules.apply_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    """A row a page: its record, written by warc.write_archive and read back by warc.read_archive."""
+    path = scratch(spark, "warc")
     warc.write_archive(table(spark, sf_dir, "pages"), path)
     return warc.archive_report(warc.read_archive(spark, path))
 

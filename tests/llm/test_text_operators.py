@@ -1,5 +1,6 @@
 """Operators on texts against brute force, exact round trips and the library."""
 
+import gzip
 import hashlib
 import random
 import re
@@ -380,14 +381,59 @@ def test_warc(spark, tmp_path, table):
     assert warc.read_archive(spark, path).count() == 0
 
 
+def archive(path, *records, cut_at=None, name="part-0.gz"):
+    path.mkdir(exist_ok=True)
+    data = gzip.compress(b"".join(r + b"\r\n\r\n" for r in records))
+    (path / name).write_bytes(data[:cut_at] if cut_at else data)
+    return str(path)
+
+
+def record(kind="response", length=None, block=b"HTTP/1.1 200 OK\r\n\r\nbody", **fields):
+    head = [b"WARC/1.1", *([b"WARC-Type: " + kind.encode()] if kind else []), *(f"{k.replace('_', '-')}: {v}".encode() for k, v in fields.items())]
+    if length != "none":
+        head.append(f"Content-Length: {len(block) if length is None else length}".encode())
+    return b"\r\n".join(head) + b"\r\n\r\n" + block
+
+
+def states(spark, path):
+    return sorted((str(r["page_id"]), r["status"], None if r["payload"] is None else bytes(r["payload"])) for r in warc.read_archive(spark, path).collect())
+
+
 def test_warc_segments_that_are_missing(spark, tmp_path):
-    path = f"{tmp_path}/w"
-    page = spark.createDataFrame([(1, "u", "abc" * 1000)], "page_id long, url string, html string")
-    warc.write_archive(page, path, segment_bytes=500)
-    lines = [r["value"] for r in spark.read.option("lineSep", "WARC/1.1\r\n").text(path).collect() if r["value"]]
-    kept = [x.removesuffix("\r\n\r\n") for x in lines if "WARC-Segment-Number: 3\r\n" not in x]
-    spark.createDataFrame([("WARC/1.1\r\n" + x,) for x in kept], "v string").coalesce(1).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(f"{tmp_path}/x")
-    assert [r["payload"] for r in warc.read_archive(spark, f"{tmp_path}/x").collect()] == [None]
+    http = b"HTTP/1.1 200 OK\r\n\r\n"
+    part = lambda origin, k, block, total=None: record("continuation", block=block, WARC_Record_ID=f"<{origin}:{k}>", WARC_Segment_Origin_ID=f"<{origin}>", WARC_Segment_Number=k, **({"WARC_Segment_Total_Length": total} if total else {}))
+    first = lambda origin, page: record(block=http + b"a", WARC_Record_ID=f"<{origin}>", X_Page=page, WARC_Segment_Number=1)
+    whole = [part("a", 3, b"c", len(http) + 3), first("a", 1), part("a", 2, b"b")]
+    path = archive(tmp_path / "x", *whole, first("b", 2), part("b", 3, b"c", len(http) + 3), first("c", 3), part("c", 2, b"b", 99), part("d", 2, b"b", 2), record("continuation", WARC_Record_ID="<e>"))
+    archive(tmp_path / "x", first("f", 4), name="part-1.gz")
+    archive(tmp_path / "x", part("f", 2, b"b", len(http) + 2), name="part-2.gz")
+    assert states(spark, path) == [("1", "OK", b"abc"), ("2", "SEGMENT_MISSING", None), ("3", "SEGMENT_MISSING", None), ("4", "OK", b"ab"), ("None", "SEGMENT_MISSING", None), ("None", "SEGMENT_MISSING", None)]
+
+
+def test_warc_records_that_are_broken(spark, tmp_path):
+    good = lambda p: record(X_Page=p)
+    bad = [record(length="none", X_Page=2), record(length="x", X_Page=3), record(length=-5, X_Page=4), record(kind=None, X_Page=5), b"WARC/1.1\r\nWARC-Type: response\r\nX-Page: 6", record(block=b"no header", X_Page=7), record(block=b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n5\r\nab", X_Page=8), b"WARC/1.1", record(kind="request", X_Page=9), record(X_Page="x", WARC_Payload_Digest="sha1:!")]
+    path = archive(tmp_path / "x", good(1), *(y for n, x in enumerate(bad) for y in (x, good(20 + n))))
+    want = [("1", "OK", b"body"), ("2", "NO_LENGTH", None), ("3", "NO_LENGTH", None), ("4", "NO_LENGTH", None), ("5", "NO_TYPE", None), ("6", "NO_HEADER_END", None), ("7", "NO_HTTP_HEADER", None), ("8", "BROKEN_CHUNKS", None), ("None", "NO_HEADER_END", None), ("None", "OK", b"body")] + [(str(20 + n), "OK", b"body") for n in range(len(bad))]
+    assert states(spark, path) == sorted(want, key=str)
+    path = archive(tmp_path / "y", good(1), record(length=500, X_Page=2))
+    assert states(spark, path) == [("1", "OK", b"body"), ("2", "TRUNCATED", None)]
+    noise = random.Random(1).randbytes(200_000)
+    path = archive(tmp_path / "z", good(1), record(block=b"HTTP/1.1 200 OK\r\n\r\n" + noise, X_Page=2), good(3), cut_at=120_000)
+    assert states(spark, path) in ([("1", "OK", b"body")], [("1", "OK", b"body"), ("2", "TRUNCATED", None)])
+    (tmp_path / "n").mkdir()
+    (tmp_path / "n" / "a.gz").write_bytes(gzip.compress(b"nothing of the kind"))
+    assert states(spark, str(tmp_path / "n")) == []
+
+
+def test_warc_blocks_that_look_like_records():
+    rnd = random.Random(6)
+    bits = [b"\r\n\r\nWARC/1.", b"WARC/1.", b"\r\n\r\n", b"\r\n", b"x", b"Content-Length: 3", b"1\r\n", b"WARC-Type: response"]
+    for _ in range(300):
+        blocks = [b"".join(rnd.choice(bits) for _ in range(rnd.randint(0, 9))) for _ in range(rnd.randint(1, 5))]
+        data = b"".join(record(block=x) + b"\r\n\r\n" for x in blocks)
+        pieces = [("f", x) for x in data.split(warc._CUT)]
+        assert [(x, s) for _, x, s in warc.assemble(iter(pieces))] == [(x, "OK") for x in blocks]
 
 
 def test_chunked_framing():
