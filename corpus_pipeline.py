@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from strandline.llm import chunks, decontaminate, language, near_dedup, pieces
-from strandline.llm.common import shared_dir, table
+from strandline.llm.common import scratch, table
 
 #: Stages with learned or hashed parts that SQL can't express; tests hold them against brute force.
 ORACLE_SQL = None
@@ -35,7 +33,9 @@ def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, ids and the text that they decode to."""
+    """doc_id, lang, source, ids and the text that they decode to.
+
+    Null and empty texts have the end id only; ids may be null or repeat, a row for each. Without documents there are no rows."""
     found = pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"))
     return found.selectExpr("row.doc_id AS doc_id", "row.lang AS lang", "row.source AS source", "size(ids) AS n_tokens", "ids", "decoded")
 
@@ -52,7 +52,7 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each one's result is written to the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
-    folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    folder = scratch(spark, "pipeline")
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(path := f"{folder}/{name}")
         docs = spark.read.parquet(path)
