@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from .common import cut, ship
+from .common import cut, free, join_summary, ship
 from .textbytes import SPACED, Words, buffers, constants, mix, runs
 
 RADIUS, MOST_WORDS, LEAST_RUN = 3, 24, 20
@@ -93,86 +93,83 @@ def _digests(words: Words, starts: np.ndarray, at: np.ndarray) -> tuple[np.ndarr
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each chunk of columns id, digest, text: its place k, its words n, the bytes from its first word to the next
+    chunk's (or the end of the text), its digest, and whether the text has had it before."""
     for batch in batches:
-        data, off = buffers(batch.column(1))
+        data, off = buffers(batch.column(2))
         for i, j in runs(off):
             words = Words(data[off[i] : off[j]], off[i : j + 1] - off[i], SPACED)
             starts, at = chunk_starts(words)
             d1, d2, n = _digests(words, starts, at)
-            text = np.repeat(np.arange(i, j), np.diff(at))
+            each = np.diff(at)
+            text = np.repeat(np.arange(j - i), each)
+            begin = words.starts[starts] - (off[i:j] - off[i])[text] if len(starts) else starts
+            stop = np.append(begin[1:], 0) if len(starts) else starts
+            last = at[1:][each > 0] - 1
+            stop[last] = np.diff(off[i : j + 1])[text[last]]
             again = np.ones(len(starts), bool)
-            for a, b in zip(at[:-1], at[1:], strict=True):
-                again[a + np.unique(d1[a:b], return_index=True)[1]] = False
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(text)), pa.array((np.arange(len(starts)) - np.repeat(at[:-1], np.diff(at))).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), pa.array(again)], ["id", "k", "n", "d1", "d2", "again"])
+            again[np.unique(np.stack([text.astype(np.uint64), d1, d2]), axis=1, return_index=True)[1]] = False
+            which = pa.array(text + i)
+            small = lambda x: pa.array(x.astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(which), batch.column(1).take(which), small(np.arange(len(starts)) - np.repeat(at[:-1], each)), small(n), pa.array(begin), pa.array(stop), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), pa.array(again)], ["id", "digest", "k", "n", "begin", "stop", "d1", "d2", "again"])
 
 
 def _cleaned(batches: Iterator[pa.RecordBatch], text_col: str, least_run: int) -> Iterator[pa.RecordBatch]:
+    """Runs of repeats (structs of k, n, begin, stop, in order) of least_run words are taken out of the text."""
     for batch in batches:
-        row, repeats = batch.column(0), batch.column(1)
+        row, repeats = batch.column(0), batch.column(1).to_pylist()
         texts = pc.struct_field(row, text_col)
-        gone, n_chunks, kept = [], [], []
-        data, off = buffers(texts)
-        valid = texts.is_valid().to_pylist()
-        for i, j in runs(off):
-            base = off[i]
-            here = data[base : off[j]]
-            words = Words(here, off[i : j + 1] - base, SPACED)
-            starts, at = chunk_starts(words)
-            n_chunks.append(np.diff(at))
-            for t in range(i, j):
-                a, b = at[t - i], at[t - i + 1]
-                marks = np.zeros(b - a + 2, np.int8)
-                k = repeats[t].as_py()
-                if k:
-                    marks[np.array(k) + 1] = 1
-                edge = np.diff(marks)
-                edges = np.append(starts[a:b], words.of[t - i + 1])  # first word of each chunk, then the end
-                spans = []
-                for x, y in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True):
-                    if edges[y] - edges[x] >= least_run:
-                        # from the first word of the run to the next word, or the end of the text
-                        stop = words.starts[edges[y]] if edges[y] < words.of[t - i + 1] else off[t + 1] - base
-                        spans.append((int(words.starts[edges[x]] - off[t] + base), int(stop - off[t] + base)))
-                gone.append([{"start": x, "stop": y} for x, y in spans])
-                if not valid[t]:
-                    kept.append(None)
-                    continue
-                text, pieces, last = data[off[t] : off[t + 1]].tobytes(), [], 0
-                for x, y in spans:
-                    pieces.append(text[last:x])
-                    last = y
-                kept.append(b"".join([*pieces, text[last:]]).decode())
-        yield pa.RecordBatch.from_arrays([row, pa.array(np.concatenate(n_chunks) if n_chunks else np.zeros(0, np.int64)), pa.array(gone, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), pa.array(kept, pa.string())], ["row", "n_chunks", "removed", "kept_text"])
+        gone, kept = [], texts.to_pylist()
+        for t, chunks in enumerate(repeats):
+            spans: list[list[int]] = []
+            for c in chunks or ():
+                if spans and spans[-1][3] == c["k"]:
+                    spans[-1] = [spans[-1][0], c["stop"], spans[-1][2] + c["n"], c["k"] + 1]
+                else:
+                    spans.append([c["begin"], c["stop"], c["n"], c["k"] + 1])
+            spans = [x for x in spans if x[2] >= least_run]
+            gone.append([{"start": x[0], "stop": x[1]} for x in spans])
+            if spans:
+                data, pieces, last = kept[t].encode(), [], 0
+                for x in spans:
+                    pieces.append(data[last : x[0]])
+                    last = x[1]
+                kept[t] = b"".join([*pieces, data[last:]]).decode()
+        yield pa.RecordBatch.from_arrays([row, pa.array(gone, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), pa.array(kept, pa.string())], ["row", "removed", "kept_text"])
 
 
 def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_run: int = LEAST_RUN) -> DataFrame:
-    """row (struct of the columns of docs), n_chunks, removed (byte spans), kept_text for every row of docs.
-
-    Null texts stay null and have no chunks; empty texts and texts without words have none either. Rows with a null id
-    are left as they are. Repeated rows (one id several times) count as one occurrence, so neither is removed on
-    account of the other. A text that consists of earlier passages only becomes empty. Other columns stay in row.
+    """row (struct of the columns of docs), removed (byte spans), kept_text for every row of docs.
+
+    Texts are cut into chunks once; the table of chunks lies in the shared folder. Null texts stay null and have no
+    chunks; empty texts and texts without words have none either. Rows with a null id are left as they are. Rows of
+    one id count as one occurrence, so none is removed on account of another, and what each of them has is removed by
+    its own text. Of equal chunks the one with the least id stays, then the first in its text. A text that consists of
+    earlier passages only becomes empty. A very long text is one row's work, in proportion to it. Without documents
+    there are no rows; other columns stay in row.
     """
     ship(docs.sparkSession)
+    digest = lambda text: F.xxhash64(text, F.octet_length(text))  # noqa: E731  tells texts of one id apart
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
-    chunks = texts.mapInArrow(_chunks, "id long, k int, n int, d1 long, d2 long, again boolean")
-    first = chunks.groupBy("d1", "d2").agg(F.min("id").alias("first"), F.count("*").alias("c")).where("c > 1")
-    # keys of another form on either side: Spark then shuffles both for the join and can split a frequent chunk's rows
-    first, key = first.select("first", F.bitwise_not("d1").alias("e1"), "d2"), F.bitwise_not("d1").alias("e1")
-    repeats = chunks.select("id", "k", "n", "again", key, "d2").join(first, ["e1", "d2"]).where("id <> first or again")
+    chunks = cut(texts.select("id", digest(F.col("text")).alias("digest"), "text").mapInArrow(_chunks, "id long, digest long, k int, n int, begin long, stop long, d1 long, d2 long, again boolean"))
+    first = cut(chunks.groupBy("d1", "d2").agg(F.min("id").alias("first"), F.count("*").alias("c")).where("c > 1").drop("c"))
+    repeats = join_summary(chunks, first, "d1", "d2").where("id <> first or again")
     # a group is what one document repeats, so it is no larger than its text
-    marked = cut(repeats.groupBy("id").agg(F.collect_set("k").alias("repeats"), F.sum("n").alias("words")).where(F.col("words") >= least_run).select("id", "repeats"))
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")).withColumn("id", F.col("row")[id_col].cast("long"))
-    joined = rows.join(marked, "id", "left").select("row", "repeats")
+    spans = F.sort_array(F.collect_set(F.struct("k", "n", "begin", "stop"))).alias("repeats")
+    marked = cut(repeats.groupBy("id", "digest").agg(spans, F.sum("n").alias("words")).where(F.col("words") >= least_run).select("id", "digest", "repeats"))
+    free(chunks, first)
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")).withColumn("id", F.col("row")[id_col].cast("long")).withColumn("digest", digest(F.col("row")[text_col].cast("string")))
+    joined = rows.join(marked, ["id", "digest"], "left").select("row", "repeats")
     span = ArrayType(StructType([StructField("start", LongType()), StructField("stop", LongType())]))
-    schema = StructType([rows.schema["row"], StructField("n_chunks", LongType()), StructField("removed", span), StructField("kept_text", StringType())])
+    schema = StructType([rows.schema["row"], StructField("removed", span), StructField("kept_text", StringType())])
     return joined.mapInArrow(partial(_cleaned, text_col=text_col, least_run=least_run), schema)
 
 
 def repeat_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
-    """doc_id, n_chunks, n_removed (spans), removed_bytes, removed, kept_text, changed of every row of docs."""
+    """doc_id, n_removed (spans), removed_bytes, removed, kept_text, changed of every row of docs."""
     found = find_repeats(docs.select(*dict.fromkeys([id_col, text_col])), id_col, text_col, **settings)
     size = F.aggregate("removed", F.lit(0).cast("long"), lambda a, x: a + x["stop"] - x["start"])
-    return found.select(F.col("row")[id_col].alias("doc_id"), "n_chunks", F.size("removed").cast("long").alias("n_removed"), size.alias("removed_bytes"), "removed", "kept_text", (F.size("removed") > 0).alias("changed"))
+    return found.select(F.col("row")[id_col].alias("doc_id"), F.size("removed").cast("long").alias("n_removed"), size.alias("removed_bytes"), "removed", "kept_text", (F.size("removed") > 0).alias("changed"))
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None, **settings) -> DataFrame:

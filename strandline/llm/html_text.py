@@ -57,7 +57,7 @@ _SHORT = 25
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "children", "dropped", "points", "named", "article", "main", "within", "doubt", "declared", "text", "text_commas", "blocks", "score", "length", "links", "anchors", "commas", "own", "read", "beside")
+    __slots__ = ("tag", "parent", "children", "dropped", "points", "named", "article", "main", "within", "doubt", "declared", "text", "text_commas", "blocks", "score", "length", "links", "anchors", "commas", "own", "read", "beside", "around")
 
     def __init__(self, tag: str, parent: _Node | None, dropped: bool, points: float, named: str = ""):
         self.tag, self.parent, self.children, self.dropped, self.points, self.named = tag, parent, [], dropped, points, named
@@ -67,6 +67,7 @@ class _Node:
         self.within = parent and (parent if parent.named == "beside" else parent.within)
         self.doubt = parent and (parent if parent.named in ("bad", "beside") else parent.doubt)
         self.declared = parent.declared + parent.declares() if parent else 0
+        self.around = parent and (parent if parent.tag in _BLOCKS or not parent.parent else parent.around)  # the next block up
         self.text = self.text_commas = self.blocks = 0
         self.reset()
 
@@ -116,6 +117,7 @@ class _Reader:
         self.doubted: list[_Node] = []
         self.scored: list[_Node] = []
         self.articles: list[_Node] = []
+        self.open: dict[str, int] = defaultdict(int)  # elements of each tag that are open, so that nothing is looked for in vain
 
     def text(self, data: str) -> None:
         node = self.at
@@ -129,14 +131,14 @@ class _Reader:
 
     def start(self, tag: str, attributes: str) -> None:
         if tag in _BLOCKS:
-            if self.at.tag == "p" or not self.at.tag in _BLOCKS and self._open("p"):
+            if self.at.tag == "p" or self.at.tag not in _BLOCKS and self._open("p"):
                 self.end("p")
-            if tag in _ENDS_SAME:
+            if tag in _ENDS_SAME and any(self.open[x] for x in _ENDS_SAME[tag][0]):
                 same, within = _ENDS_SAME[tag]
                 node = self.at
                 while node.parent and node.tag not in within:
                     if node.tag in same:
-                        self.at = node.parent
+                        self._leave(node)
                         break
                     node = node.parent
         up = self.at
@@ -155,26 +157,30 @@ class _Reader:
             self.doubted.append(node)
         if tag not in _VOID:
             self.at = node
+            self.open[tag] += 1
+
+    def _leave(self, node: _Node) -> None:
+        """End an open element and those in it."""
+        while self.at is not node.parent:
+            self.open[self.at.tag] -= 1
+            self.at = self.at.parent
 
     def _open(self, tag: str) -> bool:
-        """Whether such an element is open, within the blocks around."""
-        node = self.at
-        while node.parent:
-            if node.tag == tag:
-                return True
-            if node.tag in _BLOCKS:
-                return False
-            node = node.parent
-        return False
+        """Whether such an element is the next block around."""
+        return self.open[tag] > 0 and self.at.around.tag == tag
 
     def end(self, tag: str) -> None:
+        if not self.open[tag]:
+            return
+        if tag not in _BLOCKS and self.at.tag in _BLOCKS:
+            return  # an inline element ends within its block
         node = self.at
         while node.parent and node.tag != tag:
             if tag not in _BLOCKS and node.tag in _BLOCKS:
                 return  # an inline element ends within its block
             node = node.parent
         if node.parent:
-            self.at = node.parent
+            self._leave(node)
 
     def measure(self) -> None:
         """Lengths and scores of what isn't ruled out."""
@@ -252,7 +258,7 @@ class _Reader:
                 to.score += points / share
                 self.scored.append(to)
                 share += 1
-            to = to.parent
+            to = to.around
 
 
 def parse(page: str) -> _Reader:
@@ -358,7 +364,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     White space in a block becomes one space, br too; blocks are in page order, one a line. Null and empty html, and
     pages without text, give an empty text. Containers that tie go to the first. Ids and urls may be null; repeated
-    rows are extracted alike; other columns are ignored.
+    rows are extracted alike, and rows of one id each by its own html. A very long page is one row's work, in
+    proportion to its length, however its tags are nested. Without pages there are no rows; other columns are ignored.
     """
     ship(pages.sparkSession)
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))

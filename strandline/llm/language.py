@@ -6,7 +6,9 @@ cross entropy; the language with the least wins.
 
 Automata are kept as dense tables whose missing transitions already lead to where the next phrase begins, flagged in
 the top bit, so numpy walks many texts and all languages at once, one symbol a step. Texts are cut into segments of
-SEGMENT symbols for that (a phrase ends with its segment), which bounds the steps for texts of any length.
+SEGMENT symbols for that, which are walked side by side. A segment's own walk begins with a phrase of its own, but the
+text's phrase reaches into it; so each is walked again from where the one before ended until both walks are in the
+same state, as they are after a phrase or two. From there on they agree, so the phrases are exactly the text's.
 """
 
 from __future__ import annotations
@@ -84,19 +86,24 @@ class Languages:
             parts, n = [], 0
             for x in texts[name]:
                 s, _ = self.encode(pa.array([x.lower()]))
-                if n + len(s) > most_symbols and parts:
-                    continue
-                parts += [s[:most_symbols], np.array([_OTHER], np.uint8)]
-                n += len(s)
+                if n + len(s) <= most_symbols or not parts:
+                    parts += [s, np.array([_OTHER], np.uint8)]
+                    n += len(s)
             body = np.concatenate(parts)
             automaton = suffix_automaton(body, self.width)
             automaton[:, _OTHER] = -1  # separates texts, and stands for unknown bytes
-            start = np.where(automaton[0] < 0, 0, automaton[0])
+            # the last row is where a symbol leads that the language lacks: a phrase of its own, which ends at once
+            lost = len(automaton)
+            start = np.where(automaton[0] < 0, lost, automaton[0])
             missing = automaton < 0
-            flat = (np.where(missing, start[None, :], automaton) + base) * self.width
-            tables.append(flat.astype(np.uint32) | np.where(missing, _FLAG, np.uint32(0)))
-            self.roots.append(base * self.width)
+            flat = np.concatenate([(np.where(missing, start[None, :], automaton) + base) * self.width, (start[None, :] + base) * self.width])
+            flag = np.concatenate([missing, np.ones((1, self.width), bool)])
+            if (base + len(flat)) * self.width >= 1 << 31:
+                raise ValueError("too many languages or symbols: lower most_symbols")
+            tables.append(flat.astype(np.uint32) | np.where(flag, _FLAG, np.uint32(0)))
+            self.roots.append((base + lost) * self.width)  # where any symbol begins a phrase
             self.bits.append(np.log2(max(len(body), 2)))
+            automaton = flat
             base += len(automaton)
         self.table = np.concatenate(tables).reshape(-1) if tables else np.zeros(0, np.uint32)
 
@@ -111,21 +118,56 @@ class Languages:
 
     def phrases(self, s: np.ndarray, off: np.ndarray) -> np.ndarray:
         """Phrases of each text (rows) in each language."""
-        n = np.diff(off)
+        n, k = np.diff(off), len(self.names)
         pieces = -(-n // SEGMENT)
         text = np.repeat(np.arange(len(n)), pieces)
-        begin = off[:-1][text] + (np.arange(len(text)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * SEGMENT
+        place = np.arange(len(text)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        begin = off[:-1][text] + place * SEGMENT
         size = np.minimum(SEGMENT, off[1:][text] - begin)
         order = np.argsort(-size, kind="stable")
-        begin, size, text = begin[order], size[order], text[order]
+        lane = np.empty_like(order)
+        lane[order] = np.arange(len(order))
+        begin, size, text, place = begin[order], size[order], text[order], place[order]
+        before = np.where(place > 0, lane[np.maximum(order - 1, 0)], -1)
+        most = int(size[0]) if len(size) else 0
         state = np.repeat(np.array(self.roots, np.uint32)[:, None], len(text), 1)
-        ends = np.ones(state.shape, np.int64)
-        lanes = np.searchsorted(-size, -np.arange(int(size[0]) if len(size) else 0), side="left")
-        for t, k in enumerate(lanes):
-            v = self.table[state[:, :k] + s[begin[:k] + t].astype(np.uint32)]
-            ends[:, :k] += v >> np.uint32(31)
-            state[:, :k] = v & ~_FLAG
-        return np.stack([np.bincount(text, e, len(n)) for e in ends], 1) if self.names else np.zeros((len(n), 0))
+        ends = np.zeros(state.shape, np.int64)
+        lanes = np.searchsorted(-size, -np.arange(most), side="left")
+        trail, counts = [], []
+        several = bool((place > 0).any())
+        for t, m in enumerate(lanes):
+            v = self.table[state[:, :m] + s[begin[:m] + t].astype(np.uint32)]
+            ends[:, :m] += v >> np.uint32(31)
+            state[:, :m] = v & ~_FLAG
+            if several:
+                trail.append(state[:, :m].copy())
+                counts.append(ends[:, :m].astype(np.int16))
+        own, final = ends.copy(), state.copy()
+        # segments that follow another one, in each language: walked from where that one ended
+        x, y = np.nonzero(np.repeat((before >= 0)[None, :], k, 0))
+        while len(x):
+            now, seen = state[x, before[y]], np.zeros(len(x), np.int64)
+            changed = np.zeros((k, len(text)), bool)
+            t, a, b = 0, x, y
+            while len(a):
+                v = self.table[now + s[begin[b] + t].astype(np.uint32)]
+                seen = seen + (v >> np.uint32(31))
+                now = v & ~_FLAG
+                met = now == trail[t][a, b]
+                ends[a[met], b[met]] = own[a[met], b[met]] - counts[t][a[met], b[met]] + seen[met]
+                over = ~met & (size[b] == t + 1)
+                ends[a[over], b[over]] = seen[over]
+                for which, end in ((met, final[a[met], b[met]]), (over, now[over])):
+                    changed[a[which], b[which]] = state[a[which], b[which]] != end
+                    state[a[which], b[which]] = end
+                left = ~(met | over)
+                now, seen, a, b = now[left], seen[left], a[left], b[left]
+                t += 1
+            again = np.zeros_like(changed)
+            has = before >= 0
+            again[:, has] = changed[:, before[has]]
+            x, y = np.nonzero(again)
+        return np.stack([np.bincount(text, e, len(n)) for e in ends], 1) if k else np.zeros((len(n), 0))
 
 
 def _identified(batches: Iterator[pa.RecordBatch], column: str | None, model) -> Iterator[pa.RecordBatch]:
@@ -149,33 +191,27 @@ def _identified(batches: Iterator[pa.RecordBatch], column: str | None, model) ->
         yield pa.RecordBatch.from_arrays([first, pa.array(lang, pa.string()), pa.array(score)], ["row", "lang_pred", "score"])
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", modulus: int = 4, held_out: int = 2, most_texts: int = 300, most_chars: int = 8_000, most_symbols: int = 40_000) -> Languages:
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", modulus: int = 4, held_out: int = 2, most_texts: int = 300, most_chars: int = 2_000, most_symbols: int = 40_000) -> Languages:
     """Automata of the languages that rows outside the held-out fold name.
 
-    Of each language, whole texts of at most most_chars characters are taken in order of a hash of the id, from the
-    first most_texts or so, one of each id, while they have at most most_symbols symbols together. Where a language has
-    only longer ones, its shortest are taken, as far as most_symbols goes.
+    Of each language, texts are taken in order of a hash of the id, from the first most_texts or so, one of each id,
+    while they have at most most_symbols symbols together, or one. Texts of more than most_chars characters, which are
+    chosen alike, give most_chars of them, in pieces spread over the whole text.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.length(F.col(text_col).cast("string")).alias("chars"))
     rows = rows.where(F.col("id").isNotNull() & F.col("lang").isNotNull() & (F.col("chars") > 0) & (fold("id", modulus) != held_out))
     # a row a language; their automata go to all tasks anyway
-    counts = [(r["lang"], r["c"]) for r in rows.groupBy("lang").agg(F.approx_count_distinct(F.when(F.col("chars") <= most_chars, F.col("id"))).alias("c")).collect()]
+    counts = [(r["lang"], r["c"]) for r in rows.groupBy("lang").agg(F.approx_count_distinct("id").alias("c")).collect()]
     counted = F.broadcast(spark.createDataFrame(counts, "lang string, c long"))
     # a share of each language's hashes that holds about 4 * most_texts ids, so that what is ranked has a bound
-    near = rows.where(F.col("chars") <= most_chars).join(counted, "lang")
+    near = rows.join(counted, "lang")
     near = near.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) * F.col("c") < (4 * most_texts) << 20).groupBy("id").agg(F.min("lang").alias("lang"))
     ranked = near.selectExpr("id", "lang", "row_number() OVER (PARTITION BY lang ORDER BY pmod(xxhash64(id), 1 << 20), xxhash64(id), id) AS k").where(F.col("k") <= most_texts)
-    found = [texts_of(docs, ranked, id_col, text_col, most_chars).sort_by("k")]
-    if any(c == 0 for _, c in counts):
-        only_long = rows.join(counted.where("c = 0"), "lang").groupBy("id").agg(F.min(F.struct("chars", "lang")).alias("x")).select("id", "x.*")
-        ranked = only_long.selectExpr("id", "lang", "row_number() OVER (PARTITION BY lang ORDER BY chars, xxhash64(id), id) AS k").where(F.col("k") <= -(-most_symbols // most_chars))
-        begun = docs.withColumn(text_col, F.substring(F.col(text_col).cast("string"), 1, most_symbols))
-        found.append(texts_of(begun.where(F.col(lang_col).cast("string").isin([x for x, c in counts if c == 0])), ranked, id_col, text_col, most_symbols).sort_by("k"))
+    found = texts_of(docs, ranked, id_col, text_col, most_chars).sort_by("k")
     texts: dict[str, list[str]] = {}
-    for part in found:
-        for lang, text in zip(part["lang"].to_pylist(), part["text"].to_pylist(), strict=True):
-            texts.setdefault(lang, []).append(text)
+    for lang, pieces in zip(found["lang"].to_pylist(), found["pieces"].to_pylist(), strict=True):
+        texts.setdefault(lang, []).append(chr(0x10FFFF).join(pieces))  # a byte that no text has parts them
     return Languages(texts, most_symbols)
 
 
@@ -185,8 +221,9 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     lang_pred is a language of rows outside the held-out fold (crc32 of the id modulo modulus), or und for null and
     empty texts, texts without any letter, and where no labelled text was found. score is 1 - least / second least
     entropy: 0 for und and ties, of which the first language in order wins. Null languages and ids are not learned
-    from; rows with a null id are identified (their fold is that of empty text). Repeated rows get equal results;
-    other columns are ignored.
+    from; rows with a null id are identified (their fold is that of empty text). Repeated rows get equal results, rows
+    of one id each by its own text. A very long text is parsed whole, with memory in proportion to it. Without
+    documents there are no rows; other columns are ignored.
     """
     ship(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, id_col, text_col, lang_col, modulus, held_out, **settings))

@@ -28,8 +28,9 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 from .common import ship
 
 MARK = "▁"
-#: Units, parts and pairs that a Python worker remembers, at most twice as many for a time.
-REMEMBERED = 200_000
+#: What a Python worker remembers of units and of parts, in units of some bytes, at most twice as much for a time; longer
+#: units than LONG characters are encoded each time they are met. PAIRS: token pairs.
+REMEMBERED, LONG, PAIRS = 12_000_000, 200, 800_000
 _NORMAL, _UNKNOWN, _CONTROL, _BYTE = 1, 2, 3, 6
 
 
@@ -55,7 +56,6 @@ class Model:
         self.inner = {x for p in self.ids for x in map(add, p, p[1:])}
         self.parts = _Remembered(self._part)
         self.listed = _Remembered(self._listed)
-        self.changed: dict[str, str] = {}  # units that decode to another text
         self.follows: dict[int, bool] = {}
 
     def merged(self, text: str) -> list[str]:
@@ -82,7 +82,7 @@ class Model:
         if text not in self.ids and len(text) == 1:
             return [self.bytes[b] for b in text.encode()] if self.bytes else [self.unknown]
         follows, n = self.follows, len(text)
-        if len(follows) > 4 * REMEMBERED:
+        if len(follows) > PAIRS:
             follows.clear()
         last, size = [-1] * (n + 1), [0] * (n + 1)
         last[0] = -2
@@ -110,11 +110,11 @@ class Model:
             out += parts[text[begin:]]
         return out
 
-    def _listed(self, text: str) -> str:
+    def _listed(self, text: str) -> tuple[str, str]:
+        """A unit's ids in decimal, each after a space, and the text that they decode to."""
         ids = self.unit(text)
-        if (back := self._text(ids)) != text:
-            self.changed[text] = back
-        return "".join([f" {i}" for i in ids])
+        back = self._text(ids)
+        return "".join([f" {i}" for i in ids]), text if back == text else back
 
     def split(self, text: str) -> list[str]:
         """Units of a text; spaces become marks, and one mark goes before the text. A line end without a piece is a unit."""
@@ -130,11 +130,10 @@ class Model:
 
     def listing(self, text: str) -> tuple[str, str]:
         """The ids in decimal, one space apart, and the text they decode to."""
-        units = self.split(text)
-        listed = f"{''.join(map(self.listed.__getitem__, units))} {self.end}"[1:]
-        # a unit's bytes are whole characters, so units decode apart; each was decoded when it was first met
-        back = "".join([self.changed.get(u, u) for u in units] if self.changed else units)
-        return listed, (back[1:] if back[:1] == MARK else back).replace(MARK, " ")
+        # a unit's bytes are whole characters, so units decode apart
+        parts = [*map(self.listed.__getitem__, self.split(text))]
+        back = "".join([p[1] for p in parts])
+        return f"{''.join([p[0] for p in parts])} {self.end}"[1:], (back[1:] if back[:1] == MARK else back).replace(MARK, " ")
 
     def _text(self, ids) -> str:
         """Pieces of ids joined: control ids go, and byte ids that follow each other are read as UTF-8."""
@@ -160,19 +159,24 @@ class Model:
 
 
 class _Remembered(dict):
-    """Values of a function of a unit. When there are too many, those not asked for since the last time are forgotten."""
+    """Values of a function of a unit. When they take up too much, those not asked for since the last time are forgotten."""
 
     def __init__(self, make: Callable):
         super().__init__()
-        self.make, self.before = make, {}
+        self.make, self.before, self.weight = make, {}, 0
 
     def __missing__(self, unit: str):
-        if len(self) >= REMEMBERED:
-            self.before = dict(self)
-            self.clear()
+        if len(unit) > LONG:
+            return self.make(unit)
         value = self.before.get(unit)
         if value is None:
             value = self.make(unit)
+        weight = 4 * len(unit) + 40  # ids are no more than a unit's bytes
+        if self.weight + weight > REMEMBERED:
+            self.before = dict(self)
+            self.clear()
+            self.weight = 0
+        self.weight += weight
         self[unit] = value
         return value
 
@@ -236,7 +240,9 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text") -> DataFram
     """row (struct of the columns of docs), ids (with the end id), decoded text of every row of docs.
 
     The model file, of a fixed size, is read on the driver and broadcast. Null and empty texts have the end id only
-    and decode to an empty text. Repeated rows are encoded alike; other columns stay in row.
+    and decode to an empty text. A very long text is one row's work, in proportion to its length. Repeated rows, and
+    rows of one id, are encoded each by its own text; of equally scored merges the first one goes first, as in the
+    library. Without documents there are no rows; other columns stay in row.
     """
     proto, rows = _proto(docs, model_path), _rows(docs)
     schema = StructType([rows.schema["row"], StructField("ids", ArrayType(IntegerType())), StructField("decoded", StringType())])

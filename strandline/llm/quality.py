@@ -1,4 +1,5 @@
-"""Quality by a factorisation machine (Rendle, 2010) over hashed words, structure statistics and metadata.
+"""Quality by a factorisation machine (Rendle, 2010) over hashed words, structure statistics, and metadata that is in the
+text itself: its lengths in words, bytes and lines.
 
     z = w0 + sum_i w_i x_i + 1/2 sum_f ((sum_i v_if x_i)**2 - sum_i v_if**2 x_i**2)
 
@@ -8,17 +9,18 @@ buckets of hashed words the others.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import fold, ship
-from .samples import first_by_hash, texts_of, training_labels
+from .samples import features_of, first_by_hash, training_labels
 from .textbytes import SPACED, Words, buffers, folding, runs
 
 BITS = 16
@@ -79,30 +81,57 @@ def _run(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, Words, np.ndarr
     return statistics(data, off, words), words, (words.hashes & np.uint64((1 << BITS) - 1)).astype(np.int64) + len(STATISTICS)
 
 
-def _rows(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Statistics, and sparse rows (offsets, columns, values) of word shares."""
-    data, off = buffers(texts)
-    stats, at, columns, values = [], [0], [], []
-    for i, j in runs(off):
-        s, words, f = _run(data[off[i] : off[j]], off[i : j + 1] - off[i])
-        stats.append(s)
-        for a, b in zip(words.of[:-1], words.of[1:], strict=True):
-            u, c = np.unique(f[a:b], return_counts=True)
-            columns.append(u)
-            values.append((c / max(b - a, 1)).astype(np.float32))
-            at.append(at[-1] + len(u))
-    return np.concatenate(stats), np.array(at), np.concatenate(columns), np.concatenate(values)
-
-
-def fit(texts: pa.Array, y: np.ndarray, factors: int = 8, least_texts: int = 10, steps: int = 1200, batch: int = 256, rate: float = 0.02, decay: float = 1e-4, seed: int = 1) -> Machine:
-    """Logistic loss, by Adam. Word buckets in fewer texts than least_texts, or in over half, keep 0. With one class, or no text, the intercept alone answers."""
-    k, rng = len(STATISTICS), np.random.default_rng(seed)
+def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """row, stats, buckets, values: of each text its statistics, the columns of its distinct words, and their shares."""
+    for batch in batches:
+        data, off = buffers(batch.column(1))
+        stats, at, columns, values = [np.zeros((0, len(STATISTICS)))], [0], [np.zeros(0, np.int32)], [np.zeros(0, np.float32)]
+        for i, j in runs(off):
+            s, words, f = _run(data[off[i] : off[j]], off[i : j + 1] - off[i])
+            stats.append(s)
+            for a, b in zip(words.of[:-1], words.of[1:], strict=True):
+                u, c = np.unique(f[a:b], return_counts=True)
+                columns.append(u.astype(np.int32))
+                values.append((c / max(b - a, 1)).astype(np.float32))
+                at.append(at[-1] + len(u))
+        rows = pa.ListArray.from_arrays(pa.array(np.arange(0, len(STATISTICS) * len(batch) + 1, len(STATISTICS), dtype=np.int32)), pa.array(np.concatenate(stats).reshape(-1)))
+        lists = [pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(x))) for x in (columns, values)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), rows, *lists], ["row", "stats", "buckets", "values"])
+
+
+def score_and_gradient(w0: float, w: np.ndarray, v: np.ndarray, row: np.ndarray, column: np.ndarray, value: np.ndarray, n: int) -> tuple[np.ndarray, Callable]:
+    """Scores of n sparse rows by the sum-of-squares identity, and a function that maps the derivative by the scores to
+    that by w0, w and v. Cells of a row stand together."""
+    weighed = v[column] * value[:, None]
+    begin = np.flatnonzero(np.append(True, row[1:] != row[:-1])) if len(row) else np.zeros(0, np.int64)
+    sums = np.zeros((n, v.shape[1]), v.dtype)
+    sums[row[begin]] = np.add.reduceat(weighed, begin, 0) if len(begin) else 0
+    z = w0 + np.bincount(row, w[column] * value + -0.5 * np.einsum("ij,ij->i", weighed, weighed), n) + 0.5 * np.einsum("ij,ij->i", sums, sums)
+
+    def back(d: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        dv = (d[row] * value)[:, None].astype(v.dtype) * (sums[row] - weighed)
+        by = np.argsort(column, kind="stable")
+        first = np.flatnonzero(np.append(True, np.diff(column[by]) != 0)) if len(by) else by
+        gv = np.zeros_like(v)
+        if len(by):
+            gv[column[by][first]] = np.add.reduceat(dv[by], first, 0)
+        return float(d.sum()), np.bincount(column, d[row] * value, len(w)), gv
+
+    return z, back
+
+
+def fit(found: pa.Table, factors: int = 8, least_texts: int = 10, steps: int = 500, batch: int = 256, rate: float = 0.03, decay: float = 1e-4, seed: int = 1) -> Machine:
+    """Logistic loss, by Adam, from a table of y, stats, buckets and values. Word buckets in fewer texts than least_texts, or in
+    over half, keep 0. With one class, or no text, the intercept alone answers."""
+    k, rng, y = len(STATISTICS), np.random.default_rng(seed), found["y"].to_numpy().astype(float)
     size = k + (1 << BITS)
     machine = Machine(np.zeros(k), np.ones(k), 0.0, np.zeros(size, np.float32), np.zeros((size, factors), np.float32))
     if not len(y) or y.min() == y.max():
         machine.w0 = 0.0 if not len(y) else 4.0 if y[0] else -4.0
         return machine
-    stats, at, f, x = _rows(texts)
+    flat = lambda c: np.concatenate([x.flatten().to_numpy() for x in found[c].chunks])
+    stats, f, x = flat("stats").reshape(len(y), k), flat("buckets").astype(np.int64), flat("values")
+    at = np.concatenate([[0], np.cumsum(pc.list_value_length(found["buckets"]).to_numpy())])
     machine.mean, machine.deviation = stats.mean(0), stats.std(0) + 1e-6
     dense = machine.dense(stats)
     seen = np.bincount(f, minlength=size)
@@ -111,28 +140,29 @@ def fit(texts: pa.Array, y: np.ndarray, factors: int = 8, least_texts: int = 10,
     at, f, x = np.concatenate([[0], np.cumsum(keep)])[at], f[keep], x[keep]
     live = np.concatenate([np.arange(k), np.flatnonzero(live)])
     f = np.searchsorted(live, f)
-    p = {"w0": np.zeros(1), "w": np.zeros(len(live)), "v": rng.normal(0, 0.02, (len(live), factors))}
-    m, s = ({n: np.zeros_like(a) for n, a in p.items()} for _ in range(2))
+    p = [np.zeros(1), np.zeros(len(live)), rng.normal(0, 0.02, (len(live), factors)).astype(np.float32)]
+    m, s = ([np.zeros_like(a) for a in p] for _ in range(2))
     for step in range(1, steps + 1):
         rows = rng.integers(0, len(y), batch)
         n = at[rows + 1] - at[rows]
-        take = np.repeat(at[rows] - np.cumsum(n) + n, n) + np.arange(n.sum())
-        row = np.concatenate([np.repeat(np.arange(batch), k), np.repeat(np.arange(batch), n)])
-        column = np.concatenate([np.tile(np.arange(k), batch), f[take]])
-        value = np.concatenate([dense[rows].reshape(-1), x[take]])
-        v = p["v"][column] * value[:, None]
-        sums = np.stack([np.bincount(row, c, batch) for c in v.T], 1)
-        z = p["w0"] + np.bincount(row, p["w"][column] * value, batch) + 0.5 * ((sums**2).sum(1) - np.bincount(row, (v**2).sum(1), batch))
-        d = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[rows]) / batch
-        dv = (d[row] * value)[:, None] * (sums[row] - v)
-        g = {"w0": np.array([d.sum()]), "w": np.bincount(column, d[row] * value, len(live)), "v": np.stack([np.bincount(column, c, len(live)) for c in dv.T], 1)}
-        for name in p:
-            q = g[name] + (decay * p[name] if name != "w0" else 0)
-            m[name] = 0.9 * m[name] + 0.1 * q
-            s[name] = 0.999 * s[name] + 0.001 * q * q
-            p[name] = p[name] - rate * (m[name] / (1 - 0.9**step)) / (np.sqrt(s[name] / (1 - 0.999**step)) + 1e-8)
-    machine.w0 = float(p["w0"][0])
-    machine.w[live], machine.v[live] = p["w"], p["v"]
+        # each row's statistics, then its words
+        width = n + k
+        start = np.cumsum(width) - width
+        row = np.repeat(np.arange(batch), width)
+        place = np.arange(len(row)) - start[row]
+        words = place >= k
+        source = np.where(words, at[rows][row] + place - k, 0)
+        column = np.where(words, f[source] if len(f) else 0, np.minimum(place, k - 1))
+        value = np.where(words, x[source] if len(x) else 0, dense[rows[row], np.minimum(place, k - 1)])
+        z, back = score_and_gradient(p[0][0], p[1], p[2], row, column, value, batch)
+        g = back((1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[rows]) / batch)
+        for i, q in enumerate(g):
+            q = q + (decay * p[i] if i else 0)
+            m[i] = 0.9 * m[i] + 0.1 * q
+            s[i] = 0.999 * s[i] + 0.001 * q * q
+            p[i] = (p[i] - rate * (m[i] / (1 - 0.9**step)) / (np.sqrt(s[i] / (1 - 0.999**step)) + 1e-8)).astype(p[i].dtype)
+    machine.w0 = float(p[0][0])
+    machine.w[live], machine.v[live] = p[1], p[2]
     return machine
 
 
@@ -162,21 +192,23 @@ def _scores(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(logits(model.value, batch.column(1)), -30, 30))))], ["doc_id", "score"])
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", modulus: int = 3, held_out: int = 1, most_each: int = 2500, most_chars: int = 20_000, **settings) -> DataFrame:
+def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", modulus: int = 3, held_out: int = 1, most_each: int = 2500, **settings) -> DataFrame:
     """doc_id, held_out, score, predicted of every row of docs.
 
-    Fitting takes at most most_each labelled texts of either label, of at most most_chars characters, outside the
-    held-out fold (crc32 of the id modulo modulus). Scores see the whole text and its lengths only. Null and empty
-    texts are scored by statistics that are all 0 (distinct: 1). With no labels every score is 0.5, with one label
-    all answers are that. Rows with a null id are scored (their fold is that of empty text) but not learned from;
-    repeated rows get equal scores; other columns are ignored.
+    Fitting takes at most most_each labelled texts of either label, of any length, outside the held-out fold (crc32 of
+    the id modulo modulus), by a hash of the id. Scores see the whole text and its lengths only. Null and empty texts
+    are scored by statistics that are all 0 (distinct: 1). With no labels every score is 0.5, with one label all
+    answers are that. Rows with a null id are scored (their fold is that of empty text) but not learned from; repeated
+    rows get equal scores, rows of one id each by its own text, and of several labels of an id the largest counts.
+    Scores may tie; predicted is 1 from 0.5 on. A very long text is one row's work. Without documents there are no
+    rows; other columns are ignored.
     """
     spark = docs.sparkSession
     ship(spark)
     known = training_labels(labels, id_col, label_col, modulus, held_out).where("y in (0, 1)")
     chosen = first_by_hash(known.where("y = 0"), most_each).union(first_by_hash(known.where("y = 1"), most_each))
-    found = texts_of(docs, chosen, id_col, text_col, most_chars)
-    model = spark.sparkContext.broadcast(fit(found["text"].combine_chunks(), found["y"].to_numpy().astype(float), **settings))
+    found = features_of(docs, chosen, id_col, text_col, _features, "stats array<double>, buckets array<int>, values array<float>")
+    model = spark.sparkContext.broadcast(fit(found, **settings))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     scored = rows.mapInArrow(partial(_scores, model=model), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double")
     return scored.select("doc_id", (fold("doc_id", modulus) == held_out).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

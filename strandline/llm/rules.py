@@ -26,32 +26,32 @@ def text_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and FEATURES of every row.
 
     Words are runs of non-space characters (space, \\t, \\n, \\v, \\f, \\r). Null and empty texts have 0 everywhere.
-    Windows of 8 words are compared by 64-bit hashes within a text.
+    Windows of 8 words are compared by 64-bit hashes within a text. A very long text is one row's work, in proportion
+    to its words.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    x = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
-    x = x.withColumn("trimmed", F.btrim("text", F.lit(_SPACE)))
+    x = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.btrim(text, F.lit(_SPACE)).alias("trimmed"))
+    words = F.when(F.col("trimmed") == "", F.array().cast("array<string>")).otherwise(F.split("trimmed", "[ \\t\\n\\x0B\\f\\r]+"))
     x = x.select(
         "doc_id",
-        F.when(F.col("trimmed") == "", F.array().cast("array<string>")).otherwise(F.split("trimmed", "[ \\t\\n\\x0B\\f\\r]+")).alias("words"),
-        F.filter(F.split("trimmed", "\n"), lambda line: F.btrim(line, F.lit(_SPACE)) != "").alias("inner"),
+        F.transform(words, lambda w: F.xxhash64(w)).alias("words"),
         F.filter(F.split("text", "\n"), lambda line: F.btrim(line, F.lit(_SPACE)) != "").alias("lines"),
         F.regexp_count("text", F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
         F.regexp_count("text", F.lit("\\p{Lu}")).alias("uppers"),
         F.regexp_count("text", F.lit("!")).alias("exclaims"),
-    ).drop("inner")
+        F.length(F.translate("text", _SPACE, "")).cast("long").alias("word_chars"),
+    )
+    # hashes of 2, 4, 8 words from those of half as many
+    joined = lambda h, k: F.zip_with(F.slice(h, F.lit(1), F.size(h) - k), F.slice(h, F.lit(k + 1), F.size(h) - k), lambda a, b: F.xxhash64(a, b))
     x = x.select(
-        "doc_id",
-        "n_symbols",
-        "uppers",
-        "exclaims",
+        "doc_id", "n_symbols", "uppers", "exclaims", "word_chars",
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.size("lines").alias("n_lines"),
         F.size("words").cast("long").alias("n_words"),
         F.size(F.array_distinct("words")).alias("n_distinct"),
-        F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
-        F.when(F.size("words") >= WINDOW, F.transform(F.sequence(F.lit(1), F.size("words") - WINDOW + 1), lambda i: F.xxhash64(F.slice("words", i, WINDOW)))).alias("windows"),
-    )
+        F.when(F.size("words") >= WINDOW, joined(F.col("words"), 1)).alias("windows"),
+    )
+    x = x.withColumn("windows", joined(F.col("windows"), 2)).withColumn("windows", joined(F.col("windows"), 4))
     repeated = F.size(F.array_distinct("windows")) < F.size("windows")
     x = x.withColumn("ordered", F.when(repeated, F.sort_array(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("p"))))))
     twin = lambda r, i: F.coalesce(F.get("ordered", i - 1)["h"] == r["h"], F.lit(False)) | F.coalesce(F.get("ordered", i + 1)["h"] == r["h"], F.lit(False))
@@ -142,7 +142,9 @@ def apply_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     """doc_id, the statistics, base_failed and kept of every row of docs.
 
     base_failed: fewer than 20 words, or more than 30 % of the words in repeated windows (so null and empty texts
-    fail). kept: passes that and the learned list. Repeated rows get equal results; other columns are ignored.
+    fail). kept: passes that and the learned list. Repeated rows, and rows of one id, get results of their own texts; of
+    several labels of an id the least counts, and of conditions with equal gain the first by FEATURES, then bound.
+    Without labels, or documents, there are no rules; other columns are ignored.
     """
     found = cut(text_statistics(docs, id_col, text_col))
     rules = learn(found, labels, id_col, label_col, **settings)

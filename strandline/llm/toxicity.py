@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import fold, ship
-from .samples import first_by_hash, texts_of, training_labels
+from .samples import features_of, first_by_hash, training_labels
 from .textbytes import ALNUM, Words, buffers, runs
 
 BITS = 18
@@ -39,53 +39,63 @@ def token_features(words: Words) -> list[np.ndarray]:
     return out
 
 
-def text_features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sparse rows (offsets, buckets, values): a bucket's share of the words, times SCALE."""
-    data, off = buffers(texts)
-    at, buckets, values = [0], [], []
-    for i, j in runs(off):
-        words = Words(data[off[i] : off[j]], off[i : j + 1] - off[i], ALNUM)
-        kinds = token_features(words)
-        for a, b in zip(words.of[:-1], words.of[1:], strict=True):
-            u, c = np.unique(np.concatenate([k[a:b] for k in kinds]), return_counts=True)
-            buckets.append(u)
-            values.append((c / max(b - a, 1) * SCALE).astype(np.float32))
-            at.append(at[-1] + len(u))
-    return np.array(at), np.concatenate(buckets or [np.zeros(0, np.int64)]), np.concatenate(values or [np.zeros(0, np.float32)])
-
-
-def fit(positive: pa.Array, unlabelled: pa.Array, prior: float, least_z: float = 6.0, steps: int = 3000, batch: int = 256, rate: float = 0.05, decay: float = 1e-4, seed: int = 1) -> tuple[np.ndarray, float]:
-    """Weights of the buckets and the intercept. A bucket keeps weight 0 unless its share of P's texts is over that of U's by least_z deviations."""
+def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """row, buckets, values: of each text its distinct buckets, and their shares of the words, times SCALE and at most 1."""
+    for batch in batches:
+        data, off = buffers(batch.column(1))
+        at, buckets, values = [0], [np.zeros(0, np.int32)], [np.zeros(0, np.float32)]
+        for i, j in runs(off):
+            words = Words(data[off[i] : off[j]], off[i : j + 1] - off[i], ALNUM)
+            kinds = token_features(words)
+            for a, b in zip(words.of[:-1], words.of[1:], strict=True):
+                u, c = np.unique(np.concatenate([k[a:b] for k in kinds]), return_counts=True)
+                buckets.append(u.astype(np.int32))
+                values.append(np.minimum(c / max(b - a, 1) * SCALE, 1).astype(np.float32))
+                at.append(at[-1] + len(u))
+        lists = [pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(x))) for x in (buckets, values)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *lists], ["row", "buckets", "values"])
+
+
+def risk(z_p: np.ndarray, z_u: np.ndarray, prior: float) -> tuple[float, float, np.ndarray, np.ndarray]:
+    """pi * R_P(+), R_U(-) - pi * R_P(-), and the gradient of their sum by z_p and z_u; where the second term is negative, of
+    the first one alone. The loss is logistic."""
+    s_p, s_u = 1 / (1 + np.exp(-np.clip(z_p, -30, 30))), 1 / (1 + np.exp(-np.clip(z_u, -30, 30)))
+    positive, negative = prior * np.logaddexp(0, -z_p).mean(), np.logaddexp(0, z_u).mean() - prior * np.logaddexp(0, z_p).mean()
+    d_p, d_u = prior * (s_p - 1) / len(z_p), np.zeros(len(z_u))
+    if negative > 0:
+        d_p, d_u = d_p - prior * s_p / len(z_p), s_u / len(z_u)
+    return positive, negative, d_p, d_u
+
+
+def fit(positive: pa.Table, unlabelled: pa.Table, prior: float, least_z: float | None = 6.0, least_texts: int = 5, steps: int = 3000, batch: int = 256, rate: float = 0.05, decay: float = 1e-4, seed: int = 1) -> tuple[np.ndarray, float]:
+    """Weights of the buckets and the intercept, from tables of buckets and values.
+
+    A bucket keeps weight 0 if fewer than least_texts texts have it, or, unless least_z is None, if its share of P's
+    texts isn't over that of U's by least_z deviations."""
     weights = np.zeros(1 << BITS, np.float32)
-    if not len(positive) or not len(unlabelled):
+    n_p, n_u = len(positive), len(unlabelled)
+    if not n_p or not n_u:
         return weights, -5.0
-    both = pa.concat_arrays([pa.array(positive.to_pylist(), pa.string()), pa.array(unlabelled.to_pylist(), pa.string())])
-    at, f, x = text_features(both)
-    n_p, n = len(positive), len(both)
+    flat = lambda c: np.concatenate([np.concatenate([x.flatten().to_numpy() for x in t[c].chunks] or [np.zeros(0)]) for t in (positive, unlabelled)])
+    sizes = np.concatenate([pc.list_value_length(t["buckets"]).to_numpy() for t in (positive, unlabelled)])
+    at, f, x = np.concatenate([[0], np.cumsum(sizes)]), flat("buckets").astype(np.int64), flat("values")
     of_p, of_u = (np.bincount(part, minlength=1 << BITS) for part in (f[: at[n_p]], f[at[n_p] :]))
-    mean = (of_p + of_u + 1) / (n + 2)
-    common = of_p / n_p - of_u / (n - n_p) >= least_z * np.sqrt(mean * (1 - mean) * (1 / n_p + 1 / (n - n_p)))
-    keep = common[f]
-    at, f, x = np.concatenate([[0], np.cumsum(keep)])[at], f[keep], x[keep]
-    live = np.flatnonzero(common)
-    f = np.searchsorted(live, f)
-    x = np.minimum(x, 1)
+    keep = of_p + of_u >= least_texts
+    if least_z is not None:
+        mean = (of_p + of_u + 1) / (n_p + n_u + 2)
+        keep &= of_p / n_p - of_u / n_u >= least_z * np.sqrt(mean * (1 - mean) * (1 / n_p + 1 / n_u))
+    live, kept = np.flatnonzero(keep), keep[f]
+    at, f, x = np.concatenate([[0], np.cumsum(kept)])[at], np.searchsorted(live, f[kept]), x[kept]
     w, b = np.zeros(len(live)), -1.0
     m, v, mb, vb = np.zeros(len(live)), np.zeros(len(live)), 0.0, 0.0
     rng = np.random.default_rng(seed)
     for step in range(1, steps + 1):
-        p, u = rng.integers(0, n_p, batch), rng.integers(n_p, n, batch)
-        rows = np.concatenate([p, u])
-        take = np.concatenate([np.arange(at[r], at[r + 1]) for r in rows])
-        where = np.repeat(np.arange(len(rows)), at[rows + 1] - at[rows])
+        rows = np.concatenate([rng.integers(0, n_p, batch), rng.integers(n_p, n_p + n_u, batch)])
+        n = at[rows + 1] - at[rows]
+        take = np.repeat(at[rows] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        where = np.repeat(np.arange(len(rows)), n)
         z = b + np.bincount(where, w[f[take]] * x[take], len(rows))
-        s = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        is_p = np.arange(len(rows)) < len(p)
-        lost = lambda t, on: np.logaddexp(0, t[on]).mean()
-        negative = lost(z, ~is_p) - prior * lost(z, is_p)
-        d_plus = np.where(is_p, prior * (s - 1) / len(p), 0.0)  # of pi * R_P(+)
-        d_minus = np.where(is_p, -prior * s / len(p), s / len(u))  # of R_U(-) - pi * R_P(-)
-        d = d_plus + d_minus if negative > 0 else d_plus
+        d = np.concatenate(risk(z[:batch], z[batch:], prior)[2:])
         g, gb = np.bincount(f[take], d[where] * x[take], len(live)) + decay * w, d.sum()
         m, v, mb, vb = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g, 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
         c1, c2 = 1 - 0.9**step, 1 - 0.999**step
@@ -116,14 +126,16 @@ def _scores(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(out) if out else np.zeros(0))], ["doc_id", "score"])
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", modulus: int = 5, held_out: int = 0, most_positive: int = 1500, most_unlabelled: int = 4000, most_chars: int = 20_000, default_prior: float = 0.1) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", modulus: int = 5, held_out: int = 0, most_positive: int = 1500, most_unlabelled: int = 4000, default_prior: float = 0.1, **settings) -> DataFrame:
     """doc_id, held_out, score, predicted of every row of docs.
 
-    Fitting takes at most most_positive toxic and most_unlabelled other texts of at most most_chars characters, all
-    outside the held-out fold (crc32 of the id modulo modulus). The class prior is the share of label 1 among all
-    labels of the other folds. Scores see nothing but the whole text; null and empty texts get the intercept's score,
-    as do texts without words. With no toxic example every score is near 0. Rows with a null id are scored (their fold
-    is that of empty text) but not learned from; repeated rows get equal scores; other columns are ignored.
+    Fitting takes at most most_positive toxic texts and most_unlabelled texts of the whole corpus, of any length, all
+    outside the held-out fold (crc32 of the id modulo modulus), by a hash of the id. The class prior is the share of
+    label 1 among all labels of the other folds. Scores see nothing but the whole text; null and empty texts get the
+    intercept's score, as do texts without words. With no toxic example every score is near 0. Rows with a null id are
+    scored (their fold is that of empty text) but not learned from; repeated rows get equal scores, rows of one id
+    each by its own text, and of several labels of an id the largest counts. Scores may tie; predicted is 1 from 0.5
+    on. A very long text is one row's work. Without documents there are no rows; other columns are ignored.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -131,11 +143,11 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     counts = known.agg(F.count("*").alias("n"), F.sum(F.when(F.col("y") == 1, 1).otherwise(0)).alias("p"), F.min("y").alias("least")).first()
     prior = counts["p"] / counts["n"] if counts["n"] and counts["least"] == 0 else default_prior
     toxic = first_by_hash(known.where("y = 1").select("id"), most_positive)
-    ids = docs.select(F.col(id_col).alias("id")).where(F.col("id").isNotNull() & (fold("id", modulus) != held_out))
+    ids = docs.select(F.col(id_col).alias("id")).where(F.col("id").isNotNull() & (fold("id", modulus) != held_out)).distinct()
     chosen = toxic.select("id", F.lit(1).alias("p")).union(first_by_hash(ids, most_unlabelled).select("id", F.lit(0).alias("p")))
-    found = texts_of(docs, chosen.groupBy("id").agg(F.max("p").alias("p"), F.min("p").alias("u")), id_col, text_col, most_chars)
-    p, u = (found.filter(pc.equal(found[c], k))["text"].combine_chunks() for c, k in (("p", 1), ("u", 0)))
-    model = spark.sparkContext.broadcast(fit(p, u, prior))
+    found = features_of(docs, chosen.groupBy("id").agg(F.max("p").alias("p"), F.min("p").alias("u")), id_col, text_col, _features, "buckets array<int>, values array<float>")
+    p, u = (found.filter(pc.equal(found[c], k)) for c, k in (("p", 1), ("u", 0)))
+    model = spark.sparkContext.broadcast(fit(p, u, prior, **settings))
     scored = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(partial(_scores, model=model), _schema(docs, id_col))
     return scored.select("doc_id", (fold("doc_id", modulus) == held_out).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 

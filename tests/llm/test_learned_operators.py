@@ -1,7 +1,9 @@
 """Learned operators by held-out accuracy, HTML on pages written by hand, queries and the pipeline end to end."""
 
 import html
+import random
 import re
+import time
 import zlib
 
 import __spark_entry__ as entry
@@ -11,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from strandline.llm import html_text, language, quality, toxicity
+from strandline.llm import html_text, language, quality, samples, toxicity
 
 SF = "/root/testdata/sf0.01"
 
@@ -33,29 +35,59 @@ def test_language(odd, empty, table):
     assert kept.columns == odd.columns and {0, 1, 2, 5}.isdisjoint(r["doc_id"] for r in kept.collect())
 
 
+def longest_matches(data, bodies):
+    """Phrases by looking for each piece in all texts of a language; a symbol that none has is one of its own."""
+    i = n = 0
+    while i < len(data):
+        j = i
+        while j < len(data) and any(data[i : j + 1] in b for b in bodies):
+            j += 1
+        n, i = n + 1, max(j, i + 1)
+    return n
+
+
+def check_phrases(texts, asked):
+    known = language.Languages(texts, 10**6)
+    s, off = known.encode(pa.array(asked))
+    got = known.phrases(s, off)
+    for k, name in enumerate(known.names):
+        bodies = [known.encode(pa.array([x]))[0].tobytes() for x in texts[name]]
+        assert got[:, k].tolist() == [longest_matches(s[a:b].tobytes(), bodies) for a, b in zip(off, off[1:])]
+
+
 def test_phrases_are_longest_matches():
-    texts = {"x": ["the cat sat on the mat", "and then it ran away"], "y": ["le chat est là", "une souris"]}
+    check_phrases({"x": ["the cat sat on the mat", "and then it ran away"], "y": ["le chat est là", "une souris"]}, ["the chat ran on une mat", "zzz", "", "catcatcat", "là là", "zle", "lez"])
+
+
+def test_phrases_reach_over_segments(monkeypatch):
+    """Segments of a few symbols: phrases longer than several of them, and none."""
+    rnd = random.Random(4)
+    texts = {k: ["".join(rnd.choice(letters) for _ in range(300)) for _ in range(2)] for k, letters in (("x", "ab "), ("y", "abc"), ("z", "xyz"))}
+    asked = ["".join(rnd.choice("abcx q") for _ in range(rnd.randint(0, 400))) for _ in range(20)] + [texts["x"][0] * 2, texts["y"][1][5:250] + texts["x"][1], "a" * 333, texts["z"][0]]
+    for size in (1, 3, 16, 512):
+        monkeypatch.setattr(language, "SEGMENT", size)
+        check_phrases(texts, asked)
+
+
+def test_the_language_with_the_least_entropy_wins(spark):
+    texts = {"x": ["the cat sat on the mat"], "y": ["le chat est sur le tapis"]}
     known = language.Languages(texts, 1000)
-    for t in ("the chat ran on une mat", "zzz", "catcatcat", "là là"):
-        s, off = known.encode(pa.array([t, ""]))
-        for k, name in enumerate(known.names):
-            body = []
-            for x in texts[name]:
-                body += [known.encode(pa.array([x]))[0].tobytes()]
-            data, i, n = s.tobytes(), 0, 0
-            while i < len(data):
-                j = i
-                while j < len(data) and any(data[i : j + 1] in b for b in body):
-                    j += 1
-                n, i = n + 1, j if j > i else i + 1  # an unknown symbol ends a phrase
-            got = known.phrases(s, off)[0][k]
-            assert abs(got - n) <= sum(not any(c in b for b in body) for c in data) + 1
-
-
-def test_long_texts_are_cut_into_segments():
-    known = language.Languages({"x": ["abab " * 50]}, 1000)
-    s, off = known.encode(pa.array(["abab " * 400, "abab " * 3, ""]))
-    assert known.phrases(s, off)[:, 0].tolist()[1:] == [1, 0] and off[1] == 2000
+    model = type("M", (), {"value": known})
+    asked = ["the mat", "le tapis", "the chat est", "!!", ""]
+    out = next(language._identified(iter([pa.RecordBatch.from_arrays([pa.array(range(5)), pa.array(asked)], ["a", "b"])]), None, model))
+    bits = {}
+    for name in known.names:
+        bodies = [known.encode(pa.array([x]))[0].tobytes() for x in texts[name]]
+        size = sum(len(b) + 1 for b in bodies)
+        for t in asked[:3]:
+            data = known.encode(pa.array([t]))[0].tobytes()
+            bits[t, name] = longest_matches(data, bodies) * np.log2(size) / len(data)
+    for t, lang, score in zip(asked, out.column(1).to_pylist(), out.column(2).to_pylist()):
+        if t in asked[:3]:
+            best, second = sorted(bits[t, n] for n in "xy")
+            assert lang == min("xy", key=lambda n: bits[t, n]) and abs(score - (1 - best / second)) < 1e-9
+        else:
+            assert (lang, score) == ("und", 0.0)
 
 
 def accuracy(scored, y, label):
@@ -74,18 +106,44 @@ def test_toxicity(odd, empty, labels, no_labels, table):
     assert toxicity.score_toxicity(empty, no_labels).count() == 0
 
 
+def features(module, texts, **columns):
+    """What fitting sees of these texts."""
+    rows = pa.array([{}] * len(texts), pa.struct([]))
+    made = pa.Table.from_batches([next(module._features(iter([pa.RecordBatch.from_arrays([rows, pa.array(texts, pa.string())], ["row", "text"])])))])
+    for name, values in columns.items():
+        made = made.append_column(name, pa.array(values))
+    return made
+
+
 def test_the_risk_is_not_negative():
     """Toxic texts hide among the unlabelled ones and are still told apart."""
     rng = np.random.default_rng(0)
     word = lambda: "".join(rng.choice(list("abcdefgh"), 5))
     clean = [" ".join(word() for _ in range(30)) for _ in range(400)]
     bad = [" ".join([word() for _ in range(28)] + ["vileword", "awfulterm"]) for _ in range(200)]
-    model = toxicity.fit(pa.array(bad[:80]), pa.array(clean[:300] + bad[80:140]), 1 / 6, steps=600)
+    model = toxicity.fit(features(toxicity, bad[:80]), features(toxicity, clean[:300] + bad[80:140]), 1 / 6, steps=600)
     m = type("M", (), {"value": model})
     s = next(toxicity._scores(iter([pa.RecordBatch.from_arrays([pa.array(range(160)), pa.array(clean[300:] + bad[140:])], ["a", "b"])]), m)).column(1).to_numpy()
     assert (s[:100] < 0.5).mean() > 0.97 and (s[100:] >= 0.5).mean() > 0.97
 
 
+def test_risk_and_gradient_by_differences():
+    rng = np.random.default_rng(3)
+    sigmoid = lambda z: 1 / (1 + np.exp(-z))
+    for shift, clamped in ((3.0, False), (-6.0, True)):
+        p, u = rng.normal(4, 1, 7), rng.normal(shift, 0.1, 9)
+        positive, negative, d_p, d_u = toxicity.risk(p, u, 0.3)
+        assert abs(positive - 0.3 * np.mean(-np.log(sigmoid(p)))) < 1e-9 and abs(negative - (np.mean(-np.log(1 - sigmoid(u))) - 0.3 * np.mean(-np.log(1 - sigmoid(p))))) < 1e-9
+        assert (negative < 0) == clamped
+        total = lambda p, u: toxicity.risk(p, u, 0.3)[0] + max(0.0, toxicity.risk(p, u, 0.3)[1])
+        for k in range(7):
+            e = np.eye(7)[k] * 1e-6
+            assert abs((total(p + e, u) - total(p - e, u)) / 2e-6 - d_p[k]) < 1e-6
+        for k in range(9):
+            e = np.eye(9)[k] * 1e-6
+            assert abs((total(p, u + e) - total(p, u - e)) / 2e-6 - d_u[k]) < 1e-6
+
+
 def test_quality(odd, empty, labels, no_labels, table):
     sf = "/root/testdata/sf0.1"
     good, bad = accuracy(quality.score_quality(table("documents", sf), table("labels", sf)), table("labels", sf), "quality")
@@ -101,14 +159,36 @@ def test_pairs_by_sums_of_squares():
     k, rng = len(quality.STATISTICS), np.random.default_rng(1)
     size = k + (1 << quality.BITS)
     m = quality.Machine(np.zeros(k), np.ones(k), 0.3, rng.normal(0, 1, size).astype(np.float32), rng.normal(0, 0.1, (size, 4)).astype(np.float32))
-    stats, at, f, x = quality._rows(texts)
+    made = features(quality, texts.to_pylist())
+    stats = np.array(made["stats"].to_pylist())
     for i, z in enumerate(quality.logits(m, texts)):
-        column = np.concatenate([np.arange(k), f[at[i] : at[i + 1]]])
-        value = np.concatenate([m.dense(stats)[i], x[at[i] : at[i + 1]]])
+        column = np.concatenate([np.arange(k), np.array(made["buckets"][i].as_py(), np.int64)])
+        value = np.concatenate([m.dense(stats)[i], np.array(made["values"][i].as_py(), np.float32)])
         want = m.w0 + m.w[column] @ value + sum(m.v[column[a]] @ m.v[column[b]] * value[a] * value[b] for a in range(len(column)) for b in range(a))
         assert abs(z - want) < 1e-3 * (1 + abs(want))
 
 
+def test_gradient_of_the_machine_by_differences():
+    rng = np.random.default_rng(2)
+    row, column, value = np.array([0, 0, 0, 1, 1, 3]), np.array([0, 2, 4, 1, 2, 4]), rng.normal(0, 1, 6)
+    w0, w, v, weight = 0.2, rng.normal(0, 1, 5), rng.normal(0, 1, (5, 3)), rng.normal(0, 1, 4)
+    score = lambda w0, w, v: weight @ quality.score_and_gradient(w0, w, v, row, column, value, 4)[0]
+    z, back = quality.score_and_gradient(w0, w, v, row, column, value, 4)
+    for i in range(4):
+        c, x = column[row == i], value[row == i]
+        assert abs(z[i] - (w0 + w[c] @ x + sum(v[c[a]] @ v[c[b]] * x[a] * x[b] for a in range(len(c)) for b in range(a)))) < 1e-9
+    g0, gw, gv = back(weight)
+    e = 1e-6
+    assert abs((score(w0 + e, w, v) - score(w0 - e, w, v)) / (2 * e) - g0) < 1e-6
+    for k in range(5):
+        d = np.eye(5)[k] * e
+        assert abs((score(w0, w + d, v) - score(w0, w - d, v)) / (2 * e) - gw[k]) < 1e-6
+        for f in range(3):
+            d = np.zeros((5, 3))
+            d[k, f] = e
+            assert abs((score(w0, w, v + d) - score(w0, w, v - d)) / (2 * e) - gv[k, f]) < 1e-6
+
+
 PAGE = """<html><head><title>t</title><style>p{}</style></head><body><header><h1>Site</h1><nav><a href=/>Home</a></nav></header><div id="cookie-notice">We use cookies, ok, sure, and yes.</div>
 <div class="wrap"><div class="content"><h1>Title of it</h1><p>First paragraph, with commas, and length enough to count as real text for the reader.</p><div class="ad">Buy now, cheap, good, and many other words here.</div><p>Second&nbsp;paragraph is   here,
 and is also long enough &amp; fine; isn&#39;t it? <a href=x>link</a><br>on</p><ul><li>point one is here<li>point two</ul><form><label>Name</label></form></div><div class="sidebar"><p>Sidebar text that is rather long, with commas, and such, to attract.</p></div></div>
@@ -226,13 +306,77 @@ def test_html_of_deep_articles(tag):
 
 
 def test_languages_of_long_texts_are_learned(spark, monkeypatch):
-    rows = [(i, "long", "lo ng " * (30 if i % 50 else 2)) for i in range(400)]  # few texts within the limit
-    rows += [(1000 + i, "longer", "wi de " * (30 + i)) for i in range(40)]  # none
+    rows = [(i, "long", "lo ng " * (30 if i % 50 else 2)) for i in range(400)]
+    rows += [(1000 + i, "longer", "wi de " * (30 + i)) for i in range(40)]
     rows += [(2000, "often", "of ten")] * 300 + [(2000 + i, "often", f"of ten {i}") for i in range(1, 30)]
     docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
     pred = {r["lang_pred"] for r in language.identify(docs.where("lang <> 'often'"), most_texts=3, most_chars=50, most_symbols=400).collect()}
     assert pred == {"long", "longer"}
     monkeypatch.setattr(language, "Languages", lambda texts, most: texts)
     got = language.fit(docs, most_texts=3, most_chars=50, most_symbols=400)
-    assert got["long"] == ["lo ng " * 2] * 3 and len(set(got["often"])) == 3
-    assert [len(x) for x in got["longer"]] == sorted(len(x) for x in got["longer"]) and 180 <= len(got["longer"][0]) < 240
+    assert len(set(got["often"])) == 3 and all(len(x) == 50 for x in got["longer"])  # a piece of each, however long
+
+
+def test_pieces_are_spread_over_long_texts(spark):
+    docs = spark.createDataFrame([(1, "abcdefghij" * 10), (2, "short"), (3, None)], "id long, text string")
+    chosen = spark.createDataFrame([(1, "x"), (2, "y"), (3, "z")], "id long, c string")
+    got = samples.texts_of(docs, chosen, "id", "text", 30, 10).to_pylist()
+    assert [(r["id"], r["c"], r["pieces"]) for r in got] == [(1, "x", ["abcdefghij", "fghijabcde", "abcdefghij"]), (2, "y", ["short"])]
+
+
+def test_html_of_hostile_pages():
+    """Time in proportion to the page, however tags are nested or left open."""
+    para = f"<p>{LONG} {LONG}</p>"
+    cases = ["<div>" * 12000 + "</section>" * 12000, "<b>" * 12000 + "<div></div>" * 12000, "<b>" * 12000 + para * 500, "<div>" * 12000 + "<td>x" * 12000, "<ul>" + "<li><span>" * 12000, "<a>" * 12000 + "</b>" * 12000, ("<i>" * 50 + "<div>") * 300 + "</i>" * 12000, "<div " + "a='" * 50000, "<" * 100000]
+    began = time.time()
+    for page in cases:
+        html_text.main_text(page)
+    assert time.time() - began < 15
+
+
+@pytest.mark.parametrize("name", ["content has-sidebar", "main-content no-sidebar", "layout-sidebar-right", "post type-post status-publish comment-open", "entry-content related-false", "article-body cta-enabled"])
+def test_html_names_of_wrappers(name):
+    page = f"<body><nav><a href=x>menu</a></nav><div class='{name}'><h1>Head</h1>{f'<p>{LONG}</p>' * 4}</div><footer>f</footer></body>"
+    assert html_text.main_text(page) == "\n".join(["Head"] + [LONG] * 4)
+
+
+def points_by_hand(page):
+    """Points of each div of a page of nested divs and paragraphs, ancestor by ancestor."""
+    scores, stack = {}, []
+    for m in re.finditer(r"<div id=(\d+)>|</div>|<p>([^<]*)</p>", page):
+        if m[1]:
+            stack.append(m[1])
+            scores[m[1]] = 5.0
+        elif m[2]:
+            n = len(" ".join(m[2].split()))
+            for k, d in enumerate(reversed(stack[-4:]), 1):
+                scores[d] += (1 + m[2].count(",") + min(n / 100, 3)) / k if n >= 25 else 0
+        else:
+            stack.pop()
+    return scores
+
+
+def test_html_points_by_hand():
+    rnd = random.Random(9)
+    for _ in range(20):
+        page, depth, made = "", 0, 0
+        for _ in range(60):
+            kind = rnd.choice("dep" if depth else "d")
+            if kind == "d":
+                page, depth, made = page + f"<div id={made}>", depth + 1, made + 1
+            elif kind == "e":
+                page, depth = page + "</div>", depth - 1
+            else:
+                page += "<p>" + ", ".join("word " * rnd.randint(1, 12) for _ in range(rnd.randint(1, 9))) + "</p>"
+        page += "</div>" * depth
+        reader, got = html_text.parse(page), {}
+        ids, stack = iter(re.findall(r"<div id=(\d+)>", page)), [reader.top]
+        while stack:
+            x = stack.pop()
+            if isinstance(x, str):
+                continue
+            if x.tag == "div":
+                got[next(ids)] = x.score
+            stack.extend(reversed(x.children))
+        want = points_by_hand(page)
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
