@@ -15,8 +15,8 @@ into components.
   (index) that is among the first few of the larger one (probe). Texts with the same boilerplate differ in rare
   shingles, fill these places with them and never meet, so a table of texts that aren't similar costs no pairs. Each
   pair found has to share a table, too, so both ways give the same candidates but for those that can't be similar.
-- Where many nodes do meet, they are first compared with the least of them, which leaves most in one component; then
-  only nodes of different components are compared.
+- Where many nodes do meet, each is first compared with a few leads, the least nodes of its places, which leaves most in
+  one component; then all nodes of different components that meet are compared.
 """
 
 from __future__ import annotations
@@ -33,8 +33,9 @@ from .common import cut, free, join_summary, ship
 from .components import connected_components
 from .textbytes import SPACED, Words, buffers, constants, mix, runs, shingles
 
-#: Tables of up to so many nodes list their pairs; pairs of larger ones are found by rare shingles.
-SMALL = 16
+#: Tables of up to so many nodes list their pairs; pairs of larger ones are found by rare shingles. LEADS: how many nodes
+#: each is compared with at first; what that leaves apart is compared in any case.
+SMALL, LEADS = 16, 4
 
 
 def _digests(u: np.ndarray, at: np.ndarray) -> pa.Array:
@@ -122,8 +123,10 @@ def _crowded(large: DataFrame, sets: DataFrame, links: DataFrame, percent: int)
     at = ["crowd", "shingle"]
     leads = places.groupBy(*at).agg(F.min(F.struct("node", "n", "index")).alias("l"), F.count("*").alias("c")).where("c > 1").drop("c")
     met = (F.col("node") != F.col("l.node")) & (F.col("index") | F.col("l.index")) & _sizes_allow(F.col("n"), F.col("l.n"), percent)
-    stars = join_summary(places, leads, *at).where(met).select(F.col("l.node").alias("a"), F.col("node").alias("b"))
-    starred = cut(links.union(_similar(stars.distinct(), sets, percent)))
+    # a group is what one node has, no more than its shingles
+    stars = join_summary(places, leads, *at).where(met).groupBy("node").agg(F.sort_array(F.collect_set("l.node")).alias("l"))
+    stars = stars.select(F.explode(F.slice("l", 1, LEADS)).alias("a"), F.col("node").alias("b"))
+    starred = cut(links.union(_similar(stars, sets, percent)))
     labelled = places.join(connected_components(starred, "a", "b"), "node", "left").withColumn("g", F.coalesce("component", "node")).drop("component")
     mixed = labelled.groupBy(*at).agg((F.min("g") != F.max("g")).alias("mixed")).where("mixed").drop("mixed")
     left = cut(join_summary(labelled, mixed, *at))
