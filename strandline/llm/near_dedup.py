@@ -99,39 +99,52 @@ def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").where(table & (both * 100 >= (F.size("sa") + F.size("sb") - both) * percent)).select("a", "b")
 
 
+def _crowds(large: DataFrame) -> DataFrame:
+    """node, crowd of the nodes of tables (key, node) that hang together: pairs that share a table are in one crowd.
+
+    Of a node's tables, the least of their least nodes stands for it, and each of the others is tied to that one, so a
+    large group has few more links than nodes."""
+    least = large.groupBy("key").agg(F.min("node").alias("lead"))
+    seen = join_summary(large, least, "key").groupBy("node").agg(F.min("lead").alias("m"), F.collect_set("lead").alias("leads"))
+    ties = seen.select("node", "m").union(seen.select(F.explode("leads"), "m")).distinct()
+    groups = connected_components(ties, "node", "m")
+    return large.select("node").distinct().join(groups, "node", "left").select("node", F.coalesce("component", "node").alias("crowd"))
+
+
 def _places(sets: DataFrame, percent: int) -> DataFrame:
-    """shingle, node, n, index of the shingles by which nodes can find each other.
-
-    sets: node, shingles. Shingles go by how many nodes have them, then by their hash. Of two sets as similar as
-    percent, of sizes a <= b, the first shingle they share is among the first a - ceil(2t / (1 + t) a) + 1 of the
-    smaller (index) and the first b - ceil(t b) + 1 of the larger; those that one node has alone take up places and
-    make no rows. What several groups of texts share is more frequent than what one of them has, and so comes last."""
-    each = sets.select("node", F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("shingle"))
-    shared = each.groupBy("shingle").agg(F.count("*").alias("c")).where("c > 1")
-    mine = join_summary(each, shared, "shingle").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("c", "shingle"))).alias("s"))
+    """crowd, shingle, node, n, index of the shingles by which nodes of a crowd can find each other.
+
+    sets: crowd, node, shingles. Shingles go by how many nodes of the crowd have them, then by their hash. Of two sets
+    as similar as percent, of sizes a <= b, the first shingle they share is among the first a - ceil(2t / (1 + t) a) + 1
+    of the smaller (index) and the first b - ceil(t b) + 1 of the larger; those that one node has alone take up
+    places and make no rows."""
+    each = sets.select("crowd", "node", F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("shingle"))
+    shared = each.groupBy("crowd", "shingle").agg(F.count("*").alias("c")).where("c > 1")
+    mine = join_summary(each, shared, "crowd", "shingle").groupBy("crowd", "node", "n").agg(F.sort_array(F.collect_list(F.struct("c", "shingle"))).alias("s"))
     up = lambda num, den: F.ceil(F.col("n") * num / den - F.lit(1e-9)).cast("long")
     mine = mine.withColumn("alone", F.col("n") - F.size("s")).withColumn("probe", F.col("n") - up(percent, 100) + 1).withColumn("index", F.col("n") - up(2 * percent, 100 + percent) + 1)
     taken = F.slice("s", F.lit(1), F.greatest(F.lit(0), F.col("probe") - F.col("alone")).cast("int"))
-    return mine.select("node", "n", (F.col("index") - F.col("alone")).alias("k"), F.posexplode(taken).alias("i", "x")).select("node", "n", F.col("x.shingle").alias("shingle"), (F.col("i") < F.col("k")).alias("index"))
+    return mine.select("crowd", "node", "n", (F.col("index") - F.col("alone")).alias("k"), F.posexplode(taken).alias("i", "x")).select("crowd", "node", "n", F.col("x.shingle").alias("shingle"), (F.col("i") < F.col("k")).alias("index"))
 
 
-def _by_rare_shingles(sets: DataFrame, all_sets: DataFrame, links: DataFrame, percent: int) -> DataFrame:
-    """links, and those between nodes of sets; see the module's text."""
-    places = cut(_places(sets, percent))
-    leads = places.groupBy("shingle").agg(F.min(F.struct("node", "n", "index")).alias("l"), F.count("*").alias("c")).where("c > 1").drop("c")
+def _by_rare_shingles(large: DataFrame, sets: DataFrame, links: DataFrame, percent: int) -> DataFrame:
+    """links, and those between nodes of the large tables; see the module's text."""
+    at = ["crowd", "shingle"]
+    places = cut(_places(sets.join(_crowds(large), "node").select("crowd", "node", "shingles"), percent))
+    leads = places.groupBy(*at).agg(F.min(F.struct("node", "n", "index")).alias("l"), F.count("*").alias("c")).where("c > 1").drop("c")
     met = (F.col("node") != F.col("l.node")) & (F.col("index") | F.col("l.index")) & _sizes_allow(F.col("n"), F.col("l.n"), percent)
     # a group is what one node has, no more than its shingles
-    stars = join_summary(places, leads, "shingle").where(met).groupBy("node").agg(F.sort_array(F.collect_set("l.node")).alias("l"))
+    stars = join_summary(places, leads, *at).where(met).groupBy("node").agg(F.sort_array(F.collect_set("l.node")).alias("l"))
     stars = stars.select(F.explode(F.slice("l", 1, LEADS)).alias("a"), F.col("node").alias("b"))
-    starred = cut(links.union(_similar(stars, all_sets, percent)))
+    starred = cut(links.union(_similar(stars, sets, percent)))
     labelled = places.join(connected_components(starred, "a", "b"), "node", "left").withColumn("g", F.coalesce("component", "node")).drop("component")
-    mixed = labelled.groupBy("shingle").agg((F.min("g") != F.max("g")).alias("mixed")).where("mixed").drop("mixed")
-    left = cut(join_summary(labelled, mixed, "shingle"))
+    mixed = labelled.groupBy(*at).agg((F.min("g") != F.max("g")).alias("mixed")).where("mixed").drop("mixed")
+    left = cut(join_summary(labelled, mixed, *at))
     free(places)
-    side = lambda p: left.select("shingle", *(F.col(c).alias(f"{c}{p}") for c in ("node", "n", "index", "g")))
+    side = lambda p: left.select(*at, *(F.col(c).alias(f"{c}{p}") for c in ("node", "n", "index", "g")))
     smaller = F.col("indexa") & ((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("nodea") < F.col("nodeb"))))
-    pairs = side("a").where("indexa").join(side("b"), "shingle").where(smaller & (F.col("ga") != F.col("gb")) & _sizes_allow(F.col("na"), F.col("nb"), percent))
-    return starred.union(_similar(pairs.select(F.col("nodea").alias("a"), F.col("nodeb").alias("b")).distinct(), all_sets, percent))
+    pairs = side("a").where("indexa").join(side("b"), at).where(smaller & (F.col("ga") != F.col("gb")) & _sizes_allow(F.col("na"), F.col("nb"), percent))
+    return starred.union(_similar(pairs.select(F.col("nodea").alias("a"), F.col("nodeb").alias("b")).distinct(), sets, percent))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, halves: int = 14, rows: int = 4) -> DataFrame:
@@ -171,7 +184,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = cut(_similar(pairs.distinct(), sets, percent))
     large = tables.where(F.col("c") > SMALL)
     if not large.isEmpty():
-        links = _by_rare_shingles(sets.join(large.select("node").distinct(), "node", "left_semi"), sets, links, percent)
+        links = _by_rare_shingles(large, sets, links, percent)
     groups = connected_components(links, "a", "b")
     free(tables, sets)
 
