@@ -15,8 +15,9 @@ into components.
   (index) that is among the first few of the larger one (probe). Texts with the same boilerplate differ in rare
   shingles, fill these places with them and never meet, so a table of texts that aren't similar costs no pairs. Each
   pair found has to share a table, too, so both ways give the same candidates but for those that can't be similar.
-- Where many nodes do meet, each is first compared with a few leads, the least nodes of its places, which leaves most in
-  one component; then all nodes of different components that meet are compared.
+- Where many nodes do meet, each is first compared with a few leads, which leaves most in one component. Nodes that still
+  meet some of another component are then compared, those outside the largest one with all, in blocks of about BLOCK
+  by BLOCK nodes that any task can take; a block is a product of matrices, and only links leave it.
 """
 
 from __future__ import annotations
@@ -34,8 +35,10 @@ from .components import connected_components
 from .textbytes import SPACED, Words, buffers, constants, mix, runs, shingles
 
 #: Tables of up to so many nodes list their pairs; pairs of larger ones are found by rare shingles. LEADS: how many nodes
-#: each is compared with at first; what that leaves apart is compared in any case.
-SMALL, LEADS = 16, 4
+#: each is compared with at first; what that leaves apart is compared in any case. BLOCK: nodes on either side of a block.
+SMALL, LEADS, BLOCK = 16, 8, 512
+#: Columns of the incidence matrices that blocks multiply at once.
+COLUMNS = 4096
 
 
 def _digests(u: np.ndarray, at: np.ndarray) -> pa.Array:
@@ -99,6 +102,36 @@ def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").where(table & (both * 100 >= (F.size("sa") + F.size("sb") - both) * percent)).select("a", "b")
 
 
+def _block(block: pa.Table, percent: int) -> pa.Table:
+    """Links between the outside nodes and the others of a block: pairs that share a table and are similar enough, one for
+    each two components."""
+    block = block.combine_chunks()
+    outside, node, g = block["outside"].to_numpy(), block["node"].to_pylist(), block["g"].to_pylist()
+    lists, halves = (block[c].chunk(0) if block[c].num_chunks else pa.array([], pa.list_(pa.int64())) for c in ("shingles", "halves"))
+    n = lists.value_lengths().to_numpy()
+    row, (value, column) = np.repeat(np.arange(len(n)), n), np.unique(lists.flatten().to_numpy(), return_inverse=True)
+    met = (np.bincount(column, outside[row], len(value)) > 0) & (np.bincount(column, ~outside[row], len(value)) > 0)
+    keep = met[column]
+    row, column = row[keep], (np.cumsum(met) - 1)[column[keep]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out, others = np.flatnonzero(outside), np.flatnonzero(~outside)
+    both = np.zeros((len(out), len(others)), np.float32)
+    for first in range(0, int(met.sum()), COLUMNS):
+        a, b = np.searchsorted(column, [first, first + COLUMNS])
+        part = np.zeros((len(n), COLUMNS), np.float32)
+        part[row[a:b], column[a:b] - first] = 1
+        both += part[out] @ part[others].T
+    x, y = np.nonzero(both * 100 >= percent * (n[out][:, None] + n[others][None, :] - both))
+    tables = [({h for h in v if not h & 1}, {h for h in v if h & 1}) for v in halves.to_pylist()]
+    found = {}
+    for i, j in zip(out[x].tolist(), others[y].tolist(), strict=True):
+        pair = (g[i], g[j])
+        if g[i] != g[j] and pair not in found and tables[i][0] & tables[j][0] and tables[i][1] & tables[j][1]:
+            found[pair] = (node[i], node[j])
+    return pa.table({"a": pa.array([a for a, _ in found.values()], pa.binary()), "b": pa.array([b for _, b in found.values()], pa.binary())})
+
+
 def _crowds(large: DataFrame) -> DataFrame:
     """node, crowd of the nodes of tables (key, node) that hang together: pairs that share a table are in one crowd.
 
@@ -131,20 +164,28 @@ def _by_rare_shingles(large: DataFrame, sets: DataFrame, links: DataFrame, perce
     """links, and those between nodes of the large tables; see the module's text."""
     at = ["crowd", "shingle"]
     places = cut(_places(sets.join(_crowds(large), "node").select("crowd", "node", "shingles"), percent))
-    leads = places.groupBy(*at).agg(F.min(F.struct("node", "n", "index")).alias("l"), F.count("*").alias("c")).where("c > 1").drop("c")
+    # some nodes of each place, as a hash deals them out
+    leads = places.groupBy(*at, F.pmod(F.xxhash64("node"), F.lit(LEADS)).alias("k")).agg(F.min(F.struct("node", "n", "index")).alias("l")).groupBy(*at).agg(F.collect_list("l").alias("l"))
     met = (F.col("node") != F.col("l.node")) & (F.col("index") | F.col("l.index")) & _sizes_allow(F.col("n"), F.col("l.n"), percent)
-    # a group is what one node has, no more than its shingles
-    stars = join_summary(places, leads, *at).where(met).groupBy("node").agg(F.sort_array(F.collect_set("l.node")).alias("l"))
-    stars = stars.select(F.explode(F.slice("l", 1, LEADS)).alias("a"), F.col("node").alias("b"))
+    # a group is what one node has, no more than its shingles times LEADS
+    stars = join_summary(places, leads, *at).withColumn("l", F.explode("l")).where(met).groupBy("node").agg(F.collect_set("l.node").alias("l"))
+    stars = stars.select(F.explode(F.slice(F.sort_array(F.transform("l", lambda x: F.struct(F.xxhash64(x).alias("h"), x.alias("x")))), 1, LEADS)).alias("l"), F.col("node").alias("b")).select(F.col("l.x").alias("a"), "b")
     starred = cut(links.union(_similar(stars, sets, percent)))
     labelled = places.join(connected_components(starred, "a", "b"), "node", "left").withColumn("g", F.coalesce("component", "node")).drop("component")
     mixed = labelled.groupBy(*at).agg((F.min("g") != F.max("g")).alias("mixed")).where("mixed").drop("mixed")
-    left = cut(join_summary(labelled, mixed, *at))
+    left = cut(join_summary(labelled, mixed, *at).select("crowd", "node", "g").distinct())
     free(places)
-    side = lambda p: left.select(*at, *(F.col(c).alias(f"{c}{p}") for c in ("node", "n", "index", "g")))
-    smaller = F.col("indexa") & ((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("nodea") < F.col("nodeb"))))
-    pairs = side("a").where("indexa").join(side("b"), at).where(smaller & (F.col("ga") != F.col("gb")) & _sizes_allow(F.col("na"), F.col("nb"), percent))
-    return starred.union(_similar(pairs.select(F.col("nodea").alias("a"), F.col("nodeb").alias("b")).distinct(), sets, percent))
+    sizes = left.groupBy("crowd", "g").agg(F.count("*").alias("c")).groupBy("crowd").agg(F.max_by("g", F.struct("c", "g")).alias("largest"), F.sum("c").alias("all"), F.max("c").alias("most"))
+    if left.isEmpty():
+        return starred
+    x = join_summary(left, sizes, "crowd").join(sets, "node")
+    rows, columns = (F.ceil(c / BLOCK).cast("int") for c in (F.col("all") - F.col("most"), F.col("all")))
+    place = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    every = lambda n: F.sequence(F.lit(0), n - 1)
+    kept = ("node", "g", "halves", "shingles")
+    one = x.where(F.col("g") != F.col("largest")).select("crowd", place(rows).alias("i"), F.explode(every(columns)).alias("j"), F.lit(True).alias("outside"), *kept)
+    two = x.select("crowd", F.explode(every(rows)).alias("i"), place(columns).alias("j"), F.lit(False).alias("outside"), *kept)
+    return starred.union(one.union(two).groupBy("crowd", "i", "j").applyInArrow(lambda block: _block(block, percent), "a binary, b binary"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, halves: int = 14, rows: int = 4) -> DataFrame:

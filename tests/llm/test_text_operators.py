@@ -92,7 +92,8 @@ def test_near_duplicates(odd, empty, table):
 @pytest.mark.parametrize("small", [1, 3, 16])
 def test_large_groups_of_near_duplicates(spark, monkeypatch, small):
     """Chains, and texts that share boilerplate only, whichever way a table's pairs are found."""
-    monkeypatch.setattr(near_dedup, "SMALL", small)
+    for name, value in (("SMALL", small), ("LEADS", 2), ("BLOCK", 5)):
+        monkeypatch.setattr(near_dedup, name, value)
     rnd = random.Random(3)
     base = [[f"w{rnd.randint(0, 10**6)}" for _ in range(120)] for _ in range(2)]
     rows = []
