@@ -530,6 +530,22 @@ def test_warc_records_that_are_broken(spark, tmp_path):
     assert states(spark, str(tmp_path / "n")) == []
 
 
+def test_warc_cuts_at_the_ends_of_buffers(spark, tmp_path):
+    """Blocks that end in a blank line, so that the end of a reader's buffer can fall into any byte between two records."""
+    (tmp_path / "b").mkdir()
+    for shift in range(16):
+        data, n = b"", 0
+        while n < 200:
+            head = b"WARC/1.1\r\nWARC-Type: response\r\nX-Page: %d\r\nContent-Length: " % (1000 * shift + n)
+            room = 4096 * (n + 1) + 8 - shift - len(data) - len(head) - 12
+            block = b"HTTP/1.1 200 OK\r\n\r\n" + b"x" * (room - 23) + b"\r\n\r\n"
+            data += head + b"%d\r\n\r\n" % len(block) + block + b"\r\n\r\n"
+            n += 1
+        (tmp_path / "b" / f"{shift}.gz").write_bytes(gzip.compress(data))
+    got = warc.read_archive(spark, str(tmp_path / "b")).select("page_id", "status").collect()
+    assert sorted(tuple(r) for r in got) == [(1000 * shift + n, "OK") for shift in range(16) for n in range(200)]
+
+
 def test_warc_blocks_that_look_like_records():
     rnd = random.Random(6)
     bits = [b"\r\n\r\nWARC/1.", b"WARC/1.", b"\r\n\r\n", b"\r\n", b"x", b"Content-Length: 3", b"1\r\n", b"WARC-Type: response"]
