@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chunks, decontaminate, html_text, language, near_dedup, pieces, quality, rules, toxicity, warc
+from . import chunks, decontaminate, html_text, language, near_dedup, pieces, prefix_trie, quality, rules, simhash, toxicity, warc, whitening
 from .common import scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -69,8 +69,24 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_report(warc.read_archive(spark, path))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row a vector and component, from whitening.whiten."""
+    return whitening.whitening_report(table(spark, sf_dir, "embeddings"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row a node of the trie of rebuilt conversations, from prefix_trie.prefix_trie."""
+    return prefix_trie.trie_report(table(spark, sf_dir, "conversations"))
+
+
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row a document: its SimHash and group of near-duplicates, from simhash.near_duplicates."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents")).drop("fp")
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_toxicity, op2_near_dedup, op3_decontaminate, op4_sentencepiece, op5_chunk_dedup, op6_html_text, op7_language, op8_quality, op9_rules, op10_warc)}
+    every = (op1_toxicity, op2_near_dedup, op3_decontaminate, op4_sentencepiece, op5_chunk_dedup, op6_html_text, op7_language, op8_quality, op9_rules, op10_warc, op11_whitening, op12_prefix_trie, op13_simhash)
+    return {f.__name__: f for f in every}
 
 
 _OP2 = r"""
@@ -120,6 +136,36 @@ SELECT page_id, n::BIGINT AS payload_bytes, sha1(h) AS payload_digest,
 FROM g
 """
 
+_OP12 = """
+WITH t AS (
+  SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i,
+         {'r': coalesce(role, ''), 't': coalesce(text, '')} AS x
+  FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT c, c - c % 20 AS base, list(x ORDER BY i) AS l FROM t GROUP BY c),
+-- CRC-32 of the decimal id, bit by bit
+h AS (
+  SELECT c, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(c::VARCHAR, ''), lambda s: ascii(s)::BIGINT)),
+         lambda a, b: list_reduce(list_prepend(xor(a, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda v, z: xor(v >> 1, 3988292384 * (v & 1))))) % 4 AS h
+  FROM own),
+whole AS (
+  SELECT o.c, list_concat(coalesce(b.l, []), []) AS opening, o.l AS l, h.h FROM own o JOIN h USING (c) LEFT JOIN own b ON b.c = o.base),
+rebuilt AS (SELECT c, list_concat(list_slice(opening, 1, h), list_slice(l, h + 1, len(l))) AS s FROM whole),
+member AS (SELECT c, len(s) AS n, d, list_slice(s, 1, d) AS p FROM (SELECT c, s, unnest(range(0, len(s) + 1)) AS d FROM rebuilt)),
+node AS (
+  SELECT p, any_value(d) AS d, min(c) AS conv_id, count(*) AS n_convs,
+         sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (n = d), '')) AS ends,
+         CASE WHEN any_value(d) = 0 THEN 0 ELSE len(list_filter(regexp_split_to_array(p[any_value(d)].t, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')) END AS words
+  FROM member GROUP BY p),
+kids AS (SELECT list_slice(p, 1, d - 1) AS p, count(*) AS n FROM node WHERE d > 0 GROUP BY ALL),
+full_node AS (SELECT node.*, coalesce(kids.n, 0) AS n_children FROM node LEFT JOIN kids USING (p)),
+below AS (
+  SELECT list_slice(p, 1, k) AS p, sum((n_children = 0)::INT) AS n_leaves, sum((n_convs - 1) * words) AS saved
+  FROM (SELECT *, unnest(range(0, d + 1)) AS k FROM full_node) GROUP BY ALL)
+SELECT f.conv_id, f.d::BIGINT AS depth, up.conv_id AS parent_conv_id, f.n_convs::BIGINT AS n_convs, f.n_children::BIGINT AS n_children,
+       below.n_leaves::BIGINT AS n_leaves, below.saved::BIGINT AS saved_tokens, f.ends AS ends_sha256
+FROM full_node f JOIN below USING (p) LEFT JOIN full_node up ON f.d > 0 AND up.p = list_slice(f.p, 1, f.d - 1)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_near_dedup": _OP2, "op3_decontaminate": _OP3, "op10_warc": _OP10}
+    return {"op2_near_dedup": _OP2, "op3_decontaminate": _OP3, "op10_warc": _OP10, "op12_prefix_trie": _OP12}
