@@ -55,21 +55,21 @@ class Family:
         self.nodes: dict[bytes, tuple[bytes | None, int, int, int, list[int], list[int]]] = {}
 
     def begin(self, conv_id: int) -> None:
-        self.at, self.depth, self.above, self.conv = ROOT, 0, 0, conv_id
-        self._member(None, 0, 0, 0)
+        self.at, self.above, self.conv = ROOT, 0, conv_id
+        self._member(None, 0, 0)
         self.skip = begun(conv_id)
         for role, text in self.opening[: self.skip]:
             self.turn(role, text)
         self.seen = 0
 
-    def _member(self, parent: bytes | None, depth: int, words: int, above: int) -> None:
-        self.nodes.setdefault(self.at, (parent, depth, words, above, [], []))[4].append(self.conv)
+    def _member(self, parent: bytes | None, depth: int, words: int) -> None:
+        self.last = (parent, depth, words, self.above)
+        self.nodes.setdefault(self.at, (*self.last, [], []))[4].append(self.conv)
 
     def turn(self, role: str, text: bytes) -> None:
         parent, self.at = self.at, child(self.at, role, text)
-        self.depth += 1
         words = len(text.split())  # of bytes: at \x20 and \x09-\x0D
-        self._member(parent, self.depth, words, self.above)
+        self._member(parent, self.last[1] + 1, words)
         self.above += words
 
     def own(self, role: str, text: bytes) -> None:
@@ -83,8 +83,8 @@ class Family:
         self.seen += 1
 
     def end(self) -> None:
-        # handed on within a conversation, its last node may be gone
-        self.nodes.setdefault(self.at, (None, self.depth, 0, 0, [], []))[5].append(self.conv)
+        # if the trie has been handed on since its last turn, the node is there once more
+        self.nodes.setdefault(self.at, (*self.last, [], []))[5].append(self.conv)
 
     def rows(self) -> list[tuple]:
         out = [(self.base, node, *x) for node, x in self.nodes.items()]
