@@ -30,8 +30,10 @@ from .components import connected_components
 BITS, SEED = 64, 42
 #: Signatures of up to so many nodes compare them in place.
 SMALL = 64
+#: Nodes whose signatures one task makes, unless that gives more than TASKS tasks.
+NODES, TASKS = 16_384, 50_000
 #: A text is hashed in blocks of about so many bytes.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 _SPACE = b" \t\n\v\f\r"
 
 
@@ -94,9 +96,12 @@ def _keyed(nodes: DataFrame, masks: list[int]) -> DataFrame:
     return nodes.select("fp", F.posexplode(kept).alias("k", "value"))
 
 
-def _shared(keyed: DataFrame) -> DataFrame:
-    """keyed with c, the count of nodes with that key, where it is more than one."""
-    return join_summary(keyed, keyed.groupBy("k", "value").agg(F.count("*").alias("c")).where("c > 1"), "k", "value")
+def _shared(nodes: DataFrame, distance: int) -> DataFrame:
+    """fp, key, c: signatures of nodes and how many nodes have them, where it is more than one.
+
+    A signature is hashed to one number; should two meet in it, that adds pairs to be compared."""
+    keyed = _keyed(nodes, _masks(distance)).select("fp", F.xxhash64("k", "value").alias("key"))
+    return join_summary(keyed, keyed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "key")
 
 
 def _close(x: Column, y: Column, distance: int) -> Column:
@@ -108,8 +113,9 @@ def links(nodes: DataFrame, distance: int = 2, small: int = SMALL) -> DataFrame:
 
     Every such pair is listed, but for those whose every signature is larger than `small`: of these, each group of fingerprints that are equal
     without `distance` bits has one lead, with which the others are paired. Pairs may be repeated."""
-    met = cut(_shared(_keyed(nodes, _masks(distance))))
-    groups = met.where(F.col("c") <= small).groupBy("k", "value").agg(F.sort_array(F.collect_list("fp")).alias("g"))
+    nodes = nodes.repartition(min(TASKS, 1 + nodes.count() // NODES))
+    met = cut(_shared(nodes, distance))
+    groups = met.where(F.col("c") <= small).groupBy("key").agg(F.sort_array(F.collect_list("fp")).alias("g"))
     pairs = F.flatten(F.transform("g", lambda x, i: F.transform(F.filter(F.slice("g", i + 2, F.lit(small)), lambda y: _close(x, y, distance)), lambda y: F.struct(x.alias("a"), y.alias("b")))))
     found = groups.select(F.explode(pairs).alias("p")).select("p.a", "p.b")
     crowded = met.where(F.col("c") > small).select("fp").distinct()
