@@ -3,12 +3,14 @@
 One pass reads tags into a tree. A paragraph that ends passes points to what it stands in: one, one for each comma and
 up to three for its length, whole to the parent, half to the next ancestor, a third and a quarter beyond. Points count
 by the share of an element's text that isn't links. The container with most is the article (or the article or main element
-it lies in); else siblings that score well, or read like paragraphs of it, are kept too. Scripts, forms, menus,
+it lies in, with others beside it that have a fifth of its text or more); else siblings that score well, or read like
+paragraphs of it, are kept too. Scripts, forms, menus,
 headers, footers and asides have no points and no text.
 
 Nor have elements whose class or id says advert, notice or comment. This is decided when all are measured: an article
 or main element (but one in an article, as comments are) and what holds most of the page's paragraph text stay, the
 latter unless the only article or main elements with text stand beside it, as with a long advert and a short article.
+Elements of one parent whose names have such a word and one of content are judged together, as parts of one text.
 Of names such as comments or cookies, which also long texts beside an article have, what holds most stays only where
 no article, main or element named as content has paragraphs outside of it, and an article or main if it does either.
 """
@@ -49,7 +51,8 @@ _GOOD = frozenset("article body content entry main post story text".split())
 _BESIDE = frozenset("comment comments commentlist consent cookie cookies copyright disclaimer disqus gdpr newsletter popup recommended related replies reply respond responses trending".split())
 #: What comes after these in a name is what an element has, or what it is about.
 _ABOUT = frozenset("category has no tag with".split())
-_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>")
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_MARK = re.compile("[>\"']")
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=[\s/]|$)", re.IGNORECASE)
 _WORD = re.compile(r"[a-z]+|\d+")
 _COMMAS = re.compile("[,،、，]")
@@ -57,10 +60,11 @@ _SHORT = 25
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "children", "dropped", "points", "named", "article", "main", "within", "doubt", "declared", "text", "text_commas", "blocks", "score", "length", "links", "anchors", "commas", "own", "read", "beside", "around")
+    __slots__ = ("tag", "parent", "children", "dropped", "points", "named", "mixed", "depth", "article", "main", "within", "doubt", "declared", "text", "text_commas", "blocks", "score", "length", "links", "anchors", "commas", "own", "read", "beside", "around")
 
-    def __init__(self, tag: str, parent: _Node | None, dropped: bool, points: float, named: str = ""):
-        self.tag, self.parent, self.children, self.dropped, self.points, self.named = tag, parent, [], dropped, points, named
+    def __init__(self, tag: str, parent: _Node | None, dropped: bool, points: float, named: str = "", mixed: bool = False):
+        self.tag, self.parent, self.children, self.dropped, self.points, self.named, self.mixed = tag, parent, [], dropped, points, named, mixed
+        self.depth = parent.depth + 1 if parent else 0
         # what this lies in: the nearest article, main element, element named as beside one and element of a bad name; how many articles
         self.article = parent and (parent if parent.tag == "article" else parent.article)
         self.main = parent and (parent if parent.tag == "main" else parent.main)
@@ -117,7 +121,8 @@ class _Reader:
         self.doubted: list[_Node] = []
         self.scored: list[_Node] = []
         self.articles: list[_Node] = []
-        self.open: dict[str, int] = defaultdict(int)  # elements of each tag that are open, so that nothing is looked for in vain
+        self.open: dict[str, list[_Node]] = defaultdict(list)  # elements of each tag that are open, the innermost last
+        self.blind: set[int] = set()  # places of quotes from which no tag ends
 
     def text(self, data: str) -> None:
         node = self.at
@@ -133,54 +138,61 @@ class _Reader:
         if tag in _BLOCKS:
             if self.at.tag == "p" or self.at.tag not in _BLOCKS and self._open("p"):
                 self.end("p")
-            if tag in _ENDS_SAME and any(self.open[x] for x in _ENDS_SAME[tag][0]):
-                same, within = _ENDS_SAME[tag]
-                node = self.at
-                while node.parent and node.tag not in within:
-                    if node.tag in same:
-                        self._leave(node)
-                        break
-                    node = node.parent
+            if tag in _ENDS_SAME:
+                same, within = (max((self.open[x][-1] for x in tags if self.open[x]), key=lambda node: node.depth, default=self.top) for tags in _ENDS_SAME[tag])
+                if same.depth > within.depth:
+                    self._leave(same)
         up = self.at
         inside = up.tag == "article" or up.article is not None
         dropped = up.dropped or tag in _DROPPED or tag == "header" and not inside
-        points, named = float(_START.get(tag, 0)), ""
+        points, named, more = float(_START.get(tag, 0)), "", 0.0
         if attributes and not dropped and tag not in ("html", "body"):
             dropped, named, more = _named(attributes)
             points += more
             if tag == "header" and inside:
                 dropped, named = False, ""
-        node = _Node(tag, up, dropped, points, named)
+        node = _Node(tag, up, dropped, points, named, named == "bad" and more > 0)
         up.children.append(node)
         up.blocks += tag in _BLOCKS
         if named in ("bad", "beside"):
             self.doubted.append(node)
         if tag not in _VOID:
             self.at = node
-            self.open[tag] += 1
+            self.open[tag].append(node)
 
     def _leave(self, node: _Node) -> None:
         """End an open element and those in it."""
         while self.at is not node.parent:
-            self.open[self.at.tag] -= 1
+            self.open[self.at.tag].pop()
             self.at = self.at.parent
 
     def _open(self, tag: str) -> bool:
         """Whether such an element is the next block around."""
-        return self.open[tag] > 0 and self.at.around.tag == tag
+        return bool(self.open[tag]) and self.at.around.tag == tag
 
     def end(self, tag: str) -> None:
         if not self.open[tag]:
             return
-        if tag not in _BLOCKS and self.at.tag in _BLOCKS:
+        node = self.open[tag][-1]
+        if tag not in _BLOCKS and self.at is not node and (self.at.tag in _BLOCKS or self.at.around.depth > node.depth):
             return  # an inline element ends within its block
-        node = self.at
-        while node.parent and node.tag != tag:
-            if tag not in _BLOCKS and node.tag in _BLOCKS:
-                return  # an inline element ends within its block
-            node = node.parent
-        if node.parent:
-            self._leave(node)
+        self._leave(node)
+
+    def tag_end(self, page: str, i: int) -> int:
+        """Place of the > that ends a tag whose name ends at i, quoted ones not counted; -1 if none does.
+
+        Where a search ended in vain, any other one that meets one of its quotes does, too, and isn't made again."""
+        met = []
+        while (m := _MARK.search(page, i)) and m[0] != ">":
+            i = -1 if m.start() in self.blind else page.find(m[0], m.end())
+            met.append(m.start())
+            if i < 0:
+                break
+            i += 1
+        if m and m[0] == ">":
+            return m.start()
+        self.blind.update(met)
+        return -1
 
     def measure(self) -> None:
         """Lengths and scores of what isn't ruled out."""
@@ -229,12 +241,16 @@ class _Reader:
         for x in reversed(self.doubted):  # inner ones first
             if x.doubt and x.named == "bad":
                 holds[x.doubt] |= holds[x]
+        parts: dict[_Node, float] = defaultdict(float)  # what a text has that was split among elements with names both good and bad
+        for x in self.doubted:
+            if x.mixed:
+                parts[x.parent] += x.read
         outside: dict[_Node | None, bool] = {None: False}
         around = {None: 0}
         for x in self.doubted:  # outer ones first
             around[x] = around[x.doubt] + articles[x.doubt]
             other = around[x] > x.declared  # an article that isn't around it
-            most, declared = 2 * x.read > self.top.read, x.tag in ("article", "main") and x.article is None
+            most, declared = 2 * (parts[x.parent] if x.mixed else x.read) > self.top.read, x.tag in ("article", "main") and x.article is None
             if x.named == "beside":
                 outside[x] = outside[x.within] or x.within in clean
                 x.dropped = not (most and declared or (most or declared) and not outside[x] and not other)
@@ -277,23 +293,23 @@ def parse(page: str) -> _Reader:
         elif page[j + 1 : j + 2] in ("!", "?"):
             k = page.find(">", j)
             i = n if k < 0 else k + 1
-        elif m := _TAG.match(page, j):
-            i, tag = m.end(), m[2].lower()
+        elif not (m := _NAME.match(page, j)):
+            reader.text("<")
+            i = j + 1
+        elif (k := reader.tag_end(page, m.end())) < 0:
+            k = page.find(">", j)  # a tag with an odd quote
+            i = n if k < 0 else k + 1
+        else:
+            i, tag, attributes = k + 1, m[2].lower(), page[m.end() : k]
             if m[1]:
                 reader.end(tag)
                 continue
-            reader.start(tag, m[3])
+            reader.start(tag, attributes)
             if tag in _RAW:
                 k = re.compile(f"</{re.escape(tag)}(?=[\\s/>])", re.IGNORECASE).search(page, i)
                 i = k.start() if k else n
-            elif m[3].endswith("/") and tag not in _BLOCKS and reader.at.tag == tag:
+            elif attributes.endswith("/") and tag not in _BLOCKS and reader.at.tag == tag:
                 reader.end(tag)
-        elif re.match("</?[a-zA-Z]", page[j : j + 3]):
-            k = page.find(">", j)  # a tag with an odd quote
-            i = n if k < 0 else k + 1
-        else:
-            reader.text("<")
-            i = j + 1
     reader.measure()
     if reader.doubted and reader.rule_out():
         reader.measure()
@@ -308,8 +324,11 @@ def _chosen(reader: _Reader) -> list[_Node]:
         best = best if best.tag == "article" else best.article or best
     else:
         best = best if best.tag == "main" else best.main or best
-    if best.tag in ("article", "main", "body", "html") or not best.parent:
-        return [best]  # an element that says it is the article is all of it
+    if best.tag in ("article", "main") and best.parent:
+        # an element that says it is the article is all of it; a text may be split among several, or a page have some
+        return [x for x in best.parent.children if x is best or isinstance(x, _Node) and x.tag == best.tag and not x.dropped and not x.named and 5 * x.read >= best.read > 0]
+    if best.tag in ("body", "html") or not best.parent:
+        return [best]
     bar = max(10.0, 0.2 * best.worth())
 
     def belongs(x: _Node) -> bool:
