@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from .common import cut, ship
-from .textbytes import ALNUM, Words, buffers, mix, powers, runs
+from .textbytes import ALNUM, Prefixes, Words, buffers, mix, reduced, runs
 
 #: Text of the benchmark that is broadcast at once.
 BLOCK_BYTES = 32 << 20
@@ -42,11 +42,10 @@ class Sequence:
         self.hashes, self.of = hashes, of
         self.text = np.repeat(np.arange(len(of) - 1), np.diff(of))
         self.left = of[1:][self.text] - np.arange(len(hashes)) if len(hashes) else np.zeros(0, np.int64)
-        up, self.down = powers(len(hashes) + 1)
-        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(hashes) * up[: len(hashes)], dtype=np.uint64)])
+        self.prefixes = Prefixes(reduced(mix(hashes)), True)
 
     def hash(self, at: np.ndarray, n: np.ndarray) -> np.ndarray:
-        return (self.sums[at + n] - self.sums[at]) * self.down[at]
+        return self.prefixes.hash(at, at + n)
 
 
 def common(a: Sequence, i: np.ndarray, b: Sequence, j: np.ndarray) -> np.ndarray:

@@ -7,12 +7,13 @@ import re
 from collections import defaultdict
 from itertools import combinations
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
 import sentencepiece
 
-from strandline.llm import chunks, decontaminate, near_dedup, pieces, rules, warc
+from strandline.llm import chunks, decontaminate, near_dedup, pieces, rules, textbytes, warc
 from strandline.llm.components import connected_components
 from strandline.llm.textbytes import ALNUM, SPACED, Words, buffers
 
@@ -48,6 +49,58 @@ def test_words(odd, table, words):
     assert all(len(h) == 1 for h in by_word.values()) and len({h for x in by_word.values() for h in x}) == len(by_word)
 
 
+def thue_morse(steps, a="a", b="b"):
+    """Two words of 2**steps letters that a polynomial modulo 2**64 can't tell apart at any odd base, from 10 steps on."""
+    x = a
+    for _ in range(steps):
+        x += x.translate(str.maketrans(a + b, b + a))
+    return x, x.translate(str.maketrans(a + b, b + a))
+
+
+def test_products_modulo_the_prime():
+    rnd = random.Random(2)
+    a, b = ([0, 1, textbytes.PRIME - 1, *(rnd.randrange(textbytes.PRIME) for _ in range(300))] for _ in range(2))
+    rnd.shuffle(b)
+    assert textbytes.times(np.array(a, np.uint64), np.array(b, np.uint64)).tolist() == [x * y % textbytes.PRIME for x, y in zip(a, b, strict=True)]
+    assert textbytes.powers(300).tolist() == [pow(textbytes._BASE, k, textbytes.PRIME) for k in range(300)]
+    at = np.array([0, 1, 65_535, 65_536, 10**7 + 3])
+    assert textbytes.divided(np.full(5, 7, np.uint64), at).tolist() == [7 * pow(textbytes._BASE, -int(k), textbytes.PRIME) % textbytes.PRIME for k in at]
+
+
+@pytest.mark.parametrize("exact", [1 << 23, 5, 100])
+def test_hashes_are_polynomials(monkeypatch, exact):
+    monkeypatch.setattr(textbytes, "_EXACT", exact)
+    rnd = random.Random(4)
+    values = [rnd.randrange(1, 256) for _ in range(700)]
+    large = [rnd.randrange(textbytes.PRIME) for _ in range(700)]
+    starts = np.array([rnd.randrange(700) for _ in range(200)])
+    ends = np.array([rnd.randint(s, 700) for s in starts])
+    poly = lambda x: sum(v * pow(textbytes._BASE, k, textbytes.PRIME) for k, v in enumerate(x)) % textbytes.PRIME
+    for x, kind, whole in ((values, np.uint8, False), (large, np.uint64, True)):
+        got = textbytes.Prefixes(np.array(x, kind), whole).hash(starts, ends)
+        assert got.tolist() == [poly(x[s:e]) for s, e in zip(starts, ends, strict=True)]
+
+
+def test_words_and_sequences_that_are_built_to_collide(spark):
+    one, other = thue_morse(11)
+    rest = " ".join(f"w{k}" for k in range(9))
+    docs = spark.createDataFrame([(1, one), (2, other), (3, f"{one} {rest}"), (4, f"{other} {rest}")], "doc_id long, text string")
+    assert [(r["doc_id"], r["component_id"]) for r in near_dedup.near_duplicates(docs, width=4).orderBy("doc_id").collect()] == [(1, 1), (2, 2), (3, 3), (4, 4)]
+    items = spark.createDataFrame([("x", one), ("y", f"{one} {rest}")], "item_id string, text string")
+    got = {r["doc_id"]: (r["n_hit"], r["n_items"]) for r in decontaminate.leak_report(docs, items).collect()}
+    assert got == {1: (1, 1), 2: (0, 0), 3: (10, 2), 4: (0, 0)}
+    # the same with words for letters
+    first, second = (" ".join(x) for x in thue_morse(11))
+    docs = spark.createDataFrame([(1, first), (2, second)], "doc_id long, text string")
+    items = spark.createDataFrame([("x", first)], "item_id string, text string")
+    got = {r["doc_id"]: [m.asDict() for m in r["matches"]] for r in decontaminate.find_leaks(docs, items, width=2048).select("row.doc_id", "matches").collect()}
+    assert got == {1: [{"item_id": "x", "item_start": 0, "start": 0, "length": 2048}], 2: []}
+    # chunks of words that collide are no repeats of each other
+    prose = " ".join(f"{w}{k}" for k in range(100) for w in (one, "a", "bc"))
+    docs = spark.createDataFrame([(1, prose), (2, prose.replace(one, other))], "doc_id long, text string")
+    assert {r["n_removed"] for r in chunks.repeat_report(docs).collect()} == {0}
+
+
 def groups(rows, width, percent=80):
     """component by document, every pair compared."""
     sets, at = {}, {}
