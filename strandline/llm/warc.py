@@ -5,8 +5,10 @@ and continuations, which name the first one's id and count up from 2; the last o
 payloads of at least REVISIT_BYTES one is a response, and the others are revisits that hold HTTP headers only.
 
 Archives are gzip files of Spark's text writer, whose line separator is the blank line that ends a record. They are read
-by Spark's text reader, cut where a record seems to begin, and a record's pieces are put together again by its stated
-length: a task holds one record at a time, however large the archive, and what can't be read becomes a row with a status.
+as they are by Spark's text reader, which is told to leave them compressed, so that a read that fails fails its task; they are
+unpacked where they are parsed, so that damage shows. There they are cut where a record seems to begin, and a record's pieces are put
+together again by its stated length: a task holds one record at a time, however large the archive, and what can't be read
+becomes a row with a status.
 """
 
 from __future__ import annotations
@@ -14,8 +16,11 @@ from __future__ import annotations
 import base64
 import hashlib
 import uuid
+import zlib
 from collections.abc import Iterator
 from functools import partial
+from itertools import groupby
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -25,10 +30,15 @@ from .common import cut, ship, shuffles_go
 
 SEGMENT_BYTES, CHUNK_BYTES, REVISIT_BYTES = 16 << 10, 4 << 10, 1000
 _END = b"\r\n\r\n"
-#: Where the reader cuts an archive: the end of a record and the beginning of the next one.
+#: Where an archive is cut: the end of a record and the beginning of the next one.
 _CUT = b"\r\n\r\nWARC/1."
-_FIELDS = "record_id string, record_type string, page_id long, url string, refers_to long, digest string, http_bytes long, segment long, origin_id string, total long, block binary, status string"
+#: Bytes that are unpacked at once.
+_UNPACKED = 1 << 20
+#: Reader options by which gzip files come as they are; some builds of the Hadoop client move the names.
+_AS_IT_IS = {f"{place}io.{name}": value for place in ("", "org.apache.hadoop.shaded.") for name, value in (("compression.codecs", "org.apache.hadoop.io.compress.PassthroughCodec"), ("compress.passthrough.extension", ".gz"))}
+_FIELDS = "file string, record_id string, record_type string, page_id long, url string, refers_to long, digest string, http_bytes long, segment long, origin_id string, total long, block binary, status string"
 OK, NO_HEADER_END, NO_LENGTH, NO_TYPE, TRUNCATED, SEGMENT_MISSING, BROKEN_CHUNKS, NO_HTTP_HEADER = "OK", "NO_HEADER_END", "NO_LENGTH", "NO_TYPE", "TRUNCATED", "SEGMENT_MISSING", "BROKEN_CHUNKS", "NO_HTTP_HEADER"
+WRONG_DIGEST, DAMAGED_FILE = "WRONG_DIGEST", "DAMAGED_FILE"
 
 
 def _pieces(data: bytes, size: int) -> list[bytes]:
@@ -127,13 +137,84 @@ def _fields(head: bytes) -> dict[str, str]:
     return fields
 
 
+class Damaged(Exception):
+    """A file ends before its last member does, or holds bytes that aren't of one."""
+
+
+def unpacked(chunks: Iterator[bytes]) -> Iterator[bytes]:
+    """What the members of a gzip file hold, in pieces of a bounded size; Damaged at the first byte that is wrong.
+
+    The reader of lines doesn't tell whether a file ends with a line feed; if one is missing to the last member, it does.
+    A file that doesn't begin as gzip files do, but as an archive does, is handed on as it is."""
+    member, first, every = None, True, _with_end(chunks)
+    for last, chunk in every:
+        if first and chunk[:5] == b"WARC/":
+            yield chunk
+            yield from (c for _, c in every)
+            return
+        first = first and not chunk
+        data = chunk
+        while data:
+            if member is None:
+                data = data.lstrip(b"\0")  # members may be padded
+                if not data:
+                    break
+                member = zlib.decompressobj(31)
+            try:
+                out = member.decompress(data, _UNPACKED)
+                while out:
+                    yield out
+                    data = member.unconsumed_tail
+                    out = member.decompress(data, _UNPACKED) if not member.eof else b""
+            except zlib.error as e:
+                raise Damaged(str(e)) from e
+            data = member.unused_data
+            if member.eof:
+                member = None
+        if last and member is not None:
+            try:
+                member.decompress(b"\n")
+            except zlib.error as e:
+                raise Damaged(str(e)) from e
+            if not member.eof:
+                raise Damaged("the file ends within a member")
+
+
+def _with_end(chunks: Iterator[bytes]) -> Iterator[tuple[bool, bytes]]:
+    """The chunks, and whether each is the last."""
+    before = None
+    for chunk in chunks:
+        if before is not None:
+            yield False, before
+        before = chunk
+    if before is not None:
+        yield True, before
+
+
+def pieces_of(chunks: Iterator[bytes]) -> Iterator[bytes]:
+    """A stream cut at _CUT; what precedes damage is a piece, too, before Damaged is raised."""
+    held, tail, keep, damage = [], b"", len(_CUT) - 1, None
+    try:
+        for chunk in chunks:
+            *whole, rest = (tail + chunk).split(_CUT)
+            for piece in whole:
+                yield b"".join([*held, piece])
+                held = []
+            held.append(rest[:-keep])
+            tail = rest[-keep:]
+    except Damaged as e:
+        damage = e
+    yield b"".join([*held, tail])
+    if damage:
+        raise damage
+
+
 def assemble(pieces: Iterator[tuple[str, bytes]]) -> Iterator[tuple[dict[str, str], bytes | None, str]]:
     """Fields, block and status of each record, from pieces (file, bytes) of archives that were cut at _CUT.
 
     A block that holds what looks like another record is several pieces; they are joined while they lack the stated
-    length. What stands before the first record of a file is skipped. The reader of lines misses a cut that follows a
-    part of another one where its buffer ends, so each piece is cut again."""
-    file, todo = None, ((name, part) for name, piece in pieces for part in piece.split(_CUT))
+    length. What stands before the first record of a file is skipped."""
+    file, todo = None, iter(pieces)
     now = next(todo, None)
     while now is not None:
         name, piece = now
@@ -184,13 +265,40 @@ def _digest(text: str | None) -> str | None:
         return None
 
 
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes]]:
+    """File and bytes, from columns file, line: a file's lines follow each other, parted by line feeds."""
+    before = None
+    for batch in batches:
+        for name, lines in groupby(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True), itemgetter(0)):
+            data = b"\n".join(line for _, line in lines)
+            yield name, b"\n" + data if name == before else data
+            before = name
+
+
+def _records_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, dict[str, str], bytes | None, str]]:
+    """File, fields, block and status of each record, and of each damaged file after those that precede the damage."""
+    for name, chunks in groupby(_chunks(batches), itemgetter(0)):
+        damage: list[Damaged] = []
+
+        def pieces(name=name, chunks=chunks, damage=damage) -> Iterator[tuple[str, bytes]]:
+            try:
+                for piece in pieces_of(unpacked(c for _, c in chunks)):
+                    yield name, piece
+            except Damaged as e:
+                damage.append(e)
+
+        for fields, block, status in assemble(pieces()):
+            yield name, fields, block, status
+        if damage:
+            yield name, {}, None, DAMAGED_FILE
+
+
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Columns of _FIELDS from columns file, piece; requests, infos and the like are left out."""
+    """Columns of _FIELDS from columns file, line; requests, infos and the like are left out."""
     names = [x.split()[0] for x in _FIELDS.split(", ")]
-    pieces = ((f, p) for b in batches for f, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
     rows: list[list] = [[] for _ in names]
     size = 0
-    for f, block, status in assemble(pieces):
+    for name, f, block, status in _records_of(batches):
         kind = f.get("warc-type")
         if status == OK and kind not in ("response", "revisit", "continuation"):
             continue
@@ -204,7 +312,7 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if kind == "continuation" and segment is None:
             block, status = None, SEGMENT_MISSING
         origin = f.get("warc-segment-origin-id", "").strip("<>") or me
-        for column, value in zip(rows, (me, kind, page, f.get("warc-target-uri"), refers, _digest(f.get("warc-payload-digest")), http, segment if status == OK else None, origin, _number(f.get("warc-segment-total-length")), block, status), strict=True):
+        for column, value in zip(rows, (name, me, kind, page, f.get("warc-target-uri"), refers, _digest(f.get("warc-payload-digest")), http, segment if status == OK else None, origin, _number(f.get("warc-segment-total-length")), block, status), strict=True):
             column.append(value)
         size += len(block or b"") + 500
         if size > 4 << 20:
@@ -214,7 +322,7 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _batch(names: list[str], rows: list[list]) -> pa.RecordBatch:
-    kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.string()]
+    kinds = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.string()]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], names)
 
 
@@ -222,44 +330,48 @@ def _payloads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The last two columns, a block and a status, become the payload of its HTTP message and the status."""
     for batch in batches:
         out, states = [], []
-        for block, status in zip(batch.column(-2 % batch.num_columns).to_pylist(), batch.column(-1 % batch.num_columns).to_pylist(), strict=True):
+        for kind, digest, block, status in zip(*(batch.column(c).to_pylist() for c in ("record_type", "digest", "block", "status")), strict=True):
             payload = None
             if status == OK:
                 head, gap, body = block.partition(_END)
                 payload = None if not gap else dechunked(body) if b"transfer-encoding: chunked" in head.lower() else body
                 status = NO_HTTP_HEADER if not gap else BROKEN_CHUNKS if payload is None else OK
+                if status == OK and kind == "response" and digest and hashlib.sha1(payload).hexdigest() != digest:
+                    payload, status = None, WRONG_DIGEST
             out.append(payload)
             states.append(status)
         yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(out, pa.binary()), pa.array(states, pa.string())], [*batch.schema.names[:-2], "payload", "status"])
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
-    """record_id, record_type, page_id, url, refers_to, digest, http_bytes, payload, status of each response and revisit, and
-    of what can't be read.
+    """file, record_id, record_type, page_id, url, refers_to, digest, http_bytes, payload, status of each response and
+    revisit, and of what can't be read.
 
     Segments are grouped by the id of their first record and put in order. A revisit's payload is empty; http_bytes is
     the length that its HTTP headers state. Repeated records give repeated rows. The payload is null where the status
     isn't OK: NO_HEADER_END, NO_LENGTH (none, or no number), NO_TYPE, TRUNCATED (the archive ends before the stated
     length), SEGMENT_MISSING (one is, or the whole length isn't the stated one; also continuations whose first record
-    is missing), NO_HTTP_HEADER, BROKEN_CHUNKS; such rows have the fields that could be read. Of a gzip file that is damaged the
-    records before the damage are read. Empty archives have no rows.
+    is missing), NO_HTTP_HEADER, BROKEN_CHUNKS, WRONG_DIGEST (of a response that states its SHA-1); such rows have the fields that
+    could be read. A gzip file that is cut off or damaged has a row DAMAGED_FILE, with its name, after the records that precede the
+    damage, the last of which may be TRUNCATED; what follows the damage can't be read. A file that can't be read at all fails the job,
+    whatever the session says of corrupt files. Empty archives have no rows.
 
     Archives end in .gz (Spark doesn't split those) and are parsed once, into a table in the shared folder.
     """
     ship(spark)
-    pieces = spark.read.option("lineSep", _CUT.decode()).option("ignoreCorruptFiles", "true").option("pathGlobFilter", "*.gz").text(path)
-    pieces = pieces.select(F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("piece"))
-    records = cut(pieces.mapInArrow(_parsed, _FIELDS))
-    kept = ["record_id", "record_type", "page_id", "url", "refers_to", "digest", "http_bytes"]
+    lines = spark.read.options(**_AS_IT_IS).option("lineSep", "\n").option("ignoreCorruptFiles", "false").option("ignoreMissingFiles", "false").option("pathGlobFilter", "*.gz").text(path)
+    lines = lines.select(F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("line"))
+    records = cut(lines.mapInArrow(_parsed, _FIELDS))
+    kept = ["file", "record_id", "record_type", "page_id", "url", "refers_to", "digest", "http_bytes"]
     whole = records.where("segment is null").select(*kept, "block", "status")
     # a group is one record, so it is no larger than a page
     groups = records.where("segment is not null").groupBy("origin_id").agg(F.sort_array(F.collect_set(F.struct("segment", "block"))).alias("s"), F.max("total").alias("total"), F.collect_list(F.when(F.col("segment") == 1, F.struct(*kept))).alias("first"))
     block = F.aggregate("s", F.lit(b""), lambda a, x: F.concat(a, x["block"]))
     in_order = F.forall(F.transform("s", lambda x, i: x["segment"] == i + 1), lambda ok: ok)
-    lost = F.struct(F.col("origin_id").alias("record_id"), *(F.lit(None).cast(records.schema[c].dataType).alias(c) for c in kept[1:]))
+    lost = F.struct(*(F.col("origin_id").alias(c) if c == "record_id" else F.lit(None).cast(records.schema[c].dataType).alias(c) for c in kept))
     joined = groups.select(F.when(F.size("first") > 0, F.col("first")).otherwise(F.array(lost)).alias("first"), (F.coalesce(in_order & (F.octet_length(block) == F.col("total")), F.lit(False))).alias("good"), block.alias("block"))
     joined = joined.select(F.explode("first").alias("f"), "good", "block").select("f.*", F.when(F.col("good"), F.col("block")).alias("block"), F.when(F.col("good"), OK).otherwise(SEGMENT_MISSING).alias("status"))
-    return whole.union(joined).mapInArrow(_payloads, "record_id string, record_type string, page_id long, url string, refers_to long, digest string, http_bytes long, payload binary, status string")
+    return whole.union(joined).mapInArrow(_payloads, "file string, record_id string, record_type string, page_id long, url string, refers_to long, digest string, http_bytes long, payload binary, status string")
 
 
 def archive_report(records: DataFrame) -> DataFrame:
