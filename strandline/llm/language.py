@@ -7,8 +7,11 @@ cross entropy; the language with the least wins.
 Automata are kept as dense tables whose missing transitions already lead to where the next phrase begins, flagged in
 the top bit, so numpy walks many texts and all languages at once, one symbol a step. Texts are cut into segments of
 SEGMENT symbols for that, which are walked side by side. A segment's own walk begins with a phrase of its own, but the
-text's phrase reaches into it; so each is walked again from where the one before ended until both walks are in the
-same state, as they are after a phrase or two. From there on they agree, so the phrases are exactly the text's.
+text's phrase reaches into it; so each is walked again from where the one before ended, beside a repeat of its own
+walk, until both are in the same state, as they are after a phrase or two. From there on they agree, so the phrases are
+exactly the text's.
+
+The tables have a bound in bytes, whatever the count of languages: with many of them each learns from fewer symbols.
 """
 
 from __future__ import annotations
@@ -28,6 +31,8 @@ from .samples import texts_of
 from .textbytes import buffers, runs
 
 SEGMENT = 512
+#: Bytes of the table of all languages, which is broadcast. A language has up to two states a symbol.
+TABLE_BYTES = 256 << 20
 UNDETERMINED = "und"
 _OTHER, _SPACE, _FLAG = 0, 1, np.uint32(1 << 31)
 
@@ -69,7 +74,7 @@ def suffix_automaton(text: np.ndarray, size: int) -> np.ndarray:
 class Languages:
     """Automata of all languages in one table."""
 
-    def __init__(self, texts: dict[str, list[str]], most_symbols: int):
+    def __init__(self, texts: dict[str, list[str]], most_symbols: int, most_bytes: int = TABLE_BYTES):
         self.names = sorted(texts)
         high = np.zeros(256, bool)
         for name in self.names:
@@ -82,13 +87,15 @@ class Languages:
         self.symbols[seen] = np.arange(28, 28 + len(seen))
         self.width = 28 + len(seen)
         tables, self.roots, self.bits, base = [], [], [], 0
+        # states beside those of symbols: the root, the one after a separator, and where a symbol is lost
+        most_symbols = max(1, min(most_symbols, (most_bytes // (4 * self.width * max(len(self.names), 1)) - 4) // 2))
         for name in self.names:
             parts, n = [], 0
             for x in texts[name]:
                 s, _ = self.encode(pa.array([x.lower()]))
-                if n + len(s) <= most_symbols or not parts:
-                    parts += [s, np.array([_OTHER], np.uint8)]
-                    n += len(s)
+                if n + len(s) + 1 <= most_symbols or not parts:
+                    parts += [s[:most_symbols], np.array([_OTHER], np.uint8)]
+                    n += len(s) + 1
             body = np.concatenate(parts)
             automaton = suffix_automaton(body, self.width)
             automaton[:, _OTHER] = -1  # separates texts, and stands for unknown bytes
@@ -99,7 +106,7 @@ class Languages:
             flat = np.concatenate([(np.where(missing, start[None, :], automaton) + base) * self.width, (start[None, :] + base) * self.width])
             flag = np.concatenate([missing, np.ones((1, self.width), bool)])
             if (base + len(flat)) * self.width >= 1 << 31:
-                raise ValueError("too many languages or symbols: lower most_symbols")
+                raise ValueError("most_bytes must be less than 2**33")
             tables.append(flat.astype(np.uint32) | np.where(flag, _FLAG, np.uint32(0)))
             self.roots.append((base + lost) * self.width)  # where any symbol begins a phrase
             self.bits.append(np.log2(max(len(body), 2)))
@@ -133,35 +140,32 @@ class Languages:
         state = np.repeat(np.array(self.roots, np.uint32)[:, None], len(text), 1)
         ends = np.zeros(state.shape, np.int64)
         lanes = np.searchsorted(-size, -np.arange(most), side="left")
-        trail, counts = [], []
-        several = bool((place > 0).any())
         for t, m in enumerate(lanes):
             v = self.table[state[:, :m] + s[begin[:m] + t].astype(np.uint32)]
             ends[:, :m] += v >> np.uint32(31)
             state[:, :m] = v & ~_FLAG
-            if several:
-                trail.append(state[:, :m].copy())
-                counts.append(ends[:, :m].astype(np.int16))
         own, final = ends.copy(), state.copy()
         # segments that follow another one, in each language: walked from where that one ended
         x, y = np.nonzero(np.repeat((before >= 0)[None, :], k, 0))
         while len(x):
             now, seen = state[x, before[y]], np.zeros(len(x), np.int64)
+            mine, passed = np.array(self.roots, np.uint32)[x], np.zeros(len(x), np.int64)
             changed = np.zeros((k, len(text)), bool)
             t, a, b = 0, x, y
             while len(a):
-                v = self.table[now + s[begin[b] + t].astype(np.uint32)]
-                seen = seen + (v >> np.uint32(31))
-                now = v & ~_FLAG
-                met = now == trail[t][a, b]
-                ends[a[met], b[met]] = own[a[met], b[met]] - counts[t][a[met], b[met]] + seen[met]
+                c = s[begin[b] + t].astype(np.uint32)
+                v, w = self.table[now + c], self.table[mine + c]
+                seen, passed = seen + (v >> np.uint32(31)), passed + (w >> np.uint32(31))
+                now, mine = v & ~_FLAG, w & ~_FLAG
+                met = now == mine
+                ends[a[met], b[met]] = own[a[met], b[met]] - passed[met] + seen[met]
                 over = ~met & (size[b] == t + 1)
                 ends[a[over], b[over]] = seen[over]
                 for which, end in ((met, final[a[met], b[met]]), (over, now[over])):
                     changed[a[which], b[which]] = state[a[which], b[which]] != end
                     state[a[which], b[which]] = end
                 left = ~(met | over)
-                now, seen, a, b = now[left], seen[left], a[left], b[left]
+                now, seen, mine, passed, a, b = now[left], seen[left], mine[left], passed[left], a[left], b[left]
                 t += 1
             again = np.zeros_like(changed)
             has = before >= 0

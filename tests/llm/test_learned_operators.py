@@ -69,6 +69,17 @@ def test_phrases_reach_over_segments(monkeypatch):
         check_phrases(texts, asked)
 
 
+def test_tables_of_many_languages_have_a_bound():
+    rnd = random.Random(13)
+    texts = {f"l{k}": ["".join(rnd.choice("abcdefgh é") for _ in range(2000)) for _ in range(3)] for k in range(400)}
+    for most in (1 << 20, 8 << 20):
+        known = language.Languages(texts, 40_000, most)
+        assert len(known.names) == 400 and known.table.nbytes <= most
+        s, off = known.encode(pa.array(["abc", "", "é" * 50]))
+        assert known.phrases(s, off).shape == (3, 400)
+    assert language.Languages(texts, 40_000, 1000).table.nbytes < 400 * 8 * 4 * 40  # no less than a symbol each
+
+
 def test_the_language_with_the_least_entropy_wins(spark):
     texts = {"x": ["the cat sat on the mat"], "y": ["le chat est sur le tapis"]}
     known = language.Languages(texts, 1000)
