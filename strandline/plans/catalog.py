@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import frames_sensors, ingest, relational
+from . import frames_sensors, ingest, relational, stored
 
 _FUNCTIONS = [
     frames_sensors.frame_sensor_index,
@@ -28,6 +28,7 @@ _FUNCTIONS = [
     frames_sensors.nearest_context,
     *relational.FUNCTIONS,
     *ingest.FUNCTIONS,
+    *stored.FUNCTIONS,
 ]
 
 
@@ -36,5 +37,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    found = vars(frames_sensors) | vars(relational) | vars(ingest)
+    found = vars(frames_sensors) | vars(relational) | vars(ingest) | vars(stored)
     return {f.__name__: found[f.__name__.upper()] for f in _FUNCTIONS if f.__name__.upper() in found}

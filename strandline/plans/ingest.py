@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +11,7 @@ from ..functions import ids
 from ..operators import clock, contracts, detections, frames, reconcile, timeseries, validate
 from ..operators.timeseries import DAY
 from ..schemas import closed
-from ..sources import store, texts
+from ..sources import files, store, texts
 from ..streaming import streams
 from .frames_sensors import ALIGNMENT_STATUS, HOP_WINDOW_INDEX, HOP_WINDOW_REJECTIONS, KEY, POLICY, _paired, _segments, aligned_events, events, hop_windows, table
 from .frames_sensors import _frames as owned_views
@@ -285,7 +284,7 @@ UTC_TIMES = "SELECT o_orderkey, o_orderkey % 8 < 2 AS valid, CASE o_orderkey % 8
 def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A catalogue of nations, written as one canonical JSON document and read back under its closed schema."""
     rows = table(spark, sf_dir, "nation").orderBy("n_nationkey").limit(1000).collect()  # a catalogue is a small document
-    path = f"{store.shared_folder(spark)}/catalogue-{uuid.uuid4().hex}"
+    path = files.scratch(spark, "catalogue")
     store.write_text(spark, path, store.canonical_json({"name": "nations", "parts": [{"key": r["n_nationkey"], "name": r["n_name"]} for r in rows]}))
     x = texts.catalog(spark, path, "name string, parts array<struct<key: int, name: string>>").select("name", F.explode("parts").alias("p"))
     return x.select(F.col("name").alias("catalogue"), F.col("p.key").cast("long").alias("key"), F.col("p.name").alias("part"))
@@ -296,7 +295,7 @@ CATALOGUE = "SELECT 'nations' AS catalogue, n_nationkey::BIGINT AS key, n_name A
 
 def bundle_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A bundle that is stored, one that fails, and one not yet begun."""
-    root = f"{store.shared_folder(spark)}/bundles-{uuid.uuid4().hex}"
+    root = files.scratch(spark, "bundles")
     r = table(spark, sf_dir, "region")
     store.publish_bundle(spark, root, "good", {"region": r}, {"region": ["r_regionkey"]})
     try:
@@ -313,7 +312,7 @@ BUNDLE_LEDGER = "SELECT * FROM (VALUES ('good', 'SUCCESS'), ('bad', 'FAILURE'),
 
 
 def snapshot_window_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    root = f"{store.shared_folder(spark)}/windows-{uuid.uuid4().hex}"
+    root = files.scratch(spark, "windows")
     n = table(spark, sf_dir, "nation").select(F.col("n_name").alias("window_id"), "n_regionkey")
     store.publish(spark, root, {"window_index": n}, {"source": "nations"}, "one", {"window_index": ["n_regionkey"]})
     store.publish(spark, root, {"window_index": n.where("n_regionkey <> 2")}, {"source": "nations"}, "two", {"window_index": ["n_regionkey"]})
@@ -481,7 +480,7 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _folder(spark: SparkSession) -> str:
-    return f"{store.shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    return files.scratch(spark, "stream")
 
 
 def session_stream(spark: SparkSession, sf_dir: str) -> DataFrame:

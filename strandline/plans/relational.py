@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import exact
 from ..operators import clock, contracts, detections, frames, reconcile, timeseries, validate, windows
-from ..sources import store
+from ..schemas import fingerprint
+from ..sources import files, store
 from ..streaming import streams
 from .frames_sensors import FRAME_SENSOR_INDEX, KEY, events, table
 
@@ -329,9 +330,20 @@ def table_semantic_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(out, "name string, semantic_sha256 string, stable boolean")
 
 
+def _semantic_sql(name: str, ddl: str, *columns: str) -> str:
+    """The digest of a table's rows as a multiset: sums of the quarters of their digests, the count, and its schema."""
+    row = " || ".join(f"coalesce('V' || strlen({c}::VARCHAR) || ':' || {c}, 'N')" for c in columns)
+    sums = " || ':' || ".join(f"sum(('0x' || substr(h, {16 * k + 1}, 16))::HUGEINT)" for k in range(4))
+    head = f"multiset-2\n{fingerprint(StructType.fromDDL(ddl))}\n"
+    return f"SELECT '{name}' AS name, sha256('{head}' || count(*) || ':' || {sums} || chr(10)) AS semantic_sha256, true AS stable FROM (SELECT sha256({row}) AS h FROM {name})"
+
+
+TABLE_SEMANTIC_HASH = _semantic_sql("nation", "n_nationkey int, n_name string, n_regionkey int", "n_nationkey", "n_name", "n_regionkey") + " UNION ALL " + _semantic_sql("region", "r_regionkey int, r_name string", "r_regionkey", "r_name")
+
+
 def snapshot_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tables published as a snapshot and read back by its pointer, counted."""
-    root = f"{store.shared_folder(spark)}/store-{uuid.uuid4().hex}"
+    root = files.scratch(spark, "store")
     store.publish(spark, root, {t: table(spark, sf_dir, t) for t in ("nation", "region")}, {"source": "test tables"}, "first", {"nation": ["n_nationkey"], "region": ["r_regionkey"]})
     snapshot = store.Snapshot(spark, root)
     return snapshot.table("nation").join(snapshot.table("region"), F.col("n_regionkey") == F.col("r_regionkey")).groupBy("r_name").agg(F.count("*").alias("n"))
@@ -345,7 +357,7 @@ def sliding_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = table(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     counts = streams.hop_counts(stream.withColumn("at", F.col("ts").cast("timestamp")), "at", ["event_type"], "4 days", "1 day", "1 hour")
-    return streams.totals_once(counts, f"{store.shared_folder(spark)}/hops-{uuid.uuid4().hex}").groupBy("event_type").agg(F.count("*").alias("n_windows"), F.sum("n").alias("n_rows"))
+    return streams.totals_once(counts, files.scratch(spark, "hops")).groupBy("event_type").agg(F.count("*").alias("n_windows"), F.sum("n").alias("n_rows"))
 
 
 SLIDING_STREAM = """

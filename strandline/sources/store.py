@@ -1,25 +1,27 @@
 """Immutable snapshots: sorted Parquet tables, a manifest with digests, a pointer to the current one, and replay.
 
 Everything is written and read by Spark, so a store may lie wherever Spark can write. A snapshot is a folder under
-snapshots/. It counts as published once a row of the log names it: Spark puts a log file in place whole or not at all,
-so a crash leaves the snapshot before as the current one, and a folder that nothing names, which the next try replaces.
+snapshots/. Its id is reserved first, by a file that must not exist, so that of two publishers of one id one is refused. It counts
+as published once a row of the log names it: rows are numbered, each number being reserved the same way, and Spark puts
+a log file in place whole or not at all. A crash leaves the snapshot before as the current one, and a folder that nothing
+names; `abandon` gives its id free.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
-import tempfile
-import time
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, FloatType, StructType
+from pyspark.sql.types import StructType
 
+from ..operators.sequences import row_digest, sequence_hash
 from ..schemas import SORT_KEYS, fingerprint
+from .files import create_new, delete
 
-_LOG = "name string, at long, note string"
+_LOG = "name string, number long, note string"
 
 
 def canonical_json(value) -> str:
@@ -27,16 +29,6 @@ def canonical_json(value) -> str:
     return json.dumps(value, sort_keys=True, indent=2, allow_nan=False, ensure_ascii=False) + "\n"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as spark.checkpoint.dir names it; in local mode a temporary one will do."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return tempfile.mkdtemp(prefix="strandline-")
-
-
 def write_text(spark: SparkSession, path: str, text: str) -> None:
     """A small text as a folder of one file."""
     spark.createDataFrame([(text.removesuffix("\n"),)], "value string").coalesce(1).write.text(path)
@@ -47,35 +39,23 @@ def read_text(spark: SparkSession, path: str) -> str:
 
 
 def _append(spark: SparkSession, path: str, name: str, note: str) -> None:
-    spark.createDataFrame([(name, time.time_ns(), note)], _LOG).coalesce(1).write.mode("append").json(path)
+    """Add a row with the next number. Writers that meet get different ones: a number is a file that one of them made."""
+    number = 1 + (_log(spark, path).agg(F.max("number")).first()[0] or 0)
+    while not create_new(spark, f"{path}_numbers/{number:012d}"):
+        number += 1
+    spark.createDataFrame([(name, number, note)], _LOG).coalesce(1).write.mode("append").json(path)
 
 
 def _log(spark: SparkSession, path: str) -> DataFrame:
-    """Rows (name, at, note) of a log, oldest first; none if it doesn't exist yet."""
+    """Rows (name, number, note) of a log in order; none if it doesn't exist yet."""
     try:
-        return spark.read.schema(_LOG).json(path).orderBy("at", "name")
+        return spark.read.schema(_LOG).json(path).orderBy("number")
     except AnalysisException as why:
         if why.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], _LOG)
 
 
-def _exact(c: Column, kind) -> Column:
-    """Text of a value that keeps -0.0 apart from 0.0 and has one form for NaN."""
-    if isinstance(kind, (DoubleType, FloatType)):
-        return F.when((c == 0) & c.cast("string").startswith("-"), "-0").otherwise(c.cast("string"))
-    return c.cast("string") if kind.simpleString() in ("string", "long", "bigint", "int", "boolean", "smallint", "date", "timestamp", "timestamp_ntz") else F.to_json(F.struct(c))
-
-
-def row_digest(df: DataFrame) -> Column:
-    """SHA-256 of a row's values, each tagged as null or with its length."""
-    parts = []
-    for f in df.schema:
-        text = _exact(F.col(f"`{f.name}`"), f.dataType)
-        parts.append(F.coalesce(F.concat(F.lit("V"), F.octet_length(text).cast("string"), F.lit(":"), text), F.lit("N")))
-    return F.sha2(F.concat(*parts), 256)
-
-
 def semantic_hash(df: DataFrame) -> str:
     """Digest of a table's schema and rows (as a multiset) that no order or partitioning changes.
 
@@ -99,22 +79,31 @@ def write_table(df: DataFrame, path: str, sort_keys: list[str], partition_by: li
 
 
 def publish(spark: SparkSession, root: str, tables: dict[str, DataFrame], provenance: dict, snapshot_id: str, sort_keys: dict[str, list[str]] = SORT_KEYS) -> dict:
-    """Write, measure what was written, then name it in the log; returns the manifest. An id that was published is refused."""
-    if not _log(spark, f"{root}/published").where(F.col("name") == snapshot_id).isEmpty():
-        raise FileExistsError(f"snapshot {snapshot_id} is there already")
+    """Reserve the id, write, measure what was written, then name it in the log; returns the manifest. An id that is
+    reserved, by a snapshot that was published or one that is being written, is refused."""
     place = f"{root}/snapshots/{snapshot_id}"
+    if not create_new(spark, f"{root}/reserved/{snapshot_id}"):
+        raise FileExistsError(f"snapshot {snapshot_id} is there already")
     manifest: dict = {"snapshot_id": snapshot_id, "tables": {}, "provenance_sha256": hashlib.sha256(canonical_json(provenance).encode()).hexdigest()}
     for name, df in tables.items():
         write_table(df, f"{place}/{name}", sort_keys.get(name) or df.columns[:1])
-        manifest["tables"][name] = _claims(spark.read.parquet(f"{place}/{name}"))
+        manifest["tables"][name] = _claims(spark.read.parquet(f"{place}/{name}"), sort_keys.get(name) or df.columns[:1])
     for name, document in (("provenance", provenance), ("manifest", manifest)):
         spark.createDataFrame([(canonical_json(document).removesuffix("\n"),)], "value string").coalesce(1).write.mode("overwrite").text(f"{place}/{name}.json")
     _append(spark, f"{root}/published", snapshot_id, "")
     return manifest
 
 
-def _claims(df: DataFrame) -> dict:
-    return {"rows": df.count(), "schema": fingerprint(_plain(df.schema)), "semantic_sha256": semantic_hash(df)}
+def abandon(spark: SparkSession, root: str, snapshot_id: str) -> None:
+    """Delete what a crash left of a snapshot that wasn't published, and give its id free."""
+    if not _log(spark, f"{root}/published").where(F.col("name") == snapshot_id).isEmpty():
+        raise FileExistsError(f"snapshot {snapshot_id} was published")
+    delete(spark, f"{root}/snapshots/{snapshot_id}")
+    delete(spark, f"{root}/reserved/{snapshot_id}")
+
+
+def _claims(df: DataFrame, order: list[str]) -> dict:
+    return {"rows": df.count(), "schema": fingerprint(_plain(df.schema)), "semantic_sha256": semantic_hash(df), "sort_keys": order, "sequence_sha256": sequence_hash(df, order)}
 
 
 def publish_bundle(spark: SparkSession, root: str, recording: str, tables: dict[str, DataFrame], sort_keys: dict[str, list[str]]) -> dict:
@@ -155,7 +144,7 @@ def verify(spark: SparkSession, path: str) -> dict:
     if hashlib.sha256(read_text(spark, f"{path}/provenance.json").encode()).hexdigest() != manifest["provenance_sha256"]:
         raise ValueError("provenance is not what the manifest says")
     for name, claim in manifest["tables"].items():
-        found = _claims(spark.read.parquet(f"{path}/{name}"))
+        found = _claims(spark.read.parquet(f"{path}/{name}"), claim["sort_keys"])
         if found != claim:
             raise ValueError(f"{name} is not what the manifest says: {[k for k in claim if found[k] != claim[k]]}")
     return manifest
@@ -165,7 +154,7 @@ class Snapshot:
     """The current snapshot of a store, or a named one."""
 
     def __init__(self, spark: SparkSession, root: str, snapshot_id: str | None = None, check: bool = True):
-        last = _log(spark, f"{root}/published").orderBy(F.desc("at"), F.desc("name"))
+        last = _log(spark, f"{root}/published").orderBy(F.desc("number"))
         row = (last.where(F.col("name") == snapshot_id) if snapshot_id else last).first()
         if row is None:
             raise FileNotFoundError(f"no snapshot {snapshot_id or ''} in {root}")
