@@ -32,8 +32,10 @@ SEGMENT_BYTES, CHUNK_BYTES, REVISIT_BYTES = 16 << 10, 4 << 10, 1000
 _END = b"\r\n\r\n"
 #: Where an archive is cut: the end of a record and the beginning of the next one.
 _CUT = b"\r\n\r\nWARC/1."
+#: About how many bytes of records a task hands on at once.
+_BATCH = 1 << 20
 #: Bytes that are unpacked at once.
-_UNPACKED = 1 << 20
+_UNPACKED = 1 << 18
 #: Reader options by which gzip files come as they are; some builds of the Hadoop client move the names.
 _AS_IT_IS = {f"{place}io.{name}": value for place in ("", "org.apache.hadoop.shaded.") for name, value in (("compression.codecs", "org.apache.hadoop.io.compress.PassthroughCodec"), ("compress.passthrough.extension", ".gz"))}
 _FIELDS = "file string, record_id string, record_type string, page_id long, url string, refers_to long, digest string, http_bytes long, segment long, origin_id string, total long, block binary, status string"
@@ -89,8 +91,13 @@ def _identity(page_id, digest: str) -> str:
 def _records(batches: Iterator[pa.RecordBatch], segment_bytes: int, chunk_bytes: int) -> Iterator[pa.RecordBatch]:
     """Columns page, url, payload, refers; a row for each record."""
     for batch in batches:
-        out = []
-        for page, url, text, refers in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        out, size = [], 0
+        for row in range(batch.num_rows):
+            page, url, text, refers = (c[row].as_py() for c in batch.columns)
+            if size > _BATCH:
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
+                out, size = [], 0
+            size += len(text)
             payload = text.encode()
             sha = hashlib.sha1(payload)
             me = _identity(page, sha.hexdigest())
@@ -315,7 +322,7 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for column, value in zip(rows, (name, me, kind, page, f.get("warc-target-uri"), refers, _digest(f.get("warc-payload-digest")), http, segment if status == OK else None, origin, _number(f.get("warc-segment-total-length")), block, status), strict=True):
             column.append(value)
         size += len(block or b"") + 500
-        if size > 4 << 20:
+        if size > _BATCH:
             yield _batch(names, rows)
             rows, size = [[] for _ in names], 0
     yield _batch(names, rows)
@@ -328,9 +335,10 @@ def _batch(names: list[str], rows: list[list]) -> pa.RecordBatch:
 
 def _payloads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The last two columns, a block and a status, become the payload of its HTTP message and the status."""
-    for batch in batches:
+    columns = ("record_type", "digest", "block", "status")
+    for batch in (b.slice(i, 100) for b in batches for i in range(0, b.num_rows, 100)):
         out, states = [], []
-        for kind, digest, block, status in zip(*(batch.column(c).to_pylist() for c in ("record_type", "digest", "block", "status")), strict=True):
+        for kind, digest, block, status in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
             payload = None
             if status == OK:
                 head, gap, body = block.partition(_END)
