@@ -1,7 +1,13 @@
-"""Hop windows over paired streams: coverage, cadence, gaps, gates, and a ledger of every rejected candidate."""
+"""Hop windows over paired streams: coverage, cadence, gaps, gates, and a ledger of every rejected candidate.
+
+Rows are aggregated once, in panes as wide as the greatest common divisor of window and hop; a window merges the states
+of its panes. So no row is copied to the windows that hold it, however many those are.
+"""
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -10,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import BITS, FATAL_BITS
+from ..sources.files import ship
+from .rotations import widest_angle, widest_angles_of
 from .timeseries import bucketed_neighbours, hop_windows, medians
 
 
@@ -54,16 +62,63 @@ def placed(rows: DataFrame, segments: DataFrame, keys: list[str], policy: Policy
     return x.withColumn("prev_in", near("prev_row")).withColumn("next_in", near("next_row")).withColumnRenamed("prev_row", "prev").withColumnRenamed("next_row", "next")
 
 
-def in_windows(rows: DataFrame, policy: Policy) -> DataFrame:
-    """placed rows with each window (k, ws, we) of their segment that holds them: all of what they own, if they do."""
-    off, reach = F.col("time") - F.col("seg_start"), F.coalesce("end", F.col("time") + 1) - F.col("seg_start")
-    first = F.greatest(F.lit(0).cast("long"), -F.floor((F.lit(policy.window) - reach) / policy.hop))
-    last = F.least(F.floor(off / policy.hop), F.floor((F.col("seg_end") - F.col("seg_start") - policy.window) / policy.hop))
-    x = rows.where(first <= last).withColumn("k", F.explode(F.sequence(first, last)))
-    return x.withColumn("ws", F.col("seg_start") + F.col("k") * policy.hop).withColumn("we", F.col("ws") + policy.window)
+@dataclass(frozen=True)
+class Summary:
+    """An aggregate that is made in two steps: states of panes, by name, each with how states of a window are merged, and what
+    follows from the merged ones."""
+
+    states: dict[str, tuple[Column, Callable[[Column], Column]]]
+    result: Callable[[dict[str, Column]], Column]
+
+
+def once(column: Column, merge: Callable[[Column], Column]) -> Summary:
+    """An aggregate that merges by the same function, or another one of a column, and is its own result."""
+    return Summary({"": (column, merge)}, lambda m: m[""])
+
+
+def pane_states(rows: DataFrame, by: list[str], policy: Policy, more: dict[str, Summary]) -> DataFrame:
+    """States of placed rows by (by, seg_start, seg_end, p, e): rows whose time is in pane p of their segment and whose end is in
+    pane e - 1 at most; a sample's e is p + 1. Panes are as wide as the greatest common divisor of window and hop.
 
+    A row's step from the one before it in the segment counts in every window with the row if both lie in one pane.
+    That of a pane's first row, of which there is one, is kept apart (border), with the time of the row before."""
+    width = math.gcd(policy.window, policy.hop)
+    pane = lambda t: F.floor((t - F.col("seg_start")) / width)
+    frame = F.col("kind") == "v"
+    x = rows.withColumn("p", pane(F.col("time"))).withColumn("e", F.when(F.col("end").isNull(), pane(F.col("time")) + 1).otherwise(-F.floor((F.col("seg_start") - F.col("end")) / width)))
+    inside = F.col("prev_in") & (pane(F.col("prev.time")) == F.col("p"))
+    since = F.when(inside, F.col("time") - F.col("prev.time"))
+    span = F.when(frame, F.col("end") - F.col("time")).otherwise(since)
+    place = [F.col("time").alias("t"), F.col("ordinal").alias("o")]
+    border = F.when(F.col("prev_in") & ~inside, F.struct(F.col("prev.time").alias("t"), (F.col("time") - F.col("prev.time")).alias("d")))
+    return x.groupBy(*by, "seg_start", "seg_end", "p", "e").agg(
+        F.count("*").alias("n"), F.min("ordinal").alias("start_ordinal"), (F.max("ordinal") + 1).alias("stop_ordinal"), F.min("time").alias("lo"), F.max(F.coalesce("end", "time")).alias("last"),
+        F.min(F.struct(*place, F.col("prev.time").alias("p"), F.col("prev_in").alias("inside"))).alias("a"), F.max(F.struct(*place, F.col("next.time").alias("n"), F.col("next.end").alias("e"), F.col("next_in").alias("inside"))).alias("z"),
+        F.coalesce(F.bool_or(since == 0), F.lit(False)).alias("duplicate"), F.max(span).alias("most"), F.max(F.when(span > 0, span)).alias("widest"), F.min(F.when(span > 0, span)).alias("least"), F.max(border).alias("border"),
+        F.coalesce(F.bit_or("quality_bits"), F.lit(0)).alias("quality_bits"), *(c.alias(f"{n}{s}") for n, m in more.items() for s, (c, _) in m.states.items()),
+    )
 
-def range_metrics(rows: DataFrame, segments: DataFrame, keys: list[str], policy: Policy, more: dict[str, Column] | None = None) -> DataFrame:
+
+def merged_windows(panes: DataFrame, by: list[str], policy: Policy, more: dict[str, Summary]) -> DataFrame:
+    """by, k, ws, we and merged states of every window that has rows: the panes p, e with its beginning at or before p and its
+    end at or after e."""
+    width = math.gcd(policy.window, policy.hop)
+    size, step = policy.window // width, policy.hop // width
+    first = F.greatest(F.lit(0).cast("long"), -F.floor((F.lit(size) - F.col("e")) / step))
+    last = F.least(F.floor(F.col("p") / step), F.floor((F.col("seg_end") - F.col("seg_start") - policy.window) / policy.hop))
+    x = panes.where(first <= last).withColumn("k", F.explode(F.sequence(first, last)))
+    x = x.withColumn("ws", F.col("seg_start") + F.col("k") * policy.hop).withColumn("we", F.col("ws") + policy.window)
+    step_in = F.when((F.col("kind") != "v") & (F.col("border.t") >= F.col("ws")), F.col("border.d"))
+    m = x.groupBy(*by, "k", "ws", "we").agg(
+        F.sum("n").alias("n"), F.min("start_ordinal").alias("start_ordinal"), F.max("stop_ordinal").alias("stop_ordinal"), F.min("lo").alias("lo"), F.max("last").alias("last"), F.min("a").alias("a"), F.max("z").alias("z"), F.bool_or("duplicate").alias("duplicate"),
+        F.max(F.greatest("most", step_in)).alias("most"), F.max(F.greatest("widest", step_in)).alias("widest"), F.min(F.least("least", step_in)).alias("least"), F.bit_or("quality_bits").alias("quality_bits"),
+        *(merge(F.col(f"{n}{s}")).alias(f"{n}{s}") for n, a in more.items() for s, (_, merge) in a.states.items()),
+    )
+    states = {f"{n}{s}" for n, a in more.items() for s in a.states}
+    return m.select(*(c for c in m.columns if c not in states), *(a.result({s: F.col(f"{n}{s}") for s in a.states}).alias(n) for n, a in more.items()))
+
+
+def range_metrics(rows: DataFrame, segments: DataFrame, keys: list[str], policy: Policy, more: dict[str, Summary] | None = None) -> DataFrame:
     """A row for each window and kind that has rows: n, start_ordinal, stop_ordinal, coverage, duplicate, gap, regular,
     deviation, quality_bits, and the aggregates of `more`.
 
@@ -72,20 +127,11 @@ def range_metrics(rows: DataFrame, segments: DataFrame, keys: list[str], policy:
     of a window, the neighbours tell whether a row that ought to be there is missing: the one inside the segment if
     there is one, else the one outside it; a frame that straddles the end for longer than the gap limit excuses it.
     """
-    at, inside = [*keys, "segment", "kind"], placed(rows, segments, keys, policy)
+    at, inside, more = [*keys, "segment", "kind"], placed(rows, segments, keys, policy), more or {}
     frame = F.col("kind") == "v"
     step = F.when(frame, F.col("end") - F.col("time")).when(F.col("prev_in"), F.col("time") - F.col("prev.time"))
     period = medians(inside.select(*at, step.alias("step")), at, "step", "period")
-    x = in_windows(inside, policy)
-    since = F.when(F.col("prev_in") & (F.col("prev.time") >= F.col("ws")), F.col("time") - F.col("prev.time"))
-    span = F.when(frame, F.col("end") - F.col("time")).otherwise(since)
-    place = [F.col("time").alias("t"), F.col("ordinal").alias("o")]
-    a = x.groupBy(*at, "k", "ws", "we").agg(
-        F.count("*").alias("n"), F.min("ordinal").alias("start_ordinal"), (F.max("ordinal") + 1).alias("stop_ordinal"), F.min("time").alias("lo"), F.max(F.coalesce("end", "time")).alias("last"),
-        F.min(F.struct(*place, F.col("prev.time").alias("p"), F.col("prev_in").alias("inside"))).alias("a"), F.max(F.struct(*place, F.col("next.time").alias("n"), F.col("next.end").alias("e"), F.col("next_in").alias("inside"))).alias("z"),
-        F.coalesce(F.bool_or(since == 0), F.lit(False)).alias("duplicate"), F.max(span).alias("most"), F.max(F.when(span > 0, span)).alias("widest"), F.min(F.when(span > 0, span)).alias("least"),
-        F.coalesce(F.bit_or("quality_bits"), F.lit(0)).alias("quality_bits"), *(c.alias(n) for n, c in (more or {}).items()),
-    ).join(period, at, "left")
+    a = merged_windows(pane_states(inside, at, policy, more), at, policy, more).join(period, at, "left")
     p, tol = F.col("period"), F.greatest(F.lit(1.0), F.col("period") * 1e-6)
     given = F.when(frame, F.lit(policy.video_max_gap).cast("double")).otherwise(F.lit(policy.imu_max_gap).cast("double"))
     limit = F.coalesce(given, F.greatest(F.lit(1.0), F.rint(p * 2.5)))
@@ -110,12 +156,24 @@ def range_metrics(rows: DataFrame, segments: DataFrame, keys: list[str], policy:
     )
 
 
+def _finite(column: Column) -> Column:
+    return F.when(column.isNotNull() & ~F.isnan(column) & (F.abs(column) < float("inf")), column)
+
+
 def _varies(column: Column, least: float) -> Column:
     """At least two finite values, whose range reaches `least`."""
-    finite = F.when(column.isNotNull() & ~F.isnan(column) & (F.abs(column) < float("inf")), column)
+    finite = _finite(column)
     return ((F.count(finite) >= 2) & (F.max(finite) - F.min(finite) >= least)).cast("int")
 
 
+def varying(channels: dict[str, tuple[Column, float]]) -> Summary:
+    """How many channels have at least two finite values whose range reaches their limit."""
+    states: dict[str, tuple[Column, Callable[[Column], Column]]] = {}
+    for name, (column, _) in channels.items():
+        states |= {f"_{name}_n": (F.count(_finite(column)), F.sum), f"_{name}_lo": (F.min(_finite(column)), F.min), f"_{name}_hi": (F.max(_finite(column)), F.max)}
+    return Summary(states, lambda m: sum((F.coalesce((m[f"_{c}_n"] >= 2) & (m[f"_{c}_hi"] - m[f"_{c}_lo"] >= least), F.lit(False)).cast("int") for c, (_, least) in channels.items()), F.lit(0)))
+
+
 def signal_ranges(rows: DataFrame, by: list[str], channels: dict[str, Column], least: float) -> DataFrame:
     """by, varying: how many channels have a range of at least `least` in the group."""
     return rows.groupBy(*by).agg(F.coalesce(sum((_varies(c, least) for c in channels.values()), F.lit(0)), F.lit(0)).alias("varying"))
@@ -125,24 +183,15 @@ def angular_range(rows: DataFrame, by: list[str], vector: str, ordinal: str, tol
     """by, angle: greatest rotation, 2 acos |u . v|, between a group's unit quaternions (q and -q are one); 0 if a group
     has fewer than two or one that isn't finite. Others whose norm is off 1 by more than the tolerance are an error.
 
-    A group is one window's samples, which a sensor's rate bounds; for groups of any size there is widest_angles."""
+    A group is one task's work, by branch and bound; for groups of any size there is widest_angles."""
+    ship(rows.sparkSession)
     x = rows.select(*by, F.col(ordinal).alias("__o"), F.transform(F.coalesce(F.col(vector), F.array()), lambda v: v.cast("double")).alias("__v"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in x.select(*by).schema)
 
     def widest(group: pa.Table) -> pa.Table:
-        angle, lists = 0.0, group["__v"].combine_chunks()
+        lists, angle = group["__v"].combine_chunks(), 0.0
         if group.num_rows > 1 and set(lists.value_lengths().to_pylist()) == {4}:
-            q = lists.flatten().to_numpy(zero_copy_only=False).reshape(-1, 4)
-            if np.isfinite(q).all():
-                norms = np.sqrt((q * q).sum(1, keepdims=True))
-                if (np.abs(norms - 1) > tolerance).any():
-                    raise ValueError("quaternions must have norm 1")
-                q, least = q / norms, 1.0
-                for k in range(0, len(q), 512):
-                    least = min(least, float(np.abs(q[k : k + 512] @ q[k:].T).min()))
-                    if least <= 0:
-                        break
-                angle = 2 * float(np.arccos(max(least, 0.0)))
+            angle = widest_angle(lists.flatten().to_numpy(zero_copy_only=False).reshape(-1, 4), tolerance)
         return group.select(by).slice(0, 1).append_column("angle", pa.array([angle]))
 
     return x.groupBy(*by).applyInArrow(widest, f"{kinds}, angle double")
@@ -226,26 +275,29 @@ def candidates(frames: DataFrame, samples: DataFrame, segments: DataFrame, keys:
         near = samples.select(*keys, F.col("ordinal").alias("nearest_ordinal"), F.col("quality_bits").alias("near_bits"))
         states = alignment.select(*keys, "ordinal", "alignment_status", "nearest_ordinal").join(near, [*keys, "nearest_ordinal"], "left")
         v = v.join(states.select(*keys, "ordinal", "alignment_status", "near_bits"), [*keys, "ordinal"], "left")
-        more |= {"near_bits": F.bit_or("near_bits"), "misaligned": F.bool_or(F.col("alignment_status").isin("CONTINUITY_BOUNDARY", "OUTSIDE_CONTINUITY"))}
+        more |= {"near_bits": once(F.bit_or("near_bits"), F.bit_or), "misaligned": once(F.bool_or(F.col("alignment_status").isin("CONTINUITY_BOUNDARY", "OUTSIDE_CONTINUITY")), F.bool_or)}
     if cv is not None:
         motion = [F.get("motion", F.lit(c)).cast("double").alias(f"motion{c}") for c in range(3)]
         v = v.join(cv.select(*keys, "ordinal", "tracking_quality", "keypoint_fraction", *motion), [*keys, "ordinal"], "left")
         good = F.col("tracking_quality").isNotNull() & ~F.isnan("tracking_quality") & (F.col("tracking_quality") >= policy.tracking) & (F.col("keypoint_fraction") >= policy.keypoints)
-        more |= {"tracked": F.every(F.coalesce(good, false) | (F.col("kind") != "v")), "moving": sum((_varies(F.col(f"motion{c}"), policy.motion_range) for c in range(3)), F.lit(0)) if policy.motion_range is not None else F.lit(policy.motion_channels)}
+        moving = {f"motion{c}": (F.col(f"motion{c}"), policy.motion_range) for c in range(3)} if policy.motion_range is not None else {}
+        more |= {"tracked": once(F.every(F.coalesce(good, false) | (F.col("kind") != "v")), F.every), "moving": varying(moving) if moving else Summary({}, lambda m: F.lit(policy.motion_channels))}
     ranges = {"ACCEL": policy.accel_range, "GYRO": policy.gyro_range, "QUATERNION": policy.quaternion_range}
     if imu is not None:
         channels = [c for k, cs in _CHANNELS.items() if k != "QUATERNION" and ranges[k] is not None for c in cs]
-        i = i.join(imu.select(*keys, "ordinal", "payload_kind", *channels), [*keys, "ordinal"], "left")
+        turns = policy.quaternion_range is not None
+        i = i.join(imu.select(*keys, "ordinal", "payload_kind", *channels, *(["q"] if turns else [])), [*keys, "ordinal"], "left")
         parts = F.split("payload_kind", "_")
         wrong = [F.array_contains(parts, k) != F.lit(r is not None) for k, r in ranges.items()]
-        more |= {"varying": sum((_varies(F.col(c), ranges["ACCEL"] if c[0] == "a" else ranges["GYRO"]) for c in channels), F.lit(0)), "unfit": F.bool_or(F.coalesce(wrong[0] | wrong[1] | wrong[2], false))}
+        more |= {"varying": varying({c: (F.col(c), ranges["ACCEL"] if c[0] == "a" else ranges["GYRO"]) for c in channels}), "unfit": once(F.bool_or(F.coalesce(wrong[0] | wrong[1] | wrong[2], false)), F.bool_or)}
+        if turns:
+            more["turned"] = Summary({"": (F.collect_list(F.transform("q", lambda v: v.cast("double"))), lambda c: F.flatten(F.collect_list(c)))}, lambda m: m[""])
     rows = v.withColumn("kind", F.lit("v")).unionByName(i.withColumn("kind", F.lit("i")).withColumn("end", F.lit(None).cast("long")), allowMissingColumns=True)
     found = range_metrics(rows, segments, keys, policy, more)
-    if imu is not None and policy.quaternion_range is not None:
-        q = imu.where("q is not null").select(*keys, "ordinal", "q").join(samples.select(*keys, "ordinal", "time"), [*keys, "ordinal"])
-        q = in_windows(placed(q.withColumn("kind", F.lit("i")).withColumn("end", F.lit(None).cast("long")), segments, keys, policy), policy)
-        angle = angular_range(q, at, "q", "ordinal").withColumn("kind", F.lit("i"))
-        found = found.join(angle, [*at, "kind"], "left").withColumn("varying", F.col("varying") + F.coalesce(F.col("angle") >= policy.quaternion_range, false).cast("int")).drop("angle")
+    if "turned" in more:  # a window's vectors, of which its sensor's rate bounds the number
+        ship(samples.sparkSession)
+        found = found.withColumn("varying", F.col("varying") + (widest_angles_of(F.col("turned")) >= policy.quaternion_range).cast("int")).drop("turned")
+        del more["turned"]
 
     values = [*_METRICS, *more]
     of = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("m"))).alias(kind)
