@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import sequences
+from ..sources import files, ranges, texts
+from ..sources.files import ship
 from .frames_sensors import table
 
 
@@ -25,6 +32,81 @@ p AS (SELECT o_orderstatus, n, list_reduce(list_prepend([1, 0, 0, 1]::HUGEINT[],
 SELECT o_orderstatus, n::BIGINT AS n_rows, sha256(n || ':' || p[1] || ':' || p[2] || ':' || p[3] || ':' || p[4]) AS sequence_sha256 FROM p
 """
 
+
+
+def _written(rows: DataFrame, folder: str) -> DataFrame:
+    """Writes a file for each row (path below the folder, content), each whole in one task; gives path and bytes."""
+    ship(rows.sparkSession)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                ranges.write_file(f"{folder}/{name}", content)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pc.binary_length(batch.column(1)).cast(pa.int64())], ["path", "bytes"])
+
+    return rows.select("path", F.col("content").cast("binary").alias("content")).mapInArrow(write, "path string, bytes long")
+
+
+def _after(folder: str) -> Column:
+    return F.regexp_extract("path", rf"{re.escape(folder.split('/')[-1])}/(.*)$", 1)
+
+
+def file_range_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as files of up to 200 lines, and digests of their ranges of 1,000 bytes."""
+    folder, key = files.scratch(spark, "ranges"), F.col("c_custkey")
+    line = F.concat_ws(",", key, "c_name", "c_nationkey")
+    x = table(spark, sf_dir, "customer").groupBy(F.expr("c_custkey div 200").alias("g")).agg(F.sort_array(F.collect_list(F.struct(key.alias("k"), F.concat(line, F.lit("\n")).alias("line")))).alias("l"))
+    _written(x.select(F.concat("g", F.lit(".csv")).alias("path"), F.array_join(F.transform("l", lambda v: v["line"]), "").alias("content")), folder).write.format("noop").mode("overwrite").save()
+    return ranges.file_ranges(spark, folder, 1000).select(_after(folder).alias("file"), "length", "start", "stop", "sha256")
+
+
+FILE_RANGE_DIGESTS = """
+WITH f AS (SELECT (c_custkey // 200) || '.csv' AS file, string_agg(c_custkey || ',' || c_name || ',' || c_nationkey || chr(10), '' ORDER BY c_custkey, c_name, c_nationkey) AS t FROM customer GROUP BY c_custkey // 200),
+r AS (SELECT file, t, unnest(range(0, length(t), 1000)) AS a FROM f)
+SELECT file, length(t)::BIGINT AS length, a AS start, least(a + 1000, length(t))::BIGINT AS stop, sha256(substr(t, a + 1, 1000)) AS sha256 FROM r
+"""
+
+
+def numbered_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of such files, with numbers that go through a file however it is read."""
+    folder, key = files.scratch(spark, "lines"), F.col("s_suppkey")
+    end = F.when(key % 3 == 0, "\r\n").otherwise("\n")
+    x = table(spark, sf_dir, "supplier").groupBy(F.expr("s_suppkey div 50").alias("g")).agg(F.sort_array(F.collect_list(F.struct(key.alias("k"), F.concat("s_name", end).alias("line")))).alias("l"))
+    _written(x.select(F.concat("g", F.lit(".txt")).alias("path"), F.array_join(F.transform("l", lambda v: v["line"]), "").alias("content")), folder).write.format("noop").mode("overwrite").save()
+    return texts.lines(spark, folder).select(_after(folder).alias("file"), "line_number", "line")
+
+
+NUMBERED_LINES = "SELECT (s_suppkey // 50) || '.txt' AS file, row_number() OVER (PARTITION BY s_suppkey // 50 ORDER BY s_suppkey) - 1 AS line_number, s_name AS line FROM supplier"
+
+
+def archive_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as members of archives of up to 300, every ninth archive cut off in the middle; each member is read where it lies."""
+    ship(spark)
+    folder = files.scratch(spark, "archives")
+    x = table(spark, sf_dir, "part").select(F.expr("p_partkey div 300").alias("g"), F.col("p_partkey").alias("k"), F.concat_ws("/", "p_brand", F.col("p_partkey")).alias("member"), F.repeat("p_name", 20).alias("content"))
+
+    def archive(group: pa.Table) -> pa.Table:
+        g = group["g"][0].as_py()
+        rows = sorted(zip(group["k"].to_pylist(), group["member"].to_pylist(), group["content"].to_pylist(), strict=True))
+        data = ranges.zipped((m, c.encode()) for _, m, c in rows)
+        ranges.write_file(f"{folder}/{g}.zip", data[: len(data) // 2] if g % 9 == 4 else data)
+        return pa.table({"g": [g]})
+
+    x.groupBy("g").applyInArrow(archive, "g long").write.format("noop").mode("overwrite").save()
+    index = ranges.archive_index(spark, folder).withColumnRenamed("archive", "path").withColumn("archive", _after(folder))
+    broken = index.where("status <> 'OK'").select("archive", F.lit(None).cast("string").alias("member"), F.lit(None).cast("long").alias("size"), F.col("status").alias("state"), F.lit(None).cast("string").alias("sha256"))
+    found = ranges.archive_contents(ranges.archive_index(spark, folder), folder).withColumn("path", F.col("archive"))
+    return found.select(_after(folder).alias("archive"), "member", "size", "state", "sha256").union(broken)
+
+
+ARCHIVE_CONTENTS = """
+SELECT (p_partkey // 300) || '.zip' AS archive, p_brand || '/' || p_partkey AS member, 20 * strlen(p_name) AS size, 'VERIFIED' AS state, sha256(repeat(p_name, 20)) AS sha256 FROM part WHERE p_partkey // 300 % 9 <> 4
+UNION ALL SELECT DISTINCT (p_partkey // 300) || '.zip', NULL, NULL, 'NO_END_RECORD', NULL FROM part WHERE p_partkey // 300 % 9 = 4
+"""
+
 FUNCTIONS = [
     ordered_table_hash,
+    file_range_digests,
+    numbered_lines,
+    archive_contents,
 ]

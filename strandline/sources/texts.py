@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
 from ..schemas import BITS
+from .ranges import file_ranges
 
 # Order of sensors in a cycle, for lower-body (activities 1-4) and upper-body (5-13) recordings.
 LOWER = ["qsHIPS", "qsRUL", "qsRLL", "qsLUL", "qsLLL"]
@@ -18,10 +19,18 @@ JOINTS, UNIT_TOLERANCE = 34, 1e-3
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """path, line_number (from 0), line of every line; \\r\\n and \\n end lines. A file is one task's work."""
-    files = spark.read.format("binaryFile").load(path).select("path", F.decode("content", "UTF-8").alias("text"))
-    ends = F.regexp_replace("text", "\\r?\\n$", "")
-    return files.select("path", F.posexplode(F.split(ends, "\\r?\\n")).alias("line_number", "line"))
+    """path, line_number (from 0), line of every line; \\r\\n and \\n end lines. A file without bytes has one empty line.
+
+    A large file is the work of many tasks: Spark reads it in blocks, lines are counted in each, and a table of one row a
+    block tells how many precede it."""
+    read = spark.read.option("recursiveFileLookup", "true")
+    x = read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("__b"), F.monotonically_increasing_id().alias("__i"), F.regexp_replace("value", "\r$", "").alias("line"))
+    x = x.withColumn("__k", F.row_number().over(Window.partitionBy("path", "__b").orderBy("__i")))
+    before = F.sum("__n").over(Window.partitionBy("path").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1))
+    blocks = x.groupBy("path", "__b").agg(F.count("*").alias("__n")).select("path", "__b", F.coalesce(before, F.lit(0)).alias("__base"))
+    numbered = x.join(blocks, ["path", "__b"]).select("path", (F.col("__base") + F.col("__k") - 1).cast("long").alias("line_number"), "line")
+    none = read.format("binaryFile").load(path).where("length = 0").select(F.regexp_replace("path", "^file:/+", "file:///").alias("path"), F.lit(0).cast("long"), F.lit(""))
+    return numbered.union(none)
 
 
 def time_key(token: Column) -> Column:
@@ -151,10 +160,10 @@ def utc_time(text: Column) -> Column:
 
 
 def inventory(spark: SparkSession, root: str) -> DataFrame:
-    """path, length, extension, recording (S<n>_A<n>_T<n> in the name), sha256 of every file under root."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    """path, length, extension, recording (S<n>_A<n>_T<n> in the name), sha256 of every file under root, however long it is."""
+    files = file_ranges(spark, root, 0)
     name = F.element_at(F.split("path", "/"), -1)
-    return files.select("path", "length", F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1)).alias("extension"), F.nullif(F.regexp_extract(name, r"(S\d+_A\d+_T\d+)", 1), F.lit("")).alias("recording"), F.sha2("content", 256).alias("sha256"))
+    return files.select("path", "length", F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1)).alias("extension"), F.nullif(F.regexp_extract(name, r"(S\d+_A\d+_T\d+)", 1), F.lit("")).alias("recording"), "sha256")
 
 
 def file_classes(files: DataFrame, known: dict[str, tuple[str, str]] | None = None) -> DataFrame:
