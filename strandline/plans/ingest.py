@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import ids
-from ..operators import clock, contracts, detections, frames, reconcile, timeseries, validate
+from ..operators import clock, contracts, detections, documents, frames, reconcile, timeseries, validate
 from ..operators.timeseries import DAY
 from ..schemas import closed
-from ..sources import files, store, texts
+from ..sources import files, ranges, store, texts
 from ..streaming import streams
 from .frames_sensors import ALIGNMENT_STATUS, HOP_WINDOW_INDEX, HOP_WINDOW_REJECTIONS, KEY, POLICY, _paired, _segments, aligned_events, events, hop_windows, table
 from .frames_sensors import _frames as owned_views
@@ -136,6 +134,8 @@ def _paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     rec = _recording(k, k % 4 + 1)
     under = lambda *parts: F.concat(F.substring(rec, 1, 3), F.lit("/"), *(F.lit(p) if isinstance(p, str) else p for p in parts))
     options = [under(rec, ".csv"), under(rec, ".raw"), under(rec, "_pose.mp4"), under(rec, "_Npose.csv"), under("ik_", rec, ".mot"), under("ik_", rec, "_orientationErrors.sto"), under(rec, ".sto"), F.concat(F.lit("S99/"), rec, F.lit(".csv")), F.lit("x/y/z.txt"), F.lit("notes/readme.csv"), under(rec, "_A.csv")]
+    wide = F.concat(F.lit("S"), (100 + k % 60).cast("string"), F.lit("_A"), (k % 13 + 1).cast("string"), F.lit("_T1"))
+    options += [under(rec, ".mot"), under(rec, "_Npose.mp4.out"), under(F.lower(rec), ".csv"), F.concat(F.substring_index(wide, "_", 1), F.lit("/"), wide, F.lit(".raw")), under(rec, "_POSE.mp4"), under(rec, ".CSV")]
     # exploded, so that Spark makes a path once however often it is looked at
     return table(spark, sf_dir, "part").select(k.alias("k"), F.explode(F.array(_cases(k, options))).alias("path"))
 
@@ -148,12 +148,14 @@ def file_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _FILES_SQL = f"""
-WITH p AS (SELECT p_partkey AS k FROM part), r AS (SELECT k, {_RECORDING_SQL} AS rec FROM p),
+WITH p AS (SELECT p_partkey AS k FROM part), q AS (SELECT k, {_RECORDING_SQL} AS usual FROM p), r AS (SELECT k, CASE WHEN k % 17 = 14 THEN 'S' || (100 + k % 60) || '_A' || (k % 13 + 1) || '_T1' ELSE usual END AS rec FROM q),
+m AS (SELECT *, rec IN ('S48_A01_T01', 'S48_A02_T02', 'S48_A03_T02', 'S48_A04_T01', 'S48_A05_T02', 'S48_A06_T02', 'S48_A07_T02', 'S48_A08_T01', 'S48_A09_T01', 'S48_A10_T02', 'S48_A11_T02', 'S48_A12_T02', 'S48_A13_T02') AS plain FROM r),
 f AS (
-  SELECT k, CASE k % 11 WHEN 8 THEN 'x/y/z.txt' WHEN 9 THEN 'notes/readme.csv' WHEN 7 THEN 'S99/' || rec || '.csv' ELSE rec[1:3] || '/' || CASE WHEN k % 11 IN (4, 5) THEN 'ik_' ELSE '' END || rec || CASE k % 11 WHEN 0 THEN '.csv' WHEN 1 THEN '.raw' WHEN 2 THEN '_pose.mp4' WHEN 3 THEN '_Npose.csv' WHEN 4 THEN '.mot' WHEN 5 THEN '_orientationErrors.sto' WHEN 6 THEN '.sto' ELSE '_A.csv' END END AS path,
-    CASE k % 11 WHEN 9 THEN 'S01_A01_T01' WHEN 8 THEN NULL WHEN 10 THEN NULL ELSE rec END AS recording,
-    CASE k % 11 WHEN 0 THEN 'POSE' WHEN 1 THEN 'RAW' WHEN 2 THEN 'VIDEO' WHEN 7 THEN 'MISPLACED' WHEN 8 THEN 'UNEXPECTED' WHEN 9 THEN 'KNOWN' WHEN 10 THEN 'UNEXPECTED' ELSE 'COMPANION' END AS class,
-    CASE k % 11 WHEN 3 THEN 'NPOSE_CALIBRATION' WHEN 4 THEN 'INVERSE_KINEMATICS' WHEN 5 THEN 'ORIENTATION_ERRORS' WHEN 6 THEN 'MERGED_STORAGE' WHEN 9 THEN 'RELEASE_NOTE' END AS reason FROM r)
+  SELECT k, CASE k % 17 WHEN 8 THEN 'x/y/z.txt' WHEN 9 THEN 'notes/readme.csv' WHEN 7 THEN 'S99/' || rec || '.csv' ELSE string_split(rec, '_')[1] || '/' || CASE WHEN k % 17 IN (4, 5) THEN 'ik_' ELSE '' END || CASE WHEN k % 17 = 13 THEN lower(rec) ELSE rec END
+      || CASE k % 17 WHEN 0 THEN '.csv' WHEN 1 THEN '.raw' WHEN 2 THEN '_pose.mp4' WHEN 3 THEN '_Npose.csv' WHEN 4 THEN '.mot' WHEN 5 THEN '_orientationErrors.sto' WHEN 6 THEN '.sto' WHEN 11 THEN '.mot' WHEN 12 THEN '_Npose.mp4.out' WHEN 13 THEN '.csv' WHEN 14 THEN '.raw' WHEN 15 THEN '_POSE.mp4' WHEN 16 THEN '.CSV' ELSE '_A.csv' END END AS path,
+    CASE WHEN k % 17 = 9 THEN 'S01_A01_T01' WHEN k % 17 IN (8, 10, 16) OR (k % 17 = 11 AND NOT plain) THEN NULL ELSE rec END AS recording,
+    CASE k % 17 WHEN 0 THEN 'POSE' WHEN 13 THEN 'POSE' WHEN 1 THEN 'RAW' WHEN 14 THEN 'RAW' WHEN 2 THEN 'VIDEO' WHEN 15 THEN 'VIDEO' WHEN 7 THEN 'MISPLACED' WHEN 8 THEN 'UNEXPECTED' WHEN 9 THEN 'KNOWN' WHEN 10 THEN 'UNEXPECTED' WHEN 16 THEN 'UNEXPECTED' WHEN 11 THEN CASE WHEN plain THEN 'COMPANION' ELSE 'UNEXPECTED' END ELSE 'COMPANION' END AS class,
+    CASE k % 17 WHEN 3 THEN 'NPOSE_CALIBRATION' WHEN 4 THEN 'INVERSE_KINEMATICS' WHEN 5 THEN 'ORIENTATION_ERRORS' WHEN 6 THEN 'MERGED_STORAGE' WHEN 9 THEN 'RELEASE_NOTE' WHEN 11 THEN CASE WHEN plain THEN 'PLAIN_KINEMATICS' END WHEN 12 THEN 'FULL_SIZE_OUTPUT' END AS reason FROM m)
 """
 FILE_CLASSES = _FILES_SQL + "SELECT k, path, recording, class, reason FROM f"
 
@@ -282,15 +284,16 @@ UTC_TIMES = "SELECT o_orderkey, o_orderkey % 8 < 2 AS valid, CASE o_orderkey % 8
 
 
 def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A catalogue of nations, written as one canonical JSON document and read back under its closed schema."""
-    rows = table(spark, sf_dir, "nation").orderBy("n_nationkey").limit(1000).collect()  # a catalogue is a small document
+    """A catalogue of suppliers for each nation, written as a JSON document and read back under its closed schema."""
     path = files.scratch(spark, "catalogue")
-    store.write_text(spark, path, store.canonical_json({"name": "nations", "parts": [{"key": r["n_nationkey"], "name": r["n_name"]} for r in rows]}))
+    x = table(spark, sf_dir, "supplier").groupBy("s_nationkey", F.expr("s_suppkey div 100").alias("g")).agg(F.sort_array(F.collect_list(F.struct(F.col("s_suppkey").alias("key"), F.col("s_name").alias("name")))).alias("parts"))
+    name = F.concat_ws("-", "s_nationkey", "g")
+    ranges.write_files(x.select(F.concat(name, F.lit(".json")).alias("path"), F.to_json(F.struct(name.alias("name"), "parts")).alias("content")), path).write.format("noop").mode("overwrite").save()
     x = texts.catalog(spark, path, "name string, parts array<struct<key: int, name: string>>").select("name", F.explode("parts").alias("p"))
     return x.select(F.col("name").alias("catalogue"), F.col("p.key").cast("long").alias("key"), F.col("p.name").alias("part"))
 
 
-CATALOGUE = "SELECT 'nations' AS catalogue, n_nationkey::BIGINT AS key, n_name AS part FROM nation"
+CATALOGUE = "SELECT s_nationkey || '-' || s_suppkey // 100 AS catalogue, s_suppkey::BIGINT AS key, s_name AS part FROM supplier"
 
 
 def bundle_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -687,19 +690,19 @@ SELECT pick, recording, raw_groups, ticks, printf('%.6f', raw_groups::DOUBLE / t
 
 
 def provenance_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SHA-256 of the canonical JSON of each region's document, and what a closed shape finds wrong with it."""
-    rows = table(spark, sf_dir, "region").orderBy("r_regionkey").limit(100).collect()  # documents are a few, checked on the driver
+    """SHA-256 of the canonical JSON of each supplier's document, and what a closed shape finds wrong with it."""
+    key = F.col("s_suppkey")
+    body = lambda *more: F.to_json(F.struct(F.col("s_name").alias("name"), key.alias("key"), *more))
+    raw = F.when(key % 4 == 1, body(F.lit("é").alias("note"))).when(key % 4 == 3, body(F.lit("x").alias("note"))).when(key % 4 == 2, F.to_json(F.struct(F.col("s_name").alias("key")))).otherwise(body(F.lit(1).alias("extra")))
     shape = {"name": str, "key": int, "note?": {"é"}}
-    out = []
-    for r in rows:
-        document = {"name": r["r_name"], "key": r["r_regionkey"], **({"note": "é"} if r["r_regionkey"] % 2 else {"extra": 1})}
-        out.append((r["r_name"], store.hashlib.sha256(store.canonical_json(document).encode()).hexdigest(), json.dumps(contracts.check_document(document, shape))))
-    return spark.createDataFrame(out, "r_name string, sha256 string, wrong string")
+    found = documents.checked(table(spark, sf_dir, "supplier").select("s_suppkey", raw.alias("raw")), "raw", shape)
+    return found.select("s_suppkey", F.col("canonical_sha256").alias("sha256"), F.array_join("wrong", "|").alias("wrong"))
 
 
 PROVENANCE_DIGESTS = """
-SELECT r_name, sha256(CASE WHEN r_regionkey % 2 = 1 THEN '{' || chr(10) || '  "key": ' || r_regionkey || ',' || chr(10) || '  "name": "' || r_name || '",' || chr(10) || '  "note": "é"' || chr(10) || '}' || chr(10)
-  ELSE '{' || chr(10) || '  "extra": 1,' || chr(10) || '  "key": ' || r_regionkey || ',' || chr(10) || '  "name": "' || r_name || '"' || chr(10) || '}' || chr(10) END) AS sha256, CASE WHEN r_regionkey % 2 = 1 THEN '[]' ELSE '["$.extra is unknown"]' END AS wrong FROM region
+WITH s AS (SELECT s_suppkey, s_suppkey % 4 AS c, s_name AS n, '{' || chr(10) AS a, chr(10) || '}' || chr(10) AS z FROM supplier)
+SELECT s_suppkey, sha256(a || CASE c WHEN 2 THEN '  "key": "' || n || '"' ELSE CASE c WHEN 0 THEN '  "extra": 1,' || chr(10) ELSE '' END || '  "key": ' || s_suppkey || ',' || chr(10) || '  "name": "' || n || '"' || CASE c WHEN 1 THEN ',' || chr(10) || '  "note": "é"' WHEN 3 THEN ',' || chr(10) || '  "note": "x"' ELSE '' END END || z) AS sha256,
+  CASE c WHEN 0 THEN '$.extra is unknown' WHEN 1 THEN '' WHEN 3 THEN '$.note is none of [''é'']' ELSE '$.name is missing|$.key is no int' END AS wrong FROM s
 """
 
 FUNCTIONS = [

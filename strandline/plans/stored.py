@@ -3,10 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,19 +32,6 @@ SELECT o_orderstatus, n::BIGINT AS n_rows, sha256(n || ':' || p[1] || ':' || p[2
 
 
 
-def _written(rows: DataFrame, folder: str) -> DataFrame:
-    """Writes a file for each row (path below the folder, content), each whole in one task; gives path and bytes."""
-    ship(rows.sparkSession)
-
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ranges.write_file(f"{folder}/{name}", content)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pc.binary_length(batch.column(1)).cast(pa.int64())], ["path", "bytes"])
-
-    return rows.select("path", F.col("content").cast("binary").alias("content")).mapInArrow(write, "path string, bytes long")
-
-
 def _after(folder: str) -> Column:
     return F.regexp_extract("path", rf"{re.escape(folder.split('/')[-1])}/(.*)$", 1)
 
@@ -56,7 +41,7 @@ def file_range_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder, key = files.scratch(spark, "ranges"), F.col("c_custkey")
     line = F.concat_ws(",", key, "c_name", "c_nationkey")
     x = table(spark, sf_dir, "customer").groupBy(F.expr("c_custkey div 200").alias("g")).agg(F.sort_array(F.collect_list(F.struct(key.alias("k"), F.concat(line, F.lit("\n")).alias("line")))).alias("l"))
-    _written(x.select(F.concat("g", F.lit(".csv")).alias("path"), F.array_join(F.transform("l", lambda v: v["line"]), "").alias("content")), folder).write.format("noop").mode("overwrite").save()
+    ranges.write_files(x.select(F.concat("g", F.lit(".csv")).alias("path"), F.array_join(F.transform("l", lambda v: v["line"]), "").alias("content")), folder).write.format("noop").mode("overwrite").save()
     return ranges.file_ranges(spark, folder, 1000).select(_after(folder).alias("file"), "length", "start", "stop", "sha256")
 
 
@@ -72,7 +57,7 @@ def numbered_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder, key = files.scratch(spark, "lines"), F.col("s_suppkey")
     end = F.when(key % 3 == 0, "\r\n").otherwise("\n")
     x = table(spark, sf_dir, "supplier").groupBy(F.expr("s_suppkey div 50").alias("g")).agg(F.sort_array(F.collect_list(F.struct(key.alias("k"), F.concat("s_name", end).alias("line")))).alias("l"))
-    _written(x.select(F.concat("g", F.lit(".txt")).alias("path"), F.array_join(F.transform("l", lambda v: v["line"]), "").alias("content")), folder).write.format("noop").mode("overwrite").save()
+    ranges.write_files(x.select(F.concat("g", F.lit(".txt")).alias("path"), F.array_join(F.transform("l", lambda v: v["line"]), "").alias("content")), folder).write.format("noop").mode("overwrite").save()
     return texts.lines(spark, folder).select(_after(folder).alias("file"), "line_number", "line")
 
 

@@ -17,6 +17,7 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -147,6 +148,19 @@ def write_file(path: str, content: bytes) -> None:
     system.move(part, at)  # a task that is run again replaces it
 
 
+def write_files(rows: DataFrame, folder: str) -> DataFrame:
+    """Writes a file for each row (path below the folder, content), each whole in one task; gives path and bytes."""
+    ship(rows.sparkSession)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                write_file(f"{folder}/{name}", content)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pc.binary_length(batch.column(1)).cast(pa.int64())], ["path", "bytes"])
+
+    return rows.select("path", F.col("content").cast("binary").alias("content")).mapInArrow(write, "path string, bytes long")
+
+
 def zipped(members: Iterable[tuple[str, bytes]]) -> bytes:
     """A ZIP archive of these members."""
     out = io.BytesIO()

@@ -171,18 +171,28 @@ def file_classes(files: DataFrame, known: dict[str, tuple[str, str]] | None = No
 
     class: POSE, RAW, VIDEO (the slots of a recording, in its subject's folder), KNOWN (a path of `known`, which gives
     its recording and reason), COMPANION (files that go with a recording but aren't read: calibration poses, inverse
-    kinematics, orientation errors, merged storage), MISPLACED (a slot outside its subject's folder), UNEXPECTED."""
-    # What stands around a recording's name in slots and companions.
+    kinematics, orientation errors, merged storage, output of full-size videos), MISPLACED (one of these outside its
+    subject's folder), UNEXPECTED. Names of slots and calibration poses count in any case, their recording in upper case;
+    other companions and all extensions are as they are written. Numbers have one digit or more."""
+    # What stands around a recording's name in slots and companions, in any case and as it is written.
     slots = {".csv": "POSE", ".raw": "RAW", "_pose.mp4": "VIDEO"}
-    companions = {"_Npose.csv": "NPOSE_CALIBRATION", "_Npose_pose.mp4": "NPOSE_CALIBRATION", "ik_.mot": "INVERSE_KINEMATICS", "ik__orientationErrors.sto": "ORIENTATION_ERRORS", ".sto": "MERGED_STORAGE"}
+    calibration = {"_npose.csv": "NPOSE_CALIBRATION", "_npose_pose.mp4": "NPOSE_CALIBRATION"}
+    companions = {"ik_.mot": "INVERSE_KINEMATICS", "ik__orientationErrors.sto": "ORIENTATION_ERRORS", ".sto": "MERGED_STORAGE", ".mot": "PLAIN_KINEMATICS", ".mp4.out": "FULL_SIZE_OUTPUT", "_Npose.mp4.out": "FULL_SIZE_OUTPUT"}
+    # The recordings that have plain kinematics.
+    plain = "S48_A01_T01 S48_A02_T02 S48_A03_T02 S48_A04_T01 S48_A05_T02 S48_A06_T02 S48_A07_T02 S48_A08_T01 S48_A09_T01 S48_A10_T02 S48_A11_T02 S48_A12_T02 S48_A13_T02".split()
     table = lambda d: F.create_map(*(F.lit(v) for item in d.items() for v in item))
     parts = F.split("path", "/")
-    part = lambda k: F.regexp_extract(F.element_at(parts, -1), rf"^(ik_)?({RECORDING})([_.].*)$", k)
-    x = files.withColumn("__p", F.struct(part(2).alias("recording"), F.concat(part(1), part(3)).alias("form"), F.size(parts).alias("depth"), F.get(parts, F.lit(0)).alias("folder")))
+    part = lambda k: F.regexp_extract(F.element_at(parts, -1), r"^(ik_)?((?i:S\d+_A\d+_T\d+))([_.].*)$", k)
+    written = part(2)
+    # an extension is as it is written; what precedes it counts in any case for slots and calibration
+    loose = F.concat(part(1), F.lower(F.regexp_extract(part(3), r"^(.*?)(\.[^.]*)?$", 1)), F.regexp_extract(part(3), r"(\.[^.]*)$", 1))
+    strict = F.when(written == F.upper(written), F.concat(part(1), part(3)))
+    x = files.withColumn("__p", F.struct(F.upper(written).alias("recording"), loose.alias("loose"), F.when((strict != ".mot") | written.isin(plain), strict).alias("form"), F.size(parts).alias("depth"), F.get(parts, F.lit(0)).alias("folder")))
     pinned = F.try_element_at(table({p: f"{r}\n{why}" for p, (r, why) in known.items()}), F.col("path")) if known else F.lit(None).cast("string")
-    x = x.withColumn("__f", F.struct(pinned.alias("pinned"), F.try_element_at(table(slots), F.col("__p.form")).alias("slot"), F.try_element_at(table(companions), F.col("__p.form")).alias("why")))
+    why = F.coalesce(F.try_element_at(table(calibration), F.col("__p.loose")), F.try_element_at(table(companions), F.col("__p.form")))
+    x = x.withColumn("__f", F.struct(pinned.alias("pinned"), F.try_element_at(table(slots), F.col("__p.loose")).alias("slot"), why.alias("why")))
     named = F.col("__f.slot").isNotNull() | F.col("__f.why").isNotNull()
-    placed = (F.col("__p.depth") == 2) & (F.col("__p.folder") == F.substring("__p.recording", 1, 3))
+    placed = (F.col("__p.depth") == 2) & (F.col("__p.folder") == F.substring_index("__p.recording", "_", 1))
     kind = F.when(F.col("__f.pinned").isNotNull(), "KNOWN").when(~named, "UNEXPECTED").when(~placed, "MISPLACED").otherwise(F.coalesce("__f.slot", F.lit("COMPANION")))
     half = lambda k: F.get(F.split("__f.pinned", "\n"), F.lit(k))
     return x.withColumn("recording", F.coalesce(half(0), F.when(named, F.col("__p.recording")))).withColumn("class", kind).withColumn("reason", F.coalesce(half(1), F.col("__f.why"))).drop("__p", "__f")
