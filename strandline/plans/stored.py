@@ -8,8 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import sequences
-from ..sources import files, ranges, texts
+from ..operators import documents, sequences
+from ..sources import files, parts, ranges, store, texts
 from ..sources.files import ship
 from .frames_sensors import table
 
@@ -89,7 +89,61 @@ SELECT (p_partkey // 300) || '.zip' AS archive, p_brand || '/' || p_partkey AS m
 UNION ALL SELECT DISTINCT (p_partkey // 300) || '.zip', NULL, NULL, 'NO_END_RECORD', NULL FROM part WHERE p_partkey // 300 % 9 = 4
 """
 
+
+def stored_row_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders of each status stored in order; what footers say of rows, bounds and nulls, and how many rules are broken."""
+    root, found = files.scratch(spark, "groups"), None
+    x = table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_custkey") % 9 != 0, F.col("o_custkey")).alias("o_custkey"), "o_orderstatus")
+    for status in ("F", "O", "P"):
+        store.write_table(x.where(F.col("o_orderstatus") == status), f"{root}/{status}", ["o_orderkey"], rows_per_group=1000)
+        f = parts.footers(spark, f"{root}/{status}")
+        wrong = parts.layout_violations(f, 1000, sort_key="o_orderkey", kind="long").agg(F.count("*").alias("n_violations"))
+        of = lambda column, value: F.when(F.col("column") == column, value)
+        y = f.agg(F.sum(of("o_orderkey", F.col("rows"))).alias("n_rows"), F.min(of("o_orderkey", F.col("least").cast("long"))).alias("least"), F.max(of("o_orderkey", F.col("most").cast("long"))).alias("most"), F.sum(of("o_custkey", F.col("nulls"))).alias("n_nulls"))
+        y = y.join(wrong).select(F.lit(status).alias("status"), "*")  # a row each
+        found = y if found is None else found.union(y)
+    return found
+
+
+STORED_ROW_GROUPS = "SELECT o_orderstatus AS status, count(*)::BIGINT AS n_rows, min(o_orderkey)::BIGINT AS least, max(o_orderkey)::BIGINT AS most, count(*) FILTER (o_custkey % 9 = 0)::BIGINT AS n_nulls, 0::BIGINT AS n_violations FROM orders GROUP BY 1"
+
+
+def changed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as files of up to 50 lines; then some are changed, some gone, some new, and trees of digests tell which."""
+    before, after, key = files.scratch(spark, "before"), files.scratch(spark, "after"), F.col("c_custkey")
+    g = F.expr("c_custkey div 50")
+    x = table(spark, sf_dir, "customer").groupBy(g.alias("g")).agg(F.sort_array(F.collect_list(F.struct(key.alias("k"), F.concat_ws(",", key, "c_name").alias("line")))).alias("l"))
+    x = x.select("g", F.concat(F.lit("part/"), F.col("g"), F.lit(".csv")).alias("path"), F.array_join(F.transform("l", lambda v: v["line"]), "\n").alias("content"))
+    ranges.write_files(x.where("g % 7 <> 5"), before).write.format("noop").mode("overwrite").save()
+    later = x.where("g % 11 <> 3").withColumn("content", F.when(F.col("g") % 5 == 2, F.concat("content", F.lit("!"))).otherwise(F.col("content")))
+    ranges.write_files(later, after).write.format("noop").mode("overwrite").save()
+    return parts.changed_files(parts.listing(spark, before), parts.listing(spark, after))
+
+
+CHANGED_FILES = """
+WITH g AS (SELECT DISTINCT c_custkey // 50 AS g FROM customer), s AS (SELECT g, g % 7 <> 5 AS old, g % 11 <> 3 AS new, g % 5 = 2 AS other FROM g)
+SELECT 'part/' || g || '.csv' AS path, CASE WHEN NOT new THEN 'MISSING' WHEN NOT old THEN 'UNLISTED' ELSE 'CHANGED' END AS state FROM s WHERE (old AND NOT new) OR (new AND NOT old) OR (old AND new AND other)
+"""
+
+
+def document_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document for each order; some repeat a key, name no number, or don't end where they should."""
+    k = F.col("o_orderkey")
+    line = F.concat(F.lit('{"id": '), k, F.lit(', "by": {"name": "'), "o_orderstatus", F.lit('", "'), F.when(k % 13 == 5, "name").otherwise("at"), F.lit('": ['), F.when(k % 17 == 3, "NaN").otherwise("1.5"), F.lit("]}"))
+    text = F.concat(line, F.when(k % 19 == 7, ', "id": 2').otherwise(""), F.when(k % 23 == 11, "").otherwise("}"), F.when(k % 29 == 1, " x").otherwise(""))
+    found = documents.checked(table(spark, sf_dir, "orders").select(k.alias("k"), text.alias("text")), "text")
+    return found.select("k", F.array_join(F.transform("problems", lambda p: F.regexp_replace(p, " at [0-9]+$", "")), "|").alias("problems"))
+
+
+DOCUMENT_PROBLEMS = """
+SELECT o_orderkey AS k, array_to_string(list_filter([CASE WHEN o_orderkey % 13 = 5 THEN 'REPEATED_KEY at $.by.name' END, CASE WHEN o_orderkey % 17 = 3 THEN 'NOT_FINITE at $.by.' || CASE WHEN o_orderkey % 13 = 5 THEN 'name' ELSE 'at' END || '[0]' END, CASE WHEN o_orderkey % 19 = 7 THEN 'REPEATED_KEY at $.id' END,
+  CASE WHEN o_orderkey % 23 = 11 THEN 'SYNTAX' WHEN o_orderkey % 29 = 1 THEN 'TRAILING_TEXT' END], lambda p: p IS NOT NULL), '|') AS problems FROM orders
+"""
+
 FUNCTIONS = [
+    stored_row_groups,
+    changed_files,
+    document_problems,
     ordered_table_hash,
     file_range_digests,
     numbered_lines,

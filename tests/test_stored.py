@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandline.operators import sequences
-from strandline.sources import files, store
+from strandline.sources import files, parts, store
 
 
 def digest(values):
@@ -77,3 +77,49 @@ def test_scratch_folders_are_shared(spark):
     files.delete(spark, path)
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         spark.read.parquet(path)
+
+
+def test_footers_tell_how_tables_are_stored(spark, tmp_path):
+    df = spark.range(5000).select(F.col("id").alias("k"), F.concat(F.lit("v"), F.col("id") % 7).alias("v"))
+    store.write_table(df, f"{tmp_path}/good", ["k"], rows_per_group=1000)
+    found = parts.footers(spark, f"{tmp_path}/good")
+    assert parts.layout_violations(found, 1000, sort_key="k", kind="long").count() == 0
+    groups = found.where("column = 'k'").collect()
+    assert sum(r["rows"] for r in groups) == 5000 and all(int(r["most"]) - int(r["least"]) == r["rows"] - 1 and r["nulls"] == 0 for r in groups)
+    df.coalesce(1).orderBy("v").write.parquet(f"{tmp_path}/bad")
+    (tmp_path / "bad" / "no.parquet").write_bytes(b"PAR1 nothing")
+    rules = {r["rule"]: r["n"] for r in parts.layout_violations(parts.footers(spark, f"{tmp_path}/bad"), 1000).groupBy("rule").agg(F.count("*").alias("n")).collect()}
+    assert rules == {"GROUP_TOO_LARGE": 1, "CODEC": 1, "DICTIONARY": 1, "NO_FOOTER": 1}
+    wrong = spark.createDataFrame([("p", 9, g, 10, "k", "ZSTD", False, 0, str(a), str(z), "OK") for g, (a, z) in enumerate([(1, 5), (5, 9), (8, 20), (100, 200)])], parts.Footers({}).schema())
+    assert [(r["rule"], r["row_group"]) for r in parts.layout_violations(wrong, 10, sort_key="k", kind="long").collect()] == [("KEY_OVERLAPS", 2)]
+
+
+@pytest.mark.parametrize("depth", [0, 1, 2, 3])
+def test_trees_tell_which_files_changed(spark, depth):
+    rnd = random.Random(depth)
+    files_ = [(f"d{k % 5}/{k}", k, hashlib.sha256(str(k).encode()).hexdigest()) for k in range(300)]
+    changed = {p for p, _, _ in rnd.sample(files_, 4)}
+    other = [(p, n, "0" * 64 if p in changed else h) for p, n, h in files_ if n not in (7, 8)] + [("new", 1, "1")]
+    make = lambda rows: spark.createDataFrame(rows, "path string, length long, sha256 string")
+    got = {r["path"]: r["state"] for r in parts.changed_files(make(files_), make(other), depth).collect()}
+    gone = {f"d{k % 5}/{k}" for k in (7, 8)}
+    assert got == {**dict.fromkeys(changed - gone, "CHANGED"), **dict.fromkeys(gone, "MISSING"), "new": "UNLISTED"}
+    assert parts.changed_files(make(files_), make(files_[::-1]), depth).count() == 0
+    root = parts.digest_tree(make(files_), depth).where("level = 0").first()
+    assert root["n_files"] == 300 and root["sha256"] != parts.digest_tree(make(other), depth).where("level = 0").first()["sha256"]
+
+
+def test_one_file_is_held_without_hashing_the_rest(spark, tmp_path, monkeypatch):
+    for k in range(20):
+        (tmp_path / f"{k}.bin").write_bytes(b"x" * k)
+    listed = parts.listing(spark, str(tmp_path)).checkpoint()
+    tree = parts.digest_tree(listed).checkpoint()
+    (tmp_path / "3.bin").write_bytes(b"yyy")
+    (tmp_path / "4.bin").unlink()
+    (tmp_path / "5.bin").chmod(0o000)  # no one reads it
+    asked = lambda listing: {r["path"]: r["state"] for r in parts.held_against(spark, str(tmp_path), listing, tree, ["3.bin", "4.bin", "6.bin", "z.bin"]).collect()}
+    assert asked(listed) == {"3.bin": "CHANGED", "4.bin": "MISSING", "6.bin": "OK", "z.bin": "UNLISTED"}
+    forged = listed.withColumn("sha256", F.when(F.col("path") == "9.bin", "0").otherwise(F.col("sha256")))
+    assert set(asked(forged).values()) == {"LISTING_DIFFERS"}
+    (tmp_path / "5.bin").chmod(0o600)
+    assert {r["path"]: r["state"] for r in parts.changed_files(listed, parts.listing(spark, str(tmp_path))).collect()} == {"3.bin": "CHANGED", "4.bin": "MISSING"}
