@@ -8,10 +8,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import documents, sequences
+from ..operators import documents, estimators, sequences, timeseries
+from ..operators.timeseries import DAY
 from ..sources import files, parts, ranges, store, texts
 from ..sources.files import ship
-from .frames_sensors import table
+from ..streaming import streams
+from .frames_sensors import KEY, events, hop_windows, table
 
 
 def ordered_table_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,7 +142,113 @@ SELECT o_orderkey AS k, array_to_string(list_filter([CASE WHEN o_orderkey % 13 =
   CASE WHEN o_orderkey % 23 = 11 THEN 'SYNTAX' WHEN o_orderkey % 29 = 1 THEN 'TRAILING_TEXT' END], lambda p: p IS NOT NULL), '|') AS problems FROM orders
 """
 
+
+def _in_batches(spark: SparkSession, rows: DataFrame, batch: Column, n: int, folder: str) -> DataFrame:
+    """rows as a stream that comes in n batches: a file each, one after the other."""
+    for k in range(n):
+        rows.where(batch == k).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+
+
+def epochs_out_of_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clock epochs of users' events that come in four batches, neighbours in different ones; a last row moves the watermark
+    past all of them."""
+    e = timeseries.ordinals(events(spark, sf_dir), KEY, ["time", "event_id"], "source_ordinal", DAY)
+    x = e.select(F.col("user_id").alias("stream_id"), "source_ordinal", (F.col("time") - F.when(F.col("event_id") % 9 == 4, 30 * DAY).otherwise(0)).alias("native_ns"), F.timestamp_micros(F.expr("time div 1000")).alias("at"))
+    end = e.agg(F.timestamp_micros(F.expr("(max(time) + 400L * 86400000000000L) div 1000"))).first()[0]
+    x = x.union(spark.createDataFrame([(-1, 0, 0, end)], x.schema))
+    batch = F.when(F.col("stream_id") == -1, 4).otherwise(F.pmod(F.xxhash64("stream_id", "source_ordinal"), F.lit(4)))
+    folder = files.scratch(spark, "epochs")
+    found = streams.run_once(streams.clock_epochs_in_any_order(_in_batches(spark, x, batch, 5, folder), "at", "365 days"), folder)
+    return found.where("stream_id <> -1")
+
+
+EPOCHS_OUT_OF_ORDER = """
+WITH e AS (SELECT user_id AS stream_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS source_ordinal, epoch_us(ts) * 1000 - CASE WHEN event_id % 9 = 4 THEN 2592000000000000 ELSE 0 END AS native_ns FROM events)
+SELECT stream_id, source_ordinal, native_ns, sum(back) OVER (PARTITION BY stream_id ORDER BY source_ordinal)::BIGINT AS epoch FROM (SELECT *, CASE WHEN native_ns < lag(native_ns) OVER (PARTITION BY stream_id ORDER BY source_ordinal) THEN 1 ELSE 0 END AS back FROM e)
+"""
+
+
+def windows_and_late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events in five batches, by id: counts of hop windows, and late rows counted by the day they are of."""
+    folder = files.scratch(spark, "late")
+    x = events(spark, sf_dir).select("event_type", "time", "event_id")
+    stream = _in_batches(spark, x, F.col("event_id") % 5, 5, folder)
+    streams.windows_and_ledger(stream, folder, "time", ["event_type"], 4 * DAY, DAY, 10 * DAY)
+    counted = streams.counted_windows(spark, folder, "event_type string", 4 * DAY, 10 * DAY).select(F.lit("window").alias("kind"), "event_type", "start", "n", "closed")
+    late = streams.ledger(spark, folder, "event_type string, time long, event_id long").groupBy("event_type", (F.floor(F.col("time") / DAY) * DAY).alias("start")).agg(F.count("*").alias("n"))
+    return counted.union(late.select(F.lit("late"), "event_type", "start", "n", F.lit(None).cast("boolean")))
+
+
+WINDOWS_AND_LATE_ROWS = """
+WITH e AS (SELECT event_type, epoch_us(ts) * 1000 AS t, event_id % 5 AS b FROM events), m AS (SELECT b, max(t) AS t FROM e GROUP BY b),
+n AS (SELECT e.*, (SELECT max(m.t) FROM m WHERE m.b < e.b) AS newest FROM e), l AS (SELECT *, coalesce(t < newest - 864000000000000, false) AS late FROM n),
+w AS (SELECT event_type, unnest(range((t - 345600000000000) // 86400000000000 + 1, t // 86400000000000 + 1)) * 86400000000000 AS start FROM l WHERE NOT late)
+SELECT 'window' AS kind, event_type, start, count(*)::BIGINT AS n, start + 345600000000000 <= (SELECT max(t) FROM e) - 864000000000000 AS closed FROM w GROUP BY event_type, start
+UNION ALL SELECT 'late', event_type, t // 86400000000000 * 86400000000000, count(*)::BIGINT, NULL FROM l WHERE late GROUP BY 2, 3
+"""
+
+
+def laid_out_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples of hop windows from tables that were laid out by stream and block, counted and summed."""
+    windows = hop_windows(spark, sf_dir).where("imu_n > 0").select(F.concat_ws("-", "user_id", "segment", "k").alias("window_id"), "user_id", "imu_start_ordinal", "imu_stop_ordinal")
+    samples = timeseries.ordinals(events(spark, sf_dir).where("event_type <> 'view'"), KEY, ["time", "event_id"], bucket=DAY).select("user_id", "canonical_ordinal", "event_id")
+    name = files.scratch(spark, "laid").rsplit("-", 1)[1]
+    x = store.lay_out(samples, files.scratch(spark, "rows"), f"rows_{name}", KEY, block=16, buckets=8)
+    w = store.lay_out_windows(windows, files.scratch(spark, "ranges"), f"windows_{name}", KEY, "imu_start_ordinal", "imu_stop_ordinal", block=16, buckets=8)
+    return store.replay_laid_out(w, x, KEY).groupBy("window_id").agg(F.count("*").alias("n"), F.sum("event_id").alias("total"))
+
+
+LAID_OUT_REPLAY = """
+WITH e AS (SELECT user_id, event_id, event_type, epoch_us(ts) * 1000 AS t FROM events), seg AS (SELECT user_id, min(t) AS s, max(t) + 1000 AS e FROM e GROUP BY user_id),
+w AS (SELECT user_id, k, s + k * 86400000000000 AS ws FROM (SELECT *, unnest(range(0, (e - s - 345600000000000) // 86400000000000 + 1)) AS k FROM seg WHERE e - s >= 345600000000000))
+SELECT w.user_id || '-0-' || k AS window_id, count(*)::BIGINT AS n, sum(event_id)::BIGINT AS total FROM w JOIN e ON e.user_id = w.user_id AND event_type <> 'view' AND t >= ws AND t < ws + 345600000000000 GROUP BY 1
+"""
+
+
+class Drift:
+    """A toy estimator: the change of a value since the frame before of its stream, which it keeps in mind."""
+
+    provenance = estimators.Provenance("drift-1", "0" * 64, "1" * 64, "plain")
+
+    def __init__(self):
+        self.before = None
+
+    def prepare(self, frame):
+        if frame["value"] is None:
+            raise estimators.Rejected("no value")
+        if frame["event_id"] % 31 == 7:
+            raise ValueError("unreadable")
+        return frame["value"], frame["event_id"]
+
+    def infer(self, prepared):
+        value, number = prepared
+        if number % 37 == 5:
+            raise RuntimeError("lost")
+        before, self.before = self.before, value
+        found = () if before is None else (estimators.Detection((value - before,), 0.5),)
+        return estimators.Estimate(found, 2.0 if number % 41 == 3 else 1.0)
+
+
+def estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Drift over the events of each user, some of which it rejects, fails at, or misjudges."""
+    found = estimators.estimated(events(spark, sf_dir), Drift, KEY, ["time", "event_id"], ["user_id", "event_id"])
+    return found.select("user_id", "event_id", "n_detections", F.round(F.get(F.get("detections", F.lit(0))["values"], F.lit(0)), 6).alias("drift"), "tracking_quality", "status", "reason", "model_id")
+
+
+ESTIMATES = """
+WITH e AS (SELECT user_id, event_id, value, ts, CASE WHEN value IS NULL THEN 'REJECTED_INPUT' WHEN event_id % 31 = 7 THEN 'PREPROCESSING_FAILURE' WHEN event_id % 37 = 5 THEN 'INFERENCE_FAILURE' WHEN event_id % 41 = 3 THEN 'INVALID_OUTPUT' ELSE 'SUCCESS' END AS status FROM events),
+s AS (SELECT *, lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM e WHERE status IN ('SUCCESS', 'INVALID_OUTPUT'))
+SELECT e.user_id, e.event_id, CASE WHEN e.status = 'SUCCESS' AND p IS NOT NULL THEN 1 ELSE 0 END AS n_detections, CASE WHEN e.status = 'SUCCESS' THEN round(s.value - p, 6) END AS drift, CASE WHEN e.status = 'SUCCESS' THEN 1.0::DOUBLE END AS tracking_quality, e.status,
+  CASE e.status WHEN 'REJECTED_INPUT' THEN 'no value' WHEN 'PREPROCESSING_FAILURE' THEN 'ValueError: unreadable' WHEN 'INFERENCE_FAILURE' THEN 'RuntimeError: lost' WHEN 'INVALID_OUTPUT' THEN 'ValueError: a score outside 0 to 1, or a value that isn''t finite' END AS reason, 'drift-1' AS model_id
+FROM e LEFT JOIN s USING (user_id, event_id)
+"""
+
 FUNCTIONS = [
+    laid_out_replay,
+    estimates,
+    epochs_out_of_order,
+    windows_and_late_rows,
     stored_row_groups,
     changed_files,
     document_problems,

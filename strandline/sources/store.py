@@ -13,7 +13,7 @@ import hashlib
 import json
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -187,3 +187,36 @@ def nearest_context(windows: DataFrame, alignment: DataFrame, keys: list[str]) -
     x = replay(windows, alignment, keys, "frame_start_ordinal", "frame_stop_ordinal", "frame_canonical_ordinal")
     x = x.join(windows.select("window_id", F.col("imu_start_ordinal").alias("__a"), F.col("imu_stop_ordinal").alias("__z")), "window_id")
     return x.where("imu_nearest_ordinal is not null and (imu_nearest_ordinal < __a or imu_nearest_ordinal >= __z)").select("window_id", F.col("imu_nearest_ordinal").alias("ordinal")).distinct()
+
+
+def place(keys: list[Column], block: Column) -> Column:
+    """The number by which rows of a stream's block of ordinals are laid out."""
+    return F.xxhash64(*keys, block.cast("long"))
+
+
+def lay_out(rows: DataFrame, path: str, name: str, keys: list[str], ordinal: str = "canonical_ordinal", block: int = 65_536, buckets: int = 64) -> DataFrame:
+    """Store rows as a table of that name under path, bucketed by `place` and sorted by it and the ordinal in each bucket: a
+    join by place needs no exchange of it, and a filter on one place reads one bucket's files."""
+    x = rows.withColumn("block", F.floor(F.col(ordinal) / block)).withColumn("place", place([F.col(k) for k in keys], F.col("block")))
+    x.repartition(buckets, "place").write.format("parquet").option("path", path).bucketBy(buckets, "place").sortBy("place", ordinal).saveAsTable(name)
+    return rows.sparkSession.table(name)
+
+
+def lay_out_windows(windows: DataFrame, path: str, name: str, keys: list[str], start: str, stop: str, block: int = 65_536, buckets: int = 64) -> DataFrame:
+    """Store windows (window_id, keys, start, stop) alike, with a row for each block of ordinals that their range touches."""
+    w = windows.where(F.col(start) < F.col(stop)).select("window_id", *(F.col(k).alias(f"of_{k}") for k in keys), F.col(start).alias("range_start"), F.col(stop).alias("range_stop"))
+    w = w.withColumn("of_block", F.explode(F.sequence(F.floor(F.col("range_start") / block), F.floor((F.col("range_stop") - 1) / block))))
+    w = w.withColumn("place", place([F.col(f"of_{k}") for k in keys], F.col("of_block")))
+    w.repartition(buckets, "place").write.format("parquet").option("path", path).bucketBy(buckets, "place").sortBy("place").saveAsTable(name)
+    return windows.sparkSession.table(name)
+
+
+def replay_laid_out(windows: DataFrame, rows: DataFrame, keys: list[str], ordinal: str = "canonical_ordinal") -> DataFrame:
+    """As replay, of tables that were laid out with the same blocks and buckets: both sides are read where they lie.
+
+    Two blocks that have one place are told apart by their keys."""
+    x = windows.join(rows.hint("merge"), "place")
+    for c in [*keys, "block"]:
+        x = x.where(F.col(c).between(F.col(f"of_{c}"), F.col(f"of_{c}")))  # not an equality, which would join the join's keys
+    x = x.where((F.col(ordinal) >= F.col("range_start")) & (F.col(ordinal) < F.col("range_stop")))
+    return x.drop("range_start", "range_stop", "block", "of_block", "place", *(f"of_{k}" for k in keys))

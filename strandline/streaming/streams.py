@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
@@ -47,6 +49,58 @@ def clock_epochs(samples: DataFrame) -> DataFrame:
     return samples.groupBy("stream_id").applyInPandasWithState(epochs, "stream_id long, source_ordinal long, native_ns long, epoch long", "epoch long, last long", "append", GroupStateTimeout.NoTimeout)
 
 
+class _Epochs(StatefulProcessor):
+    """Rows of a stream wait in state until the watermark has passed them, then go on in the order of their ordinals."""
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.held = handle.getListState("held", "at long, ordinal long, native long")
+        self.last = handle.getValueState("last", "epoch long, native long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        earliest = None
+        for x in rows:
+            self.held.appendList([(int(a), int(o), int(t)) for a, o, t in zip(x["at_millis"], x["source_ordinal"], x["native_ns"])])
+            earliest = int(x["at_millis"].min()) if earliest is None else min(earliest, int(x["at_millis"].min()))
+        if earliest is not None:
+            self.handle.registerTimer(earliest)
+        return iter(())
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs()
+        rows = list(self.held.get())
+        ready, waiting = sorted((r[1], r[2]) for r in rows if r[0] <= passed), [tuple(r) for r in rows if r[0] > passed]
+        if not ready:
+            return
+        self.held.put(waiting) if waiting else self.held.clear()
+        if waiting:
+            self.handle.registerTimer(min(r[0] for r in waiting))
+        epoch, last = self.last.get() if self.last.exists() else (0, None)
+        epochs = []
+        for _, t in ready:
+            epoch += last is not None and t < last
+            last = t
+            epochs.append(int(epoch))
+        self.last.update((int(epoch), int(last)))
+        yield pd.DataFrame({"stream_id": [key[0]] * len(ready), "source_ordinal": [o for o, _ in ready], "native_ns": [t for _, t in ready], "epoch": epochs})
+
+    def close(self) -> None:
+        pass
+
+
+def clock_epochs_in_any_order(samples: DataFrame, time: str, late: str) -> DataFrame:
+    """As clock_epochs, for rows that come in any order, up to `late` behind the newest of all streams.
+
+    samples: stream_id, source_ordinal, native_ns and the timestamp column `time`, which doesn't run back along a
+    stream's ordinals. The state of a stream is its epoch and last time, and the rows that the watermark hasn't passed; a timer in
+    event time hands those on, in order, when it has. So however rows fall into batches, the result is that of one
+    batch. Rows that come later than that are dropped, as from any watermark: see windows_and_ledger for keeping them."""
+    spark = samples.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    x = samples.withWatermark(time, late).select("stream_id", "source_ordinal", "native_ns", time, F.unix_millis(time).alias("at_millis"))
+    return x.groupBy("stream_id").transformWithStateInPandas(_Epochs(), "stream_id long, source_ordinal long, native_ns long, epoch long", "append", "EventTime")
+
+
 def late_rows(events: DataFrame, time: str, keys: list[str], delay: int) -> DataFrame:
     """The rows that come too late, for a ledger: keys, time, newest. A row (time: a long) is late if it lies more than
     delay before the newest time that batches up to the one before brought for its stream.
@@ -89,3 +143,50 @@ def totals_once(stream: DataFrame, folder: str) -> DataFrame:
     q.awaitTermination()
     last = stream.sparkSession.read.option("recursiveFileLookup", "true").parquet(f"{folder}/table").agg(F.max("batch")).first()[0]  # one number
     return stream.sparkSession.read.parquet(f"{folder}/table/batch_{last}/rows").drop("batch")
+
+
+def _numbered(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows of the batches' folders under path; none if there are none yet."""
+    try:
+        return spark.read.schema(schema).option("basePath", path).parquet(path)
+    except AnalysisException as why:
+        if why.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def windows_and_ledger(events: DataFrame, folder: str, time: str, keys: list[str], window: int, hop: int, delay: int) -> None:
+    """Runs the stream over all that its source holds now; of each batch, rows that aren't late are counted by hop window, and
+    late ones go to a ledger, so each row is in one of both.
+
+    time is a long, as are window, hop and delay. A row is late if it lies more than delay before the newest time that earlier
+    batches brought. What a batch adds lies in folders of its number, which a batch that is run again writes anew: counts of
+    windows (partials), late rows (ledger) and its newest time (progress). A window may get counts from several batches."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        newest = _numbered(spark, f"{folder}/progress", "newest long, batch long").where(F.col("batch") < number).agg(F.max("newest")).first()[0]
+        late = F.col(time) < newest - delay if newest is not None else F.lit(False)
+        kept = batch.where(~late)
+        last = F.floor(F.col(time) / hop)
+        first = F.floor((F.col(time) - window) / hop) + 1
+        counts = kept.withColumn("__window", F.explode(F.sequence(first, last))).groupBy(*keys, (F.col("__window") * hop).alias("start")).agg(F.count("*").alias("n"))
+        counts.write.mode("overwrite").parquet(f"{folder}/partials/batch={number}")
+        batch.where(late).withColumn("newest", F.lit(newest).cast("long")).write.mode("overwrite").parquet(f"{folder}/ledger/batch={number}")
+        batch.agg(F.greatest(F.max(time), F.lit(newest).cast("long")).alias("newest")).coalesce(1).write.mode("overwrite").parquet(f"{folder}/progress/batch={number}")
+
+    q = events.writeStream.outputMode("append").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).foreachBatch(write).start()
+    q.awaitTermination()
+
+
+def counted_windows(spark: SparkSession, folder: str, keys: str, window: int, delay: int) -> DataFrame:
+    """keys, start, n, closed (no row that isn't late can reach it any more) of the windows that windows_and_ledger counted."""
+    names = [c.split()[0].strip("`") for c in keys.split(", ")]
+    newest = _numbered(spark, f"{folder}/progress", "newest long, batch long").agg(F.max("newest")).first()[0]
+    x = _numbered(spark, f"{folder}/partials", f"{keys}, start long, n long, batch long")
+    return x.groupBy(*names, "start").agg(F.sum("n").alias("n")).withColumn("closed", F.col("start") + window <= F.lit(newest).cast("long") - delay)
+
+
+def ledger(spark: SparkSession, folder: str, columns: str) -> DataFrame:
+    """The late rows, each with its batch and the newest time before it."""
+    return _numbered(spark, f"{folder}/ledger", f"{columns}, newest long, batch long")
