@@ -28,9 +28,9 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 from .common import ship
 
 MARK = "▁"
-#: What a Python worker remembers of units and of parts, in units of some bytes, at most twice as much for a time; longer
-#: units than LONG characters are encoded each time they are met. PAIRS: token pairs.
-REMEMBERED, LONG, PAIRS = 12_000_000, 200, 800_000
+#: What a Python worker remembers of units, and of parts a quarter of it, in units of about four bytes of memory, at most
+#: twice as much for a time; longer units than LONG characters are encoded each time they are met. PAIRS: token pairs.
+REMEMBERED, LONG, PAIRS = 40_000_000, 200, 800_000
 _NORMAL, _UNKNOWN, _CONTROL, _BYTE = 1, 2, 3, 6
 
 
@@ -54,8 +54,11 @@ class Model:
             self.automaton.add_word(p, (i, len(p)))
         self.automaton.make_automaton()
         self.inner = {x for p in self.ids for x in map(add, p, p[1:])}
-        self.parts = _Remembered(self._part)
+        self.special = self.hidden | self.of_byte.keys() | {self.unknown}
+        self.decimal = [f" {i}" for i in range(len(self.pieces))]
+        self.parts = _Remembered(self._part, 4)
         self.listed = _Remembered(self._listed)
+        self.coded = _Remembered(self._coded)
         self.follows: dict[int, bool] = {}
 
     def merged(self, text: str) -> list[str]:
@@ -112,9 +115,16 @@ class Model:
 
     def _listed(self, text: str) -> tuple[str, str]:
         """A unit's ids in decimal, each after a space, and the text that they decode to."""
+        ids, back = self._coded(text)
+        return "".join(map(self.decimal.__getitem__, ids)), back
+
+    def _coded(self, text: str) -> tuple[list[int], str]:
+        """A unit's ids, and the text that they decode to: itself, where all are pieces, as these cover it."""
         ids = self.unit(text)
+        if self.special.isdisjoint(ids):
+            return ids, text
         back = self._text(ids)
-        return "".join([f" {i}" for i in ids]), text if back == text else back
+        return ids, text if back == text else back
 
     def split(self, text: str) -> list[str]:
         """Units of a text; spaces become marks, and one mark goes before the text. A line end without a piece is a unit."""
@@ -128,12 +138,16 @@ class Model:
         """Ids with an end id."""
         return [*chain.from_iterable(map(self.unit, self.split(text))), self.end]
 
+    def coding(self, text: str) -> tuple[list[int], str]:
+        """Ids with an end id, and the text they decode to."""
+        parts = [*map(self.coded.__getitem__, self.split(text))]
+        return [*chain.from_iterable([p[0] for p in parts]), self.end], _shown("".join([p[1] for p in parts]))
+
     def listing(self, text: str) -> tuple[str, str]:
         """The ids in decimal, one space apart, and the text they decode to."""
         # a unit's bytes are whole characters, so units decode apart
         parts = [*map(self.listed.__getitem__, self.split(text))]
-        back = "".join([p[1] for p in parts])
-        return f"{''.join([p[0] for p in parts])} {self.end}"[1:], (back[1:] if back[:1] == MARK else back).replace(MARK, " ")
+        return f"{''.join([p[0] for p in parts])} {self.end}"[1:], _shown("".join([p[1] for p in parts]))
 
     def _text(self, ids) -> str:
         """Pieces of ids joined: control ids go, and byte ids that follow each other are read as UTF-8."""
@@ -154,16 +168,15 @@ class Model:
 
     def decode(self, ids) -> str:
         """Text of ids; one mark at the start goes."""
-        text = self._text(ids)
-        return (text[1:] if text[:1] == MARK else text).replace(MARK, " ")
+        return _shown(self._text(ids))
 
 
 class _Remembered(dict):
     """Values of a function of a unit. When they take up too much, those not asked for since the last time are forgotten."""
 
-    def __init__(self, make: Callable):
+    def __init__(self, make: Callable, share: int = 1):
         super().__init__()
-        self.make, self.before, self.weight = make, {}, 0
+        self.make, self.before, self.weight, self.share = make, {}, 0, share
 
     def __missing__(self, unit: str):
         if len(unit) > LONG:
@@ -172,7 +185,7 @@ class _Remembered(dict):
         if value is None:
             value = self.make(unit)
         weight = 4 * len(unit) + 40  # ids are no more than a unit's bytes
-        if self.weight + weight > REMEMBERED:
+        if self.weight + weight > REMEMBERED // self.share:
             self.before = dict(self)
             self.clear()
             self.weight = 0
@@ -181,6 +194,11 @@ class _Remembered(dict):
         return value
 
 
+def _shown(text: str) -> str:
+    """Joined pieces as text: one mark at the start goes, the others are spaces."""
+    return (text[1:] if text[:1] == MARK else text).replace(MARK, " ")
+
+
 def _utf8(data: bytearray) -> str:
     """Each byte that belongs to no whole character becomes U+FFFD."""
     out, i = [], 0
@@ -222,8 +240,8 @@ def _encoded(batches: Iterator[pa.RecordBatch], column: str, proto, digests: boo
                 ids, back = zip(*map(model.listing, strings), strict=True)
                 yield pa.RecordBatch.from_arrays([here, pa.array([x.count(" ") + 1 for x in ids], pa.int64()), pa.array(map(sha, ids), pa.string()), pa.array(map(sha, back), pa.string())], ["row", "n_tokens", "ids_sha256", "decoded_sha256"])
             else:
-                ids = [model.encode(x) for x in strings]
-                yield pa.RecordBatch.from_arrays([here, pa.array(ids, pa.list_(pa.int32())), pa.array(map(model.decode, ids), pa.string())], ["row", "ids", "decoded"])
+                ids, back = zip(*map(model.coding, strings), strict=True)
+                yield pa.RecordBatch.from_arrays([here, pa.array(ids, pa.list_(pa.int32())), pa.array(back, pa.string())], ["row", "ids", "decoded"])
 
 
 def _proto(docs: DataFrame, path: str):
