@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import AtomicType, IntegerType, StringType, StructField, StructType
 
 from ..functions import exact
 from ..operators import clock, contracts, detections, frames, reconcile, timeseries, validate, windows
@@ -330,15 +330,15 @@ def table_semantic_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(out, "name string, semantic_sha256 string, stable boolean")
 
 
-def _semantic_sql(name: str, ddl: str, *columns: str) -> str:
+def _semantic_sql(name: str, columns: dict[str, AtomicType]) -> str:
     """The digest of a table's rows as a multiset: sums of the quarters of their digests, the count, and its schema."""
     row = " || ".join(f"coalesce('V' || strlen({c}::VARCHAR) || ':' || {c}, 'N')" for c in columns)
     sums = " || ':' || ".join(f"sum(('0x' || substr(h, {16 * k + 1}, 16))::HUGEINT)" for k in range(4))
-    head = f"multiset-2\n{fingerprint(StructType.fromDDL(ddl))}\n"
+    head = f"multiset-2\n{fingerprint(StructType([StructField(c, t) for c, t in columns.items()]))}\n"
     return f"SELECT '{name}' AS name, sha256('{head}' || count(*) || ':' || {sums} || chr(10)) AS semantic_sha256, true AS stable FROM (SELECT sha256({row}) AS h FROM {name})"
 
 
-TABLE_SEMANTIC_HASH = _semantic_sql("nation", "n_nationkey int, n_name string, n_regionkey int", "n_nationkey", "n_name", "n_regionkey") + " UNION ALL " + _semantic_sql("region", "r_regionkey int, r_name string", "r_regionkey", "r_name")
+TABLE_SEMANTIC_HASH = _semantic_sql("nation", {"n_nationkey": IntegerType(), "n_name": StringType(), "n_regionkey": IntegerType()}) + " UNION ALL " + _semantic_sql("region", {"r_regionkey": IntegerType(), "r_name": StringType()})
 
 
 def snapshot_store(spark: SparkSession, sf_dir: str) -> DataFrame:
