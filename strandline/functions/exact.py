@@ -53,7 +53,7 @@ def decimal_6(num: Column, den: Column) -> Column:
 def removed_rows(kind: Column, cut: Column) -> Column:
     """Rows that a cut of so many 30 Hz frames removes from 30, 50 and 250 Hz files; null for other kinds."""
     cut = cut.cast("long")
-    third = lambda c: ((c - F.pmod(c, F.lit(3))) / 3).cast("decimal(20,0)").cast("long")
+    third = lambda c: F.call_function("div", c - F.pmod(c, F.lit(3)), F.lit(3).cast("long"))
     return F.when(kind == "csv", cut).when(kind == "mot", third(cut * 5)).when(kind == "raw", third(cut * 25))
 
 

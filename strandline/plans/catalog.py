@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import frames_sensors, ingest, relational, stored
+from . import bundles, frames_sensors, ingest, relational, stored
 
 _FUNCTIONS = [
     frames_sensors.frame_sensor_index,
@@ -29,6 +29,7 @@ _FUNCTIONS = [
     *relational.FUNCTIONS,
     *ingest.FUNCTIONS,
     *stored.FUNCTIONS,
+    *bundles.FUNCTIONS,
 ]
 
 
@@ -37,5 +38,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    found = vars(frames_sensors) | vars(relational) | vars(ingest) | vars(stored)
+    found = vars(frames_sensors) | vars(relational) | vars(ingest) | vars(stored) | vars(bundles)
     return {f.__name__: found[f.__name__.upper()] for f in _FUNCTIONS if f.__name__.upper() in found}
