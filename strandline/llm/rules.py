@@ -75,6 +75,18 @@ def conjunction(rule: list[tuple[str, str, float]]) -> Column:
     return reduce(lambda a, b: a & b, map(holds, rule), F.lit(True))
 
 
+def _binned(rows: DataFrame, bounds: dict[str, list[float]]) -> DataFrame:
+    """rows with the place of each statistic among its bounds (how many are below it) instead of the statistic, so that what
+    learning asks of them again and again is a comparison of whole numbers."""
+    place = lambda f: sum((F.when(F.col(f) > b, 1).otherwise(0) for b in bounds[f]), F.lit(0))
+    return rows.select("bad", "grow", *(place(f).alias(f) for f in FEATURES))
+
+
+def _within(rule: list[tuple[str, str, float]], bounds: dict[str, list[float]]) -> Column:
+    """conjunction, of rows that are binned: a statistic is at most the i-th bound where its place is at most i."""
+    return conjunction([(f, sign, bounds[f].index(bound)) for f, sign, bound in rule])
+
+
 def _bounds(rows: DataFrame, bins: int) -> dict[str, list[float]]:
     """Quantiles of each statistic, over all labelled rows and over the bad ones."""
     shares = [k / bins for k in range(1, bins)]
@@ -83,9 +95,8 @@ def _bounds(rows: DataFrame, bins: int) -> dict[str, list[float]]:
 
 
 def _best(rows: DataFrame, bounds: dict[str, list[float]]) -> tuple[float, tuple[str, str, float]] | None:
-    """The condition with the highest FOIL gain on these rows, from one aggregate."""
-    place = lambda f: sum((F.when(F.col(f) > b, 1).otherwise(0) for b in bounds[f]), F.lit(0))
-    cells = rows.select("bad", F.posexplode(F.array(*(place(f) for f in FEATURES))).alias("f", "bin"))
+    """The condition with the highest FOIL gain on these binned rows, from one aggregate."""
+    cells = rows.select("bad", F.posexplode(F.array(*FEATURES)).alias("f", "bin"))
     counts: dict[int, dict[int, tuple[int, int]]] = {}
     for r in cells.groupBy("f", "bin").agg(F.sum("bad").alias("p"), F.count("*").alias("c")).collect():  # statistics * bins rows
         counts.setdefault(r["f"], {})[r["bin"]] = (r["p"], r["c"] - r["p"])
@@ -112,15 +123,16 @@ def learn(statistics: DataFrame, labels: DataFrame, id_col: str = "doc_id", labe
     """
     y = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("doc_id")).agg(F.when(F.min(label_col) == 0, 1).otherwise(0).alias("bad"))
     rows = cut(statistics.join(y, "doc_id").select("bad", *FEATURES, (F.pmod(F.xxhash64("doc_id"), F.lit(3)) < 2).alias("grow")))
-    bounds, rules, left = _bounds(rows, bins), [], rows
+    bounds, rules = _bounds(rows, bins), []
+    left = cut(_binned(rows, bounds))
     for _ in range(most_rules):
         rule: list[tuple[str, str, float]] = []
-        while len(rule) < most_conditions and (best := _best(left.where(F.col("grow") & conjunction(rule)), bounds)):
+        while len(rule) < most_conditions and (best := _best(left.where(F.col("grow") & _within(rule, bounds)), bounds)):
             rule.append(best[1])
         if not rule:
             break
         # each beginning of the rule, on the rows held back
-        sums = [f(F.when(conjunction(rule[:k]), F.col("bad"))).alias(f"{name}{k}") for k in range(1, len(rule) + 1) for name, f in (("p", F.sum), ("c", F.count))]
+        sums = [f(F.when(_within(rule[:k], bounds), F.col("bad"))).alias(f"{name}{k}") for k in range(1, len(rule) + 1) for name, f in (("p", F.sum), ("c", F.count))]
         seen = left.where(~F.col("grow")).agg(*sums).first()
         worth = {k: (2 * (seen[f"p{k}"] or 0) - seen[f"c{k}"]) / seen[f"c{k}"] for k in range(1, len(rule) + 1) if seen[f"c{k}"]}
         if not worth:
@@ -129,7 +141,7 @@ def learn(statistics: DataFrame, labels: DataFrame, id_col: str = "doc_id", labe
         if (seen[f"p{k}"] or 0) < precision * seen[f"c{k}"]:
             break
         rules.append(rule[:k])
-        left = left.where(~conjunction(rule[:k]))
+        left = left.where(~_within(rule[:k], bounds))
     return rules
 
 
