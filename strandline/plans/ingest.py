@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType
 
 from ..functions import ids
 from ..operators import clock, contracts, detections, documents, frames, reconcile, timeseries, validate
@@ -14,7 +15,7 @@ from ..streaming import streams
 from .frames_sensors import ALIGNMENT_STATUS, HOP_WINDOW_INDEX, HOP_WINDOW_REJECTIONS, KEY, POLICY, _paired, _segments, aligned_events, events, hop_windows, table
 from .frames_sensors import _frames as owned_views
 from .frames_sensors import _samples as other_events
-from .relational import _CLOCK, _clock, _ordered, _lines, _ORDERED_SQL, _values
+from .relational import _CLOCK, _clock, _ordered, _lines, _ORDERED_SQL, _semantic_sql, _values
 
 
 def _counted(rows: DataFrame, *by: str) -> DataFrame:
@@ -297,21 +298,28 @@ CATALOGUE = "SELECT s_nationkey || '-' || s_suppkey // 100 AS catalogue, s_suppk
 
 
 def bundle_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A bundle that is stored, one that fails, and one not yet begun."""
+    """A bundle of each status of orders, as far as it can be stored: those of one status can't be read. What ended, with the
+    rows and digests of what was stored, and the recordings that are left for the next run."""
     root = files.scratch(spark, "bundles")
-    r = table(spark, sf_dir, "region")
-    store.publish_bundle(spark, root, "good", {"region": r}, {"region": ["r_regionkey"]})
-    try:
-        store.publish_bundle(spark, root, "bad", {"region": r.withColumn("r_name", F.raise_error(F.lit("unreadable")).cast("string"))}, {})
-    except Exception as why:  # what failed is in the ledger
-        if "unreadable" not in str(why):
-            raise
-    todo = spark.createDataFrame([("good",), ("bad",), ("new",)], "recording_id string")
-    left = store.unfinished(spark, root, todo).withColumn("state", F.lit("UNFINISHED"))
-    return store.ended(spark, root).select("recording_id", "state").unionByName(left)
-
-
-BUNDLE_LEDGER = "SELECT * FROM (VALUES ('good', 'SUCCESS'), ('bad', 'FAILURE'), ('new', 'UNFINISHED')) v(recording_id, state)"
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    for status in ("F", "O", "P"):
+        rows = o.where(F.col("o_orderstatus") == status)
+        if status == "P":
+            rows = rows.withColumn("o_custkey", F.when(F.col("o_custkey") >= 0, F.raise_error(F.lit("unreadable")).cast("long")).otherwise(F.col("o_custkey")))
+        try:
+            store.publish_bundle(spark, root, f"status-{status}", {"orders": rows}, {"orders": ["o_orderkey"]})
+        except Exception as why:  # what failed is in the ledger
+            if "unreadable" not in str(why):
+                raise
+    every = o.select(F.concat(F.lit("status-"), "o_orderstatus").alias("recording_id")).union(o.select(F.concat(F.lit("customer-"), F.col("o_custkey") % 3))).distinct()
+    left = store.unfinished(spark, root, every).select("recording_id", F.lit("UNFINISHED").alias("state"), F.lit(None).cast("long").alias("n_rows"), F.lit(None).cast("string").alias("semantic_sha256"))
+    return store.ended_tables(spark, root).select("recording_id", "state", F.col("rows").alias("n_rows"), "semantic_sha256").union(left)
+
+
+_ORDERS = {"o_orderkey": LongType(), "o_custkey": LongType(), "o_orderstatus": StringType()}
+BUNDLE_LEDGER = "WITH " + ", ".join(f"orders_{s} AS (SELECT * FROM orders WHERE o_orderstatus = '{s}')" for s in "FO") + "".join(
+    f" SELECT 'status-{s}' AS recording_id, 'SUCCESS' AS state, (SELECT count(*) FROM orders_{s})::BIGINT AS n_rows, semantic_sha256 FROM ({_semantic_sql(f'orders_{s}', _ORDERS)}) UNION ALL" for s in "FO"
+) + " SELECT DISTINCT 'status-P', 'FAILURE', NULL, NULL FROM orders WHERE o_orderstatus = 'P' UNION ALL SELECT DISTINCT 'customer-' || o_custkey % 3, 'UNFINISHED', NULL, NULL FROM orders"
 
 
 def snapshot_window_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -175,20 +175,26 @@ SELECT CASE WHEN n <> 5 THEN 'INCOMPLETE' WHEN holes THEN 'MALFORMED' WHEN odd T
 
 
 def fk_reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o, l, c = (table(spark, sf_dir, t) for t in ("orders", "lineitem", "customer"))
-    a = reconcile.foreign_keys(o, l, "o_orderkey", "l_orderkey").withColumn("link", F.lit("lineitem"))
-    return a.unionByName(reconcile.foreign_keys(c, o.where("o_custkey % 11 <> 0"), "c_custkey", "o_custkey").withColumn("link", F.lit("orders")))
+    """Line items against parts and suppliers, customers and suppliers against nations."""
+    found = None
+    for link, parent, pk, child, ck in _LINKS:
+        x = reconcile.foreign_keys(table(spark, sf_dir, parent), table(spark, sf_dir, child), pk, ck).withColumn("link", F.lit(link))
+        found = x if found is None else found.unionByName(x)
+    return found
+
+
+_LINKS = [("item_part", "part", "p_partkey", "lineitem", "l_partkey"), ("item_supplier", "supplier", "s_suppkey", "lineitem", "l_suppkey"), ("customer_nation", "nation", "n_nationkey", "customer", "c_nationkey"), ("supplier_nation", "nation", "n_nationkey", "supplier", "s_nationkey")]
 
 
 def _fk(link: str, parent: str, pk: str, child: str, ck: str) -> str:
     return f"SELECT '{link}' AS link, (SELECT count(*) FROM {parent})::BIGINT AS parents, (SELECT count(*) FROM {child})::BIGINT AS children, (SELECT count(*) FROM {child} c WHERE NOT EXISTS (SELECT 1 FROM {parent} p WHERE p.{pk} = c.{ck}))::BIGINT AS orphans, (SELECT count(*) FROM {parent} p WHERE NOT EXISTS (SELECT 1 FROM {child} c WHERE p.{pk} = c.{ck}))::BIGINT AS childless, (SELECT count(*) FROM (SELECT {pk} FROM {parent} GROUP BY 1 HAVING count(*) > 1))::BIGINT AS repeated"
 
 
-FK_RECONCILIATION = _fk("lineitem", "orders", "o_orderkey", "lineitem", "l_orderkey") + " UNION ALL " + _fk("orders", "customer", "c_custkey", "(SELECT * FROM orders WHERE o_custkey % 11 <> 0)", "o_custkey")
+FK_RECONCILIATION = " UNION ALL ".join(_fk(*x) for x in _LINKS)
 
 
 def fk_reconciliation_of_all_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As fk_reconciliation, with every order held against customers."""
+    """Line items against orders, orders against customers."""
     o, l, c = (table(spark, sf_dir, t) for t in ("orders", "lineitem", "customer"))
     a = reconcile.foreign_keys(o, l, "o_orderkey", "l_orderkey").withColumn("link", F.lit("lineitem"))
     return a.unionByName(reconcile.foreign_keys(c, o, "c_custkey", "o_custkey").withColumn("link", F.lit("orders")))

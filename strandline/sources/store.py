@@ -133,6 +133,14 @@ def ended(spark: SparkSession, root: str) -> DataFrame:
     return _log(spark, f"{root}/bundles_ended").select(F.col("name").alias("recording_id"), note.alias("x")).select("recording_id", "x.state", "x.reason")
 
 
+def ended_tables(spark: SparkSession, root: str) -> DataFrame:
+    """recording_id, state, reason, table, rows, semantic_sha256 of every table of the bundles that have ended; one row, without a
+    table, of a bundle that failed."""
+    note = F.from_json("note", "state string, reason string, tables map<string, struct<rows: long, semantic_sha256: string>>")
+    x = _log(spark, f"{root}/bundles_ended").select(F.col("name").alias("recording_id"), note.alias("x")).select("recording_id", "x.state", "x.reason", F.explode_outer("x.tables").alias("table", "t"))
+    return x.select("recording_id", "state", "reason", "table", "t.rows", "t.semantic_sha256")
+
+
 def unfinished(spark: SparkSession, root: str, recordings: DataFrame) -> DataFrame:
     """Recordings that haven't ended: what a run that goes on has to do."""
     return recordings.join(ended(spark, root), "recording_id", "left_anti")
