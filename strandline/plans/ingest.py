@@ -173,6 +173,14 @@ FROM f WHERE class IN ('VIDEO', 'POSE', 'RAW') GROUP BY recording
 """
 
 
+def recording_strays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recordings that a second look finds other files of, and how many."""
+    return _counted(texts.strays(texts.file_classes(_paths(spark, sf_dir), _KNOWN)), "recording", "class")
+
+
+RECORDING_STRAYS = _FILES_SQL + ", g AS (SELECT f.*, m.rec FROM f JOIN m USING (k)) SELECT rec AS recording, class, count(*)::BIGINT AS n FROM g WHERE class IN ('UNEXPECTED', 'MISPLACED') AND k % 17 <> 8 GROUP BY ALL"
+
+
 def exclusion_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = texts.file_classes(_paths(spark, sf_dir), _KNOWN).withColumn("sha256", F.sha2("path", 256))
     return _counted(texts.exclusions(x.drop("reason"), F.when(F.col("class") == "KNOWN", "KNOWN").when(F.col("class") == "COMPANION", "COMPANION")), "path", "reason", "sha256")
@@ -722,6 +730,7 @@ FUNCTIONS = [
     file_classes,
     recordings,
     exclusion_ledger,
+    recording_strays,
     modality_pairs,
     instruction_problems,
     cuts_by_kind,

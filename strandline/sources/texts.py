@@ -207,6 +207,13 @@ def recordings(classified: DataFrame) -> DataFrame:
     return x.drop(*(f"__{c}" for c in slot))
 
 
+def strays(classified: DataFrame) -> DataFrame:
+    """recording, path, class of classified files whose name begins as a recording's files do (in any case, with or without
+    ik_), but that are none of its slots or companions in their place: what a second look at a recording must not find."""
+    begun = F.upper(F.regexp_extract(F.element_at(F.split("path", "/"), -1), r"^(?i:ik_)?((?i:S\d+_A\d+_T\d+))", 1))
+    return classified.where(F.col("class").isin("UNEXPECTED", "MISPLACED")).withColumn("recording", begun).where("recording <> ''").select("recording", "path", "class")
+
+
 def pair_modalities(files: DataFrame, kinds: dict[str, str]) -> DataFrame:
     """recording, a path for each kind (extension to column), inventory_complete, n_extra (files beyond one a kind, or of no kind)."""
     named = files.where(F.col("recording").isNotNull())

@@ -155,3 +155,15 @@ def test_bundles(spark, tmp_path):
     assert sorted((r["recording_id"], r["state"]) for r in store.ended(spark, root).collect()) == [("r1", "SUCCESS"), ("r2", "FAILURE")]
     left = store.unfinished(spark, root, spark.createDataFrame([("r1",), ("r2",), ("r3",)], "recording_id string"))
     assert [r["recording_id"] for r in left.collect()] == ["r3"]
+
+
+def test_classes_of_names(spark):
+    cases = {
+        "S01/S01_A01_T01.csv": ("POSE", "S01_A01_T01"), "S01/s01_a01_t01.raw": ("RAW", "S01_A01_T01"), "S01/S01_A01_T01_POSE.mp4": ("VIDEO", "S01_A01_T01"), "S1/S1_A7_T300.csv": ("POSE", "S1_A7_T300"), "S01/S01_A01_T01.CSV": ("UNEXPECTED", None), "S01/S01_A01_T01_nPose.csv": ("COMPANION", "S01_A01_T01"),
+        "S48/S48_A02_T02.mot": ("COMPANION", "S48_A02_T02"), "S48/S48_A02_T01.mot": ("UNEXPECTED", None), "S48/s48_A02_T02.mot": ("UNEXPECTED", None), "S01/ik_S01_A01_T01.mot": ("COMPANION", "S01_A01_T01"), "S01/IK_S01_A01_T01.mot": ("UNEXPECTED", None), "S01/S01_A01_T01.mp4.out": ("COMPANION", "S01_A01_T01"),
+        "S01/S01_A01_T01_Npose.mp4.out": ("COMPANION", "S01_A01_T01"), "S02/S01_A01_T01.sto": ("MISPLACED", "S01_A01_T01"), "S01/x/S01_A01_T01.csv": ("MISPLACED", "S01_A01_T01"), "S01/S01_A01_T01b.csv": ("UNEXPECTED", None), "S01/readme.txt": ("UNEXPECTED", None), "S01/S01_A01_T01_orientationErrors.sto": ("UNEXPECTED", None),
+    }
+    classified = texts.file_classes(spark.createDataFrame([(p,) for p in cases], "path string"))
+    assert {r["path"]: (r["class"], r["recording"]) for r in classified.collect()} == cases
+    odd = {(r["path"], r["recording"]) for r in texts.strays(classified).collect()}
+    assert odd == {(p, p.split("/")[-1].upper().removeprefix("IK_").split(".")[0].split("B.")[0].rstrip("B").removesuffix("_ORIENTATIONERRORS")) for p, (c, _) in cases.items() if c in ("UNEXPECTED", "MISPLACED") and "readme" not in p}
