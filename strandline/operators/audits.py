@@ -116,3 +116,57 @@ def primary_rules(results: DataFrame, detections: DataFrame, frame: list[str], r
     }
     found = F.filter(F.array(*(F.when(F.coalesce(c, F.lit(False)), F.lit(r)) for r, c in rules.items())), lambda r: r.isNotNull())
     return out.union(x.select(F.explode(found).alias("rule"), name(*frame)))
+
+
+def recording_evidence(logs: DataFrame, poses: DataFrame) -> DataFrame:
+    """recording, raw_rows, raw_dynamic_rows, invalid_quaternions, npose (ZERO if every calibration row's time is exactly zero, else
+    NONZERO; null without such rows), pose_rows, fully_zero_rows, any_zero_rows of each recording that has rows of either kind (null
+    counts where it has none). logs and poses: rows of texts.sensor_log and texts.pose_table, whose path is the recording."""
+    calibration = F.col("source_epoch_kind") == "NPOSE_CALIBRATION"
+    zero = F.coalesce(F.col("source_timestamp_token").rlike(r"^0+(\.0*)?$"), F.lit(False))
+    a = logs.groupBy(F.col("path").alias("recording")).agg(
+        F.count("*").alias("raw_rows"), F.count_if(~calibration).alias("raw_dynamic_rows"), F.count_if(F.col("source_quality_bits").bitwiseAND(F.lit(BITS["INVALID_IMU_PAYLOAD"])) != 0).alias("invalid_quaternions"),
+        F.when(F.count_if(calibration) == 0, None).when(F.every(zero | ~calibration), "ZERO").otherwise("NONZERO").alias("npose"),
+    )
+    b = poses.groupBy(F.col("path").alias("recording")).agg(F.count("*").alias("pose_rows"), F.count_if(F.forall("zero_triplet_mask", lambda z: z)).alias("fully_zero_rows"), F.count_if(F.exists("zero_triplet_mask", lambda z: z)).alias("any_zero_rows"))
+    return a.join(b, "recording", "full")
+
+
+def release_aggregates(evidence: DataFrame) -> DataFrame:
+    """measure, value: what a release counts over the evidence of its recordings; a pair has rows of both kinds."""
+    pair = F.col("raw_rows").isNotNull() & F.col("pose_rows").isNotNull()
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    one = evidence.agg(
+        F.count_if(pair).alias("pairs"), *(total(c).alias(c) for c in ("raw_rows", "raw_dynamic_rows", "invalid_quaternions", "pose_rows", "fully_zero_rows", "any_zero_rows")), F.count_if(F.col("npose") == "ZERO").alias("npose_zero_recordings"),
+        F.count_if(F.col("npose") == "NONZERO").alias("npose_nonzero_recordings"), F.count_if(F.col("invalid_quaternions") > 0).alias("invalid_quaternion_recordings"), F.count_if(F.col("fully_zero_rows") > 0).alias("fully_zero_recordings"),
+    )
+    return one.select(F.explode(F.array(*(F.struct(F.lit(c).alias("measure"), F.col(c).cast("long").alias("value")) for c in one.columns))).alias("m")).select("m.*")
+
+
+def affected_recordings(evidence: DataFrame) -> DataFrame:
+    """kind, recording of what a release has to name: INVALID_QUATERNION, NONZERO_NPOSE, FULLY_ZERO_POSE, UNPAIRED."""
+    rules = {"INVALID_QUATERNION": F.col("invalid_quaternions") > 0, "NONZERO_NPOSE": F.col("npose") == "NONZERO", "FULLY_ZERO_POSE": F.col("fully_zero_rows") > 0, "UNPAIRED": F.col("raw_rows").isNull() | F.col("pose_rows").isNull()}
+    found = F.filter(F.array(*(F.when(F.coalesce(c, F.lit(False)), F.lit(r)) for r, c in rules.items())), lambda r: r.isNotNull())
+    return evidence.select(F.explode(found).alias("kind"), "recording")
+
+
+def instruction_summary(instructions: DataFrame, apart: str = "mp4") -> DataFrame:
+    """type, n, n_recordings, sequence_sha256 of trim instructions without a problem: a row for each type, one for all (type `all`), and
+    one for all but `apart` (`others`). The hash is of their line numbers, recordings, cuts and row digests, in the order of lines."""
+    x = instructions.where("problem is null").select("type", "recording_id", "line_number", "cut_frames", "row_sha256")
+    groups = F.array(F.col("type"), F.lit("all"), F.when(F.col("type") != apart, "others"))
+    y = x.select(F.explode(F.filter(groups, lambda g: g.isNotNull())).alias("group"), "*")
+    counts = y.groupBy("group").agg(F.count_distinct("recording_id").alias("n_recordings"))
+    hashed = sequence_hashes(y, ["line_number"], ["group"], ["line_number", "recording_id", "type", "cut_frames", "row_sha256"])
+    return hashed.join(counts, "group").select(F.col("group").alias("type"), F.col("n_rows").alias("n"), "n_recordings", "sequence_sha256")
+
+
+def mapping_summary(choices: DataFrame, by_kind: DataFrame, kinds: tuple[str, ...] = ("csv", "mot", "mp4", "raw")) -> DataFrame:
+    """classification, n of the recordings that plots choose: their direction, or AMBIGUOUS where the video is the one that is cut and
+    instructions cut every kind. choices: recording, direction, one row each; by_kind: recording, a column for each kind."""
+    every = F.lit(True)
+    for k in kinds:
+        every &= F.col(k).isNotNull()
+    x = choices.join(by_kind.where(every).select("recording", F.lit(True).alias("__every")), "recording", "left")
+    kind = F.when((F.col("direction") == "VIDEO") & F.col("__every"), "AMBIGUOUS").otherwise(F.col("direction"))
+    return x.groupBy(kind.alias("classification")).agg(F.count("*").alias("n"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType
 
 from ..functions import ids
-from ..operators import clock, contracts, detections, documents, frames, reconcile, timeseries, validate
+from ..operators import audits, clock, contracts, detections, documents, frames, reconcile, timeseries, validate
 from ..operators.timeseries import DAY
 from ..schemas import closed
 from ..sources import files, ranges, store, texts
@@ -721,7 +721,68 @@ SELECT s_suppkey, sha256(a || CASE c WHEN 2 THEN '  "key": "' || n || '"' ELSE C
   CASE c WHEN 0 THEN '$.extra is unknown' WHEN 1 THEN '' WHEN 3 THEN '$.note is none of [''é'']' ELSE '$.name is missing|$.key is no int' END AS wrong FROM s
 """
 
+
+def _release(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evidence of logs (users) and poses (vectors); some calibrate at time zero, some have rows of nothing but zeros."""
+    logs = texts.sensor_log(_log_lines(spark, sf_dir, False))
+    logs = logs.withColumn("source_timestamp_token", F.when((F.col("path") % 5 == 0) & (F.col("source_epoch_kind") == "NPOSE_CALIBRATION"), "0.000").otherwise(F.col("source_timestamp_token")))
+    poses = texts.pose_table(_pose_lines(spark, sf_dir, False))
+    poses = poses.withColumn("zero_triplet_mask", F.when(F.col("path") % 40 == 0, F.transform("zero_triplet_mask", lambda z: F.lit(True))).otherwise(F.col("zero_triplet_mask")))
+    return audits.recording_evidence(logs, poses)
+
+
+def release_aggregates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audits.release_aggregates(_release(spark, sf_dir))
+
+
+_RELEASE_SQL = _LOG_SQL + """
+l AS (SELECT user_id AS rec, count(*) AS n, count(*) FILTER (o >= 5) AS dyn, count(*) FILTER (value IS NULL OR event_id % 37 = 0) AS bad, CASE WHEN user_id % 5 = 0 THEN 'ZERO' ELSE 'NONZERO' END AS npose FROM e GROUP BY user_id),
+p AS (SELECT vec_id AS rec, count(*) AS n, count(*) FILTER (vec_id % 40 = 0) AS fully, count(*) FILTER (vec_id % 10 = 0) AS any_zero FROM embeddings GROUP BY vec_id),
+x AS (SELECT coalesce(l.rec, p.rec) AS recording, l.n AS raw, dyn, bad, npose, p.n AS pose, fully, any_zero FROM l FULL JOIN p ON l.rec = p.rec)
+"""
+RELEASE_AGGREGATES = _RELEASE_SQL + """
+SELECT unnest(['pairs', 'raw_rows', 'raw_dynamic_rows', 'invalid_quaternions', 'pose_rows', 'fully_zero_rows', 'any_zero_rows', 'npose_zero_recordings', 'npose_nonzero_recordings', 'invalid_quaternion_recordings', 'fully_zero_recordings']) AS measure,
+  unnest([count(*) FILTER (raw IS NOT NULL AND pose IS NOT NULL), sum(raw), sum(dyn), sum(bad), sum(pose), sum(fully), sum(any_zero), count(*) FILTER (npose = 'ZERO'), count(*) FILTER (npose = 'NONZERO'), count(*) FILTER (bad > 0), count(*) FILTER (fully > 0)]::BIGINT[]) AS value FROM x
+"""
+
+
+def affected_recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audits.affected_recordings(_release(spark, sf_dir))
+
+
+AFFECTED_RECORDINGS = _RELEASE_SQL + """
+SELECT 'INVALID_QUATERNION' AS kind, recording FROM x WHERE bad > 0 UNION ALL SELECT 'NONZERO_NPOSE', recording FROM x WHERE npose = 'NONZERO' UNION ALL SELECT 'FULLY_ZERO_POSE', recording FROM x WHERE fully > 0 UNION ALL SELECT 'UNPAIRED', recording FROM x WHERE raw IS NULL OR pose IS NULL
+"""
+
+
+def instruction_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audits.instruction_summary(texts.instructions(_instruction_lines(spark, sf_dir))).select("type", "n", "n_recordings")
+
+
+INSTRUCTION_SUMMARY = _INSTRUCTIONS_SQL + """
+, g AS (SELECT rec, unnest(list_filter([type, 'all', CASE WHEN type <> 'mp4' THEN 'others' END], lambda t: t IS NOT NULL)) AS type FROM p WHERE problem IS NULL)
+SELECT type, count(*)::BIGINT AS n, count(DISTINCT rec)::BIGINT AS n_recordings FROM g GROUP BY type
+"""
+
+
+def mapping_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as recordings: a direction each, and instructions of some kinds."""
+    k = F.col("o_orderkey")
+    o = table(spark, sf_dir, "orders")
+    chosen = o.select(k.alias("recording"), _cases(k, [F.lit("IMU"), F.lit("VIDEO"), F.lit("ZERO")]).alias("direction"))
+    cut = lambda n: F.when(k % n != 0, 1)
+    return audits.mapping_summary(chosen, o.select(k.alias("recording"), cut(2).alias("csv"), cut(5).alias("mot"), cut(7).alias("mp4"), cut(11).alias("raw")))
+
+
+MAPPING_SUMMARY = """
+SELECT CASE WHEN o_orderkey % 3 = 1 AND o_orderkey % 2 <> 0 AND o_orderkey % 5 <> 0 AND o_orderkey % 7 <> 0 AND o_orderkey % 11 <> 0 THEN 'AMBIGUOUS' WHEN o_orderkey % 3 = 0 THEN 'IMU' WHEN o_orderkey % 3 = 1 THEN 'VIDEO' ELSE 'ZERO' END AS classification, count(*)::BIGINT AS n FROM orders GROUP BY 1
+"""
+
 FUNCTIONS = [
+    release_aggregates,
+    affected_recordings,
+    instruction_summary,
+    mapping_summary,
     sensor_log_rows,
     sensor_log_faults,
     pose_rows,
