@@ -37,7 +37,8 @@ _NORMAL, _UNKNOWN, _CONTROL, _BYTE = 1, 2, 3, 6
 class Model:
     """Pieces of a SentencePiece BPE model whose normaliser is identity."""
 
-    def __init__(self, proto: bytes):
+    def __init__(self, proto: bytes, remember: int | None = None):
+        remember = REMEMBERED if remember is None else remember
         sp = sentencepiece.SentencePieceProcessor(model_proto=proto)
         self.pieces = [sp.id_to_piece(i) for i in range(sp.get_piece_size())]
         special = [sp.is_unknown(i) or sp.is_control(i) or sp.is_byte(i) for i in range(len(self.pieces))]
@@ -56,9 +57,9 @@ class Model:
         self.inner = {x for p in self.ids for x in map(add, p, p[1:])}
         self.special = self.hidden | self.of_byte.keys() | {self.unknown}
         self.decimal = [f" {i}" for i in range(len(self.pieces))]
-        self.parts = _Remembered(self._part, 4)
-        self.listed = _Remembered(self._listed)
-        self.coded = _Remembered(self._coded)
+        self.parts = _Remembered(self._part, remember // 4)
+        self.listed = _Remembered(self._listed, remember)
+        self.coded = _Remembered(self._coded, remember)
         self.follows: dict[int, bool] = {}
 
     def merged(self, text: str) -> list[str]:
@@ -174,9 +175,9 @@ class Model:
 class _Remembered(dict):
     """Values of a function of a unit. When they take up too much, those not asked for since the last time are forgotten."""
 
-    def __init__(self, make: Callable, share: int = 1):
+    def __init__(self, make: Callable, most: int):
         super().__init__()
-        self.make, self.before, self.weight, self.share = make, {}, 0, share
+        self.make, self.before, self.weight, self.most = make, {}, 0, most
 
     def __missing__(self, unit: str):
         if len(unit) > LONG:
@@ -185,7 +186,7 @@ class _Remembered(dict):
         if value is None:
             value = self.make(unit)
         weight = 4 * len(unit) + 40  # ids are no more than a unit's bytes
-        if self.weight + weight > REMEMBERED // self.share:
+        if self.weight + weight > self.most:
             self.before = dict(self)
             self.clear()
             self.weight = 0
@@ -217,19 +218,19 @@ def _utf8(data: bytearray) -> str:
 
 
 _UNIT = regex.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
-_models: dict[str, Model] = {}
+_models: dict[tuple[str, int], Model] = {}
 
 
-def model_of(proto) -> Model:
+def model_of(proto, remember: int) -> Model:
     """The model of a broadcast, built once in each Python worker."""
-    key = hashlib.sha256(proto.value).hexdigest()
+    key = hashlib.sha256(proto.value).hexdigest(), remember
     if key not in _models:
-        _models[key] = Model(proto.value)
+        _models[key] = Model(proto.value, remember)
     return _models[key]
 
 
-def _encoded(batches: Iterator[pa.RecordBatch], column: str, proto, digests: bool) -> Iterator[pa.RecordBatch]:
-    model = model_of(proto)
+def _encoded(batches: Iterator[pa.RecordBatch], column: str, proto, digests: bool, remember: int) -> Iterator[pa.RecordBatch]:
+    model = model_of(proto, remember)
     for batch in batches:
         row = batch.column(0)
         texts = pc.struct_field(row, column).cast(pa.string())
@@ -254,21 +255,21 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
 
 
-def encode(docs: DataFrame, model_path: str, text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, model_path: str, text_col: str = "text", remember: int = REMEMBERED) -> DataFrame:
     """row (struct of the columns of docs), ids (with the end id), decoded text of every row of docs.
 
-    The model file, of a fixed size, is read on the driver and broadcast. Null and empty texts have the end id only
+    A Python worker keeps what it remembers of units (remember, see REMEMBERED) for its next tasks. The model file, of a fixed size, is read on the driver and broadcast. Null and empty texts have the end id only
     and decode to an empty text. A very long text is one row's work, in proportion to its length. Repeated rows, and
     rows of one id, are encoded each by its own text; of equally scored merges the first one goes first, as in the
     library. Without documents there are no rows; other columns stay in row.
     """
     proto, rows = _proto(docs, model_path), _rows(docs)
     schema = StructType([rows.schema["row"], StructField("ids", ArrayType(IntegerType())), StructField("decoded", StringType())])
-    return rows.mapInArrow(lambda x: _encoded(x, text_col, proto, False), schema)
+    return rows.mapInArrow(lambda x: _encoded(x, text_col, proto, False, remember), schema)
 
 
 def encoding_report(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row of docs; digests are made where texts are encoded."""
     proto, rows = _proto(docs, model_path), _rows(docs.select(*dict.fromkeys([id_col, text_col])))
     schema = StructType().add(rows.schema["row"]).add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
-    return rows.mapInArrow(lambda x: _encoded(x, text_col, proto, True), schema).select(F.col("row")[id_col].alias("doc_id"), "n_tokens", "ids_sha256", "decoded_sha256")
+    return rows.mapInArrow(lambda x: _encoded(x, text_col, proto, True, REMEMBERED), schema).select(F.col("row")[id_col].alias("doc_id"), "n_tokens", "ids_sha256", "decoded_sha256")
