@@ -36,7 +36,8 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, ids and the text that they decode to.
 
     Null and empty texts have the end id only; ids may be null or repeat, a row for each. Without documents there are no rows."""
-    found = pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    # workers go on to other stages with what they remember, so they keep less here
+    found = pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), remember=12_000_000)
     return found.selectExpr("row.doc_id AS doc_id", "row.lang AS lang", "row.source AS source", "size(ids) AS n_tokens", "ids", "decoded")
 
 
