@@ -93,3 +93,28 @@ def test_ids_of_detections_byte_by_byte(spark):
 def test_removed_rows_are_whole_divisions(spark, cut):
     got = spark.createDataFrame([(k, cut) for k in ("csv", "mot", "raw", "mp4")], "k string, c long").select("k", exact.removed_rows(F.col("k"), F.col("c")).alias("n")).collect()
     assert {r["k"]: r["n"] for r in got} == {"csv": cut, "mot": cut * 5 // 3, "raw": cut * 25 // 3, "mp4": None}
+
+
+def test_aggregates_of_a_release(spark):
+    logs = [("a", "NPOSE_CALIBRATION", "0.00", 0), ("a", "DYNAMIC_OBSERVATION", "5", 2048), ("b", "NPOSE_CALIBRATION", "0", 0), ("b", "NPOSE_CALIBRATION", "0.5", 0), ("c", "DYNAMIC_OBSERVATION", "1", 4), ("d", "NPOSE_CALIBRATION", None, 0)]
+    poses = [("a", [True, False]), ("a", [True, True]), ("b", [False, False]), ("e", [False, True])]
+    made = audits.recording_evidence(spark.createDataFrame(logs, "path string, source_epoch_kind string, source_timestamp_token string, source_quality_bits long"), spark.createDataFrame(poses, "path string, zero_triplet_mask array<boolean>"))
+    assert {r["recording"]: r["npose"] for r in made.collect()} == {"a": "ZERO", "b": "NONZERO", "c": None, "d": "NONZERO", "e": None}
+    assert {r["measure"]: r["value"] for r in audits.release_aggregates(made).collect()} == {
+        "pairs": 2, "raw_rows": 6, "raw_dynamic_rows": 2, "invalid_quaternions": 1, "pose_rows": 4, "fully_zero_rows": 1, "any_zero_rows": 3, "npose_zero_recordings": 1, "npose_nonzero_recordings": 2, "invalid_quaternion_recordings": 1, "fully_zero_recordings": 1,
+    }
+    assert sorted(map(tuple, audits.affected_recordings(made).collect())) == [("FULLY_ZERO_POSE", "a"), ("INVALID_QUATERNION", "a"), ("NONZERO_NPOSE", "b"), ("NONZERO_NPOSE", "d"), ("UNPAIRED", "c"), ("UNPAIRED", "d"), ("UNPAIRED", "e")]
+    assert {r["value"] for r in audits.release_aggregates(made.limit(0)).collect()} == {0}
+
+
+def test_summaries_of_instructions_and_mappings(spark):
+    rows = [("csv", "r1", 1, 3, "x", None), ("mp4", "r1", 2, 4, "y", None), ("raw", "r2", 3, 5, "z", None), ("csv", "r3", 4, 5, "w", "RANGE")]
+    make = lambda rows: spark.createDataFrame(rows, "type string, recording_id string, line_number long, cut_frames int, row_sha256 string, problem string")
+    got = {r["type"]: (r["n"], r["n_recordings"], r["sequence_sha256"]) for r in audits.instruction_summary(make(rows)).collect()}
+    assert {k: v[:2] for k, v in got.items()} == {"csv": (1, 1), "mp4": (1, 1), "raw": (1, 1), "all": (3, 2), "others": (2, 2)}
+    digest = lambda v: hashlib.sha256("".join(f"V{len(str(x))}:{x}" for x in v).encode()).digest()
+    # columns are hashed in the table's order: group aside, type, recording, line, cut, digest
+    assert got["others"][2] == sequences.serial_hash([digest(("csv", "r1", 1, 3, "x")), digest(("raw", "r2", 3, 5, "z"))])
+    chosen = spark.createDataFrame([("r1", "VIDEO"), ("r2", "VIDEO"), ("r3", "IMU"), ("r4", "ZERO")], "recording string, direction string")
+    kinds = spark.createDataFrame([("r1", 1, 1, 1, 1), ("r2", 1, None, 1, 1), ("r3", 1, 1, 1, 1)], "recording string, csv int, mot int, mp4 int, raw int")
+    assert {r["classification"]: r["n"] for r in audits.mapping_summary(chosen, kinds).collect()} == {"AMBIGUOUS": 1, "VIDEO": 1, "IMU": 1, "ZERO": 1}

@@ -1,5 +1,9 @@
 """Every registered query against its SQL counterpart in DuckDB."""
 
+import subprocess
+import sys
+from pathlib import Path
+
 import duckdb
 import pytest
 
@@ -44,3 +48,8 @@ def test_all_orders_meet_customers(spark, tmp_path):
     got = {r["link"]: r for r in catalog.queries()["fk_reconciliation_of_all_orders"](spark, str(tmp_path)).collect()}
     assert [got["orders"][c] for c in ("parents", "children", "orphans", "childless", "repeated")] == [3, 3, 1, 1, 0]
     assert [got["lineitem"][c] for c in ("parents", "children", "orphans", "childless", "repeated")] == [3, 2, 1, 2, 0]
+
+
+def test_queries_are_listed_without_a_session():
+    code = "import __spark_entry__ as e; q, s = e.queries(), e.oracle_sql(); assert len(q) > 90 and set(s) <= set(q); from pyspark.sql import SparkSession; assert SparkSession.getActiveSession() is None"
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=Path(__file__).resolve().parent.parent, timeout=120)
