@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import documents, estimators, sequences, timeseries
+from ..operators import documents, estimators, rotations, sequences, timeseries
 from ..operators.timeseries import DAY
 from ..sources import files, parts, ranges, store, texts
 from ..sources.files import ship
@@ -244,7 +244,21 @@ SELECT e.user_id, e.event_id, CASE WHEN e.status = 'SUCCESS' AND p IS NOT NULL T
 FROM e LEFT JOIN s USING (user_id, event_id)
 """
 
+def widest_rotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The widest rotation between any two events of a type, of which there are few, so groups are large."""
+    a, b = F.col("value") / 40, F.col("user_id") % 97 / 97.0
+    q = F.array(F.cos(a), F.sin(a) * F.cos(b), F.sin(a) * F.sin(b), F.lit(0.0))
+    x = events(spark, sf_dir).where("value is not null").select("event_type", q.alias("q"))
+    return rotations.rotation_ranges(x, ["event_type"], "q").select("event_type", F.round("angle", 5).alias("angle"))
+
+
+WIDEST_ROTATIONS = """
+WITH e AS (SELECT event_type AS t, cos(value / 40) AS w, sin(value / 40) * cos(user_id % 97 / 97.0) AS x, sin(value / 40) * sin(user_id % 97 / 97.0) AS y FROM events WHERE value IS NOT NULL)
+SELECT a.t AS event_type, round(2 * acos(least(1.0, min(abs(a.w * b.w + a.x * b.x + a.y * b.y) / sqrt(a.w * a.w + a.x * a.x + a.y * a.y) / sqrt(b.w * b.w + b.x * b.x + b.y * b.y)))), 5) AS angle FROM e a JOIN e b ON a.t = b.t GROUP BY a.t
+"""
+
 FUNCTIONS = [
+    widest_rotations,
     laid_out_replay,
     estimates,
     epochs_out_of_order,

@@ -119,3 +119,22 @@ def test_states_do_not_grow_with_the_overlap_of_windows(spark):
         policy = windows.Policy(window, 500)
         counts[window] = windows.pane_states(windows.placed(rows, cut, ["u"], policy), ["u", "segment", "kind"], policy, {}).count()
     assert counts == {1000: 40, 4000: 40}
+
+
+@pytest.mark.parametrize("chunk", [50, 1 << 15])
+def test_rotations_of_groups_of_any_size(spark, chunk):
+    groups = {**sets(700), "few": np.array([[1.0, 0, 0, 0]]), "pair": np.array([[1.0, 0, 0, 0], [0.6, 0.8, 0, 0]])}
+    rows = [(g, v.tolist()) for g, q in groups.items() for v in q] + [("few", None), (None, [1.0, 0.0, 0.0, 0.0]), (None, [0.0, 0.0, 0.0, -1.0]), ("nan", [float("nan")] * 4), ("nan", [1.0, 0.0, 0.0, 0.0]), ("short", [1.0]), ("short", [1.0, 0.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "g string, q array<double>").repartition(5)
+    got = {r["g"]: r["angle"] for r in rotations.rotation_ranges(df, ["g"], "q", chunk=chunk).collect()}
+    want = {g: 2 * np.arccos(min(1.0, all_pairs(q))) for g, q in groups.items() if g != "few"} | {"few": 0.0, None: np.pi, "nan": 0.0, "short": 0.0}
+    assert got.keys() == want.keys() and all(abs(got[g] - want[g]) < 1e-7 for g in want)
+    with pytest.raises(Exception, match="norm 1"):
+        rotations.rotation_ranges(spark.createDataFrame([("a", [2.0, 0.0, 0.0, 0.0]), ("a", [1.0, 0.0, 0.0, 0.0])], df.schema), ["g"], "q").collect()
+    assert rotations.rotation_ranges(df.limit(0), ["g"], "q").count() == 0
+
+
+def test_least_between_is_that_of_all_pairs():
+    for n, m in ((3, 800), (800, 70), (900, 1500)):
+        for (a, p), (b, q) in zip(sets(n).items(), list(sets(m).items())[::-1]):
+            assert abs(rotations.least_between(p, q) - float(np.abs(p @ q.T).min())) < 1e-15, (a, b)
