@@ -3,6 +3,7 @@
 import base64
 import gzip
 import hashlib
+import math
 import random
 import re
 from collections import defaultdict
@@ -342,6 +343,41 @@ def test_rules(odd, empty, labels, no_labels, table):
     assert (x["kept"] == (x["quality"] == 1)).mean() > 0.9 and x[x["quality"] == 1]["kept"].mean() > 0.97
 
 
+def grown_by_hand(rows, bounds):
+    """The highest FOIL gain of any condition on rows (bad, statistics), every condition tried on every row."""
+    p0, n0 = sum(b for b, _ in rows), sum(1 - b for b, _ in rows)
+    best = None
+    for k, f in enumerate(rules.FEATURES):
+        for bound in bounds[f]:
+            for sign in ("<=", ">"):
+                kept = [b for b, x in rows if (x[k] <= bound) == (sign == "<=")]
+                p, n = sum(kept), len(kept) - sum(kept)
+                if p and p0 and n0:
+                    gain = p * (math.log2(p / (p + n)) - math.log2(p0 / (p0 + n0)))
+                    if gain > (best[0] if best else 1e-9):
+                        best = gain, (f, sign, bound)
+    return best
+
+
+def test_conditions_of_rules_by_hand(spark):
+    rnd = random.Random(14)
+    for _ in range(4):
+        rows = [(int(rnd.random() < 0.3), [round(rnd.random(), 2) for _ in rules.FEATURES]) for _ in range(150)]
+        rows = [(b, [v + 0.3 * b * (k == 2) for k, v in enumerate(x)]) for b, x in rows]
+        df = spark.createDataFrame([(b, *x, True) for b, x in rows], "bad int, " + ", ".join(f"{f} double" for f in rules.FEATURES) + ", grow boolean")
+        bounds = rules._bounds(df, 8)
+        assert all(b == sorted(set(b)) for b in bounds.values())
+        binned = rules._binned(df, bounds)
+        gain, condition = rules._best(binned, bounds)
+        want = grown_by_hand(rows, bounds)
+        assert abs(gain - want[0]) < 1e-9 and condition == want[1]
+        # the next condition, on the rows that the first one keeps
+        kept = [(b, x) for b, x in rows if (x[rules.FEATURES.index(condition[0])] <= condition[2]) == (condition[1] == "<=")]
+        assert df.where(rules.conjunction([condition])).count() == binned.where(rules._within([condition], bounds)).count() == len(kept)
+        then, more = rules._best(binned.where(rules._within([condition], bounds)), bounds), grown_by_hand(kept, bounds)
+        assert (then is None) == (more is None) and (then is None or abs(then[0] - more[0]) < 1e-9)
+
+
 def test_a_rule_that_is_learned(spark):
     """Bad texts shout, or repeat words; the list that is learned says so."""
     rnd = random.Random(2)
