@@ -13,22 +13,34 @@ ORACLE_SQL = None
 
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that was learned; those without a letter go."""
+    """Documents in a language that was learned; those without a letter go.
+
+    Null and empty texts go, null ids and languages don't matter; repeated rows stay or go together; other columns stay as they
+    are. Without a labelled document nothing is identified and all go; without documents there are none."""
     return language.with_language(docs)
 
 
 def first_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (five-word shingles, similarity 0.8) the document with the least id."""
+    """Of each group of near-duplicates (five-word shingles, similarity 0.8) the document with the least id.
+
+    Null and empty texts are in no group and stay, as do rows with a null id; all rows of the id that stays are kept, however
+    often they repeat, and of an id with several texts all rows stay or go. Other columns stay as they are."""
     return near_dedup.first_of_each_group(docs)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without passages that occurred before."""
+    """Documents without passages that occurred before.
+
+    Of equal passages the one with the least id stays, then the first in its text; repeated rows and rows of one id take nothing from
+    each other, nor do rows with a null id. Documents of which nothing is left go; null and empty texts stay. n_chars, if it is
+    there, is brought up to date; other columns stay as they are."""
     return chunks.without_repeats(docs, length_col="n_chars" if "n_chars" in docs.columns else None)
 
 
 def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that share no ten words in a row with the benchmark."""
+    """Documents that share no ten words in a row with the benchmark (or all words of a shorter item).
+
+    Null and empty texts, and null items, share nothing and stay; repeated rows stay or go together; other columns stay as they are."""
     return decontaminate.without_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
