@@ -6,15 +6,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schemas import BITS, INFERENCE_STATUSES
-from .timeseries import neighbours
+from .timeseries import neighbours, ordinals
 
 
-def classify(frames: DataFrame, keys: list[str], pts: str = "pts", decoded: str = "decode_ordinal", gap: int = 1_000_000_000) -> DataFrame:
+#: Decode ordinals that are ordered together where a stream is cut.
+ORDINALS = 65_536
+
+
+def classify(frames: DataFrame, keys: list[str], pts: str = "pts", decoded: str = "decode_ordinal", gap: int = 1_000_000_000, bucket: int | None = None) -> DataFrame:
     """frames with same_pts_rank, presentation_ordinal, gap_before, quality_bits, pts_status.
 
     Order within keys: decode order for reversals, (pts, same_pts_rank) for presentation; frames without pts have no
     place there. Bits may combine; the status is the first of MISSING, DUPLICATE, NON_MONOTONIC, DISCONTINUITY, VALID.
+
+    With a bucket, a width in the units of pts, a stream is ordered in buckets of pts and of ORDINALS decode ordinals, so a long one is the work
+    of many tasks; without, it is one task's.
     """
+    if bucket is not None:
+        return _flagged(_placed(frames, keys, pts, decoded, bucket), pts, gap)
     same = Window.partitionBy(*keys, pts).orderBy(decoded)
     shown = Window.partitionBy(*keys).orderBy(F.col(pts).asc_nulls_last(), decoded)
     before = Window.partitionBy(*keys).orderBy(decoded).rowsBetween(Window.unboundedPreceding, -1)
@@ -23,6 +32,28 @@ def classify(frames: DataFrame, keys: list[str], pts: str = "pts", decoded: str
     x = x.withColumn("presentation_ordinal", F.when(present, F.row_number().over(shown) - 1).cast("long"))
     x = x.withColumn("gap_before", F.when(present, F.col(pts) - F.lag(pts).over(shown)))
     x = x.withColumn("__twice", present & (F.count("*").over(Window.partitionBy(*keys, pts)) > 1)).withColumn("__back", F.coalesce(F.col(pts) < F.last(pts, True).over(before), F.lit(False)))
+    return _flagged(x, pts, gap)
+
+
+def _placed(frames: DataFrame, keys: list[str], pts: str, decoded: str, bucket: int) -> DataFrame:
+    """frames with what classify derives from their order, ordered in buckets. Frames of one time are counted before they meet
+    what they have in common, so a time that many frames have is no task's own."""
+    timed = frames.where(F.col(pts).isNotNull())
+    x = neighbours(timed, keys, [decoded], [pts], ORDINALS).withColumn("__back", F.coalesce(F.col("prev_row")[pts] > F.col(pts), F.lit(False))).drop("prev_row", "next_row")
+    x = ordinals(x, keys, [pts, decoded], "presentation_ordinal", bucket)
+    x = neighbours(x, keys, [pts, decoded], [pts], bucket).withColumn("gap_before", F.col(pts) - F.col("prev_row")[pts]).drop("prev_row", "next_row")
+    first = x.groupBy(*keys, pts).agg(F.min("presentation_ordinal").alias("__first"), (F.count("*") > 1).alias("__twice"))
+    form = lambda df: df.withColumn("__k", F.struct(*keys, pts))  # noqa: E731  another form, so that Spark can split a frequent time's rows
+    x = form(x).join(form(first).select("__k", "__first", "__twice"), "__k").drop("__k")
+    x = x.withColumn("same_pts_rank", F.col("presentation_ordinal") - F.col("__first")).drop("__first")
+    none = {"same_pts_rank": "long", "presentation_ordinal": "long", "gap_before": x.schema["gap_before"].dataType, "__twice": "boolean", "__back": "boolean"}
+    missing = frames.where(F.col(pts).isNull()).select(*frames.columns, *(F.lit(False if c.startswith("__") else None).cast(t).alias(c) for c, t in none.items()))
+    return x.select(*frames.columns, *none).unionByName(missing)
+
+
+def _flagged(x: DataFrame, pts: str, gap: int) -> DataFrame:
+    """x with quality_bits and pts_status from __twice, __back and gap_before, which stays."""
+    present = F.col(pts).isNotNull()
     jump = F.coalesce(F.col("gap_before") > gap, F.lit(False))
     bit = lambda c, name: F.when(c, BITS[name]).otherwise(0)
     bits = bit(~present, "MISSING_TIMESTAMP").bitwiseOR(bit(F.col("__twice"), "DUPLICATE")).bitwiseOR(bit(F.col("__back"), "NON_MONOTONIC")).bitwiseOR(bit(jump, "STREAM_GAP"))

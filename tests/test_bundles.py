@@ -1,11 +1,13 @@
 """The contract of bundles: no rule is broken by sound tables, each by its fault, and timing as it is counted by hand."""
 
+import random
 from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
 
 from strandline.operators import bundles
+from strandline.operators import frames as frames_
 from strandline.plans import bundles as made
 
 SF = "/root/testdata/sf0.001"
@@ -88,3 +90,17 @@ def test_timing_is_as_counted_by_hand(spark):
     assert bundles.timing_rules(frames, manifest).collect() == []
     wrong = frames.withColumn("gap_before_ns", F.col("gap_before_ns") + F.when(F.col("decode_ordinal") == 4, 1).otherwise(0)).withColumn("pts_status", F.when(F.col("recording_id") == 2, "VALID").otherwise(F.col("pts_status")))
     assert sorted((r["rule"], r["key"]) for r in bundles.timing_rules(wrong, manifest).collect()) == [("GAP_BEFORE", "1/4"), *(("PTS_STATUS", f"2/{k}") for k in range(3))]
+
+
+@pytest.mark.parametrize("bucket", [1, 7, 1000])
+def test_frames_are_classified_alike_in_buckets(spark, monkeypatch, bucket):
+    rnd = random.Random(bucket)
+    monkeypatch.setattr(frames_, "ORDINALS", 5)
+    rows = [(s, o, None if rnd.random() < 0.1 else rnd.choice([o, o, o + 1, 2 * o - 20, 40]), "x") for s in (*range(4), None) for o in range(40)] + [(9, 0, None, "x"), (10, 0, -3, "x")]
+    df = spark.createDataFrame(rows, "s long, decode_ordinal long, pts long, gap string").repartition(5)
+    some = df.where("s is not null")
+    whole = frames_.classify(some, ["s"], gap=3)
+    cut = frames_.classify(some, ["s"], gap=3, bucket=bucket).select(*whole.columns)
+    assert sorted(map(tuple, cut.collect()), key=str) == sorted(map(tuple, whole.collect()), key=str)
+    plan = frames_.classify(some, ["s"], gap=3, bucket=bucket)._jdf.queryExecution().optimizedPlan().toString()
+    assert "__b" in plan and frames_.classify(some.limit(0), ["s"], bucket=bucket).count() == 0
