@@ -152,6 +152,69 @@ def _left_ends(words: Sequence, i: np.ndarray, other: Sequence, p: np.ndarray) -
     return np.concatenate(out_i or [i[:0]]), np.concatenate(out_p or [p[:0]])
 
 
+def _windows(words: Sequence, bench: Sequence, least: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """For each window that some text has: its places in the texts (in order), its places in the items, and its words."""
+    if not len(words.hashes) or not len(bench.hashes):
+        return
+    array = SuffixArray(words)
+    p, low, high = array.ranges(bench, least)
+    if not len(p):
+        return
+    # equal windows have one range; within a width, ranges of different windows don't overlap
+    _, window = np.unique(np.stack([low, high, least[p]]), axis=1, return_inverse=True)
+    by = np.argsort(window.reshape(-1), kind="stable")
+    for same in np.split(by, np.flatnonzero(np.diff(window.reshape(-1)[by])) + 1):
+        yield np.sort(array.order[low[same[0]] : high[same[0]]]), p[same], int(least[p[same[0]]])
+
+
+#: Pairs of a document and an item that a task gathers before it drops those that it has twice.
+_GATHERED = 1 << 20
+
+
+def _leaked_items(batches: Iterator[pa.RecordBatch], width: int, text: str, block: Broadcast) -> Iterator[pa.RecordBatch]:
+    """As _leaks, without the matches: of each document the items that it has windows of, and where it is hit."""
+    ids = pa.array(block.value["ids"], pa.string())
+    bench = Sequence(block.value["hashes"], block.value["of"])
+    least = np.minimum(np.diff(bench.of), width)[bench.text] if len(bench.hashes) else np.zeros(0, np.int64)
+    lists = lambda count, values: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32)), values)
+    for batch in batches:
+        row, earlier, spans = batch.columns
+        data, off = buffers(pc.struct_field(row, text))
+        for i, j in runs(off):
+            raw = Words(data[off[i] : off[j]], off[i : j + 1] - off[i], ALNUM)
+            words = Sequence(raw.hashes, raw.of)
+            marks, pairs, n = np.zeros(len(words.hashes) + 1, np.int64), [np.zeros(0, np.int64)], 0
+            for places, at, size in _windows(words, bench, least):
+                np.add.at(marks, places, 1)
+                np.add.at(marks, places + size, -1)
+                docs, items = np.unique(words.text[places]), np.unique(bench.text[at])
+                pairs.append((docs[:, None] * len(ids) + items).reshape(-1))
+                n += len(pairs[-1])
+                if n > _GATHERED:
+                    pairs = [np.unique(np.concatenate(pairs))]
+                    n = len(pairs[0]) if len(pairs[0]) < _GATHERED // 2 else 0
+            found = np.unique(np.concatenate(pairs))
+            here = lists(np.bincount(found // max(len(ids), 1), minlength=j - i), ids.take(pa.array(found % max(len(ids), 1))))
+            before, hit = earlier.slice(i, j - i), spans.slice(i, j - i)
+            if (k := pc.list_value_length(before).to_numpy(zero_copy_only=False)).any():
+                here = pa.array([a + b for a, b in zip(before.to_pylist(), here.to_pylist(), strict=True)], pa.list_(pa.string()))
+            if (k := pc.list_value_length(hit).to_numpy(zero_copy_only=False)).any():
+                flat = hit.flatten()
+                start = pc.struct_field(flat, "start").to_numpy() + np.repeat(words.of[:-1], k)
+                np.add.at(marks, start, 1)
+                np.add.at(marks, start + pc.struct_field(flat, "length").to_numpy(), -1)
+            inside = np.cumsum(marks[:-1]) > 0
+            # a run of words that are hit ends with its text
+            first = np.zeros(len(inside) + 1, bool)
+            first[words.of[:-1]] = True
+            begins = np.flatnonzero(inside & (first[:-1] | ~np.append(False, inside[:-1])))
+            ends = np.flatnonzero(inside & (np.append(first[1:-1], True) | ~np.append(inside[1:], False))) + 1 if len(inside) else begins
+            doc = words.text[begins]
+            where = lists(np.bincount(doc, minlength=j - i), pa.StructArray.from_arrays([pa.array(begins - words.of[doc]), pa.array(ends - begins)], ["start", "length"]))
+            total = np.concatenate([[0], np.cumsum(inside)])
+            yield pa.RecordBatch.from_arrays([row.slice(i, j - i), here, where, pa.array(np.diff(words.of)), pa.array(total[words.of[1:]] - total[words.of[:-1]])], ["row", "items", "spans", "n_words", "n_hit"])
+
+
 def _leaks(batches: Iterator[pa.RecordBatch], width: int, text: str, block: Broadcast) -> Iterator[pa.RecordBatch]:
     ids = block.value["ids"]
     bench = Sequence(block.value["hashes"], block.value["of"])
@@ -163,18 +226,10 @@ def _leaks(batches: Iterator[pa.RecordBatch], width: int, text: str, block: Broa
             raw = Words(data[off[i] : off[j]], off[i : j + 1] - off[i], ALNUM)
             words = Sequence(raw.hashes, raw.of)
             marks, found = np.zeros(len(words.hashes) + 1, np.int64), [np.zeros((2, 0), np.int64)]
-            if len(words.hashes) and len(bench.hashes):
-                array = SuffixArray(words)
-                p, low, high = array.ranges(bench, least)
-                # equal windows have one range; within a width, ranges of different windows don't overlap
-                _, window = np.unique(np.stack([low, high, least[p]]), axis=1, return_inverse=True)
-                by = np.argsort(window.reshape(-1), kind="stable")
-                for same in np.split(by, np.flatnonzero(np.diff(window.reshape(-1)[by])) + 1) if len(by) else []:
-                    places = np.sort(array.order[low[same[0]] : high[same[0]]])
-                    n = least[p[same[0]]]
-                    np.add.at(marks, places, 1)
-                    np.add.at(marks, places + n, -1)
-                    found.append(np.stack(_left_ends(words, places, bench, p[same])))
+            for places, p, n in _windows(words, bench, least):
+                np.add.at(marks, places, 1)
+                np.add.at(marks, places + n, -1)
+                found.append(np.stack(_left_ends(words, places, bench, p)))
             at, q = np.concatenate(found, 1)
             # an item shorter than the width is a window of its own size: it may lie in a longer match of its diagonal
             length = common(words, at, bench, q)
@@ -237,14 +292,32 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
     return rows
 
 
+def find_items(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", width: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """row (struct of the columns of docs), items, n_words, n_hit for every row of docs: as find_leaks, but for the matches only the
+    ids of the items that have any, each once (items that share an id too), in no order. A phrase that many items and many documents have makes a pair
+    of each document and item, not of all their places. Odd rows are handled as there."""
+    ship(docs.sparkSession)
+    spans = "array<struct<start: long, length: long>>"
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.array().cast("array<string>").alias("items"), F.array().cast(spans).alias("spans"))
+    schema = StructType([rows.schema["row"], *StructType.fromDDL(f"items array<string>, spans {spans}, n_words long, n_hit long").fields])
+    last = None
+    for block in _blocks(benchmark, item_col, item_text, block_bytes):
+        if last:
+            rows = cut(rows)  # so that no task holds two blocks
+            last.unpersist()
+        rows = rows.select("row", "items", "spans").mapInArrow(partial(_leaked_items, width=width, text=text_col, block=block), schema)
+        last = block
+    return rows.select("row", F.array_distinct("items").alias("items"), "n_words", "n_hit")
+
+
 def leak_report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **settings) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every row of docs; see find_leaks."""
-    found = find_leaks(docs.select(*dict.fromkeys([id_col, settings.get("text_col", "text")])), benchmark, **settings)
-    items = F.array_sort(F.array_distinct(F.filter(F.transform("matches", lambda m: m["item_id"]), lambda x: x.isNotNull())))
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every row of docs; see find_items."""
+    found = find_items(docs.select(*dict.fromkeys([id_col, settings.get("text_col", "text")])), benchmark, **settings)
+    items = F.array_sort(F.filter("items", lambda x: x.isNotNull()))
     out = found.select(F.col("row")[id_col].alias("doc_id"), "n_words", "n_hit", items.alias("items"))
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFrame:
     """The rows of docs that share no window with the benchmark."""
-    return find_leaks(docs, benchmark, **settings).where("n_hit = 0").select("row.*")
+    return find_items(docs, benchmark, **settings).where("n_hit = 0").select("row.*")

@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import defaultdict
 from itertools import combinations
 
@@ -14,6 +15,7 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 
 from strandline.llm import chunks, decontaminate, near_dedup, pieces, rules, textbytes, warc
 from strandline.llm.components import connected_components
@@ -286,6 +288,30 @@ def test_matches_of_repeated_words(spark, block):
         assert r["n_hit"] == len({i + n for _, _, i, k in want for n in range(k)})
 
 
+@pytest.mark.parametrize(("block", "gathered"), [(1 << 20, 1 << 20), (400, 1 << 20), (400, 3)])
+def test_items_are_those_of_the_matches(spark, monkeypatch, block, gathered):
+    monkeypatch.setattr(decontaminate, "_GATHERED", gathered)
+    rnd = random.Random(21)
+    words = [f"w{k}" for k in range(6)]
+    make = lambda n: " ".join(rnd.choice(words) for _ in range(n))
+    items = [(f"i{k}", make(rnd.choice([0, 1, 4, 9]))) for k in range(40)] + [("i3", make(6)), (None, make(5)), ("i4", None)]
+    texts = [(k, make(rnd.choice([0, 3, 30]))) for k in range(30)] + [(99, None), (99, "w1 w2"), (None, make(20))]
+    docs, bench = spark.createDataFrame(texts, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id string, text string")
+    full = decontaminate.find_leaks(docs, bench, width=4, block_bytes=block).select("row.doc_id", "row.text", "n_words", "n_hit", F.array_distinct(F.transform("matches", lambda m: m["item_id"])).alias("items"))
+    some = decontaminate.find_items(docs, bench, width=4, block_bytes=block).select("row.doc_id", "row.text", "n_words", "n_hit", "items")
+    shown = lambda df: sorted(((r["doc_id"], r["text"], r["n_words"], r["n_hit"], sorted(r["items"], key=str)) for r in df.collect()), key=str)
+    assert shown(full) == shown(some) and any(r[3] for r in shown(some))
+
+
+def test_a_phrase_of_many_items_and_documents(spark):
+    phrase = " ".join(f"p{k}" for k in range(14))
+    docs = spark.createDataFrame([(k, f"{phrase} d{k}") for k in range(400)], "doc_id long, text string").coalesce(1)
+    bench = spark.createDataFrame([(f"i{k}", f"b{k} {phrase}") for k in range(1500)], "item_id string, text string")
+    began = time.time()
+    got = decontaminate.leak_report(docs, bench).groupBy("n_words", "n_hit", "n_items").count().collect()
+    assert [tuple(r) for r in got] == [(15, 14, 1500, 400)] and time.time() - began < 60
+
+
 def test_suffixes_are_in_order():
     rnd = random.Random(3)
     for _ in range(30):
