@@ -94,7 +94,8 @@ def clock_epochs_in_any_order(samples: DataFrame, time: str, late: str) -> DataF
     samples: stream_id, source_ordinal, native_ns and the timestamp column `time`, which doesn't run back along a
     stream's ordinals. The state of a stream is its epoch and last time, and the rows that the watermark hasn't passed; a timer in
     event time hands those on, in order, when it has. So however rows fall into batches, the result is that of one
-    batch. Rows that come later than that are dropped, as from any watermark: see windows_and_ledger for keeping them."""
+    batch. Rows that come later than that are dropped, as from any watermark: see windows_and_ledger for keeping them.
+    State of this kind needs the RocksDB store, which the session uses from here on."""
     spark = samples.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     x = samples.withWatermark(time, late).select("stream_id", "source_ordinal", "native_ns", time, F.unix_millis(time).alias("at_millis"))
