@@ -49,45 +49,6 @@ def clock_epochs(samples: DataFrame) -> DataFrame:
     return samples.groupBy("stream_id").applyInPandasWithState(epochs, "stream_id long, source_ordinal long, native_ns long, epoch long", "epoch long, last long", "append", GroupStateTimeout.NoTimeout)
 
 
-class _Epochs(StatefulProcessor):
-    """Rows of a stream wait in state until the watermark has passed them, then go on in the order of their ordinals."""
-
-    def init(self, handle) -> None:
-        self.handle = handle
-        self.held = handle.getListState("held", "at long, ordinal long, native long")
-        self.last = handle.getValueState("last", "epoch long, native long")
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        earliest = None
-        for x in rows:
-            self.held.appendList([(int(a), int(o), int(t)) for a, o, t in zip(x["at_millis"], x["source_ordinal"], x["native_ns"])])
-            earliest = int(x["at_millis"].min()) if earliest is None else min(earliest, int(x["at_millis"].min()))
-        if earliest is not None:
-            self.handle.registerTimer(earliest)
-        return iter(())
-
-    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        passed = timerValues.getCurrentWatermarkInMs()
-        rows = list(self.held.get())
-        ready, waiting = sorted((r[1], r[2]) for r in rows if r[0] <= passed), [tuple(r) for r in rows if r[0] > passed]
-        if not ready:
-            return
-        self.held.put(waiting) if waiting else self.held.clear()
-        if waiting:
-            self.handle.registerTimer(min(r[0] for r in waiting))
-        epoch, last = self.last.get() if self.last.exists() else (0, None)
-        epochs = []
-        for _, t in ready:
-            epoch += last is not None and t < last
-            last = t
-            epochs.append(int(epoch))
-        self.last.update((int(epoch), int(last)))
-        yield pd.DataFrame({"stream_id": [key[0]] * len(ready), "source_ordinal": [o for o, _ in ready], "native_ns": [t for _, t in ready], "epoch": epochs})
-
-    def close(self) -> None:
-        pass
-
-
 def clock_epochs_in_any_order(samples: DataFrame, time: str, late: str) -> DataFrame:
     """As clock_epochs, for rows that come in any order, up to `late` behind the newest of all streams.
 
@@ -96,10 +57,49 @@ def clock_epochs_in_any_order(samples: DataFrame, time: str, late: str) -> DataF
     event time hands those on, in order, when it has. So however rows fall into batches, the result is that of one
     batch. Rows that come later than that are dropped, as from any watermark: see windows_and_ledger for keeping them.
     State of this kind needs the RocksDB store, which the session uses from here on."""
+    class Epochs(StatefulProcessor):
+        """Rows of a stream wait in state until the watermark has passed them, then go on in the order of their ordinals. Defined
+        here, so that it goes to the driver's and the executors' workers by value."""
+
+        def init(self, handle) -> None:
+            self.handle = handle
+            self.held = handle.getListState("held", "at long, ordinal long, native long")
+            self.last = handle.getValueState("last", "epoch long, native long")
+
+        def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+            earliest = None
+            for x in rows:
+                self.held.appendList([(int(a), int(o), int(t)) for a, o, t in zip(x["at_millis"], x["source_ordinal"], x["native_ns"])])
+                earliest = int(x["at_millis"].min()) if earliest is None else min(earliest, int(x["at_millis"].min()))
+            if earliest is not None:
+                self.handle.registerTimer(earliest)
+            return iter(())
+
+        def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+            passed = timerValues.getCurrentWatermarkInMs()
+            rows = list(self.held.get())
+            ready, waiting = sorted((r[1], r[2]) for r in rows if r[0] <= passed), [tuple(r) for r in rows if r[0] > passed]
+            if not ready:
+                return
+            self.held.put(waiting) if waiting else self.held.clear()
+            if waiting:
+                self.handle.registerTimer(min(r[0] for r in waiting))
+            epoch, last = self.last.get() if self.last.exists() else (0, None)
+            epochs = []
+            for _, t in ready:
+                epoch += last is not None and t < last
+                last = t
+                epochs.append(int(epoch))
+            self.last.update((int(epoch), int(last)))
+            yield pd.DataFrame({"stream_id": [key[0]] * len(ready), "source_ordinal": [o for o, _ in ready], "native_ns": [t for _, t in ready], "epoch": epochs})
+
+        def close(self) -> None:
+            pass
+
     spark = samples.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     x = samples.withWatermark(time, late).select("stream_id", "source_ordinal", "native_ns", time, F.unix_millis(time).alias("at_millis"))
-    return x.groupBy("stream_id").transformWithStateInPandas(_Epochs(), "stream_id long, source_ordinal long, native_ns long, epoch long", "append", "EventTime")
+    return x.groupBy("stream_id").transformWithStateInPandas(Epochs(), "stream_id long, source_ordinal long, native_ns long, epoch long", "append", "EventTime")
 
 
 def late_rows(events: DataFrame, time: str, keys: list[str], delay: int) -> DataFrame:
