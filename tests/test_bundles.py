@@ -2,6 +2,7 @@
 
 import random
 from fractions import Fraction
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -104,3 +105,13 @@ def test_frames_are_classified_alike_in_buckets(spark, monkeypatch, bucket):
     assert sorted(map(tuple, cut.collect()), key=str) == sorted(map(tuple, whole.collect()), key=str)
     plan = frames_.classify(some, ["s"], gap=3, bucket=bucket)._jdf.queryExecution().optimizedPlan().toString()
     assert "__b" in plan and frames_.classify(some.limit(0), ["s"], bucket=bucket).count() == 0
+
+
+def test_parts_count_what_the_whole_does_and_leave_counts_only(spark):
+    shared = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(shared.glob("bundle-*"))
+    counts = lambda **limits: {r["rule"]: r["n"] for r in made.bundle_rules(spark, SF, **limits).collect()}
+    assert counts(most=1500) == counts()
+    found = set(shared.glob("bundle-*")) - before
+    assert len(found) == 2 and {p.name for f in found for p in f.iterdir()} == {"found"}
+    assert sorted(len(list((f / "found").glob("of=*"))) for f in found) == [1, 4]
