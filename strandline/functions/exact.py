@@ -1,4 +1,4 @@
-"""Exact integer and rational arithmetic as column expressions; nothing here goes through floating point."""
+"""Exact integer and rational arithmetic as column expressions; nothing here but `rounded` goes through floating point."""
 
 from __future__ import annotations
 
@@ -57,6 +57,18 @@ def removed_rows(kind: Column, cut: Column) -> Column:
     return F.when(kind == "csv", cut).when(kind == "mot", third(cut * 5)).when(kind == "raw", third(cut * 25))
 
 
+def rounded(value: Column, digits: int) -> Column:
+    """A double rounded as SQL's round on doubles does it: scaled, to the nearest whole number (ties away from zero), scaled back, all in doubles. Where the
+    scaled value exceeds 2**53 this keeps its rounding; Spark's own round goes through decimals and doesn't."""
+    scale = float(10**digits)
+    y = value * scale
+    size = F.abs(y)
+    whole = F.floor(size).cast("double")
+    near = F.when(size >= float(1 << 52), size).otherwise(whole + F.when(size - whole >= 0.5, 1.0).otherwise(0.0))
+    out = F.when(y < 0, -near).otherwise(near) / scale
+    return F.when(size < float("inf"), out).otherwise(value)
+
+
 def nanoseconds(ts: Column) -> Column:
     """Nanoseconds since 1970 of a timestamp without time zone, whatever the session's zone."""
     return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts.cast("timestamp_ntz")) * 1000

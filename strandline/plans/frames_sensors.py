@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.exact import nanoseconds
+from ..functions.exact import nanoseconds, rounded
 from ..operators import align, reconcile, timeseries, windows
 from ..operators.timeseries import DAY
 from ..schemas import BITS
@@ -57,7 +57,7 @@ def owned_interval_fps(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.frames import rates
 
     x = rates(events(spark, sf_dir), KEY, "time", ["time", "event_id"], bucket=DAY)
-    return x.select("user_id", "event_id", F.round(F.col("effective_fps") * 1e6, 4).alias("micro_fps"), F.round("gap_before_ms", 3).alias("gap_before_ms"))
+    return x.select("user_id", "event_id", rounded(F.col("effective_fps") * 1e6, 4).alias("micro_fps"), rounded(F.col("gap_before_ms"), 3).alias("gap_before_ms"))
 
 
 OWNED_INTERVAL_FPS = """
@@ -156,7 +156,7 @@ _IDS = ["user_id", "segment", "k", "window_start", "window_end"]
 
 def hop_window_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = hop_windows(spark, sf_dir).where("reason_codes = ''")
-    return x.select(*_IDS, *(F.col(f"{p}_{c}").cast("long").alias(f"{p}_{c}") for p in ("video", "imu") for c in ("n", "start_ordinal", "stop_ordinal")), F.round("video_coverage", 6).alias("video_coverage"), F.round("imu_coverage", 6).alias("imu_coverage"), F.round("video_deviation", 6).alias("video_deviation"), F.round("imu_deviation", 6).alias("imu_deviation"), "video_regular", "imu_regular", "quality_bits")
+    return x.select(*_IDS, *(F.col(f"{p}_{c}").cast("long").alias(f"{p}_{c}") for p in ("video", "imu") for c in ("n", "start_ordinal", "stop_ordinal")), rounded(F.col("video_coverage"), 6).alias("video_coverage"), rounded(F.col("imu_coverage"), 6).alias("imu_coverage"), rounded(F.col("video_deviation"), 6).alias("video_deviation"), rounded(F.col("imu_deviation"), 6).alias("imu_deviation"), "video_regular", "imu_regular", "quality_bits")
 
 
 def hop_window_rejections(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -190,7 +190,7 @@ def gated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def hop_window_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = gated(spark, sf_dir)
-    return x.select(*_IDS, F.round("video_deviation", 6).alias("video_deviation"), F.round("imu_deviation", 6).alias("imu_deviation"), "video_regular", "imu_regular", "cv_tracking_valid", "cv_motion_range_gate_passed", "imu_signal_range_gate_passed", "tremor_band_supported", "valid_for_frequency", "reason_bits", "reason_codes", "quality_bits")
+    return x.select(*_IDS, rounded(F.col("video_deviation"), 6).alias("video_deviation"), rounded(F.col("imu_deviation"), 6).alias("imu_deviation"), "video_regular", "imu_regular", "cv_tracking_valid", "cv_motion_range_gate_passed", "imu_signal_range_gate_passed", "tremor_band_supported", "valid_for_frequency", "reason_bits", "reason_codes", "quality_bits")
 
 
 # Windows by correlated subqueries and self-joins by ordinal, so the two have no plan in common.
@@ -263,7 +263,7 @@ def aligned_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def alignment_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return aligned_events(spark, sf_dir).select("user_id", "frame", "start_ordinal", "stop_ordinal", "nearest_ordinal", "nearest_delta", F.round("coverage", 6).alias("coverage"), "alignment_status")
+    return aligned_events(spark, sf_dir).select("user_id", "frame", "start_ordinal", "stop_ordinal", "nearest_ordinal", "nearest_delta", rounded(F.col("coverage"), 6).alias("coverage"), "alignment_status")
 
 
 ALIGNMENT_STATUS = """

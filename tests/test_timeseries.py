@@ -1,5 +1,6 @@
 from fractions import Fraction
 
+import duckdb
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -151,3 +152,11 @@ def test_medians_are_exact(spark):
     for k in {k for k, _ in rows}:
         v = [x for j, x in rows if j == k and x is not None and x > 0]
         assert got[k] == (median(v) if v else None)
+
+
+def test_rounded_is_sqls_round_of_doubles(spark):
+    values = [813942014043.00004, 1554680530822.0002, 1e300, -813942014043.00004, 0.5, -0.5, 2.5e-7, 1.2345675, -1.2345675, 0.285, 3.0, 0.0, None, 9007199254.740993, float("inf")]
+    x = spark.createDataFrame([(v,) for v in values], "v double")
+    found = [r["r"] for r in x.select(exact.rounded(F.col("v"), 6).alias("r")).collect()]
+    want = [duckdb.execute("SELECT round(?::DOUBLE, 6)", [v]).fetchall()[0][0] for v in values]
+    assert found == want
