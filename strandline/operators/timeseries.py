@@ -12,6 +12,19 @@ from pyspark.sql import functions as F
 
 
 DAY = 86_400_000_000_000
+#: Rows that a task holds in memory where rows are laid by key.
+ROWS = 250_000
+
+
+def parts(df: DataFrame) -> int:
+    """In how many partitions there are ROWS rows in each, and a task for each core; counts the rows, for which Parquet's footers do."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // ROWS))
+
+
+def laid(df: DataFrame, keys: list[str], n: int | None = None) -> DataFrame:
+    """df by keys in n partitions, or as many as `parts` says, so that a task's share doesn't grow with the input; Spark's own number is the
+    session's, whatever the input, and it joins small partitions to larger ones."""
+    return df.repartition(parts(df) if n is None else n, *keys)
 
 
 def _in_bucket(df: DataFrame, order: list[str], bucket: int) -> DataFrame:

@@ -93,7 +93,7 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _ordered(df: DataFrame) -> DataFrame:
     """Line items of an order have a decode order of their own: number, part, supplier, price."""
-    return timeseries.ordinals(df, ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"], "decode_ordinal")
+    return timeseries.ordinals(timeseries.laid(df, ["l_orderkey"]), ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"], "decode_ordinal")
 
 
 def frame_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,7 +133,7 @@ SELECT k, CASE WHEN selection_reason = 'SINGLE_DETECTION' THEN 'SELECTED' ELSE '
 
 
 def detection_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = _ordered(_lines(spark, sf_dir)).withColumn("digest", F.sha2(F.concat_ws(":", "l_partkey", "l_suppkey", "decode_ordinal"), 256))
+    x = _ordered(_lines(spark, sf_dir).drop("pts")).withColumn("digest", F.sha2(F.concat_ws(":", "l_partkey", "l_suppkey", "decode_ordinal"), 256)).drop("l_linenumber", "l_partkey", "l_suppkey")
     return frames.detection_rank(x, ["l_orderkey"], "l_extendedprice", "digest").select("l_orderkey", "decode_ordinal", "rank", "same_payload_rank")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions import exact
 from strandline.operators import align, clock, timeseries
+from strandline.plans import bundles, relational
 
 K = ["s"]
 
@@ -160,3 +161,12 @@ def test_rounded_is_sqls_round_of_doubles(spark):
     found = [r["r"] for r in x.select(exact.rounded(F.col("v"), 6).alias("r")).collect()]
     want = [duckdb.execute("SELECT round(?::DOUBLE, 6)", [v]).fetchall()[0][0] for v in values]
     assert found == want
+
+
+@pytest.mark.parametrize("query", [relational.detection_rank, bundles.finalization_audits])
+def test_tasks_grow_with_rows(spark, monkeypatch, query):
+    rows = lambda: sorted(map(str, query(spark, "/root/testdata/sf0.001").collect()))
+    usual = rows()
+    monkeypatch.setattr(timeseries, "ROWS", 500)
+    assert query(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == 12  # 6,000 line items
+    assert rows() == usual
