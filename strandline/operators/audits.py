@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..schemas import BITS
 from .sequences import sequence_hashes
+from .timeseries import laid
 
 _COUNTS = (
     "decoded_frames", "frames_with_source_pts", "valid_pts_frames", "missing_pts_frames", "duplicate_pts_frames", "nonmonotonic_pts_frames", "discontinuity_pts_frames", "decoded_corrupt_frames", "duplicate_frame_ids", "cv_frame_results", "frames_with_detection", "frames_without_detection", "multiple_detection_frames",
@@ -18,14 +19,18 @@ _COUNTS = (
 _FATAL = ("duplicate_frame_ids", "missing_frame_results", "orphan_frame_results", "duplicate_frame_results", "orphan_detections", "duplicate_detection_ids", "detection_count_mismatches", "model_hash_mismatches")
 
 
-def finalization_audit(frames: DataFrame, results: DataFrame, detections: DataFrame, manifest: DataFrame) -> DataFrame:
+def finalization_audit(frames: DataFrame, results: DataFrame, detections: DataFrame, manifest: DataFrame, partitions: int | None = None) -> DataFrame:
     """recording_id, the counters of _COUNTS, inference_status_counts (canonical JSON), opened and verdict of each recording of the manifest, and of
     any other that has rows (verdict NO_MANIFEST).
 
     frames: recording_id, frame_id, pts, pts_status, quality_bits; results: recording_id, frame_id, inference_status,
     detection_count, model_manifest_sha256; detections: recording_id, frame_id, detection_id, model_manifest_sha256.
     Ids are counted on all sides before these meet, so a frequent one is one row. verdict: NOT_OPENED (no frames), FAIL (a counter
-    of _FATAL), PASS."""
+    of _FATAL), PASS.
+
+    partitions: in how many parts recordings are counted, each by one task; without, rows are counted where they lie and meet in as many as Spark's own setting says."""
+    lay = lambda t: t if partitions is None else laid(t, ["recording_id"], partitions)
+    frames, results, detections, manifest = map(lay, (frames, results, detections, manifest))
     k, sides = ["recording_id", "frame_id"], {"f": frames, "r": results, "d": detections}
     model = manifest.select("recording_id", F.col("model_manifest_sha256").alias("__m"))
     total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
@@ -43,7 +48,7 @@ def finalization_audit(frames: DataFrame, results: DataFrame, detections: DataFr
         status("INFERENCE_FAILURE").alias("inference_failures"), status("PREPROCESS_FAILURE").alias("preprocessing_failures"), status("DECODE_FAILURE").alias("decode_failures"), status("REJECTED_INPUT").alias("rejected_input_failures"), F.count_if(~F.col("model_manifest_sha256").eqNullSafe(F.col("__m"))).alias("__models_r"),
     )
     each = reduce(DataFrame.unionByName, (t.groupBy(*k).agg(F.count("*").alias("n"), (F.sum("detection_count") if s == "r" else F.lit(0)).cast("long").alias("stated")).withColumn("side", F.lit(s)) for s, t in sides.items()))
-    each = each.groupBy(*k).agg(*(F.coalesce(F.sum(F.when(F.col("side") == s, F.col("n"))), F.lit(0)).alias(s) for s in sides), F.max("stated").alias("stated"))
+    each = lay(each).groupBy(*k).agg(*(F.coalesce(F.sum(F.when(F.col("side") == s, F.col("n"))), F.lit(0)).alias(s) for s in sides), F.max("stated").alias("stated"))
     c = each.groupBy("recording_id").agg(
         total(F.greatest(F.col("f") - 1, F.lit(0))).alias("duplicate_frame_ids"), total(((F.col("f") > 0) & (F.col("r") == 0)).cast("int")).alias("missing_frame_results"), total(((F.col("f") == 0) & (F.col("r") > 0)).cast("int")).alias("orphan_frame_results"), total(F.greatest(F.col("r") - 1, F.lit(0))).alias("duplicate_frame_results"),
         total(F.when(F.col("f") == 0, F.col("d")).otherwise(0)).alias("orphan_detections"), total(((F.col("r") > 0) & ~F.col("stated").eqNullSafe(F.col("d") * F.col("r"))).cast("int")).alias("detection_count_mismatches"),
