@@ -115,3 +115,9 @@ def test_parts_count_what_the_whole_does_and_leave_counts_only(spark):
     found = set(shared.glob("bundle-*")) - before
     assert len(found) == 2 and {p.name for f in found for p in f.iterdir()} == {"found"}
     assert sorted(len(list((f / "found").glob("of=*"))) for f in found) == [1, 4]
+
+
+def test_a_stream_in_buckets_is_read_twice_for_each_order(spark):
+    some = spark.createDataFrame([(1, k, 10 * k) for k in range(20)], "s long, decode_ordinal long, pts long")
+    plan = frames_.classify(some, ["s"], gap=3, bucket=50)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join Inner") == 2  # decode order and presentation order
