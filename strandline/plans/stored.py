@@ -143,11 +143,16 @@ SELECT o_orderkey AS k, array_to_string(list_filter([CASE WHEN o_orderkey % 13 =
 """
 
 
-def _in_batches(spark: SparkSession, rows: DataFrame, batch: Column, n: int, folder: str) -> DataFrame:
-    """rows as a stream that comes in n batches: a file each, one after the other."""
+def _in_batches(spark: SparkSession, rows: DataFrame, batch: Column, n: int, folder: str, most: int = 1_000_000) -> DataFrame:
+    """rows as a stream that comes in n batches, one after the other: each as many files, of about `most` rows (all but the last batch are of like size). Rows are made and stored once, by many tasks."""
+    rows.withColumn("__batch", batch).write.partitionBy("__batch").parquet(f"{folder}/rows")
+    stored = spark.read.parquet(f"{folder}/rows")
+    each = stored.groupBy("__batch").count().agg(F.max("count")).first()[0] or 0  # one number
+    size = max(1, -(-each // most))
     for k in range(n):
-        rows.where(batch == k).coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+        some = stored.where(F.col("__batch") == k).select(*rows.columns)
+        (some.coalesce(1) if size == 1 else some.repartition(size)).write.mode("append").parquet(f"{folder}/in")
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", size).parquet(f"{folder}/in")
 
 
 def epochs_out_of_order(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from strandline.plans import stored
 from strandline.operators import estimators
 from strandline.sources import store
 from strandline.streaming import streams
@@ -126,3 +127,12 @@ def test_replay_of_laid_out_tables_needs_no_exchange(spark, tmp_path):
     one = x.where(F.col("place") == store.place([F.lit(1).cast("long")], F.lit(2)))._jdf.queryExecution().executedPlan().toString()
     spark.conf.unset("spark.sql.sources.bucketing.autoBucketedScan.enabled")
     assert "SelectedBucketsCount: 1 out of 4" in one
+
+
+def test_a_batch_of_a_stream_is_written_by_as_many_tasks_as_it_needs(spark, tmp_path):
+    rows = spark.range(90).withColumn("v", F.col("id") * 2)
+    stored._in_batches(spark, rows, F.col("id") % 3, 3, str(tmp_path), most=10)
+    files = sorted((tmp_path / "in").glob("*.parquet"), key=lambda p: p.stat().st_mtime_ns)
+    assert len(files) == 9
+    assert [sorted({r["id"] % 3 for p in files[k : k + 3] for r in spark.read.parquet(str(p)).collect()}) for k in (0, 3, 6)] == [[0], [1], [2]]
+    assert spark.read.parquet(str(tmp_path / "rows")).count() == 90
