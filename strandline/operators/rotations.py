@@ -18,6 +18,8 @@ from ..sources.files import ship
 
 #: Vectors of a leaf; up to SMALL of them are simply multiplied. Pairs of cells that are looked at together.
 LEAF, SMALL, PAIRS = 64, 512, 1 << 16
+#: Products that are held at once; leaves are larger where a large tree meets a small one.
+PRODUCTS = 1 << 20
 #: What rounding may take from an angle that comes from a cosine near 1.
 SLACK = 1e-7
 
@@ -71,12 +73,13 @@ def _searched(one: tuple, two: tuple, same: bool, best: float) -> float:
             todo += [(level + 1, a[k : k + PAIRS], b[k : k + PAIRS]) for k in range(0, len(a), PAIRS)]
             continue
         order = np.argsort(-widest)  # the most promising first
-        for k in range(0, len(order), 256):
-            some = order[k : k + 256]
+        step = max(1, PRODUCTS // (a_leaves.shape[1] * b_leaves.shape[1]))
+        for k in range(0, len(order), step):
+            some = order[k : k + step]
             if widest[some[0]] < np.arccos(best):
                 break
-            m = np.abs(a_leaves[i[some]] @ b_leaves[j[some]].transpose(0, 2, 1))
-            best = min(best, float(m.min()))
+            m = a_leaves[i[some]] @ b_leaves[j[some]].transpose(0, 2, 1)
+            best = min(best, float(np.abs(m, out=m).min()))
     return best
 
 

@@ -2,8 +2,10 @@
 
 import random
 import time
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -138,3 +140,26 @@ def test_least_between_is_that_of_all_pairs():
     for n, m in ((3, 800), (800, 70), (900, 1500)):
         for (a, p), (b, q) in zip(sets(n).items(), list(sets(m).items())[::-1]):
             assert abs(rotations.least_between(p, q) - float(np.abs(p @ q.T).min())) < 1e-15, (a, b)
+
+
+@pytest.mark.parametrize("n", [100, 380, 1000, 3000])
+def test_a_large_chunk_meets_a_small_one_in_bounded_memory(n):
+    p, q = unit(np.random.default_rng(n).normal(size=(1 << 15, 4))), unit(np.random.default_rng(n + 1).normal(size=(n, 4)))
+    tracemalloc.start()
+    try:
+        least = rotations.least_between(p, q)
+        assert tracemalloc.get_traced_memory()[1] < 80e6
+    finally:
+        tracemalloc.stop()
+    assert abs(least - min(float(np.abs(p @ v).min()) for v in q)) < 1e-15
+
+
+def test_workers_get_large_rows_a_few_at_a_time(spark):
+    rotations.rotation_ranges(spark.range(0).select("id", F.array(F.lit(1.0)).alias("q")), ["id"], "q")
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["n"])
+
+    rows = spark.range(0, 40, 1, 1).select(F.repeat(F.lit("x"), 1_000_000).alias("v"))
+    assert max(r["n"] for r in rows.mapInArrow(sizes, "n long").collect()) < 12e6
