@@ -16,9 +16,11 @@ DAY = 86_400_000_000_000
 ROWS = 250_000
 
 
-def parts(df: DataFrame) -> int:
-    """In how many partitions there are ROWS rows in each, and a task for each core; counts the rows, for which Parquet's footers do."""
-    return max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // ROWS))
+def parts(df: DataFrame, times: int = 1) -> int:
+    """In how many partitions there are ROWS rows in each, and a task for each core; counts the rows, for which Parquet's footers do.
+
+    times: how many rows come of one."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() * times // ROWS))
 
 
 def laid(df: DataFrame, keys: list[str], n: int | None = None) -> DataFrame:

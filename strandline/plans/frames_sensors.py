@@ -9,6 +9,7 @@ from ..functions.exact import nanoseconds, rounded
 from ..operators import align, reconcile, timeseries, windows
 from ..operators.timeseries import DAY
 from ..schemas import BITS
+from ..sources import files
 
 KEY = ["user_id"]
 
@@ -151,16 +152,22 @@ def hop_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.candidates(v, s, _segments(e), KEY, POLICY)
 
 
+def windowed(df: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """df, which is made of hop windows of events, made now in as many partitions as those need: an event is in WINDOW / HOP windows."""
+    return files.kept(df, "windows", timeseries.parts(table(spark, sf_dir, "events"), WINDOW // HOP))
+
+
 _IDS = ["user_id", "segment", "k", "window_start", "window_end"]
 
 
 def hop_window_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = hop_windows(spark, sf_dir).where("reason_codes = ''")
-    return x.select(*_IDS, *(F.col(f"{p}_{c}").cast("long").alias(f"{p}_{c}") for p in ("video", "imu") for c in ("n", "start_ordinal", "stop_ordinal")), rounded(F.col("video_coverage"), 6).alias("video_coverage"), rounded(F.col("imu_coverage"), 6).alias("imu_coverage"), rounded(F.col("video_deviation"), 6).alias("video_deviation"), rounded(F.col("imu_deviation"), 6).alias("imu_deviation"), "video_regular", "imu_regular", "quality_bits")
+    x = x.select(*_IDS, *(F.col(f"{p}_{c}").cast("long").alias(f"{p}_{c}") for p in ("video", "imu") for c in ("n", "start_ordinal", "stop_ordinal")), rounded(F.col("video_coverage"), 6).alias("video_coverage"), rounded(F.col("imu_coverage"), 6).alias("imu_coverage"), rounded(F.col("video_deviation"), 6).alias("video_deviation"), rounded(F.col("imu_deviation"), 6).alias("imu_deviation"), "video_regular", "imu_regular", "quality_bits")
+    return windowed(x, spark, sf_dir)
 
 
 def hop_window_rejections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hop_windows(spark, sf_dir).where("reason_codes <> ''").select(*_IDS, "reason_bits", "reason_codes")
+    return windowed(hop_windows(spark, sf_dir).where("reason_codes <> ''").select(*_IDS, "reason_bits", "reason_codes"), spark, sf_dir)
 
 
 #: Segments for the gates: two of a user, so that neighbours may lie outside; some with bits of their own.
@@ -190,7 +197,8 @@ def gated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def hop_window_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = gated(spark, sf_dir)
-    return x.select(*_IDS, rounded(F.col("video_deviation"), 6).alias("video_deviation"), rounded(F.col("imu_deviation"), 6).alias("imu_deviation"), "video_regular", "imu_regular", "cv_tracking_valid", "cv_motion_range_gate_passed", "imu_signal_range_gate_passed", "tremor_band_supported", "valid_for_frequency", "reason_bits", "reason_codes", "quality_bits")
+    x = x.select(*_IDS, rounded(F.col("video_deviation"), 6).alias("video_deviation"), rounded(F.col("imu_deviation"), 6).alias("imu_deviation"), "video_regular", "imu_regular", "cv_tracking_valid", "cv_motion_range_gate_passed", "imu_signal_range_gate_passed", "tremor_band_supported", "valid_for_frequency", "reason_bits", "reason_codes", "quality_bits")
+    return windowed(x, spark, sf_dir)
 
 
 # Windows by correlated subqueries and self-joins by ordinal, so the two have no plan in common.

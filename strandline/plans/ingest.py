@@ -12,7 +12,7 @@ from ..operators.timeseries import DAY
 from ..schemas import closed
 from ..sources import files, ranges, store, texts
 from ..streaming import streams
-from .frames_sensors import ALIGNMENT_STATUS, HOP_WINDOW_INDEX, HOP_WINDOW_REJECTIONS, KEY, POLICY, _paired, _segments, aligned_events, events, hop_windows, table
+from .frames_sensors import ALIGNMENT_STATUS, HOP_WINDOW_INDEX, HOP_WINDOW_REJECTIONS, KEY, POLICY, _paired, _segments, aligned_events, events, hop_windows, table, windowed
 from .frames_sensors import _frames as owned_views
 from .frames_sensors import _samples as other_events
 from .relational import _CLOCK, _clock, _ordered, _lines, _ORDERED_SQL, _semantic_sql, _values
@@ -633,12 +633,13 @@ UNION ALL SELECT 'b', user_id, frame, start_ordinal, alignment_status FROM s WHE
 
 def windows_regenerated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stored window index and ledger, in which some counts and reasons are changed, against the streams."""
-    x = hop_windows(spark, sf_dir)
+    columns = ["user_id", "segment", "k", "video_n", "imu_n", "quality_bits"]
+    x = windowed(hop_windows(spark, sf_dir).select(*columns, "reason_bits", "reason_codes"), spark, sf_dir)
     ledger = x.where("reason_codes <> ''").withColumn("reason_bits", F.col("reason_bits") + F.when((F.col("user_id") % 20 == 3) & (F.col("k") == 0), 1024).otherwise(0))
     valid = x.where("reason_codes = ''").withColumn("video_n", F.col("video_n") + F.when(F.col("k") % 10 == 4, 1).otherwise(0))
     e = events(spark, sf_dir)
-    found = contracts.window_differences(valid, ledger, ["user_id", "segment", "k", "video_n", "imu_n", "quality_bits"], *_paired(e), _segments(e), KEY, POLICY)
-    return _counted(found, "table", "side")
+    found = contracts.window_differences(valid, ledger, columns, *_paired(e), _segments(e), KEY, POLICY)
+    return windowed(_counted(found, "table", "side"), spark, sf_dir)
 
 
 WINDOWS_REGENERATED = f"""

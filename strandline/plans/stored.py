@@ -13,7 +13,7 @@ from ..operators.timeseries import DAY
 from ..sources import files, parts, ranges, store, texts
 from ..sources.files import ship
 from ..streaming import streams
-from .frames_sensors import KEY, events, hop_windows, table
+from .frames_sensors import KEY, events, hop_windows, table, windowed
 
 
 def ordered_table_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -197,6 +197,7 @@ UNION ALL SELECT 'late', event_type, t // 86400000000000 * 86400000000000, count
 def laid_out_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Samples of hop windows from tables that were laid out by stream and block, counted and summed."""
     windows = hop_windows(spark, sf_dir).where("imu_n > 0").select(F.concat_ws("-", "user_id", "segment", "k").alias("window_id"), "user_id", "imu_start_ordinal", "imu_stop_ordinal")
+    windows = windowed(windows, spark, sf_dir)
     samples = timeseries.ordinals(events(spark, sf_dir).where("event_type <> 'view'"), KEY, ["time", "event_id"], bucket=DAY).select("user_id", "canonical_ordinal", "event_id")
     name = files.scratch(spark, "laid").rsplit("-", 1)[1]
     x = store.lay_out(samples, files.scratch(spark, "rows"), f"rows_{name}", KEY, block=16, buckets=8)

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from strandline.functions import exact
 from strandline.operators import align, clock, timeseries
-from strandline.plans import bundles, relational
+from strandline.plans import bundles, frames_sensors, ingest, relational
+from strandline.sources import files
 
 K = ["s"]
 
@@ -170,3 +171,23 @@ def test_tasks_grow_with_rows(spark, monkeypatch, query):
     monkeypatch.setattr(timeseries, "ROWS", 500)
     assert query(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == 12  # 6,000 line items
     assert rows() == usual
+
+
+@pytest.mark.parametrize("query", [frames_sensors.hop_window_index, ingest.windows_regenerated])
+def test_tasks_of_windows_grow_with_rows(spark, monkeypatch, query):
+    rows = lambda df: sorted(map(str, df.collect()))
+    usual, partitions, keys = rows(query(spark, "/root/testdata/sf0.001")), [], ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")
+    before = [spark.conf.get(k) for k in keys]
+    kept = files.kept
+
+    def counted(df, name, n):
+        out = kept(df, name, n)
+        partitions.append((n, len(out.inputFiles()), out.count()))
+        return out
+
+    monkeypatch.setattr(files, "kept", counted)
+    monkeypatch.setattr(timeseries, "ROWS", 500)
+    assert rows(query(spark, "/root/testdata/sf0.001")) == usual
+    # 1,000 events, each in four windows; a file for each partition that has a row
+    assert partitions and all(n == 8 and (some > 4 or count < 100) for n, some, count in partitions)
+    assert [spark.conf.get(k) for k in keys] == before
