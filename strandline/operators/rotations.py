@@ -8,6 +8,8 @@ what is left the leaves are multiplied. The result is that of all pairs: only pa
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -22,6 +24,24 @@ LEAF, SMALL, PAIRS = 64, 512, 1 << 16
 PRODUCTS = 1 << 20
 #: What rounding may take from an angle that comes from a cosine near 1.
 SLACK = 1e-7
+#: More than rounding by a product of matrices may take from a product of two unit vectors; norms this near 1 are 1.
+NEAR, UNIT = 4e-15, 1e-15
+
+
+def _least(m: np.ndarray, u: np.ndarray, v: np.ndarray, best: float) -> float:
+    """The least |u[.., i, :] . v[.., j, :]|, or best if that is less, where m[.., i, j] is that product as a product of matrices gives it (inf: no pair).
+
+    Such a product rounds a pair by where it stands in the matrices, so pairs that may be the least are added up again entry by entry:
+    the result depends on the vectors alone, and is the one of plain arithmetic."""
+    least = float(m.min(initial=np.inf))
+    if least > best + NEAR:
+        return best
+    some = np.flatnonzero(m <= min(least, best) + NEAR)
+    for k in range(0, len(some), PAIRS):
+        *of, i, j = np.unravel_index(some[k : k + PAIRS], m.shape)
+        p = u[(*of, i)] * v[(*of, j)]
+        best = min(best, float(np.abs(p[:, 0] + p[:, 1] + p[:, 2] + p[:, 3]).min()))
+    return best
 
 
 def _tree(q: np.ndarray, depth: int) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
@@ -78,8 +98,9 @@ def _searched(one: tuple, two: tuple, same: bool, best: float) -> float:
             some = order[k : k + step]
             if widest[some[0]] < np.arccos(best):
                 break
-            m = a_leaves[i[some]] @ b_leaves[j[some]].transpose(0, 2, 1)
-            best = min(best, float(np.abs(m, out=m).min()))
+            u, v = a_leaves[i[some]], b_leaves[j[some]]
+            m = u @ v.transpose(0, 2, 1)
+            best = _least(np.abs(m, out=m), u, v, best)
     return best
 
 
@@ -90,13 +111,15 @@ def _depth(n: int) -> int:
 def least_product(q: np.ndarray, best: float = 1.0) -> float:
     """The least |u . v| of all pairs of the unit vectors in the rows of q (n, 4), or best if that is less."""
     if len(q) <= SMALL:
-        return min(best, float(np.abs(q @ q.T)[np.triu_indices(len(q), 1)].min(initial=1.0)))
+        m = np.abs(q @ q.T)
+        m[np.tri(len(q), dtype=bool)] = np.inf
+        return _least(m, q, q, best)
     tree = _tree(_halved(q), _depth(len(q)))
     sample = tree[0][:, 0]
     for k in range(0, len(sample), 512):  # a pair of different leaves, of which there are some
         m = np.abs(sample[k : k + 512] @ sample.T)
-        m[np.arange(len(m)), np.arange(k, k + len(m))] = 1.0
-        best = min(best, float(m.min()))
+        m[np.arange(len(m)), np.arange(k, k + len(m))] = np.inf
+        best = _least(m, sample[k : k + 512], sample, best)
     return _searched(tree, tree, True, best)
 
 
@@ -104,23 +127,38 @@ def least_between(p: np.ndarray, q: np.ndarray, best: float = 1.0) -> float:
     """The least |u . v| of u in the rows of p and v in those of q, or best if that is less."""
     if min(len(p), len(q)) <= LEAF:
         for k in range(0, len(p), SMALL):
-            best = min(best, float(np.abs(p[k : k + SMALL] @ q.T).min(initial=1.0)))
+            best = _least(np.abs(p[k : k + SMALL] @ q.T), p[k : k + SMALL], q, best)
         return best
     depth = _depth(min(len(p), len(q)))
     one, two = _tree(_halved(p), depth), _tree(_halved(q), depth)
-    return _searched(one, two, False, min(best, float(np.abs(one[0][:, 0] @ two[0][:, 0].T).min())))
+    u, v = one[0][:, 0], two[0][:, 0]
+    return _searched(one, two, False, _least(np.abs(u @ v.T), u, v, best))
 
 
 def widest_angle(q: np.ndarray, tolerance: float = 1e-3) -> float:
     """2 acos of the least |u . v| of unit quaternions in the rows of q; 0 for fewer than two or where one isn't finite.
 
-    Norms that are off 1 by more than the tolerance are an error."""
+    Norms that are off 1 by more than the tolerance are an error. Vectors whose norm is 1 but for rounding stay as they are."""
     if len(q) < 2 or not np.isfinite(q).all():
         return 0.0
     norms = np.sqrt((q * q).sum(1, keepdims=True))
     if (np.abs(norms - 1) > tolerance).any():
         raise ValueError("quaternions must have norm 1")
-    return 2 * float(np.arccos(min(least_product(q / norms), 1.0)))
+    norms[np.abs(norms - 1) <= UNIT] = 1.0
+    return 2 * math.acos(min(least_product(q / norms), 1.0))
+
+
+def turned(half: Column) -> Column:
+    """The rotation about the first axis by twice that angle, as a quaternion; of the C library's cosine and sine, from which Spark's own
+    differ in the last bit for some angles."""
+
+    def quaternions(angles: pa.Array) -> pa.Array:
+        q = np.zeros((len(angles), 4))
+        x = angles.to_numpy(zero_copy_only=False).tolist()
+        q[:, 0], q[:, 1] = [math.cos(v) for v in x], [math.sin(v) for v in x]
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(q) + 1, dtype=np.int32) * 4), pa.array(q.ravel()))
+
+    return F.arrow_udf(quaternions, "array<double>")(half)
 
 
 def widest_angles_of(vectors: Column, tolerance: float = 1e-3) -> Column:

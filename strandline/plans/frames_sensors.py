@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.exact import nanoseconds, rounded
-from ..operators import align, reconcile, timeseries, windows
+from ..operators import align, reconcile, rotations, timeseries, windows
 from ..operators.timeseries import DAY
 from ..schemas import BITS
 from ..sources import files
@@ -191,7 +191,7 @@ def gated(spark: SparkSession, sf_dir: str) -> DataFrame:
     value = F.coalesce("value", F.lit(0.0))
     cv = views.select("user_id", "ordinal", (F.col("value") / 100).alias("tracking_quality"), (F.col("event_id") % 10 / 10.0).alias("keypoint_fraction"), F.array(value, -value, F.lit(None).cast("double")).alias("motion"))
     turn = value / 40
-    imu = others.select("user_id", "ordinal", F.lit("ACCEL_GYRO_QUATERNION").alias("payload_kind"), value.alias("ax"), F.lit(0.0).alias("ay"), (2 * value).alias("az"), F.pmod(value, F.lit(7.0)).alias("gx"), (-value).alias("gy"), F.lit(None).cast("double").alias("gz"), F.array(F.cos(turn), F.sin(turn), F.lit(0.0), F.lit(0.0)).alias("q"))
+    imu = others.select("user_id", "ordinal", F.lit("ACCEL_GYRO_QUATERNION").alias("payload_kind"), value.alias("ax"), F.lit(0.0).alias("ay"), (2 * value).alias("az"), F.pmod(value, F.lit(7.0)).alias("gx"), (-value).alias("gy"), F.lit(None).cast("double").alias("gz"), rotations.turned(turn).alias("q"))
     return windows.candidates(v, s, _halves(e), KEY, GATES, alignment, cv, imu)
 
 

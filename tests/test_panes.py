@@ -1,5 +1,6 @@
 """Windows merged from panes against every row of every window; the widest rotation against all pairs."""
 
+import math
 import random
 import time
 import tracemalloc
@@ -56,6 +57,28 @@ def test_large_groups_take_seconds():
         rotations.widest_angle(np.array([[1.0, 0, 0, 0], [2.0, 0, 0, 0]]))
 
 
+@pytest.mark.parametrize("small", [2, 512])
+def test_the_widest_angle_is_that_of_plain_arithmetic_to_the_last_bit(monkeypatch, small):
+    # pairs exactly at a limit of 1.5, which rounding alone puts on either side of it
+    monkeypatch.setattr(rotations, "SMALL", small)
+    monkeypatch.setattr(rotations, "LEAF", 2)
+    rnd = random.Random(5)
+    for n in [2, 3, 5, 9, 40] * 60:
+        low = rnd.randrange(10_000)
+        turns = [v / 100 / 40 for v in [low, low + 3000, *(rnd.randrange(low, low + 3000) for _ in range(n - 2))]]
+        rnd.shuffle(turns)
+        q = [(math.cos(t), math.sin(t)) for t in turns]
+        want = 2 * math.acos(min(1.0, min(abs(a[0] * b[0] + a[1] * b[1]) for k, a in enumerate(q) for b in q[:k])))
+        assert rotations.widest_angle(np.array([[*v, 0.0, 0.0] for v in q])) == want
+
+
+def test_turned_quaternions_are_those_of_the_c_library(spark):
+    turns = [k / 100 / 40 for k in range(20_000)]
+    df = spark.createDataFrame([(t,) for t in turns], "t double")
+    got = {r["t"]: r["q"] for r in df.select("t", rotations.turned(F.col("t")).alias("q")).collect()}
+    assert got == {t: [math.cos(t), math.sin(t), 0.0, 0.0] for t in turns}
+
+
 def test_angles_of_arrays(spark):
     q = [[1.0, 0.0, 0.0, 0.0], [0.0, 1.0, 0.0, 0.0], [-1.0, 0.0, 0.0, 0.0]]
     rows = [(1, q[:2]), (2, [q[0], q[2]]), (3, q[:1]), (4, None), (5, []), (6, [[1.0, 0.0], [0.0, 1.0]])]
