@@ -97,14 +97,18 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
-def join_summary(rows: DataFrame, summary: DataFrame, *keys: str, how: str = "inner") -> DataFrame:
+def join_summary(rows: DataFrame, summary: DataFrame, *keys: str, how: str = "inner", grown: bool = False) -> DataFrame:
     """rows joined to a summary of them that has one row for each value of the keys.
 
     The summary lies where its aggregate left it, by key, and Spark splits skewed joins only if both sides are shuffled
-    for them. So the keys take another form on either side, and a frequent value's rows can go to many tasks."""
+    for them. So the keys take another form on either side, and a frequent value's rows can go to many tasks.
+
+    grown: rows are far more, or larger, than Spark's size of them says (it doesn't count what an explode adds, nor what
+    files compress), so that it might broadcast what the driver can't hold; then both sides are shuffled in any case."""
     other = [c for c in summary.columns if c not in keys]
     form = F.struct(*keys)
-    return rows.withColumn("__w", form).join(summary.select(form.alias("__w"), *other), "__w", how).drop("__w")
+    right = summary.select(form.alias("__w"), *other)
+    return rows.withColumn("__w", form).join(right.hint("merge") if grown else right, "__w", how).drop("__w")
 
 
 def fold(doc_id: str, modulus: int) -> Column:

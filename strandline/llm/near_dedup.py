@@ -153,7 +153,7 @@ def _places(sets: DataFrame, percent: int) -> DataFrame:
     places and make no rows."""
     each = sets.select("crowd", "node", F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("shingle"))
     shared = each.groupBy("crowd", "shingle").agg(F.count("*").alias("c")).where("c > 1")
-    mine = join_summary(each, shared, "crowd", "shingle").groupBy("crowd", "node", "n").agg(F.sort_array(F.collect_list(F.struct("c", "shingle"))).alias("s"))
+    mine = join_summary(each, shared, "crowd", "shingle", grown=True).groupBy("crowd", "node", "n").agg(F.sort_array(F.collect_list(F.struct("c", "shingle"))).alias("s"))
     up = lambda num, den: F.ceil(F.col("n") * num / den - F.lit(1e-9)).cast("long")
     mine = mine.withColumn("alone", F.col("n") - F.size("s")).withColumn("probe", F.col("n") - up(percent, 100) + 1).withColumn("index", F.col("n") - up(2 * percent, 100 + percent) + 1)
     taken = F.slice("s", F.lit(1), F.greatest(F.lit(0), F.col("probe") - F.col("alone")).cast("int"))
@@ -209,10 +209,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     half = nodes.select("node", "n", F.explode("halves").alias("half"))
     shared = half.groupBy("half").agg(F.count("*").alias("c")).where("c > 1").select("half")
-    kept = join_summary(half, shared, "half").groupBy("node", "n").agg(F.collect_list("half").alias("halves"))
+    kept = join_summary(half, shared, "half", grown=True).groupBy("node", "n").agg(F.collect_list("half").alias("halves"))
     keyed = kept.select("node", "n", F.explode(F.flatten(F.transform(_side(F.col("halves"), 0), lambda x: F.transform(_side(F.col("halves"), 1), lambda y: F.xxhash64(x, y))))).alias("key"))
     full = keyed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
-    tables = cut(join_summary(keyed, full, "key").select("key", "node", "n", "c"))
+    tables = cut(join_summary(keyed, full, "key", grown=True).select("key", "node", "n", "c"))
 
     # the sets of nodes that share a table; an id may have other texts, too
     wanted = nodes.join(tables.select("node").distinct(), "node", "left_semi")

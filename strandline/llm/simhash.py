@@ -101,7 +101,7 @@ def _shared(nodes: DataFrame, distance: int) -> DataFrame:
 
     A signature is hashed to one number; should two meet in it, that adds pairs to be compared."""
     keyed = _keyed(nodes, _masks(distance)).select("fp", F.xxhash64("k", "value").alias("key"))
-    return join_summary(keyed, keyed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "key")
+    return join_summary(keyed, keyed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "key", grown=True)
 
 
 def _close(x: Column, y: Column, distance: int) -> Column:
@@ -145,9 +145,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     groups = connected_components(links(nodes.select("fp"), distance, small), "a", "b")
     grouped = nodes.join(groups, nodes["fp"] == groups["node"], "left").select("fp", "id", F.coalesce("component", "fp").alias("g"))
     least = grouped.groupBy("g").agg(F.min("id").alias("least"))
-    named = cut(join_summary(grouped, least, "g").select("fp", "least"))
+    named = cut(join_summary(grouped, least, "g", grown=True).select("fp", "least"))
     free(nodes)
     # what rows meet here has one row for each fingerprint, so a frequent one is safe
-    out = join_summary(seen, named, "fp", how="left")
+    out = join_summary(seen, named, "fp", how="left", grown=True)
     digits = F.lpad(F.lower(F.hex("fp")), 16, "0")
     return out.select(F.col("id").alias("doc_id"), "fp", digits.alias("fingerprint"), F.when(F.col("id").isNotNull(), F.col("least")).alias("component_id"))

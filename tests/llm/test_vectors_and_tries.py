@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from strandline.llm import prefix_trie, simhash, whitening
+from strandline.llm import near_dedup, prefix_trie, simhash, whitening
 from strandline.llm.queries import queries
 
 # SimHash
@@ -97,6 +97,16 @@ def test_segments_differ_in_one_bit_at_most(distance):
     assert distance // len(parts) <= 1
 
 
+def test_what_an_explode_makes_is_not_broadcast(spark, capsys):
+    # Spark takes its size for that of the table it comes of: 64 signatures a node, or every shingle of a set
+    nodes = spark.range(100).withColumnRenamed("id", "fp")
+    sets = spark.range(100).select(F.lit(1).alias("crowd"), F.col("id").alias("node"), F.sequence(F.lit(1), F.lit(500)).alias("shingles"))
+    for made in (simhash._shared(nodes, 2), near_dedup._places(sets, 80)):
+        made.explain()
+        plan = capsys.readouterr().out
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 @pytest.mark.parametrize("small", [64, 1])
 def test_simhash_of_documents(spark, odd, empty, small):
     rnd = random.Random(3)
