@@ -121,3 +121,17 @@ def test_a_stream_in_buckets_is_read_twice_for_each_order(spark):
     some = spark.createDataFrame([(1, k, 10 * k) for k in range(20)], "s long, decode_ordinal long, pts long")
     plan = frames_.classify(some, ["s"], gap=3, bucket=50)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join Inner") == 2  # decode order and presentation order
+
+
+def test_conditions_of_rules_are_compiled(spark, sound, capsys):
+    """What an explode holds is interpreted, row by row; so the rules are a column before it."""
+    bundles.frame_rules(sound["frames"], sound["manifest"], made.DOMAIN).explain()
+    plan = capsys.readouterr().out
+    assert plan.count("Generate explode(split(__rules") == 2 and "explode(filter" not in plan
+
+
+def test_arrays_that_are_close(spark):
+    nan, one = float("nan"), [1.0, 0.0]
+    rows = [(one, one), ([1.0, 1e-12], one), ([1.0, 1e-6], one), ([nan, 0.0], one), ([1.0, None], one), ([1.0], one), (None, one), (one, None)]
+    df = spark.createDataFrame(rows, "a array<double>, b array<double>")
+    assert [r[0] for r in df.coalesce(1).select(bundles._close(F.col("a"), F.col("b"), 1e-9)).collect()] == [True, True, False, False, False, False, False, False]

@@ -156,6 +156,17 @@ def test_medians_are_exact(spark):
         assert got[k] == (median(v) if v else None)
 
 
+def test_times_in_longs_and_in_decimals_are_one(spark):
+    rows = [(a, f, n, d) for a in (0, 1, -1, 7, 10**6 + 1, 10**15, 2**62, -(2**62), None) for f in (0, 3, 10**6) for n, d in ((1, 1), (1001, 30_000), (86_400, 1), (2**31 - 1, 7), (1, 2), (None, 1)) if not (a and abs(a) > 10**15 and n and n > 1)]
+    rows = [(a, f, n, d) for a, f, n, d in rows if a is None or n is None or abs(a - f) * n * 10**9 < d * 2**62]
+    df = spark.createDataFrame(rows, "a long, f long, n int, d int")
+    got = [r[0] for r in df.coalesce(1).select(exact.rescale_half_up(*map(F.col, "afnd"))).collect()]
+    want = [None if a is None or n is None or a < f else (2 * (a - f) * n * 10**9 + d) // (2 * d) for a, f, n, d in rows]
+    assert got == want
+    plan = spark.range(1).select(exact.rescale_half_up(*(F.col("id") for _ in "afnd")).alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "div" in plan
+
+
 def test_rounded_is_sqls_round_of_doubles(spark):
     values = [813942014043.00004, 1554680530822.0002, 1e300, -813942014043.00004, 0.5, -0.5, 2.5e-7, 1.2345675, -1.2345675, 0.285, 3.0, 0.0, None, 9007199254.740993, float("inf")]
     x = spark.createDataFrame([(v,) for v in values], "v double")
